@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import keyed
+from . import keyed, text
 
-_MODULES = [keyed]
+_MODULES = [keyed, text]
 
 
 def queries():
