@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import keyed, text
+from . import apps, keyed, text
 
-_MODULES = [keyed, text]
+_MODULES = [keyed, text, apps]
 
 
 def queries():
