@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import apps, keyed, text
+from . import apps, keyed, pages, text
 
-_MODULES = [keyed, text, apps]
+_MODULES = [keyed, text, apps, pages]
 
 
 def queries():
