@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def edges_from(df: DataFrame, src_type: str, src_id: str, dst_type: str, dst_col
     (scalar or array of ids) (E4)."""
     is_array = df.schema[dst_col].dataType.typeName() == "array"
     dst = F.explode(dst_col) if is_array else F.col(dst_col)
-    return (df.select(F.lit(src_type).alias("src_type"), F.col(src_id).cast("string").alias("src_id"),
-                      F.lit(dst_type).alias("dst_type"), dst.cast("string").alias("dst_id"),
+    return (df.select(F.lit(src_type).alias("src_type"), F.col(src_id).alias("src_id"),
+                      F.lit(dst_type).alias("dst_type"), dst.alias("dst_id"),
                       F.lit(kind).alias("kind"))
             .where(F.col("dst_id").isNotNull()))
 
@@ -35,17 +36,25 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
 
     Each round joins the frontier to the edges, removes visited nodes
     (anti join) and keeps one referrer per new node: the smallest parent of the
-    previous level (K4). The frontier and the visited set are written to the
-    reliable checkpoint folder each round, so lineage stays short and a lost
-    executor recomputes one round only. Rounds are bounded by ``max_depth``.
+    previous level (K4). Duplicate edges are harmless (the per-node ``min``
+    collapses them), so edges are not de-duplicated here; they are
+    hash-partitioned by source once and persisted, so every round shuffles
+    only the (small) frontier into the edges' partitioning; their lineage is
+    the one edge derivation, cheap to recompute after a lost executor. Each round's new level is written to the
+    reliable checkpoint folder, so the iterative part keeps a short lineage;
+    the visited set is the union of those levels. Rounds are bounded by
+    ``max_depth``.
     """
-    e = edges.select("src_type", "src_id", "dst_type", "dst_id").distinct()
-    start = (seeds.select(F.col("node_type"), F.col("node_id").cast("string"))
+    e = (edges.select("src_type", "src_id", "dst_type", "dst_id")
+         .repartition("src_type", "src_id")
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    start = (seeds.select("node_type", "node_id")
              .distinct()
              .withColumn("depth", F.lit(0))
-             .withColumn("referrer", F.lit(None).cast("struct<node_type:string,node_id:string>")))
-    visited = cut_lineage(start)
-    frontier = visited
+             .withColumn("referrer", F.lit(None).cast(
+                 f"struct<node_type:string,node_id:{e.schema['src_id'].dataType.simpleString()}>")))
+    frontier = cut_lineage(start)
+    visited = frontier
     for d in range(1, max_depth + 1):
         step = (frontier.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"))
                 .join(e, ["src_type", "src_id"])
@@ -58,8 +67,9 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
         new = cut_lineage(new.select("node_type", "node_id", "depth", "referrer"))
         if new.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(new))
+        visited = visited.unionByName(new)
         frontier = new
+    e.unpersist()
     return visited
 
 

@@ -138,15 +138,16 @@ def consecutive_same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _app_graph(spark: SparkSession, sf_dir: str):
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    reviews = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "l_suppkey", "o_custkey")
+    app_dev = li.select("l_partkey", "l_suppkey").distinct()
+    app_rev = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "o_custkey").distinct()
     edges = G.node_union([
-        G.edges_from(reviews, "app", "l_partkey", "developer", "l_suppkey", "app_developer"),
-        G.edges_from(reviews, "developer", "l_suppkey", "app", "l_partkey", "developer_app"),
-        G.edges_from(reviews, "app", "l_partkey", "reviewer", "o_custkey", "review_reviewer"),
-        G.edges_from(reviews, "reviewer", "o_custkey", "app", "l_partkey", "reviewer_app"),
+        G.edges_from(app_dev, "app", "l_partkey", "developer", "l_suppkey", "app_developer"),
+        G.edges_from(app_dev, "developer", "l_suppkey", "app", "l_partkey", "developer_app"),
+        G.edges_from(app_rev, "app", "l_partkey", "reviewer", "o_custkey", "review_reviewer"),
+        G.edges_from(app_rev, "reviewer", "o_custkey", "app", "l_partkey", "reviewer_app"),
     ])
     seeds = (read_table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO")
-             .select(F.lit("app").alias("node_type"), F.col("p_partkey").cast("string").alias("node_id")))
+             .select(F.lit("app").alias("node_type"), F.col("p_partkey").alias("node_id")))
     return seeds, edges
 
 
@@ -157,7 +158,8 @@ def bounded_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     be paged (not at the last level)."""
     seeds, edges = _app_graph(spark, sf_dir)
     nodes = G.bounded_bfs(seeds, edges, U.DEPTH_LIMIT)
-    return nodes.select("node_type", "node_id", F.col("depth").cast("bigint").alias("depth"),
+    return nodes.select("node_type", F.col("node_id").cast("string").alias("node_id"),
+                        F.col("depth").cast("bigint").alias("depth"),
                         F.concat_ws(":", "referrer.node_type", "referrer.node_id").alias("referrer"),
                         (F.col("depth") < U.DEPTH_LIMIT).cast("int").alias("may_page"))
 
@@ -183,12 +185,12 @@ QUERIES = {
 _GRAPH = """
 rv AS (SELECT l.l_partkey, l.l_suppkey, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 edges AS (
-  SELECT DISTINCT 'app' AS st, l_partkey::VARCHAR AS si, 'developer' AS dt, l_suppkey::VARCHAR AS di FROM rv
-  UNION SELECT DISTINCT 'developer', l_suppkey::VARCHAR, 'app', l_partkey::VARCHAR FROM rv
-  UNION SELECT DISTINCT 'app', l_partkey::VARCHAR, 'reviewer', o_custkey::VARCHAR FROM rv
-  UNION SELECT DISTINCT 'reviewer', o_custkey::VARCHAR, 'app', l_partkey::VARCHAR FROM rv),
+  SELECT DISTINCT 'app' AS st, l_partkey AS si, 'developer' AS dt, l_suppkey AS di FROM rv
+  UNION SELECT DISTINCT 'developer', l_suppkey, 'app', l_partkey FROM rv
+  UNION SELECT DISTINCT 'app', l_partkey, 'reviewer', o_custkey FROM rv
+  UNION SELECT DISTINCT 'reviewer', o_custkey, 'app', l_partkey FROM rv),
 walk(t, i, depth) AS (
-  SELECT 'app', p_partkey::VARCHAR, 0 FROM part WHERE p_type = 'PROMO'
+  SELECT 'app', p_partkey, 0 FROM part WHERE p_type = 'PROMO'
   UNION
   SELECT e.dt, e.di, w.depth + 1 FROM walk w JOIN edges e ON e.st = w.t AND e.si = w.i WHERE w.depth < 3),
 best AS (SELECT t, i, min(depth) AS depth FROM walk GROUP BY t, i)
@@ -271,8 +273,8 @@ refs AS (
   JOIN edges e ON e.dt = b.t AND e.di = b.i
   JOIN best p ON p.t = e.st AND p.i = e.si AND p.depth = b.depth - 1
   WHERE b.depth > 0 GROUP BY b.t, b.i)
-SELECT b.t AS node_type, b.i AS node_id, b.depth::BIGINT AS depth,
-  coalesce(refs.r[1] || ':' || refs.r[2], '') AS referrer, (b.depth < 3)::INT AS may_page
+SELECT b.t AS node_type, b.i::VARCHAR AS node_id, b.depth::BIGINT AS depth,
+  coalesce(refs.r[1] || ':' || refs.r[2]::VARCHAR, '') AS referrer, (b.depth < 3)::INT AS may_page
 FROM best b LEFT JOIN refs ON refs.t = b.t AND refs.i = b.i
 """,
     "depth_stats": f"""
