@@ -42,7 +42,7 @@ def _remove_dot_segments(path: Column) -> Column:
                         .when(s == ".", acc)
                         .otherwise(F.concat(acc, F.array(s))))
     last = F.element_at(segs, -1)
-    trailing = F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    trailing = F.when(last.isin(".", "..") & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit(""))
     return F.concat(F.lit("/"), F.array_join(folded, "/"), trailing)
 
 
@@ -60,7 +60,7 @@ def resolve_url(base: ColumnOrName, href: ColumnOrName) -> Column:
         F.when(href.isNull(), F.lit(None))
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href == "", base)
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(origin, bpath, href))
         .when(href.startswith("/"), F.concat(origin, _remove_dot_segments(h_path), h_rest))

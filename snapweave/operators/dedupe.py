@@ -62,9 +62,11 @@ def either_key_new(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
     before (in ``existing`` or earlier in the batch); a skipped row adds no new
     key, so "seen" never depends on earlier decisions and the rule is exact as:
     keep iff (first row of its key1 and key1 not existing) or (same for key2).
+    Ties in ``order_cols`` are broken by (key1, key2); rows equal in order and
+    both keys are duplicates of which one (the smallest row) is kept.
     """
-    o = _order(order_cols)
-    d = df.withColumn("_o", o)
+    cols = df.columns
+    d = df.withColumn("_o", _order([*order_cols, key1, key2]))
     m1 = d.groupBy(key1).agg(F.min("_o").alias("_m1"))
     m2 = d.groupBy(key2).agg(F.min("_o").alias("_m2"))
     if existing is not None:
@@ -77,9 +79,8 @@ def either_key_new(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
         m2 = m2.withColumn("_e2", F.lit(None).cast("boolean"))
     new1 = (F.col("_o") == F.col("_m1")) & F.col("_e1").isNull()
     new2 = (F.col("_o") == F.col("_m2")) & F.col("_e2").isNull()
-    return (d.join(m1, key1).join(m2, key2)
-            .where(new1 | new2)
-            .drop("_o", "_m1", "_m2", "_e1", "_e2"))
+    kept = d.join(m1, key1).join(m2, key2).where(new1 | new2)
+    return (kept.groupBy("_o").agg(F.min(F.struct(*cols)).alias("_r")).select("_r.*"))
 
 
 def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str | Column],
@@ -94,11 +95,13 @@ def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
     sharing a key is decided and was not stored, else it would have removed
     this row); undecided rows sharing a key with a stored row are then dropped.
     Each round stores at least one row, and rounds repeat until nothing is left.
+    Ties in ``order_cols`` are broken by (key1, key2); of rows equal in order
+    and both keys one (the smallest row) is stored.
     Each round is a pair of partial aggregates and anti joins; the undecided
     set is written to the reliable checkpoint folder every round to cut
     lineage. Rows with a NULL key never conflict and are kept as is.
     """
-    d = df.withColumn("_o", _order(order_cols))
+    d = df.withColumn("_o", _order([*order_cols, key1, key2]))
     nulls = d.where(F.col(key1).isNull() | F.col(key2).isNull())
     rest = d.where(F.col(key1).isNotNull() & F.col(key2).isNotNull())
     if existing is not None:
@@ -111,9 +114,10 @@ def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
             break
         m1 = remaining.groupBy(key1).agg(F.min("_o").alias("_m1"))
         m2 = remaining.groupBy(key2).agg(F.min("_o").alias("_m2"))
-        won = cut_lineage(remaining.join(m1, key1).join(m2, key2)
-                          .where((F.col("_o") == F.col("_m1")) & (F.col("_o") == F.col("_m2")))
-                          .drop("_m1", "_m2"))
+        won = (remaining.join(m1, key1).join(m2, key2)
+               .where((F.col("_o") == F.col("_m1")) & (F.col("_o") == F.col("_m2")))
+               .drop("_m1", "_m2"))
+        won = cut_lineage(won.groupBy(key1).agg(F.min(F.struct(*d.columns)).alias("_w")).select("_w.*"))
         stored.append(won)
         remaining = cut_lineage(remaining.join(won.select(key1), key1, "left_anti")
                                 .join(won.select(key2), key2, "left_anti"))

@@ -195,8 +195,8 @@ WHERE rn = 1
 """,
     "either_key_new": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r1,
-            row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS r2
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r1,
+            row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r2
   FROM lineitem) WHERE r1 = 1 OR r2 = 1
 """,
     "dev_merge": """
