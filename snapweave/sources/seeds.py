@@ -12,13 +12,14 @@ APP_SEED_SCHEMA = "Platform string, ID string"
 
 
 def read_seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV seeds with a header (A3). Values are stripped (the committed app
-    seed file has trailing blanks after some ids); a column missing from the
-    file (e.g. NAME) reads as NULL because the header names the columns."""
-    df = (spark.read.option("header", True).option("enforceSchema", False)
-          .option("ignoreTrailingWhiteSpace", True).option("ignoreLeadingWhiteSpace", True)
-          .schema(schema).csv(path))
-    return df.select(*[py_strip(c).alias(c) for c in df.columns])
+    """CSV seeds with a header (A3). Columns are matched by header name and
+    read as text (no inference); a schema column missing from the file (e.g.
+    NAME) is NULL. Values are stripped: the committed app seed file has
+    trailing blanks after some ids."""
+    raw = spark.read.option("header", True).csv(path)
+    fields = [f.strip().split()[0] for f in schema.split(",")]
+    return raw.select(*[(py_strip(F.col(f"`{c}`")) if c in raw.columns else F.lit(None).cast("string")).alias(c)
+                        for c in fields])
 
 
 def app_store_seeds(tasks: DataFrame, platform_col: str = "app_platform", id_col: str = "app_id") -> DataFrame:

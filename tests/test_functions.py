@@ -120,7 +120,7 @@ def test_task_filters(spark):
                   D.amazon_review_cumulative(F.concat(F.array("name"), "expected")).alias("d3")).collect()
     assert [x.d1 for x in r] == [True, True, False, False, False, False]
     assert [x.d2 for x in r] == [False, False, False, False, True, False]
-    assert [x.d3 for x in r] == [True, False, False, False, False, False]
+    assert [x.d3 for x in r] == [True, False, True, True, False, False]
 
 
 def test_compile_spec(spark):
