@@ -69,7 +69,8 @@ def _scan_chunk(texts: DataFrame, key_cols: Sequence[str], text_col: str, names:
                     for j, col in enumerate(cols):
                         keys_out[j].append(col[i])
                     pats.append(names[idx])
-            yield pd.DataFrame({**{c: keys_out[j] for j, c in enumerate(key_cols)}, "_pattern": pats})
+            if pats:  # an empty object-typed frame would not convert to the schema
+                yield pd.DataFrame({**{c: keys_out[j] for j, c in enumerate(key_cols)}, "_pattern": pats})
 
     return (texts.select(*key_cols, F.col(text_col).alias("_t"))
             .mapInPandas(scan, out_schema))

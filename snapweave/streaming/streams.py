@@ -31,8 +31,13 @@ def snapshot_file_stream(spark: SparkSession, folder: str, max_files_per_trigger
         if archive_dir:
             r = r.option("sourceArchiveDir", archive_dir)
     lines = r.load(folder).where(F.length(F.trim("value")) > 0)
-    return lines.select("value", F.col("_metadata.file_path").alias("path"),
-                        F.col("_metadata.file_modification_time").alias("mtime"))
+    mtime = F.col("_metadata.file_modification_time")
+    # arrival order: file modification time first; streaming gives no line
+    # numbers, so equal timestamps inside one file fall back to a line hash
+    seq = (F.unix_millis(mtime) * F.lit(1_000_000)
+           + F.pmod(F.xxhash64(F.col("_metadata.file_path"), F.col("value")), F.lit(1_000_000)))
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), mtime.alias("mtime"),
+                        seq.alias("seq"))
 
 
 def dedupe_stream(items: DataFrame, keys: Sequence[str], event_time: str | None = None,
@@ -80,7 +85,8 @@ DELTA_OUT = "id string, ts timestamp, seq long, key string, j string, late boole
 DELTA_STATE = "last_ts timestamp, last_seq long, fields string"
 
 
-def _delta_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _delta_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
+                 ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
     (id_,) = key
     if state.hasTimedOut:
         state.remove()
@@ -109,17 +115,22 @@ def _delta_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         if last_ts is None or (tail.ts, tail.seq) >= (last_ts, last_seq):
             last_ts, last_seq = tail.ts, int(tail.seq)
     state.update((last_ts, last_seq, json.dumps(known)))
-    state.setTimeoutDuration(7 * 24 * 3600 * 1000)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     yield pd.DataFrame(out, columns=["id", "ts", "seq", "key", "j", "late"])
 
 
-def delta_stream(long: DataFrame) -> DataFrame:
+def delta_stream(long: DataFrame, state_ttl_ms: int | None = None) -> DataFrame:
     """Incremental delta compression (L3): per id the last known JSON of each
     field is kept in state between micro-batches; a field is emitted only when
     it differs. Rows older than the id's state are emitted with ``late`` set
     instead of being folded in (the batch job handles full re-compression).
-    ``key`` NULL rows mark field-less snapshots. Idle ids expire after a week
-    of processing time (state TTL). Input is the long form (id, ts, seq, key, j)."""
-    return (long.groupBy("id")
-            .applyInPandasWithState(_delta_group, DELTA_OUT, DELTA_STATE, "append",
-                                    GroupStateTimeout.ProcessingTimeTimeout))
+    ``key`` NULL rows mark field-less snapshots. With ``state_ttl_ms`` an id
+    idle for that long (processing time) drops its state; state then grows
+    with ids x fields only while ids stay active. Input is the long form
+    (id, ts, seq, key, j)."""
+    def fn(key, pdfs, state):
+        return _delta_group(key, pdfs, state, state_ttl_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if state_ttl_ms else GroupStateTimeout.NoTimeout
+    return long.groupBy("id").applyInPandasWithState(fn, DELTA_OUT, DELTA_STATE, "append", timeout)
