@@ -24,8 +24,10 @@ def _c(x: ColumnOrName) -> Column:
 
 # ---------------------------------------------------------------- strings (C4)
 def py_strip(x: ColumnOrName) -> Column:
-    """Python ``str.strip()``: removes Unicode whitespace (incl. NBSP, tabs)."""
-    return F.regexp_replace(_c(x), f"^{R.PY_SPACE}+|{R.PY_SPACE}+$", "")
+    """Python ``str.strip()``: removes Unicode whitespace (incl. NBSP, tabs).
+    ``btrim`` with the explicit character set (Spark's ``trim`` only removes
+    spaces)."""
+    return F.btrim(_c(x), F.lit(R.PY_SPACE_CHARS))
 
 
 def strip_each(a: ColumnOrName) -> Column:
@@ -159,6 +161,23 @@ def text_after_by(x: ColumnOrName) -> Column:
     return F.when(F.instr(x, "by ") > 0, F.regexp_extract(x, r"^.*?by (.*)$", 1))
 
 
+# ------------------------------------------------------------- misc
+def crawl_stamp(ts: str | None = None) -> Column:
+    """Crawl time of a row (C18): a fixed stamp for deterministic re-runs, else
+    the query's current timestamp (one value for the whole query)."""
+    return F.to_timestamp(F.lit(ts)) if ts else F.current_timestamp()
+
+
+def flatten_text(a: ColumnOrName) -> Column:
+    """Text nodes joined with '' before a substring search."""
+    return F.array_join(_c(a), "")
+
+
+def union_ids(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Set union of two id arrays, sorted for a deterministic result."""
+    return F.array_sort(F.array_union(F.coalesce(_c(a), F.array()), F.coalesce(_c(b), F.array())))
+
+
 # ------------------------------------------------------------------ JSON text
 def json_scalar(x: ColumnOrName) -> Column:
     """JSON text of any value (scalar, array, struct); NULL stays NULL."""

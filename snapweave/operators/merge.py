@@ -58,3 +58,15 @@ def append_pages(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str |
 
 def _field(name: str):
     return lambda x: x[name]
+
+
+def attach_related(apps: DataFrame, related: DataFrame, key: str = "id",
+                   related_col: str = "related_ids") -> DataFrame:
+    """Attach related-app ids to existing apps only (F9): an update, never an
+    insert; apps without related rows keep their current value. Re-apply after
+    a whole-row replace (J2), which drops fields absent in the new row."""
+    r = related.select(F.col(key), F.col(related_col).alias("_rel"))
+    out = apps.join(r, key, "left")
+    if related_col in apps.columns:
+        return out.withColumn(related_col, F.coalesce("_rel", F.col(related_col))).drop("_rel")
+    return out.withColumnRenamed("_rel", related_col)

@@ -138,8 +138,10 @@ def consecutive_same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _app_graph(spark: SparkSession, sf_dir: str):
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    app_dev = li.select("l_partkey", "l_suppkey").distinct()
-    app_rev = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "o_custkey").distinct()
+    # repeated pairs are harmless to the expansion (the per-node min collapses
+    # them), so the review relation is used as is, without a distinct shuffle
+    app_dev = li.select("l_partkey", "l_suppkey")
+    app_rev = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "o_custkey")
     edges = G.node_union([
         G.edges_from(app_dev, "app", "l_partkey", "developer", "l_suppkey", "app_developer"),
         G.edges_from(app_dev, "developer", "l_suppkey", "app", "l_partkey", "developer_app"),

@@ -219,3 +219,18 @@ def task_job_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFr
                     *numbers_to_fields(nums, ["work_done", "work_total", "payment", "duration"],
                                        ["bigint", "bigint", "double", "bigint"]),
                     countries.alias("countries"), "expected")
+
+
+DOC_PRODUCTS_SPEC = {"_hrefs": ("strings", "//a/@href"), "_texts": ("strings", "//text()")}
+
+
+def document_product_ids(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
+    """Shared product-list document -> one row per product id (F6). Every id
+    found in the links and the text is kept (the original single-value loader
+    kept only the last one)."""
+    from ..functions import regexes as R2
+    x = pages.select(*key_cols, to_xhtml(html_col).alias("_x"))
+    f = xpath_fields(x, "_x", DOC_PRODUCTS_SPEC, keep=list(key_cols))
+    ids = F.flatten(F.transform(F.concat("_hrefs", "_texts"),
+                                lambda t: F.regexp_extract_all(t, F.lit(R2.PRODUCT_ID), 1)))
+    return (f.select(*key_cols, F.posexplode(F.array_distinct(ids)).alias("pos", "product_id")))

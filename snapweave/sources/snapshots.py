@@ -104,3 +104,10 @@ def typed_job_snapshots(lines: DataFrame) -> DataFrame:
         to_long(s("duration")).alias("duration"),
         blank_na_to_double(s("success_pct")).alias("success_pct"),
         "seq")
+
+
+def source_totals(lines: DataFrame) -> DataFrame:
+    """Items and files per source folder (G7): the 'consolidating N files' count."""
+    spider = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    return (lines.groupBy(spider.alias("spider"))
+            .agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("path").alias("n_files")))
