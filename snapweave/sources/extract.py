@@ -234,3 +234,183 @@ def document_product_ids(pages: DataFrame, key_cols, html_col: str = "html") ->
     ids = F.flatten(F.transform(F.concat("_hrefs", "_texts"),
                                 lambda t: F.regexp_extract_all(t, F.lit(R2.PRODUCT_ID), 1)))
     return (f.select(*key_cols, F.posexplode(F.array_distinct(ids)).alias("pos", "product_id")))
+
+
+# ------------------------------------------------------------ spec machinery
+def re_all(pattern: str, group: int = 0):
+    """Step: every regex match over every extracted text (a selector's ``.re``)."""
+    return lambda a: F.flatten(F.transform(a, lambda t: F.regexp_extract_all(t, F.lit(pattern), group)))
+
+
+def nth(i: int):
+    return lambda a: F.get(a, i)
+
+
+def joined(sep: str = ""):
+    return lambda a: F.array_join(a, sep)
+
+
+def apply_spec(pages: DataFrame, key_cols, spec: dict, html_col: str = "html") -> DataFrame:
+    """Page spec ``{field: (xpath, [step, ...])}`` -> one row per page (M1/M2):
+    the page is repaired to XHTML once, each field is a built-in ``xpath``
+    (array of strings) followed by Column steps (``re_all``, ``nth``,
+    ``joined``, casts, processors)."""
+    x = pages.select(*key_cols, to_xhtml(html_col).alias("_x"))
+    cols = [F.col(k) for k in key_cols]
+    for name, (path, steps) in spec.items():
+        c = F.xpath(F.col("_x"), F.lit(path))
+        for step in steps:
+            c = step(c)
+        cols.append(c.alias(name))
+    return x.select(*cols)
+
+
+def labelled(section: str, label: str, value: str = "span", nth_label: int | None = None) -> str:
+    """XPath of the value next to a label inside a page section: the rule
+    behind every 'Label: value' statistic on user pages."""
+    lab = f'{section}//label[contains(text(), "{label}")]'
+    if nth_label:
+        lab = f"({lab})[{nth_label}]"
+    return f"{lab}/following-sibling::{value}/text()"
+
+
+def list_rows(pages: DataFrame, key_cols, row_tag: str, row_classes, fields: dict,
+              html_col: str = "html") -> DataFrame:
+    """List page -> one row per listed item (E5), one parse per page.
+    ``fields`` maps a name to (ElementTree path relative to the row, attribute
+    or None for the element text)."""
+    key_cols = list(key_cols)
+    key_schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in key_cols)
+    names = list(fields)
+    classes = set(row_classes)
+
+    def rows_of(html):
+        if not isinstance(html, str):
+            return []
+        try:
+            root = ET.fromstring(html_to_xhtml(html))
+        except ET.ParseError:
+            return []
+        out = []
+        for pos, row in enumerate(r for r in root.iter(row_tag) if classes & set(_classes(r))):
+            vals = []
+            for path, attr in fields.values():
+                el = row.find(path)
+                vals.append(None if el is None else (el.get(attr) if attr else _text(el)))
+            out.append((pos, *vals))
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            keys = {c: pdf[c].tolist() for c in key_cols}
+            rows = [tuple(keys[c][i] for c in key_cols) + r
+                    for i, h in enumerate(pdf[html_col].tolist()) for r in rows_of(h)]
+            yield pd.DataFrame(rows, columns=key_cols + ["row_pos"] + names)
+
+    schema = ", ".join([key_schema, "row_pos int"] + [f"`{n}` string" for n in names])
+    return pages.select(*key_cols, html_col).mapInPandas(run, schema)
+
+
+# --- fixed values: page locators of the task sites ---
+MW_BASE_URL = "http://microworkers.com/"
+MW_LIST_ROW = ("div", ["jobslist"])
+MW_LIST_FIELDS = {"href": ("./div[2]//a", "href"), "success_text": ("./div[4]", None)}
+MW_JOB_ROOT = '//body//div[@class="jobarealeft"]'
+MW_USER_LEFT = '//div[@class="usershortinfoleft"]'
+MW_WORKER = '//div[@class="workerstatistics"]'
+MW_WORKER_BASIC = '//div[@class="workerstatistics"]/div[@class="staticticscol01"]/div[2]'
+MW_WORKER_HG = '//div[@class="workerstatistics"]/div[@class="staticticscol01"]/div[3]'
+MW_EMPLOYER = '//div[@class="employerstatistics"]'
+# --- end of fixed values ---
+
+
+def mw_list_rows(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
+    """Microworkers list page -> (job url, success percentage) per job (N3,
+    D5, C21); rows without a job-detail link are skipped."""
+    from ..functions.urls import resolve_url
+    from .. operators.filters import job_detail_link
+    r = list_rows(pages, key_cols, MW_LIST_ROW[0], MW_LIST_ROW[1], MW_LIST_FIELDS, html_col)
+    return (r.where(job_detail_link("href"))
+            .select(*key_cols, "row_pos", resolve_url(F.lit(MW_BASE_URL), F.col("href")).alias("job_url"),
+                    py_strip("success_text").alias("success_pct_text")))
+
+
+def mw_job_pages(pages: DataFrame, key_cols, html_col: str = "html", app_url_col: str | None = None) -> DataFrame:
+    """Microworkers job page -> MWJob fields (N4/C26/C30/C31): name, job id,
+    numbers in order (done, payment, duration), total from the superscript,
+    employer id from the profile link, countries, category, expected and proof
+    texts; platform and app id come from the app URL when given."""
+    from ..functions.processors import numbers_to_fields, to_long
+    from ..functions.urls import app_platform, employer_id
+    root = MW_JOB_ROOT
+    left = f'{root}//div[@class="jobdetailsnoteleft"]'
+    spec = {
+        "_roots": (root, [F.size]),
+        "name": (f"{root}/h1/text()", [nth(0)]),
+        "id": (f"{left}/p[4]/text()", [re_all(R.JOB_ID, 1), nth(0)]),
+        "_nums": (f"{left}/p/strong/text()", [re_all(R.NUMBER)]),
+        "work_total": (f"{left}//sup/text()", [re_all(R.NUMBER), nth(0), to_long]),
+        "_employer": (f'{root}//div[@class="jobdetailsnoteright"]/p[1]/a/@href', [nth(0)]),
+        "countries": (f'{root}//div[@class="countrychoise"]/p[2]/text()', [re_all(R.COUNTRY)]),
+        "category": (f"{root}/p[1]//b/text()", [re_all(R.SOME_TEXT), nth(0)]),
+        "expected": (f'{root}/div[@class="jobdetailsbox"]/p[2]/text()', []),
+        "proof": (f'{root}/div[@class="jobdetailsbox"]/p[4]/text()', []),
+    }
+    extra = [app_url_col] if app_url_col else []
+    f = apply_spec(pages.select(*key_cols, *extra, html_col), list(key_cols) + extra, spec, html_col)
+    f = f.where(F.col("_roots") == 1)
+    app = app_platform(app_url_col) if app_url_col else None
+    return f.select(*key_cols, "name", "id",
+                    *numbers_to_fields("_nums", ["work_done", "payment", "duration"], ["bigint", "double", "bigint"]),
+                    "work_total", employer_id("_employer").alias("employer"), "countries", "category",
+                    "expected", "proof",
+                    *( [app["platform"].alias("app_platform"), app["app_id"].alias("app_id")] if app is not None else []))
+
+
+# user statistics: (field, section, label, occurrence or None, value kind)
+MW_USER_FIELDS = [
+    ("name", MW_USER_LEFT, "Username", None, "text"),
+    ("id", MW_USER_LEFT, "ID", None, "text"),
+    ("member_since", MW_USER_LEFT, "Member since", None, "text"),
+    ("country", MW_USER_LEFT, "Country", None, "words"),
+    ("city", MW_USER_LEFT, "City", None, "words"),
+    ("total_earned", MW_WORKER, "Total Earned", None, "double"),
+    ("tasks_done", MW_WORKER, "Tasks done", None, "long"),
+    ("basic_tasks", MW_WORKER, "Basic tasks", None, "long"),
+    ("basic_satisfied", MW_WORKER_BASIC, "Satisfied", None, "long"),
+    ("basic_not_satisfied", MW_WORKER_BASIC, "Not-Satisfied", None, "long"),
+    ("basic_avg_per_task", MW_WORKER_BASIC, "Average per task", None, "double"),
+    ("hg_tasks", MW_WORKER_HG, "Hire Group", None, "long"),
+    ("hg_satisfied", MW_WORKER_HG, "Satisfied", None, "long"),
+    ("hg_not_satisfied", MW_WORKER_HG, "Not-Satisfied", None, "long"),
+    ("hg_avg_per_task", MW_WORKER_HG, "Average per task", None, "double"),
+    ("basic_campaigns", MW_EMPLOYER, "Basic Campaigns", None, "long"),
+    ("basic_tasks_paid", MW_EMPLOYER, "Tasks paid", 1, "long"),
+    ("basic_total_paid", MW_EMPLOYER, "Total paid", 1, "na_double"),
+    ("hg_campaigns", MW_EMPLOYER, "Hire Group", None, "long"),
+    ("hg_tasks_paid", MW_EMPLOYER, "Tasks paid", 2, "long"),
+    ("hg_total_paid", MW_EMPLOYER, "Total paid", 2, "na_double"),
+    ("employer_type", MW_EMPLOYER, "Employer type", None, "words"),
+]
+
+
+def mw_user_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
+    """Microworkers user page -> MWUser fields (N5), every field by the
+    label -> following value rule; 'Satisfied' excludes 'Not-Satisfied';
+    paid totals go through the 'n/a' rule (C7)."""
+    from ..functions.processors import na_to_double, py_strip as strip, to_double, to_long
+    steps = {
+        "text": [joined(""), strip],
+        "words": [re_all(R.SOME_TEXT), nth(0)],
+        "long": [re_all(R.NUMBER), nth(0), to_long],
+        "double": [re_all(R.NUMBER), nth(0), to_double],
+        "na_double": [joined(""), na_to_double],
+    }
+    spec = {}
+    for field, section, label, occ, kind in MW_USER_FIELDS:
+        path = labelled(section, label, nth_label=occ)
+        if label == "Satisfied":
+            path = path.replace('[contains(text(), "Satisfied")]',
+                                '[contains(text(), "Satisfied") and not(contains(text(), "Not"))]')
+        spec[field] = (path, steps[kind])
+    return apply_spec(pages, list(key_cols), spec, html_col)

@@ -113,3 +113,23 @@ def test_page_fields_one_pass(spark):
     r = page_fields(x, ["pid"]).collect()[0]
     assert (r.title, r.h1, r.lang, r.n_ads) == ("A & B", "xy", "de", 1)
     assert F is not None
+
+
+def test_mw_list_job_user(spark):
+    rows = extract.mw_list_rows(_pages(spark, "mw_list.html"), ["pid"]).orderBy("row_pos").collect()
+    assert [(r.job_url, r.success_pct_text) for r in rows] == [
+        ("http://microworkers.com/jobs_details.php?Id=101", "95.5"),
+        ("http://microworkers.com/jobs_details.php?Id=102", "N/A")]
+    job = spark.createDataFrame([(1, "https://play.google.com/store/apps/details?id=com.foo.app", _read("mw_job.html"))],
+                                "pid int, app_url string, html string")
+    j = extract.mw_job_pages(job, ["pid"], app_url_col="app_url").collect()[0]
+    assert (j.name, j.id, j.work_done, j.payment, j.duration, j.work_total) == \
+        ("Write a review for our app", "5a1b2c", 12, 0.3, 5, 200)
+    assert j.employer == "emp77" and j.countries == ["United States\nCanada"] and j.category == "Mobile Applications (Android)"
+    assert j.expected[0].startswith("Install") and j.proof == ["Screenshot of the review"]
+    assert (j.app_platform, j.app_id) == ("Google Play", "com.foo.app")
+    u = extract.mw_user_pages(_pages(spark, "mw_user.html"), ["pid"]).collect()[0]
+    assert (u.name, u.id, u.country, u.total_earned, u.tasks_done) == ("bob", "u55", "United States", 12.5, 40)
+    assert (u.basic_satisfied, u.basic_not_satisfied, u.hg_tasks, u.hg_satisfied) == (28, 2, 10, 9)
+    assert (u.basic_tasks_paid, u.basic_total_paid, u.hg_tasks_paid, u.hg_total_paid) == (100, None, 7, 1.75)
+    assert u.employer_type == "Basic employer" and u.city is None
