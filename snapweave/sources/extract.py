@@ -274,15 +274,28 @@ def labelled(section: str, label: str, value: str = "span", nth_label: int | Non
     return f"{lab}/following-sibling::{value}/text()"
 
 
-def list_rows(pages: DataFrame, key_cols, row_tag: str, row_classes, fields: dict,
+def list_rows(pages: DataFrame, key_cols, row_tag, row_classes, fields: dict,
               html_col: str = "html") -> DataFrame:
     """List page -> one row per listed item (E5), one parse per page.
-    ``fields`` maps a name to (ElementTree path relative to the row, attribute
-    or None for the element text)."""
+
+    Rows are the elements with tag ``row_tag`` carrying one of ``row_classes``,
+    or, with ``row_tag`` an ElementTree path (starting with '.'), the elements
+    it finds. ``fields`` maps a name to (path relative to the row, attribute),
+    where the attribute is None for the element text, or to
+    ("label_tail", tag, label) for the text right after the first ``tag``
+    whose text contains ``label``."""
     key_cols = list(key_cols)
     key_schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in key_cols)
     names = list(fields)
-    classes = set(row_classes)
+    classes = set(row_classes or [])
+
+    def value(row, spec):
+        if spec[0] == "label_tail":
+            el = next((b for b in row.iter(spec[1]) if spec[2] in (b.text or "")), None)
+            return None if el is None else el.tail
+        path, attr = spec
+        el = row.find(path)
+        return None if el is None else (el.get(attr) if attr else _text(el))
 
     def rows_of(html):
         if not isinstance(html, str):
@@ -291,14 +304,9 @@ def list_rows(pages: DataFrame, key_cols, row_tag: str, row_classes, fields: dic
             root = ET.fromstring(html_to_xhtml(html))
         except ET.ParseError:
             return []
-        out = []
-        for pos, row in enumerate(r for r in root.iter(row_tag) if classes & set(_classes(r))):
-            vals = []
-            for path, attr in fields.values():
-                el = row.find(path)
-                vals.append(None if el is None else (el.get(attr) if attr else _text(el)))
-            out.append((pos, *vals))
-        return out
+        found = (root.findall(row_tag) if row_tag.startswith(".")
+                 else [r for r in root.iter(row_tag) if classes & set(_classes(r))])
+        return [(pos, *[value(row, f) for f in fields.values()]) for pos, row in enumerate(found)]
 
     def run(batches):
         for pdf in batches:
