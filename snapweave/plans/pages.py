@@ -43,10 +43,21 @@ _ENT = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_repl
         "'&gt;?', '>', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g')")
 
 ORACLE = {
+    "page_xpath": f"""
+WITH s AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav,
+                  regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art,
+                  regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot FROM pages)
+SELECT page_id,
+  len(regexp_extract_all(nav, '<a[\\s>]'))::BIGINT AS nav_links,
+  {_ENT.format(x="regexp_replace(regexp_extract(nav, '(?s)<a[^>]*>(.*?)</a>', 1), '<[^>]*>', '', 'g')")} AS first_nav,
+  len(regexp_extract_all(art, '<p[\\s>]'))::BIGINT AS article_paragraphs,
+  {_ENT.format(x="regexp_replace(foot, '<[^>]*>', '', 'g')")} AS footer
+FROM s
+""",
     "page_extract": f"""
 SELECT page_id,
-  CASE WHEN regexp_matches(html, '<title>') THEN {_ENT.format(x="regexp_extract(html, '<title>(.*?)</title>', 1)")} END AS title,
-  CASE WHEN regexp_matches(html, '<h1>') THEN {_ENT.format(x="regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} END AS h1,
+  CASE WHEN regexp_matches(html, '<title>') THEN {_ENT.format(x="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} END AS title,
+  CASE WHEN regexp_matches(html, '<h1>') THEN {_ENT.format(x="regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")} END AS h1,
   nullif(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), '') AS lang,
   len(regexp_extract_all(html, '<a[\\s>]'))::BIGINT AS n_links,
   len(regexp_extract_all(html, '<div class="ad"'))::BIGINT AS n_ads,
