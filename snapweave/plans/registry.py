@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import apps, keyed, pages, text
+from . import apps, keyed, pages, streams, text
 
-_MODULES = [keyed, text, apps, pages]
+_MODULES = [keyed, text, apps, pages, streams]
 
 
 def queries():

@@ -66,8 +66,9 @@ def read_snapshot_lines(spark: SparkSession, paths: Sequence[str] | DataFrame,
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
     if file_order is not None:
+        from ..operators.joins import checked_broadcast
         ranks = file_order.select("path", F.col("file_rank").cast("bigint"))
-        raw = raw.join(F.broadcast(ranks), "path", "left")
+        raw = raw.join(checked_broadcast(ranks, ["path"]), "path", "left")
     else:
         order = {p: i for i, p in enumerate(path_list)}
         mapping = F.create_map(*[x for p, i in order.items() for x in (F.lit(_as_uri(p)), F.lit(i))])

@@ -87,6 +87,9 @@ DELTA_STATE = "last_ts timestamp, last_seq long, fields string"
 
 def _delta_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
                  ttl_ms: int | None = None) -> Iterator[pd.DataFrame]:
+    """Vectorised per-id step: sort the batch rows by (ts, seq), compare each
+    field with its previous value in the batch (or, for its first row, the
+    value kept in state), emit changes, fold the last values into state."""
     (id_,) = key
     if state.hasTimedOut:
         state.remove()
@@ -96,28 +99,29 @@ def _delta_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState,
         known = json.loads(fields)
     else:
         last_ts, last_seq, known = None, None, {}
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-    out = []
-    for row in pdf.itertuples(index=False):
-        late = last_ts is not None and (row.ts, row.seq) < (last_ts, last_seq)
-        if late:  # older than what the state already folded in: set aside
-            out.append((id_, row.ts, row.seq, row.key, row.j, True))
-            continue
-        if row.key is not None and not (isinstance(row.key, float) and pd.isna(row.key)):
-            if known.get(row.key) != row.j:
-                known[row.key] = row.j
-                out.append((id_, row.ts, row.seq, row.key, row.j, False))
-        else:
-            out.append((id_, row.ts, row.seq, None, None, False))
-    if len(pdf):
-        tail = pdf.iloc[-1]
-        if last_ts is None or (tail.ts, tail.seq) >= (last_ts, last_seq):
-            last_ts, last_seq = tail.ts, int(tail.seq)
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    if last_ts is not None:
+        late = (pdf["ts"] < last_ts) | ((pdf["ts"] == last_ts) & (pdf["seq"] < last_seq))
+    else:
+        late = pd.Series(False, index=pdf.index)
+    on_time = pdf[~late]
+    fields_rows = on_time[on_time["key"].notna()]
+    prev = fields_rows.groupby("key", sort=False)["j"].shift()
+    first = prev.isna()
+    prev = prev.where(~first, fields_rows["key"].map(known))
+    changed = fields_rows[prev.isna() | (fields_rows["j"] != prev)]
+    known.update(fields_rows.groupby("key", sort=False)["j"].last().to_dict())
+    out = pd.concat([changed.assign(late=False),
+                     on_time[on_time["key"].isna()].assign(late=False, j=None),
+                     pdf[late].assign(late=True)], ignore_index=True)
+    if len(on_time):
+        tail = on_time.iloc[-1]
+        last_ts, last_seq = tail["ts"], int(tail["seq"])
     state.update((last_ts, last_seq, json.dumps(known)))
     if ttl_ms:
         state.setTimeoutDuration(ttl_ms)
-    yield pd.DataFrame(out, columns=["id", "ts", "seq", "key", "j", "late"])
+    out["id"] = id_
+    yield out[["id", "ts", "seq", "key", "j", "late"]]
 
 
 def delta_stream(long: DataFrame, state_ttl_ms: int | None = None) -> DataFrame:
