@@ -48,15 +48,18 @@ def long_from_columns(df: DataFrame, id_col: str | Column, ts_col: str, seq_col:
 
 
 def long_from_variant(df: DataFrame, v: str = "v", seq_col: str = "seq",
-                      id_field: str = "id", ts_field: str = "timestamp", ts_fmt: str = TS_FMT) -> DataFrame:
-    """VARIANT snapshot objects -> long form (dynamic schema, absent != null)."""
+                      id_field: str = "id", ts_field: str = "timestamp", ts_fmt: str = TS_FMT,
+                      group: Sequence[str] = ()) -> DataFrame:
+    """VARIANT snapshot objects -> long form (dynamic schema, absent != null).
+    ``group`` columns (e.g. spider, item type) pass through and separate
+    histories of equal ids from different sources."""
     obj = F.variant_get(F.col(v), "$", "map<string,variant>")
     rest = F.map_filter(obj, lambda k, _: ~k.isin(id_field, ts_field))
-    return (df.select(F.variant_get(F.col(v), f"$.{id_field}", "string").alias("id"),
+    return (df.select(*group, F.variant_get(F.col(v), f"$.{id_field}", "string").alias("id"),
                       F.to_timestamp(F.variant_get(F.col(v), f"$.{ts_field}", "string"), ts_fmt).alias("ts"),
                       F.col(seq_col).alias("seq"),
                       F.explode_outer(rest).alias("key", "_val"))
-            .select("id", "ts", "seq", "key", F.to_json("_val").alias("j")))
+            .select(*group, "id", "ts", "seq", "key", F.to_json("_val").alias("j")))
 
 
 def bucket_of(ts: Column, bucket_seconds: int) -> Column:
@@ -64,43 +67,45 @@ def bucket_of(ts: Column, bucket_seconds: int) -> Column:
 
 
 # -------------------------------------------------------------- delta (H1/H2)
-def mark_changes(long: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
-    """Add ``keep`` (field kept by the delta rule) and ``bk`` to the long form."""
+def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
+    """Add ``keep`` (field kept by the delta rule) and ``bk`` to the long form.
+    Histories are per (``group`` columns, id)."""
+    ids = [*group, "id"]
     df = long.withColumn("bk", bucket_of(F.col("ts"), bucket_seconds))
     order = F.struct("ts", "seq")
     # last value of each key per bucket, then the value carried into the next
     # bucket that has the key (partial aggregation: hot ids combine map-side)
     last = (df.where(F.col("key").isNotNull())
-            .groupBy("id", "key", "bk").agg(F.max_by("j", order).alias("_last")))
-    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy("id", "key").orderBy("bk")))
-             .select("id", "key", "bk", "_carry"))
-    w = Window.partitionBy("id", "bk").orderBy("key", "ts", "seq")
+            .groupBy(*ids, "key", "bk").agg(F.max_by("j", order).alias("_last")))
+    carry = (last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*ids, "key").orderBy("bk")))
+             .select(*ids, "key", "bk", "_carry"))
+    w = Window.partitionBy(*ids, "bk").orderBy("key", "ts", "seq")
     prev = F.lag(F.struct("key", "j")).over(w)
-    return (df.join(carry, ["id", "key", "bk"], "left")
+    return (df.join(carry, [*ids, "key", "bk"], "left")
             .withColumn("_p", prev)
             .withColumn("_prev", F.when(F.col("_p.key") == F.col("key"), F.col("_p.j")).otherwise(F.col("_carry")))
             .withColumn("keep", F.col("key").isNotNull() & (F.col("_prev").isNull() | (F.col("j") != F.col("_prev"))))
             .drop("_p", "_prev", "_carry"))
 
 
-def delta_changes(long: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def delta_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
     """Kept (id, ts, seq, key, j) rows of the compressed history."""
-    return mark_changes(long, bucket_seconds).where("keep").select("id", "ts", "seq", "key", "j")
+    return mark_changes(long, bucket_seconds, group).where("keep").select(*group, "id", "ts", "seq", "key", "j")
 
 
-def history_entries(long: DataFrame, bucket_seconds: int = DAY) -> DataFrame:
+def history_entries(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
     """One row per snapshot: ``changes`` = JSON object text of the kept fields
     (keys sorted), ``{}`` when nothing changed. Groups by (id, bk, ts, seq), which
     the (id, bk) partitioning of the delta window already satisfies."""
-    m = mark_changes(long, bucket_seconds)
+    m = mark_changes(long, bucket_seconds, group)
     kv = F.when(F.col("keep"), F.struct("key", "j"))
-    g = m.groupBy("id", "bk", "ts", "seq").agg(F.array_sort(F.collect_list(kv)).alias("_kv"))
+    g = m.groupBy(*group, "id", "bk", "ts", "seq").agg(F.array_sort(F.collect_list(kv)).alias("_kv"))
     body = F.array_join(F.transform("_kv", lambda x: F.concat(json_scalar(x["key"]), F.lit(":"), x["j"])), ",")
-    return g.select("id", "bk", "ts", "seq", F.concat(F.lit("{"), body, F.lit("}")).alias("changes"),
+    return g.select(*group, "id", "bk", "ts", "seq", F.concat(F.lit("{"), body, F.lit("}")).alias("changes"),
                     F.size("_kv").cast("bigint").alias("n_changes"))
 
 
-def history_lines(entries: DataFrame, chunk_unit: str | None = "day") -> DataFrame:
+def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Sequence[str] = ()) -> DataFrame:
     """History text in the snapshot-archive line format
     ``{"<id>":[["<ts>",{...}],...]}`` with entries in (ts, seq) order.
 
@@ -111,11 +116,11 @@ def history_lines(entries: DataFrame, chunk_unit: str | None = "day") -> DataFra
     chunk = F.date_trunc(chunk_unit, "ts") if chunk_unit else F.lit(None).cast("timestamp")
     entry = F.concat(F.lit("[\""), F.date_format("ts", TS_FMT), F.lit("\","), F.col("changes"), F.lit("]"))
     g = (entries.withColumn("chunk", chunk)
-         .groupBy("id", "chunk")
+         .groupBy(*group, "id", "chunk")
          .agg(F.array_sort(F.collect_list(F.struct("ts", "seq", entry.alias("e")))).alias("_es")))
     line = F.concat(F.lit("{"), json_scalar(F.col("id")), F.lit(":["),
                     F.array_join(F.transform("_es", lambda x: x["e"]), ","), F.lit("]}"))
-    return g.select("id", "chunk", F.size("_es").cast("bigint").alias("n_entries"), line.alias("line"))
+    return g.select(*group, "id", "chunk", F.size("_es").cast("bigint").alias("n_entries"), line.alias("line"))
 
 
 def decompress(changes: DataFrame, snapshots: DataFrame) -> DataFrame:

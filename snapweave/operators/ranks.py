@@ -87,9 +87,11 @@ def order_reviews(reviews: DataFrame, mode: str = "mostRecent") -> DataFrame:
 
 def lookup_codes(requests: DataFrame, name_col: str, dim: DataFrame, dim_name: str, dim_code: str):
     """Name -> code lookup with an invalid-name guard (C23): returns
-    (valid rows with the code, rejected rows). ``dim`` is a small fixed table."""
-    j = requests.join(F.broadcast(dim.select(F.col(dim_name).alias(name_col), F.col(dim_code).alias("_code"),
-                                             F.lit(True).alias("_hit"))), name_col, "left")
+    (valid rows with the code, rejected rows). ``dim`` is a small fixed
+    table; it is broadcast only after its size is measured."""
+    from .joins import checked_broadcast
+    d = dim.select(F.col(dim_name).alias(name_col), F.col(dim_code).alias("_code"), F.lit(True).alias("_hit"))
+    j = requests.join(checked_broadcast(d, [name_col, "_code"]), name_col, "left")
     valid = j.where(F.col("_hit")).withColumnRenamed("_code", dim_code).drop("_hit")
     rejected = j.where(F.col("_hit").isNull()).drop("_code", "_hit")
     return valid, rejected

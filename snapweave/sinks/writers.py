@@ -39,13 +39,16 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ("item_typ
     (w.partitionBy(*parts) if parts else w).csv(path)
 
 
-def write_history(lines: DataFrame, path: str, compression: str | None = "gzip", mode: str = "overwrite") -> None:
+def write_history(lines: DataFrame, path: str, compression: str | None = "gzip", mode: str = "overwrite",
+                  partition_by: Sequence[str] = ()) -> None:
     """Compressed-history archive: the ``line`` column as text, one JSON
-    object per line (B3), gzip-compressed by default (B5)."""
-    w = lines.select("line").write.mode(mode)
+    object per line (B3), gzip-compressed by default (B5), optionally one
+    folder per source (e.g. spider, item type)."""
+    parts = [c for c in partition_by if c in lines.columns]
+    w = lines.select(*parts, "line").write.mode(mode)
     if compression:
         w = w.option("compression", compression)
-    w.text(path)
+    (w.partitionBy(*parts) if parts else w).text(path)
 
 
 APPS_COLUMNS = ["id", "app_name", "enabled", "iphone", "ipad", "osx", "description", "image_url",

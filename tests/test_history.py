@@ -112,3 +112,30 @@ def test_decompress_recovers_present_fields(spark, snaps):
     got = {(r.seq, r.key): r.j for r in state}
     for r in long.where("key is not null").collect():
         assert got[(r.seq, r.key)] == r.j
+
+
+def test_consolidation_job(spark, tmpdir_path):
+    """Crawl folders -> one gzip archive per (spider, item type); the newest
+    job file of each spider is skipped; equal ids in two spiders stay apart."""
+    import gzip
+    import glob
+    import shutil
+    from snapweave.plans.consolidate import consolidate
+    io = os.path.join(tmpdir_path, "io")
+    for spider in ("s1", "s2"):
+        os.makedirs(os.path.join(io, spider))
+        shutil.copy(os.path.join(GOLDEN, "input_1.json"), os.path.join(io, spider, "job-1.json"))
+        time.sleep(0.05)
+        shutil.copy(os.path.join(GOLDEN, "input_2.json"), os.path.join(io, spider, "job-2.json"))
+    time.sleep(1.1)
+    _write(os.path.join(io, "s1"), "job-3.json", [{"id": "foo", "timestamp": "2014-01-02 00:00:00", "work_done": 9}])
+    _write(os.path.join(io, "s2"), "job-3.json", [{"id": "new", "timestamp": "2014-01-02 00:00:00", "work_done": 9}])
+    out = os.path.join(tmpdir_path, "out")
+    consolidate(spark, io, out, ["job"])
+    for spider in ("s1", "s2"):
+        got = {}
+        for p in glob.glob(os.path.join(out, f"spider={spider}", "item_type=job", "*.gz")):
+            with gzip.open(p, "rt") as f:
+                for line in f:
+                    got.update(json.loads(line))
+        assert got == _expected()
