@@ -186,11 +186,6 @@ def json_scalar(x: ColumnOrName) -> Column:
     return F.when(x.isNotNull(), F.substring(t, F.lit(2), F.length(t) - F.lit(2)))
 
 
-def json_string(x: ColumnOrName) -> Column:
-    """A string as a JSON string literal (escaped and quoted)."""
-    return json_scalar(_c(x).cast("string"))
-
-
 # ------------------------------------------------------------ spec compiler (M1)
 Step = Callable[[Column], Column]
 

@@ -39,10 +39,7 @@ GOOGLE_APP_ID_GROUP = r"id=([\w.]+)"
 APPLE_APP_ID_GROUP = r"id(\d+)"
 EMPLOYER_ID_GROUP = r"(?i)id=(\w+)"
 
-# Characters Python's str.strip() removes (str.isspace() is true); Spark's trim
-# only removes ASCII spaces, so stripping uses this class.
-PY_SPACE = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-            r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-# the same set as plain characters, for btrim (no regex engine per value)
+# Characters Python\'s str.strip() removes (str.isspace() is true); Spark\'s trim
+# only removes ASCII spaces, so stripping trims this explicit set.
 PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                   + "\u2028\u2029\u202f\u205f\u3000")

@@ -79,6 +79,17 @@ def text_urls(txt: ColumnOrName) -> Column:
     return F.filter(found, lambda u: F.instr(u, "/") > 0)
 
 
+def app_urls(txt: ColumnOrName) -> Column:
+    """https app links of one expected text (E1, app-review tasks)."""
+    return F.regexp_extract_all(_c(txt), F.lit(R.APP_URLS), 1)
+
+
+def single_app_url(txt: ColumnOrName) -> Column:
+    """The one app link of a text (C1): NULL when the text has none or several."""
+    from .processors import only_elem
+    return only_elem(app_urls(txt))
+
+
 def link_kind(url: ColumnOrName) -> Column:
     """Link branch of a paid-review task (D10), first match wins:
     'document' (a shared document listing products), 'amazon' (product or

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import DEPTH_LIMIT, MAX_PAGES, NEXT_PAGE_VALUE, developer_url
 from ..session import cut_lineage
 
-EDGE_COLS = ["src_type", "src_id", "dst_type", "dst_id", "kind"]
-
-
 def edges_from(df: DataFrame, src_type: str, src_id: str, dst_type: str, dst_col: str, kind: str) -> DataFrame:
     """Edges from a table with a source id column and a destination column
     (scalar or array of ids) (E4)."""

@@ -85,6 +85,26 @@ def order_reviews(reviews: DataFrame, mode: str = "mostRecent") -> DataFrame:
     return reviews.orderBy(*sort_order(mode))
 
 
+def chart_requests(requests: DataFrame, country_col: str = "country", list_col: str = "list_name",
+                   genre_col: str = "genre", limit: int = CHART_LIMIT):
+    """Chart feed requests by names (C22/C23): country name -> code, chart
+    list name -> feed name, genre name -> id ('None' or NULL for all genres);
+    rows with an unknown name are returned separately as rejected."""
+    from ..functions.urls import chart_feed_url
+    spark = requests.sparkSession
+    countries = spark.createDataFrame(COUNTRIES, "c_name string, c_code string")
+    lists = spark.createDataFrame([(label, feed) for feed, label in CHART_LISTS], "l_name string, l_feed string")
+    genres = spark.createDataFrame(GENRES, "g_name string, g_code string")
+    r = requests.withColumn(genre_col, F.coalesce(F.col(genre_col), F.lit("None")))
+    ok, bad1 = lookup_codes(r, country_col, countries, "c_name", "c_code")
+    ok, bad2 = lookup_codes(ok, list_col, lists, "l_name", "l_feed")
+    ok, bad3 = lookup_codes(ok, genre_col, genres, "g_name", "g_code")
+    valid = ok.withColumn("url", chart_feed_url(F.col("c_code"), F.col("l_feed"), F.col("g_code"), limit))
+    cols = requests.columns
+    rejected = bad1.select(*cols).unionByName(bad2.select(*cols)).unionByName(bad3.select(*cols))
+    return valid, rejected
+
+
 def lookup_codes(requests: DataFrame, name_col: str, dim: DataFrame, dim_name: str, dim_code: str):
     """Name -> code lookup with an invalid-name guard (C23): returns
     (valid rows with the code, rejected rows). ``dim`` is a small fixed

@@ -24,7 +24,6 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form",
             "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre",
             "section", "table", "ul"}
-RAW_TEXT = {"script", "style"}
 _CTRL = dict.fromkeys(c for c in range(32) if c not in (9, 10, 13))
 
 

@@ -71,3 +71,29 @@ def test_document_products_related_and_developer(spark):
     # same iPad list as the previous page -> only the iPhone list counts
     assert r.app_ids == ["20"] and r.app_types == ["iPhone Apps", "iPad Apps"] and r.n_iphone_pager == 1
     assert os.path.isdir(FIXTURES)
+
+
+def test_api_extras(spark):
+    from snapweave.functions import urls as U
+    from snapweave.operators import graph as G
+    from snapweave.operators import ranks as K
+    r = spark.range(1).select(
+        U.lookup_url(F.lit("628228162")).alias("lookup"),
+        U.single_app_url(F.lit("Install https://play.google.com/store/apps/details?id=com.x now")).alias("one"),
+        U.single_app_url(F.lit("https://a.app/1 and https://b.app/2")).alias("two"),
+        P.to_bool(F.lit("")).alias("f"), P.to_bool(F.lit("x")).alias("t")).collect()[0]
+    assert r.lookup == "https://itunes.apple.com/lookup?id=628228162"
+    assert r.one == "https://play.google.com/store/apps/details?id=com.x" and r.two is None
+    assert (r.f, r.t) == (False, True)
+    nodes = spark.createDataFrame([("app", "1", 0), ("app", "2", 3)], "node_type string, node_id string, depth int")
+    assert [x.node_id for x in G.allowed_pages(nodes).collect()] == ["1"]
+    rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, o int, v string")
+    assert sorted((x.k, x.v) for x in J.first_match(rows, ["k"], ["o"]).collect()) == [("a", "y"), ("b", "z")]
+    req = spark.createDataFrame([("United States", "Top Free", "Games"), ("China", "Top Paid", None),
+                                 ("Mars", "Top Free", None), ("China", "Top Paid", "Cooking")],
+                                "country string, list_name string, genre string")
+    valid, rejected = K.chart_requests(req)
+    urls = sorted(x.url for x in valid.collect())
+    assert urls == ["https://itunes.apple.com/cn/rss/toppaidapplications/limit=200/xml",
+                    "https://itunes.apple.com/us/rss/topfreeapplications/limit=200/genre=6014/xml"]
+    assert sorted(x.country for x in rejected.collect()) == ["China", "Mars"]
