@@ -29,6 +29,13 @@ CAMPAIGN_ID = r"Campaign ID\s*:\s+(\S+)"
 JOB_ID = r"Job ID:\s+(\w+)"
 # --- end of fixed values ---
 
+# URL tokens that contain '/': the matches of AMAZON_URLS kept by the task
+# parser, found directly. A match starts only where a token starts (lookbehind)
+# and the scheme branch needs a character after '://', exactly like the
+# original greedy pattern; scanning a long text then yields only the few URL
+# tokens instead of every word (equivalence is property-tested).
+URL_TOKENS_WITH_SLASH = r"(?<![\w?./=_-])(?:https?://[\w?./=_-]+|[\w?./=_-]*/[\w?./=_-]*)"
+
 # Deliberate fix of a trap in the original product pattern: with the plain
 # "/gp/product/" alternative first, "/gp/product/glance/X" yields "glance".
 PRODUCT_ID = r"(?:(?:/gp/product/glance/)|(?:/gp/product/)|(?:/dp/))(\w+)"

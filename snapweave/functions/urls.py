@@ -75,7 +75,7 @@ def hrefs(html: ColumnOrName) -> Column:
 def text_urls(txt: ColumnOrName) -> Column:
     """URL-like tokens of a task text (E1): matches of the crawler's URL
     pattern that contain a '/'."""
-    found = F.regexp_extract_all(_c(txt), F.lit(R.AMAZON_URLS), 1)
+    found = F.regexp_extract_all(_c(txt), F.lit(R.URL_TOKENS_WITH_SLASH), 0)
     return F.filter(found, lambda u: F.instr(u, "/") > 0)
 
 

@@ -37,6 +37,24 @@ def amazon_review_cumulative(expected: ColumnOrName) -> Column:
             & F.coalesce(F.exists(e, lambda x: x.rlike(R.REVIEW_SIMPLE)), F.lit(False)))
 
 
+def paid_app_review_text(name: ColumnOrName, expected_text: ColumnOrName) -> Column:
+    """D2 over the expected texts given as one newline-separated text: one
+    line must contain both 'https://' and 'app' (any case). A per-line anchored
+    double lookahead (Unix lines) replaces a lambda over the lines, so the test
+    stays one JVM regex scan."""
+    n = F.lower(F.coalesce(_c(name), F.lit("")))
+    title_ok = (F.instr(n, "feedback") > 0) | (F.instr(n, "review") > 0) | (F.instr(n, "rate") > 0)
+    one = F.coalesce(_c(expected_text), F.lit("")).rlike(r"(?imd)^(?=[^\n]*https://)(?=[^\n]*app)")
+    return title_ok & one
+
+
+def amazon_review_text(expected_text: ColumnOrName) -> Column:
+    """D3 over the expected texts given as one text: neither pattern can
+    span a newline, so 'some line matches' equals 'the text matches'."""
+    t = F.coalesce(_c(expected_text), F.lit(""))
+    return t.rlike(R.AMAZON_SIMPLE) & t.rlike(R.REVIEW_SIMPLE)
+
+
 def job_running(text: ColumnOrName, inactive_marker: str = "This job is currently not running") -> Column:
     """Page is not the 'not running' / 'not active' notice."""
     return ~F.coalesce(F.instr(_c(text), inactive_marker) > 0, F.lit(False))

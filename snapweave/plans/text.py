@@ -20,18 +20,21 @@ from ..session import read_table
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = F.split("text", "\n")
-    return d.select("doc_id", "text", F.get(lines, 0).alias("name"),
-                    F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("expected"))
+    cut = F.instr("text", "\n")
+    name = F.when(cut > 0, F.expr("substring(text, 1, instr(text, '\n') - 1)")).otherwise(F.col("text"))
+    rest = F.when(cut > 0, F.expr("substring(text, instr(text, '\n') + 1)"))
+    first_expected = F.when(cut > 0, F.substring_index(rest, "\n", 1))
+    return d.select("doc_id", "text", name.alias("name"), rest.alias("expected_text"),
+                    F.array(first_expected).alias("expected_head"))
 
 
 def target_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paid-review task flags (D1, D2, D3) and the URL tokens of each task."""
     t = _tasks(spark, sf_dir)
     return t.select("doc_id",
-                    D.paid_review_task("name", "expected").cast("int").alias("paid_review"),
-                    D.paid_app_review_task("name", "expected").cast("int").alias("paid_app_review"),
-                    D.amazon_review_cumulative("expected").cast("int").alias("amazon_review_any"),
+                    D.paid_review_task("name", "expected_head").cast("int").alias("paid_review"),
+                    D.paid_app_review_text("name", "expected_text").cast("int").alias("paid_app_review"),
+                    D.amazon_review_text("expected_text").cast("int").alias("amazon_review_any"),
                     F.size(U.text_urls("text")).cast("bigint").alias("n_urls"))
 
 

@@ -129,3 +129,27 @@ def test_compile_spec(spark):
                               "countries": ("c", [lambda c: P.split_strip(c, ","), P.filter_empty])})
     r = out.collect()[0]
     assert r.work_done == 12 and r.countries == ["a", "b", "c"]
+
+
+def test_url_token_pattern_equals_original_plus_filter():
+    import re
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    orig, new = re.compile(R.AMAZON_URLS), re.compile(R.URL_TOKENS_WITH_SLASH)
+
+    @settings(max_examples=3000, deadline=None)
+    @given(st.text(alphabet="htps:/.-_a =?x\n", max_size=40))
+    def check(t):
+        assert [m[0] for m in orig.findall(t) if "/" in m[0]] == new.findall(t)
+    check()
+
+
+def test_text_variants_equal_list_filters(spark):
+    rows = [("Rate our app", "see https://apps.example/app1"), ("Rate our app", "https://x\napp"),
+            ("Rate", "x\nHTTPS://y/APP\r\nz"), ("Review", "Amazon\ncomment"), ("t", None), ("Feedback", "")]
+    df = spark.createDataFrame(rows, "name string, txt string").withColumn("lines", F.split("txt", "\n"))
+    r = df.select(D.paid_app_review_task("name", "lines").alias("a"), D.paid_app_review_text("name", "txt").alias("b"),
+                  D.amazon_review_cumulative("lines").alias("c"), D.amazon_review_text("txt").alias("d")).collect()
+    assert [x.a for x in r] == [x.b for x in r] == [True, False, True, False, False, False]
+    assert [x.c for x in r] == [x.d for x in r] == [False, False, False, True, False, False]
