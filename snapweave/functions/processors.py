@@ -133,6 +133,11 @@ def nullify_empty_array(a: ColumnOrName) -> Column:
     return F.when(F.size(a) > 0, a)
 
 
+def single_value_array(*candidates_in_add_order: ColumnOrName) -> Column:
+    """Single-value list field (C8): the last added non-empty list wins."""
+    return F.coalesce(*[nullify_empty_array(c) for c in reversed(candidates_in_add_order)])
+
+
 # ----------------------------------------------------------- numbers
 def numbers(txt: ColumnOrName) -> Column:
     """All numbers in a text, in order (``1,234`` gives two numbers)."""

@@ -104,6 +104,18 @@ def developer_pages(df: DataFrame, dev_col: str, iphone_links: str, ipad_links:
     return d.select("entity_id", "page", developer_url("entity_id", "page", ipad_page).alias("url"))
 
 
+def within_page_limit(requests: DataFrame, type_col: str = "entity_type", page_col: str = "page",
+                      max_pages: dict | None = None) -> DataFrame:
+    """Drop page requests beyond the page limit of their entity type
+    (types without a limit pass). The limits are a fixed three-entry map, so
+    they are inlined as an expression instead of joined."""
+    limits = max_pages or MAX_PAGES
+    cap = F.lit(None).cast("int")
+    for t, m in limits.items():
+        cap = F.when(F.col(type_col) == t, F.lit(m)).otherwise(cap)
+    return requests.where(cap.isNull() | (F.col(page_col) <= cap))
+
+
 def allowed_pages(nodes: DataFrame, depth_col: str = "depth", max_depth: int = DEPTH_LIMIT) -> DataFrame:
     """No follow-up (paged) requests for nodes at the last depth level."""
     return nodes.where(F.col(depth_col) < max_depth)

@@ -97,3 +97,14 @@ def test_api_extras(spark):
     assert urls == ["https://itunes.apple.com/cn/rss/toppaidapplications/limit=200/xml",
                     "https://itunes.apple.com/us/rss/topfreeapplications/limit=200/genre=6014/xml"]
     assert sorted(x.country for x in rejected.collect()) == ["China", "Mars"]
+
+
+def test_single_value_array_and_page_limit(spark):
+    from snapweave.operators import graph as G
+    r = spark.range(1).select(P.single_value_array(F.array(F.lit("a")), F.array().cast("array<string>")).alias("s"),
+                              P.single_value_array(F.array(F.lit("a")), F.array(F.lit("b"))).alias("t")).collect()[0]
+    assert r.s == ["a"] and r.t == ["b"]
+    req = spark.createDataFrame([("app", 10), ("app", 11), ("developer", 6), ("reviewer", 30), ("other", 99)],
+                                "entity_type string, page int")
+    assert sorted((x.entity_type, x.page) for x in G.within_page_limit(req).collect()) == \
+        [("app", 10), ("other", 99), ("reviewer", 30)]
