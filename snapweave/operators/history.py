@@ -66,12 +66,48 @@ def bucket_of(ts: Column, bucket_seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
 
 
+SPLIT_ROWS = 2_000_000
+
+
+def with_buckets(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
+                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+    """Add the ordered bucket ``bk`` = struct(day bucket, sub bucket).
+
+    Groups (id, day bucket) with more than ``split_rows`` rows are hot: an
+    exact partial-aggregate count finds them and they are cut into
+    ``ceil(rows / split_rows)`` equal slices of the group's own time range
+    (min..max), so no window task holds much more than ``split_rows`` rows of
+    one id unless they crowd into a few instants.
+    The hot list is bounded by construction: every entry stands for more than
+    ``split_rows`` rows, so there are at most total_rows / split_rows of them
+    (500k entries of a few dozen bytes for 10^12 rows at the default), which
+    is what makes its broadcast safe. Ordering buckets as structs keeps them
+    monotonic in time within an id, which the carry logic relies on.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    df = long.withColumn("_b0", bucket_of(F.col("ts"), bucket_seconds))
+    if not split_rows:
+        return df.withColumn("bk", F.struct(F.col("_b0").alias("b"), F.lit(0).alias("s"))).drop("_b0")
+    ids = [*group, "id", "_b0"]
+    hot = (df.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_lo"),
+                                 F.max(micros).alias("_hi"))
+           .where(F.col("_n") > split_rows)
+           .select(*ids, F.ceil(F.col("_n") / F.lit(split_rows)).cast("bigint").alias("_parts"), "_lo", "_hi"))
+    df = df.join(F.broadcast(hot), ids, "left")  # size bounded by construction (see above)
+    span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
+    sub = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
+        F.floor((micros - F.col("_lo")).cast("double") * F.col("_parts") / span).cast("bigint"))
+    return (df.withColumn("bk", F.struct(F.col("_b0").alias("b"), sub.alias("s")))
+            .drop("_b0", "_parts", "_lo", "_hi"))
+
+
 # -------------------------------------------------------------- delta (H1/H2)
-def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
+def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
+                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Add ``keep`` (field kept by the delta rule) and ``bk`` to the long form.
     Histories are per (``group`` columns, id)."""
     ids = [*group, "id"]
-    df = long.withColumn("bk", bucket_of(F.col("ts"), bucket_seconds))
+    df = with_buckets(long, bucket_seconds, group, split_rows)
     order = F.struct("ts", "seq")
     # last value of each key per bucket, then the value carried into the next
     # bucket that has the key (partial aggregation: hot ids combine map-side)
@@ -88,16 +124,19 @@ def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str
             .drop("_p", "_prev", "_carry"))
 
 
-def delta_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
+def delta_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
+                  split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """Kept (id, ts, seq, key, j) rows of the compressed history."""
-    return mark_changes(long, bucket_seconds, group).where("keep").select(*group, "id", "ts", "seq", "key", "j")
+    return (mark_changes(long, bucket_seconds, group, split_rows).where("keep")
+            .select(*group, "id", "ts", "seq", "key", "j"))
 
 
-def history_entries(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = ()) -> DataFrame:
+def history_entries(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
+                    split_rows: int | None = SPLIT_ROWS) -> DataFrame:
     """One row per snapshot: ``changes`` = JSON object text of the kept fields
     (keys sorted), ``{}`` when nothing changed. Groups by (id, bk, ts, seq), which
     the (id, bk) partitioning of the delta window already satisfies."""
-    m = mark_changes(long, bucket_seconds, group)
+    m = mark_changes(long, bucket_seconds, group, split_rows)
     kv = F.when(F.col("keep"), F.struct("key", "j"))
     g = m.groupBy(*group, "id", "bk", "ts", "seq").agg(F.array_sort(F.collect_list(kv)).alias("_kv"))
     body = F.array_join(F.transform("_kv", lambda x: F.concat(json_scalar(x["key"]), F.lit(":"), x["j"])), ",")

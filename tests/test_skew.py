@@ -23,9 +23,13 @@ def test_hot_id_delta_any_bucketing(spark):
     ev = spark.read.parquet(f"{SMOKE}/events.parquet").withColumn("hot", F.lit(1))
     long = H.long_from_columns(ev, "hot", "ts", "event_id", ["event_type", "props"])
     exp = _sequential_delta([(r.ts, r.seq, r.key, r.j) for r in long.collect()])
-    for bucket in (3600, 10 ** 9):
-        got = {(r.ts, r.seq, r.key, r.j) for r in H.delta_changes(long, bucket_seconds=bucket).collect()}
+    for bucket, split in ((3600, None), (10 ** 9, None), (10 ** 9, 50), (86400, 7)):
+        got = {(r.ts, r.seq, r.key, r.j) for r in
+               H.delta_changes(long, bucket_seconds=bucket, split_rows=split).collect()}
         assert got == exp
+    # the hot id is really cut into many window groups
+    b = H.with_buckets(long, 10 ** 9, split_rows=50).select("bk").distinct().count()
+    assert b >= long.count() // 50
 
 
 def test_hot_key_first_and_latest(spark):
