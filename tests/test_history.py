@@ -139,3 +139,16 @@ def test_consolidation_job(spark, tmpdir_path):
                 for line in f:
                     got.update(json.loads(line))
         assert got == _expected()
+
+
+def test_bucket_chunks_bound_line_size(spark):
+    paths = [os.path.join(GOLDEN, "input_1.json"), os.path.join(GOLDEN, "input_2.json")]
+    long = H.long_from_variant(parse_snapshots(read_snapshot_lines(spark, paths)))
+    rows = H.history_lines(H.history_entries(long, split_rows=2), "bucket").collect()
+    # hot ids (more than 2 field rows in their day) come out as several lines
+    assert len([r for r in rows if r.id == "foo"]) > 1 and max(r.n_entries for r in rows) < 7
+    out = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.chunk.b, r.chunk.s)):
+        for k, v in json.loads(r.line).items():
+            out.setdefault(k, []).extend(v)
+    assert out == _expected()

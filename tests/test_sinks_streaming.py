@@ -106,3 +106,19 @@ def test_delta_stream_matches_batch(spark, tmpdir_path):
 def parsed_batch(spark, path):
     from snapweave.sources.snapshots import parse_snapshots, read_snapshot_lines
     return parse_snapshots(read_snapshot_lines(spark, [path]))
+
+
+def test_stream_dedupe_within_watermark(spark, tmpdir_path):
+    import datetime as dt
+    src = os.path.join(tmpdir_path, "wm")
+    schema = "item_type string, key string, v int, ts timestamp"
+    t = dt.datetime(2016, 1, 1)
+    spark.createDataFrame([("seed", "A", 1, t), ("seed", "A", 2, t + dt.timedelta(minutes=1)),
+                           ("seed", "B", 3, t)], schema).write.parquet(os.path.join(src, "b1"))
+    stream = spark.readStream.schema(schema).parquet(os.path.join(src, "*"))
+    q = (S.dedupe_stream(stream, ["item_type", "key"], event_time="ts", watermark="1 hour")
+         .writeStream.format("memory").queryName("wmdd")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ckw")).start())
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.key for r in spark.sql("select * from wmdd").collect()) == ["A", "B"]
