@@ -198,6 +198,25 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
   SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r1,
             row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS r2
   FROM lineitem) WHERE r1 = 1 OR r2 = 1
+""",
+    # rounds as a recursive CTE: rows first (by arrival order) for both keys
+    # among the undecided rows are stored; undecided rows sharing a key with a
+    # stored row are dropped (checked against the sequential definition)
+    "greedy_two_key": """
+WITH RECURSIVE r(it, l_orderkey, l_linenumber, l_partkey, l_suppkey, acc) AS (
+  SELECT 0, l_orderkey, l_linenumber, l_partkey, l_suppkey, false FROM lineitem
+  WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL
+  UNION ALL
+  SELECT it + 1, l_orderkey, l_linenumber, l_partkey, l_suppkey, won FROM (
+    SELECT *, bool_or(won) OVER (PARTITION BY l_partkey) AS p_taken,
+              bool_or(won) OVER (PARTITION BY l_suppkey) AS s_taken
+    FROM (
+      SELECT *, (o = min(o) OVER (PARTITION BY l_partkey) AND o = min(o) OVER (PARTITION BY l_suppkey)) AS won
+      FROM (SELECT *, (l_orderkey, l_linenumber, l_partkey, l_suppkey) AS o FROM r WHERE NOT acc)))
+  WHERE won OR NOT (p_taken OR s_taken))
+SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM r WHERE acc
+UNION ALL
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey IS NULL OR l_suppkey IS NULL
 """,
     "dev_merge": """
 SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(l_partkey))), ',') AS app_ids,
