@@ -169,21 +169,21 @@ def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Seq
     return g.select(*group, "id", "chunk", F.size("_es").cast("bigint").alias("n_entries"), line.alias("line"))
 
 
-def decompress(changes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Inverse of the delta rule: the known state of every field at every snapshot.
-
-    ``changes`` are kept (id, ts, seq, key, j) rows, ``snapshots`` the
-    (id, ts, seq) of every snapshot. Each field takes its last kept value at or
-    before the snapshot (forward fill); fields not yet seen are absent. The grid
-    is snapshots x keys of the id, so this is a verification tool, not a hot path.
+def decompress(changes: DataFrame, probes: DataFrame) -> DataFrame:
+    """Inverse of the delta rule: the known value of a field at a snapshot.
+
+    ``changes`` are kept (id, ts, seq, key, j) rows; ``probes`` are
+    (id, ts, seq, key) points to evaluate. Each probe gets the last change of
+    its (id, key) at or before it, an as-of lookup done with one window over
+    (id, key) in (ts, seq) order on the union of both (a change at the probe's
+    own snapshot counts); no snapshots x keys grid is built.
     """
-    keys = changes.select("id", "key").distinct()
-    w = (Window.partitionBy("id", "key").orderBy("ts", "seq")
+    c = changes.select("id", "key", "ts", "seq", "j", F.lit(0).alias("_probe"))
+    p = probes.select("id", "key", "ts", "seq", F.lit(None).cast("string").alias("j"), F.lit(1).alias("_probe"))
+    w = (Window.partitionBy("id", "key").orderBy("ts", "seq", "_probe")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (snapshots.select("id", "ts", "seq").join(keys, "id")
-            .join(changes.select("id", "ts", "seq", "key", "j"), ["id", "ts", "seq", "key"], "left")
-            .withColumn("j", F.last("j", ignorenulls=True).over(w))
-            .where(F.col("j").isNotNull()))
+    return (c.unionByName(p).withColumn("j", F.last("j", ignorenulls=True).over(w))
+            .where(F.col("_probe") == 1).drop("_probe"))
 
 
 # --------------------------------------------------------- summaries

@@ -107,10 +107,11 @@ def test_decompress_recovers_present_fields(spark, snaps):
     long = (df.select("id", "ts", "seq", F.explode_outer(F.from_json("body", "map<string,string>")).alias("key", "_v"))
             .select("id", "ts", "seq", "key", F.to_json(F.parse_json("_v")).alias("j")))
     long = long.withColumn("j", F.when(F.col("key").isNotNull(), F.coalesce("j", F.lit("null"))))
-    changes = H.delta_changes(long, bucket_seconds=2 * 3600)
-    state = H.decompress(changes, df.select("id", "ts", "seq")).collect()
+    changes = H.delta_changes(long, bucket_seconds=2 * 3600, split_rows=3)
+    present = long.where("key is not null")
+    state = H.decompress(changes, present.select("id", "ts", "seq", "key")).collect()
     got = {(r.seq, r.key): r.j for r in state}
-    for r in long.where("key is not null").collect():
+    for r in present.collect():
         assert got[(r.seq, r.key)] == r.j
 
 
