@@ -26,9 +26,13 @@ def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed fields emitted in append mode to a Parquet sink."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     out = f"{base}/snapweave-stream-delta-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", 16).parquet(sf_dir))
+    table = os.path.join(sf_dir, "events.parquet")
+    schema = spark.read.parquet(table).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    if os.path.isdir(table):  # a table folder of part files
+        src = reader.parquet(table)
+    else:  # a single file next to the other tables
+        src = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     long = history.long_from_columns(src.withColumn("ts", F.col("ts").cast("timestamp")),
                                      "user_id", "ts", "event_id", SNAPSHOT_FIELDS)
     q = (delta_stream(long).writeStream.format("parquet")
