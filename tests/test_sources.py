@@ -97,7 +97,7 @@ def test_seed_csv_trailing_blanks_and_missing_name(spark, tmpdir_path):
     assert [r.ID for r in s.collect()] == ["890693434", "897518193", "com.x"]
     assert [r.app_id for r in seeds.app_store_seeds(s, "Platform", "ID").orderBy("app_id").collect()] == \
         ["890693434", "897518193"]
-    q = os.path.join(tmpdir_path, "src.csv")
+    q = os.path.join(tmpdir_path, "product_seeds.csv")
     with open(q, "w") as f:
         f.write("TYPE,ID\np,B00VMGSHIS\n")
     r = seeds.read_seed_csv(spark, q, seeds.PRODUCT_SEED_SCHEMA).collect()[0]
