@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import regexes as R
 from ..functions.processors import only_elem_or_default, py_strip, star_values, text_after_by
 from .html import html_to_xhtml, to_xhtml, xpath_fields
+from .locators import (DEVELOPER_PAGE_SPEC, MW_BASE_URL, MW_EMPLOYER, MW_LIST_FIELDS,  # noqa: F401
+                       MW_LIST_ROW, MW_USER_FIELDS, MW_USER_LEFT, MW_WORKER, MW_WORKER_BASIC, MW_WORKER_HG,
+                       MW_JOB_XPATH, NOT_RUNNING, RELATED_PAGE_SPEC, REVIEW_BLOCK, REVIEWER_PAGE_SPEC, RW_JOB_SPEC)
 
 _ID = re.compile(R.APP_ID)
 _KIND = re.compile(r"^https?://[^/]+/[a-z]{2}/([a-z-]+)/")
@@ -54,28 +57,28 @@ def _blocks_of(html: str | None) -> list[tuple]:
     except ET.ParseError:
         return []
     out = []
-    for pos, blk in enumerate(b for b in root.iter("div") if "customer-review" in _classes(b)):
-        link = _find_class(blk, "a", "artwork-link")
+    for pos, blk in enumerate(b for b in root.iter("div") if REVIEW_BLOCK["block"] in _classes(b)):
+        link = _find_class(blk, "a", REVIEW_BLOCK["item_link"])
         url = link.get("href") if link is not None else None
         m = _ID.search(url or "")
         k = _KIND.search(url or "")
-        button = next((b for b in blk.iter("button") if b.get("bundle-short-version") is not None), None)
-        artist = _find_class(blk, "li", "artist")
+        button = next((b for b in blk.iter("button") if b.get(REVIEW_BLOCK["version_attr"]) is not None), None)
+        artist = _find_class(blk, "li", REVIEW_BLOCK["artist"])
         artist_a = artist.find("a") if artist is not None else None
         dev = _ID.search(artist_a.get("href") or "") if artist_a is not None else None
-        rel = _find_class(blk, "li", "release-date")
+        rel = _find_class(blk, "li", REVIEW_BLOCK["release"])
         label = rel.find("span") if rel is not None else None
-        rating = _find_class(blk, "div", "rating")
-        content = _find_class(blk, "p", "content")
+        rating = _find_class(blk, "div", REVIEW_BLOCK["rating"])
+        content = _find_class(blk, "p", REVIEW_BLOCK["content"])
         out.append((
             pos, k.group(1) if k else None, m.group(1) if m else None, url,
-            button.get("bundle-short-version") if button is not None else None,
-            _text(_find_class(blk, "li", "genre")),
+            button.get(REVIEW_BLOCK["version_attr"]) if button is not None else None,
+            _text(_find_class(blk, "li", REVIEW_BLOCK["genre"])),
             dev.group(1) if dev else None,
             _text(label), (label.tail if label is not None else _text(rel)),
-            _text(_find_class(blk, "div", "title-text")),
+            _text(_find_class(blk, "div", REVIEW_BLOCK["title"])),
             rating.get("aria-label") if rating is not None else None,
-            _text(_find_class(blk, "div", "review-date")),
+            _text(_find_class(blk, "div", REVIEW_BLOCK["review_date"])),
             _text(content).strip() if content is not None else None,
         ))
     return out
@@ -110,14 +113,6 @@ def reviewer_blocks(pages: DataFrame, key_cols, html_col: str = "html") -> DataF
         "review_text")
 
 
-REVIEWER_PAGE_SPEC = {
-    "_titles": ("strings", '//div[@class="main-title"]/text()'),
-    "page": ("strings", '//div[@class="paginated-content"]/@page-number'),
-    "n_pages": ("strings", '//div[@class="paginated-content"]/@total-number-of-pages'),
-    "app_links": ("strings", '//a[@class="artwork-link"]/@href'),
-}
-
-
 def reviewer_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
     """Reviewer page-level fields (N13/N16/D11): reviewer name after 'by ',
     current page and page count; a page without the title block (the
@@ -135,19 +130,6 @@ def reviewer_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFr
         ((only_elem_or_default("n_pages").cast("int") == 1) & (n_apps == 1)).alias("is_leaf"))
 
 
-DEVELOPER_PAGE_SPEC = {
-    "all_links": ("strings", '//a[@class="artwork-link"]/@href'),
-    "iphone_links": ("strings", '//div[@metrics-loc="Titledbox_iPhone Apps"]//a[@class="artwork-link"]/@href'),
-    "ipad_links": ("strings", '//div[@metrics-loc="Titledbox_iPad Apps"]//a[@class="artwork-link"]/@href'),
-    "has_iphone": ("count", '//div[@metrics-loc="Titledbox_iPhone Apps"]'),
-    "has_ipad": ("count", '//div[@metrics-loc="Titledbox_iPad Apps"]'),
-    "has_mac": ("count", '//div[@metrics-loc="Titledbox_Mac Apps"]'),
-    "has_bundles": ("count", '//div[@metrics-loc="Titledbox_App Bundles"]'),
-    "n_iphone_pager": ("count", '//ul[@class="list paginate"]//a[contains(@href, "#iPhoneSoftwarePage")]'),
-    "n_ipad_pager": ("count", '//ul[@class="list paginate"]//a[contains(@href, "#iPadSoftwarePage")]'),
-}
-
-
 def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
                     prev_ipad_col: str | None = None) -> DataFrame:
     """Developer page -> Developer fields (N15/C13/C29/H4/D11): app ids
@@ -172,12 +154,6 @@ def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
                     ipad.alias("ipad_ids"), "n_iphone_pager", "n_ipad_pager")
 
 
-RELATED_PAGE_SPEC = {
-    "also_bought": ("strings", '//div[@num-items="5"]//a[@class="artwork-link"]/@href'),
-    "developer_link": ("strings", '//div[@class="right"]/a[contains(@href, "/developer/")]/@href'),
-}
-
-
 def related_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
     """Related page -> also-bought app ids and the developer id."""
     x = pages.select(*key_cols, to_xhtml(html_col).alias("_x"))
@@ -187,18 +163,6 @@ def related_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFra
     return f.select(*key_cols, ids.alias("related_ids"), F.when(dev != "", dev).alias("developer_id"))
 
 
-RW_JOB_SPEC = {
-    "_roots": ("count", '//div[@id="jobdetails"]'),
-    "_info": ("strings", '(//div[@id="jobdetails"]/div)[1]/ul/li/text()'),
-    "_nums": ("strings", '(//div[@id="jobdetails"]/div[1]/ul)[1]/li//text()'),
-    "_countries": ("strings", '(//div[@id="jobdetails"]/div)[2]/ul/li/text()'),
-    "_name_lines": ("strings", '//div[@id="jobdetails"]//text()'),
-    "expected": ("strings", '//div[@id="jobdetails"]//h3[contains(text(), "What is expected from workers")]'
-                            '/following-sibling::p//text()'),
-    "_running": ("strings", '//td/text()'),
-}
-
-
 def task_job_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
     """Task job page -> task fields (N2/D4/C31): the job root must be single;
     campaign name and id by label patterns; numbers in order become
@@ -209,7 +173,7 @@ def task_job_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFr
     x = pages.select(*key_cols, to_xhtml(html_col).alias("_x"))
     f = xpath_fields(x, "_x", RW_JOB_SPEC, keep=list(key_cols))
     f = f.where((F.col("_roots") == 1) &
-                ~F.exists("_running", lambda t: F.instr(t, "This job is currently not running") > 0))
+                ~F.exists("_running", lambda t: F.instr(t, NOT_RUNNING) > 0))
     info = F.array_join("_info", "\n")
     nums = F.flatten(F.transform("_nums", lambda t: F.regexp_extract_all(t, F.lit(R.NUMBER), 0)))
     countries = F.flatten(F.transform("_countries", lambda t: F.regexp_extract_all(t, F.lit(r"\w+"), 0)))
@@ -319,19 +283,6 @@ def list_rows(pages: DataFrame, key_cols, row_tag, row_classes, fields: dict,
     return pages.select(*key_cols, html_col).mapInPandas(run, schema)
 
 
-# --- fixed values: page locators of the task sites ---
-MW_BASE_URL = "http://microworkers.com/"
-MW_LIST_ROW = ("div", ["jobslist"])
-MW_LIST_FIELDS = {"href": ("./div[2]//a", "href"), "success_text": ("./div[4]", None)}
-MW_JOB_ROOT = '//body//div[@class="jobarealeft"]'
-MW_USER_LEFT = '//div[@class="usershortinfoleft"]'
-MW_WORKER = '//div[@class="workerstatistics"]'
-MW_WORKER_BASIC = '//div[@class="workerstatistics"]/div[@class="staticticscol01"]/div[2]'
-MW_WORKER_HG = '//div[@class="workerstatistics"]/div[@class="staticticscol01"]/div[3]'
-MW_EMPLOYER = '//div[@class="employerstatistics"]'
-# --- end of fixed values ---
-
-
 def mw_list_rows(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
     """Microworkers list page -> (job url, success percentage) per job (N3,
     D5, C21); rows without a job-detail link are skipped."""
@@ -350,20 +301,18 @@ def mw_job_pages(pages: DataFrame, key_cols, html_col: str = "html", app_url_col
     texts; platform and app id come from the app URL when given."""
     from ..functions.processors import numbers_to_fields, to_long
     from ..functions.urls import app_platform, employer_id
-    root = MW_JOB_ROOT
-    left = f'{root}//div[@class="jobdetailsnoteleft"]'
-    spec = {
-        "_roots": (root, [F.size]),
-        "name": (f"{root}/h1/text()", [nth(0)]),
-        "id": (f"{left}/p[4]/text()", [re_all(R.JOB_ID, 1), nth(0)]),
-        "_nums": (f"{left}/p/strong/text()", [re_all(R.NUMBER)]),
-        "work_total": (f"{left}//sup/text()", [re_all(R.NUMBER), nth(0), to_long]),
-        "_employer": (f'{root}//div[@class="jobdetailsnoteright"]/p[1]/a/@href', [nth(0)]),
-        "countries": (f'{root}//div[@class="countrychoise"]/p[2]/text()', [re_all(R.COUNTRY)]),
-        "category": (f"{root}/p[1]//b/text()", [re_all(R.SOME_TEXT), nth(0)]),
-        "expected": (f'{root}/div[@class="jobdetailsbox"]/p[2]/text()', []),
-        "proof": (f'{root}/div[@class="jobdetailsbox"]/p[4]/text()', []),
-    }
+    spec = {field: (MW_JOB_XPATH[field], steps) for field, steps in {
+        "_roots": [F.size],
+        "name": [nth(0)],
+        "id": [re_all(R.JOB_ID, 1), nth(0)],
+        "_nums": [re_all(R.NUMBER)],
+        "work_total": [re_all(R.NUMBER), nth(0), to_long],
+        "_employer": [nth(0)],
+        "countries": [re_all(R.COUNTRY)],
+        "category": [re_all(R.SOME_TEXT), nth(0)],
+        "expected": [],
+        "proof": [],
+    }.items()}
     extra = [app_url_col] if app_url_col else []
     f = apply_spec(pages.select(*key_cols, *extra, html_col), list(key_cols) + extra, spec, html_col)
     f = f.where(F.col("_roots") == 1)
@@ -375,33 +324,6 @@ def mw_job_pages(pages: DataFrame, key_cols, html_col: str = "html", app_url_col
                     *( [app["platform"].alias("app_platform"), app["app_id"].alias("app_id")] if app is not None else []))
 
 
-# user statistics: (field, section, label, occurrence or None, value kind)
-MW_USER_FIELDS = [
-    ("name", MW_USER_LEFT, "Username", None, "text"),
-    ("id", MW_USER_LEFT, "ID", None, "text"),
-    ("member_since", MW_USER_LEFT, "Member since", None, "text"),
-    ("country", MW_USER_LEFT, "Country", None, "words"),
-    ("city", MW_USER_LEFT, "City", None, "words"),
-    ("total_earned", MW_WORKER, "Total Earned", None, "double"),
-    ("tasks_done", MW_WORKER, "Tasks done", None, "long"),
-    ("basic_tasks", MW_WORKER, "Basic tasks", None, "long"),
-    ("basic_satisfied", MW_WORKER_BASIC, "Satisfied", None, "long"),
-    ("basic_not_satisfied", MW_WORKER_BASIC, "Not-Satisfied", None, "long"),
-    ("basic_avg_per_task", MW_WORKER_BASIC, "Average per task", None, "double"),
-    ("hg_tasks", MW_WORKER_HG, "Hire Group", None, "long"),
-    ("hg_satisfied", MW_WORKER_HG, "Satisfied", None, "long"),
-    ("hg_not_satisfied", MW_WORKER_HG, "Not-Satisfied", None, "long"),
-    ("hg_avg_per_task", MW_WORKER_HG, "Average per task", None, "double"),
-    ("basic_campaigns", MW_EMPLOYER, "Basic Campaigns", None, "long"),
-    ("basic_tasks_paid", MW_EMPLOYER, "Tasks paid", 1, "long"),
-    ("basic_total_paid", MW_EMPLOYER, "Total paid", 1, "na_double"),
-    ("hg_campaigns", MW_EMPLOYER, "Hire Group", None, "long"),
-    ("hg_tasks_paid", MW_EMPLOYER, "Tasks paid", 2, "long"),
-    ("hg_total_paid", MW_EMPLOYER, "Total paid", 2, "na_double"),
-    ("employer_type", MW_EMPLOYER, "Employer type", None, "words"),
-]
-
-
 def mw_user_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
     """Microworkers user page -> MWUser fields (N5), every field by the
     label -> following value rule; 'Satisfied' excludes 'Not-Satisfied';

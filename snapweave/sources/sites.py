@@ -2,7 +2,7 @@
 
 Each site is a table of locators: list rows via ``list_rows`` (one parse per
 page) and job fields via ``apply_spec`` (built-in ``xpath`` + Column steps).
-The locators are fixed values of the captured layouts.
+The locators are the fixed values in ``locators.py``.
 """
 
 from __future__ import annotations
@@ -14,25 +14,9 @@ from ..functions import regexes as R
 from ..functions.processors import numbers_to_fields, py_strip, split_strip, to_double, to_long
 from ..functions.urls import employer_id, resolve_url
 from .extract import apply_spec, joined, list_rows, nth, re_all
-
-# --- fixed values: locators of the archived task-site layouts ---
-LEGACY_MW_ROWS = ".//div[@id='jobslist']//tr[@name='RUNNING']"
-LEGACY_MW_ROOT = '//body//table//table//table//td[@width="520"]'
-CC_ROW_CLASSES = ["row_featured", "row_even", "row_odd"]
-CC_ROOT = '//body//div[@id="column_main"]'
-JB_ROWS = ".//div[@id='si-content']//tbody//tr"
-JB_BASE_URL = "http://www.jobboy.com/"
-JB_PANE = '//div[@class="container"]/div[contains(@style, "margin:") and contains(@style, "padding:")]'
-MF_ROWS = ".//div[@id='jobslist']//tr[@name='RUNNING']"
-MF_ROOT = '//body//table[@id="AutoNumber28"]'
-ST_ROW_CLASSES = ["hits-tamplate"]
-ST_ROOT = '//body//div[@class="register-content"]'
-DURATION_MINUTES = r"\d+(?= minutes to complete)"
-SUCCESS = r"Success:\s+(\d+(?:(?:\.\d+))?)"
-EXPIRES = r":\s+(.+)"
-LAST_PAGE = r"\d+ of\s+(\d+)"
-# --- end of fixed values ---
-
+from .locators import (CC_JOB_XPATH, CC_ROW_CLASSES, DURATION_MINUTES, EXPIRES, JB_BASE_URL, JB_JOB_XPATH,
+                       JB_PAGES_XPATH, JB_ROWS, LAST_PAGE, LEGACY_MW_JOB_XPATH, LEGACY_MW_ROWS, MF_JOB_XPATH, MF_ROWS,
+                       NOT_ACTIVE, NOT_RUNNING, ST_JOB_XPATH, ST_ROW_CLASSES, SUCCESS)
 
 def _keep(pages: DataFrame, key_cols, extra=()):
     return list(key_cols) + [c for c in extra if c in pages.columns]
@@ -64,9 +48,8 @@ def jb_list(pages: DataFrame, key_cols) -> DataFrame:
 
 
 def jb_page_count(pages: DataFrame, key_cols) -> DataFrame:
-    spec = {"n_pages": ('//body//div[@id="si-content"]//tfoot//tr//text()',
-                        [re_all(LAST_PAGE, 1), nth(0), to_long])}
-    return apply_spec(pages, list(key_cols), spec)
+    """Jobboy page count from the list footer ('N of M')."""
+    return apply_spec(pages, list(key_cols), _spec(JB_PAGES_XPATH, {"n_pages": [re_all(LAST_PAGE, 1), nth(0), to_long]}))
 
 
 def mf_list(pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
@@ -86,20 +69,28 @@ def st_list(pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
 
 
 # ----------------------------------------------------------------- job pages
+def _spec(xpaths: dict, steps: dict) -> dict:
+    """Pair each field's locator with its processing steps."""
+    return {field: (xpaths[field], st) for field, st in steps.items()}
+
+
+def _has_notice(notice: str):
+    return lambda a: F.exists(a, lambda t: F.instr(t, notice) > 0)
+
+
 def legacy_mw_job(pages: DataFrame, key_cols) -> DataFrame:
     """Older microworkers job layout (N6): fields from nested tables."""
-    root = LEGACY_MW_ROOT
-    spec = {
-        "name": (f"{root}/span[1]/text()", [nth(0)]),
-        "id": (f"{root}/table[2]//td[1]/p/text()", [re_all(R.JOB_ID, 1), nth(0)]),
-        "_nums": (f"{root}/table[2]//td[1]/p//b/text()", [re_all(R.NUMBER)]),
-        "_employer": (f"{root}/table[2]//a/@href", [nth(0)]),
-        "countries": (f"{root}/table[3]//p/text()", [re_all(R.COUNTRY)]),
-        "category": (f"{root}/p[1]//b/text()", [re_all(R.SOME_TEXT), nth(0)]),
-        "sub_category": (f"{root}/p[1]/text()", [re_all(R.SOME_TEXT), nth(0)]),
-        "expected": (f"{root}/table[4]//td[1]/p[1]//text()", []),
-        "proof": (f"{root}/table[4]//td[1]/p[3]//text()", []),
-    }
+    spec = _spec(LEGACY_MW_JOB_XPATH, {
+        "name": [nth(0)],
+        "id": [re_all(R.JOB_ID, 1), nth(0)],
+        "_nums": [re_all(R.NUMBER)],
+        "_employer": [nth(0)],
+        "countries": [re_all(R.COUNTRY)],
+        "category": [re_all(R.SOME_TEXT), nth(0)],
+        "sub_category": [re_all(R.SOME_TEXT), nth(0)],
+        "expected": [],
+        "proof": [],
+    })
     f = apply_spec(pages, list(key_cols), spec)
     return f.select(*key_cols, "name", "id",
                     *numbers_to_fields("_nums", ["work_done", "work_total", "payment", "duration"],
@@ -110,28 +101,23 @@ def legacy_mw_job(pages: DataFrame, key_cols) -> DataFrame:
 
 def cc_job(pages: DataFrame, key_cols) -> DataFrame:
     """Clickchores job page (N7/C20): featured flag, success, minutes to
-    complete, work done = total - available positions."""
-    root = CC_ROOT
-    first_td = f"{root}/h1[1]/following-sibling::table//td[1]"
-    details = f'{root}/h1[1]/following-sibling::table//td[2]//div[contains(h3/text(), "Job Details")]'
-    spec = {
-        "_running": ("//body//td/text()", [lambda a: F.exists(a, lambda t: F.instr(t, "This job is currently not running") > 0)]),
-        "name": (f"{root}/h1[1]/text()", [nth(0)]),
-        "countries": (f'{first_td}/p[contains(.//text(), "any of these countries")]/following-sibling::span'
-                      f'[./following-sibling::h3[contains(text(), "Job Description")]]/text()', [re_all(R.COUNTRY)]),
-        "expected": (f'({first_td}/h3[contains(text(), "Job Description")]/following-sibling::p)[1]/text()', []),
-        "proof": (f'({first_td}/h3[contains(text(), "Required proof that job was finished")]/following-sibling::p)[1]/text()', []),
-        "id": (f"{details}/text()", [re_all(R.JOB_ID, 1), nth(0)]),
-        "featured": (f'{details}/span[@class="featured"]', [lambda a: F.size(a) > 0]),
-        "_b": (f"{details}//b/text()", [re_all(R.NUMBER)]),
-        "_remain": (f'{details}/text()[contains(., "Available Positions")]/following-sibling::span/text()',
-                    [re_all(R.NUMBER), nth(0), to_long]),
-        "success_pct": (f"{details}/text()", [re_all(SUCCESS, 1), nth(0), to_double]),
-        "duration": (f"{details}/text()", [re_all(DURATION_MINUTES), nth(0), to_long]),
-        "cat": (f"{details}//a/text()", []),
-        "_employer": (f'{root}/h1[1]/following-sibling::table//td[2]//div[contains(h3/text(), "About the Employer")]//b/a/@href',
-                      [nth(0)]),
-    }
+    complete, work done = total - available positions; a 'not running'
+    notice gives no row."""
+    spec = _spec(CC_JOB_XPATH, {
+        "_running": [_has_notice(NOT_RUNNING)],
+        "name": [nth(0)],
+        "countries": [re_all(R.COUNTRY)],
+        "expected": [],
+        "proof": [],
+        "id": [re_all(R.JOB_ID, 1), nth(0)],
+        "featured": [lambda a: F.size(a) > 0],
+        "_b": [re_all(R.NUMBER)],
+        "_remain": [re_all(R.NUMBER), nth(0), to_long],
+        "success_pct": [re_all(SUCCESS, 1), nth(0), to_double],
+        "duration": [re_all(DURATION_MINUTES), nth(0), to_long],
+        "cat": [],
+        "_employer": [nth(0)],
+    })
     f = apply_spec(pages, list(key_cols), spec).where(~F.col("_running"))
     total = to_long(F.get("_b", 1))
     return f.select(*key_cols, "name", "id", "featured", to_double(F.get("_b", 0)).alias("payment"),
@@ -145,13 +131,12 @@ def jb_job(pages: DataFrame, key_cols) -> DataFrame:
     total; kept only when amazon and a review word appear over the
     description texts."""
     from ..operators.filters import amazon_review_cumulative
-    spec = {
-        "expected": ('//div[@id="si-content"]//strong[contains(text(), "Job Description")]/following-sibling::p[1]/text()', []),
-        "_nums": (f"{JB_PANE}//h4/text()", [re_all(R.NUMBER)]),
-        "id": ('//div[@class="signup"]/div[contains(@style, "margin:") and contains(@style, "padding:")]/form/@action',
-               [re_all(R.NUMBER), nth(0)]),
-        "name": ('//div[@id="si-content"]//h2//text()', [joined(""), py_strip]),
-    }
+    spec = _spec(JB_JOB_XPATH, {
+        "expected": [],
+        "_nums": [re_all(R.NUMBER)],
+        "id": [re_all(R.NUMBER), nth(0)],
+        "name": [joined(""), py_strip],
+    })
     f = apply_spec(pages, list(key_cols), spec).where(amazon_review_cumulative("expected"))
     return f.select(*key_cols, "name", "id",
                     *numbers_to_fields("_nums", ["payment", "duration", "work_done", "work_total"],
@@ -161,17 +146,14 @@ def jb_job(pages: DataFrame, key_cols) -> DataFrame:
 def mf_job(pages: DataFrame, key_cols) -> DataFrame:
     """Minifreelance job page (N9/C24): numbers in order done, total,
     payment, duration; countries are one comma-separated cell."""
-    root = MF_ROOT
-    spec = {
-        "name": (f"({root}//span)[1]/text()", [re_all(R.SOME_TEXT), nth(0)]),
-        "id": (f"({root}//p)[1]/text()", [re_all(R.JOB_ID, 1), nth(0)]),
-        "_nums": (f"({root}//p)[1]//b/text()", [re_all(R.NUMBER)]),
-        "_countries": (f'{root}//p[contains(b/text(), "You can accept this job if you are from these countries")]'
-                       f'/following-sibling::table[1]//td/text()', [re_all(R.SOME_TEXT), nth(0)]),
-        "expected": (f'{root}//table[contains(.//b/text(), "What is expected from workers")]'
-                     f'/following-sibling::p[following-sibling::table]/text()', []),
-        "proof": (f'{root}//table[contains(.//td/b/text(), "proof")]/following-sibling::p[following-sibling::p[@style]]/text()', []),
-    }
+    spec = _spec(MF_JOB_XPATH, {
+        "name": [re_all(R.SOME_TEXT), nth(0)],
+        "id": [re_all(R.JOB_ID, 1), nth(0)],
+        "_nums": [re_all(R.NUMBER)],
+        "_countries": [re_all(R.SOME_TEXT), nth(0)],
+        "expected": [],
+        "proof": [],
+    })
     f = apply_spec(pages, list(key_cols), spec)
     return f.select(*key_cols, "name", "id",
                     *numbers_to_fields("_nums", ["work_done", "work_total", "payment", "duration"],
@@ -182,18 +164,13 @@ def mf_job(pages: DataFrame, key_cols) -> DataFrame:
 def st_job(pages: DataFrame, key_cols) -> DataFrame:
     """Shorttask job page (N10/D4): values follow bold labels in the task
     header; the 'not active' notice gives no row."""
-    top = f'{ST_ROOT}//div[@class="task-top"]'
-
-    def after(label):
-        return f'({top}//b[contains(text(), "{label}")]/following-sibling::text())[1]'
-    spec = {
-        "_inactive": ("//body//h3/text()", [lambda a: F.exists(a, lambda t: F.instr(t, "Sorry! This task is currently not active") > 0)]),
-        "name": (after("Title"), [joined(""), py_strip]),
-        "work_remain": (after("Tasks Available"), [re_all(R.NUMBER), nth(0), to_long]),
-        "employer": (after("Requester"), [joined(""), py_strip]),
-        "payment": (after("Reward"), [re_all(R.NUMBER), nth(0), to_double]),
-        "duration": (after("Duration"), [re_all(R.NUMBER), nth(0), to_long]),
-        "expected": (f'{ST_ROOT}//div[@class="box"][1]/following-sibling::div[@class="box" and '
-                     f'following-sibling::div[@class="divider"]]//text()', []),
-    }
+    spec = _spec(ST_JOB_XPATH, {
+        "_inactive": [_has_notice(NOT_ACTIVE)],
+        "name": [joined(""), py_strip],
+        "work_remain": [re_all(R.NUMBER), nth(0), to_long],
+        "employer": [joined(""), py_strip],
+        "payment": [re_all(R.NUMBER), nth(0), to_double],
+        "duration": [re_all(R.NUMBER), nth(0), to_long],
+        "expected": [],
+    })
     return apply_spec(pages, list(key_cols), spec).where(~F.col("_inactive")).drop("_inactive")
