@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from functools import reduce
+
+from . import constants as C
 from . import regexes as R
 from .processors import ColumnOrName, _c
 
@@ -96,9 +99,9 @@ def link_kind(url: ColumnOrName) -> Column:
     review link), 'short' (goo.gl / amzn short link), else NULL."""
     u = _c(url)
     return (F.when(F.instr(u, "/") == 0, F.lit(None))
-            .when(F.instr(u, "document") > 0, F.lit("document"))
-            .when(F.instr(u, "amazon") > 0, F.lit("amazon"))
-            .when((F.instr(u, "goo") > 0) | (F.instr(u, "amzn") > 0), F.lit("short")))
+            .when(F.instr(u, C.DOCUMENT_MARKER) > 0, F.lit("document"))
+            .when(F.instr(u, C.AMAZON_MARKER) > 0, F.lit("amazon"))
+            .when(reduce(lambda a, b: a | b, [F.instr(u, m) > 0 for m in C.SHORT_LINK_MARKERS]), F.lit("short")))
 
 
 def amazon_target(url: ColumnOrName) -> Column:
@@ -115,8 +118,8 @@ def app_platform(url: ColumnOrName) -> Column:
     """(platform, app_id) from an app URL (C26): Google Play by 'google' in
     the URL and ``id=<package>``, else App store and the digits after 'id'."""
     u = _c(url)
-    g = F.instr(u, "google") > 0
-    return F.struct(F.when(g, F.lit("Google Play")).otherwise(F.lit("App store")).alias("platform"),
+    g = F.instr(u, C.GOOGLE_MARKER) > 0
+    return F.struct(F.when(g, F.lit(C.PLATFORM_GOOGLE)).otherwise(F.lit(C.PLATFORM_APPLE)).alias("platform"),
                     F.when(g, F.regexp_extract(u, R.GOOGLE_APP_ID_GROUP, 1))
                     .otherwise(F.regexp_extract(u, R.APPLE_APP_ID_GROUP, 1)).alias("app_id"))
 
@@ -137,7 +140,7 @@ def short_link_url(url: ColumnOrName) -> Column:
     u = _c(url)
     code = F.regexp_extract(u, R.SHORT_URL, 1)
     return (F.when(F.instr(u, "http") > 0, u)
-            .when(code != "", F.concat(F.lit("https://www.goo.gl/"), code)))
+            .when(code != "", F.concat(F.lit(C.SHORT_LINK_BASE), code)))
 
 
 # ------------------------------------------------------------ templates

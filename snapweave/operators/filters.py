@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+import re
+from functools import reduce
+
+from ..functions import constants as C
 from ..functions import regexes as R
 from ..functions.processors import ColumnOrName, _c
 
 
+def _any_word(text: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [F.instr(text, w) > 0 for w in words])
+
+
+def _all_words(text: Column, words) -> Column:
+    return reduce(lambda a, b: a & b, [F.instr(text, w) > 0 for w in words])
+
+
 def paid_review_task(name: ColumnOrName, expected: ColumnOrName) -> Column:
     """The title mentions amazon or a review word, and amazon and a review
     word each appear in the title or the FIRST expected text (later expected
@@ -24,8 +36,8 @@ def paid_app_review_task(name: ColumnOrName, expected: ColumnOrName) -> Column:
     """Title contains feedback / review / rate (any case) and one single
     expected text contains both 'https://' and 'app' (any case)."""
     n = F.lower(F.coalesce(_c(name), F.lit("")))
-    title_ok = (F.instr(n, "feedback") > 0) | (F.instr(n, "review") > 0) | (F.instr(n, "rate") > 0)
-    one = F.exists(_c(expected), lambda x: (F.instr(F.lower(x), "https://") > 0) & (F.instr(F.lower(x), "app") > 0))
+    title_ok = _any_word(n, C.APP_REVIEW_TITLE_WORDS)
+    one = F.exists(_c(expected), lambda x: _all_words(F.lower(x), C.APP_LINK_MARKERS))
     return title_ok & F.coalesce(one, F.lit(False))
 
 
@@ -43,8 +55,9 @@ def paid_app_review_text(name: ColumnOrName, expected_text: ColumnOrName) -> Col
     double lookahead (Unix lines) replaces a lambda over the lines, so the test
     stays one JVM regex scan."""
     n = F.lower(F.coalesce(_c(name), F.lit("")))
-    title_ok = (F.instr(n, "feedback") > 0) | (F.instr(n, "review") > 0) | (F.instr(n, "rate") > 0)
-    one = F.coalesce(_c(expected_text), F.lit("")).rlike(r"(?imd)^(?=[^\n]*https://)(?=[^\n]*app)")
+    title_ok = _any_word(n, C.APP_REVIEW_TITLE_WORDS)
+    ahead = "".join(f"(?=[^\\n]*{re.escape(w)})" for w in C.APP_LINK_MARKERS)
+    one = F.coalesce(_c(expected_text), F.lit("")).rlike(f"(?imd)^{ahead}")
     return title_ok & one
 
 
@@ -62,7 +75,7 @@ def job_running(text: ColumnOrName, inactive_marker: str = "This job is currentl
 
 def job_detail_link(href: ColumnOrName) -> Column:
     """Keep only job-detail links of a list page."""
-    return F.instr(_c(href), "jobs_details") > 0
+    return F.instr(_c(href), C.JOB_DETAIL_MARKER) > 0
 
 
 def has_any(a: ColumnOrName) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import urls as U
 from ..operators import graph as G
 from ..operators import ranks as K
@@ -48,19 +49,18 @@ def flags_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.count(F.lit(1)).alias("work_total"),
                F.count_if(F.col("l_linestatus") == "O").alias("work_open")))
     j = p.join(li, p.p_partkey == li.l_partkey, "left")
-    mac = F.lower("p_type") == "mac-software"
-    types = F.filter(F.array(F.when(F.col("p_size") <= 10, F.lit("iPhone Apps")),
-                             F.when(F.col("p_size").between(11, 30), F.lit("iPad Apps")),
-                             F.when(F.col("p_size") > 30, F.lit("Mac Apps")),
-                             F.when(F.col("work_total") > 40, F.lit("App Bundles"))), lambda x: x.isNotNull())
+    mac = F.lower("p_type") == C.MAC_KIND
+    present = [F.col("p_size") <= 10, F.col("p_size").between(11, 30), F.col("p_size") > 30, F.col("work_total") > 40]
+    types = F.filter(F.array(*[F.when(cond, F.lit(t)) for cond, t in zip(present, C.APP_TYPES)]),
+                     lambda x: x.isNotNull())
     return j.select(
         "p_partkey",
         F.coalesce("work_total", F.lit(0)).cast("bigint").alias("rating_count"),
         F.when(mac, 0).otherwise(1).alias("iphone"), F.when(mac, 0).otherwise(1).alias("ipad"),
         F.when(mac, 1).otherwise(0).alias("osx"),
-        F.when(F.col("referrer").isNull(), F.lit("paid-app")).otherwise(F.lit("unknown-app")).alias("label"),
+        F.when(F.col("referrer").isNull(), F.lit(C.LABEL_PAID)).otherwise(F.lit(C.LABEL_UNKNOWN)).alias("label"),
         F.array_join(types, ",").alias("app_types"),
-        F.coalesce(F.get(types, 0), F.lit("App Bundles")).alias("first_type"),
+        F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE)).alias("first_type"),
         (F.coalesce("work_total", F.lit(0)) - F.coalesce("work_open", F.lit(0))).cast("bigint").alias("work_done"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import regexes as R
 from ..functions.urls import resolve_url
 
@@ -52,7 +53,7 @@ def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer",
     keep = [k for k in keep if k in bodies.columns]
     r = bodies.select(*keep, F.get(F.from_json(body_col, LOOKUP_SCHEMA)["results"], 0).alias("r"))
     r = r.where(F.col("r").isNotNull())
-    mac = F.col("r.kind") == "mac-software"
+    mac = F.col("r.kind") == C.MAC_KIND
     return r.select(
         F.col("r.trackId").cast("string").alias("id"),
         F.col("r.trackName").alias("app_name"),
@@ -78,5 +79,5 @@ def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer",
         F.coalesce("r.userRatingCount", F.lit(0)).alias("rating_count"),
         F.col("r.minimumOsVersion").alias("min_os_version"),
         *[F.col(k) for k in keep],
-        F.when(F.col("referrer").isNull() if "referrer" in keep else F.lit(True), F.lit("paid-app"))
-        .otherwise(F.lit("unknown-app")).alias("label"))
+        F.when(F.col("referrer").isNull() if "referrer" in keep else F.lit(True), F.lit(C.LABEL_PAID))
+        .otherwise(F.lit(C.LABEL_UNKNOWN)).alias("label"))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import regexes as R
 from ..functions.processors import only_elem_or_default, py_strip, star_values, text_after_by
 from .html import html_to_xhtml, to_xhtml, xpath_fields
@@ -143,14 +144,13 @@ def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
     ipad = ids("ipad_links")
     same_ipad = ipad.eqNullSafe(F.col(prev_ipad_col)) if prev_ipad_col else F.lit(False)
     chosen = F.when(same_ipad, ids("iphone_links")).otherwise(ids("all_links"))
-    types = F.filter(F.array(F.when(F.col("has_iphone") > 0, F.lit("iPhone Apps")),
-                             F.when(F.col("has_ipad") > 0, F.lit("iPad Apps")),
-                             F.when(F.col("has_mac") > 0, F.lit("Mac Apps")),
-                             F.when(F.col("has_bundles") > 0, F.lit("App Bundles"))), lambda t: t.isNotNull())
+    present = ["has_iphone", "has_ipad", "has_mac", "has_bundles"]
+    types = F.filter(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for c, t in zip(present, C.APP_TYPES)]),
+                     lambda t: t.isNotNull())
     app_ids = F.array_sort(F.array_distinct(chosen))
     return f.select(*key_cols, app_ids.alias("app_ids"), F.size(app_ids).cast("bigint").alias("n_apps"),
                     types.alias("app_types"),
-                    F.coalesce(F.get(types, 0), F.lit("App Bundles")).alias("single_app_type"),
+                    F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE)).alias("single_app_type"),
                     ipad.alias("ipad_ids"), "n_iphone_pager", "n_ipad_pager")
 
 

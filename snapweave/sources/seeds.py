@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.processors import py_strip
 
 PRODUCT_SEED_SCHEMA = "TYPE string, ID string, NAME string"
@@ -25,5 +26,5 @@ def read_seed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def app_store_seeds(tasks: DataFrame, platform_col: str = "app_platform", id_col: str = "app_id") -> DataFrame:
     """Crawl seeds from the task collection (A4/D6): App store apps only,
     one row per distinct app id."""
-    return (tasks.where(F.col(platform_col) == "App store")
+    return (tasks.where(F.col(platform_col) == C.PLATFORM_APPLE)
             .select(F.col(id_col).alias("app_id")).where(F.col("app_id").isNotNull()).distinct())
