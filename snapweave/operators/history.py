@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.processors import json_scalar
+from ..session import cut_lineage
 
 DAY = 86400
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -93,7 +94,10 @@ def with_buckets(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str
                                  F.max(micros).alias("_hi"))
            .where(F.col("_n") > split_rows)
            .select(*ids, F.ceil(F.col("_n") / F.lit(split_rows)).cast("bigint").alias("_parts"), "_lo", "_hi"))
-    df = df.join(F.broadcast(hot), ids, "left")  # size bounded by construction (see above)
+    # computed once (the delta uses the bucketed rows in two branches) and
+    # read back from the reliable checkpoint folder; broadcast safe by the bound
+    hot = cut_lineage(hot)
+    df = df.join(F.broadcast(hot), ids, "left")
     span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
     sub = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
         F.floor((micros - F.col("_lo")).cast("double") * F.col("_parts") / span).cast("bigint"))
