@@ -148,7 +148,8 @@ def history_entries(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[
                     F.size("_kv").cast("bigint").alias("n_changes"))
 
 
-def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Sequence[str] = ()) -> DataFrame:
+def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Sequence[str] = (),
+                  by_slice: bool = False) -> DataFrame:
     """History text in the snapshot-archive line format
     ``{"<id>":[["<ts>",{...}],...]}`` with entries in (ts, seq) order.
 
@@ -156,7 +157,9 @@ def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Seq
     per chunk, in time order, so no single row grows with the id's whole
     history; ``"bucket"`` uses the delta buckets, whose hot groups are already
     cut into slices of bounded size; ``None`` gives one line per id (archive
-    parity for small inputs).
+    parity for small inputs). ``by_slice`` also separates the slices of hot
+    groups (``slice`` is 0 for every ordinary group), so a very dense id-day
+    becomes several bounded lines.
     """
     if chunk_unit == "bucket":
         chunk = F.col("bk")
@@ -165,12 +168,14 @@ def history_lines(entries: DataFrame, chunk_unit: str | None = "day", group: Seq
     else:
         chunk = F.lit(None).cast("timestamp")
     entry = F.concat(F.lit("[\""), F.date_format("ts", TS_FMT), F.lit("\","), F.col("changes"), F.lit("]"))
-    g = (entries.withColumn("chunk", chunk)
-         .groupBy(*group, "id", "chunk")
+    slice_ = F.col("bk.s") if by_slice else F.lit(0).cast("bigint")
+    g = (entries.withColumn("chunk", chunk).withColumn("slice", slice_)
+         .groupBy(*group, "id", "chunk", "slice")
          .agg(F.array_sort(F.collect_list(F.struct("ts", "seq", entry.alias("e")))).alias("_es")))
     line = F.concat(F.lit("{"), json_scalar(F.col("id")), F.lit(":["),
                     F.array_join(F.transform("_es", lambda x: x["e"]), ","), F.lit("]}"))
-    return g.select(*group, "id", "chunk", F.size("_es").cast("bigint").alias("n_entries"), line.alias("line"))
+    out = g.select(*group, "id", "chunk", "slice", F.size("_es").cast("bigint").alias("n_entries"), line.alias("line"))
+    return out if by_slice else out.drop("slice")
 
 
 def decompress(changes: DataFrame, probes: DataFrame) -> DataFrame:

@@ -34,11 +34,12 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive lines ``{"<user>":[["ts",{changes}],...]}`` per user and day."""
+    """Archive lines ``{"<user>":[["ts",{changes}],...]}`` per user and day
+    (G1/I1/B3); a user-day hot enough to be sliced gives one line per slice."""
     ent = history.history_entries(_event_long(spark, sf_dir))
-    lines = history.history_lines(ent, "day")
+    lines = history.history_lines(ent, "day", by_slice=True)
     return lines.select(F.col("id").cast("bigint").alias("user_id"),
-                        F.date_format("chunk", "yyyy-MM-dd").alias("chunk"), "n_entries", "line")
+                        F.date_format("chunk", "yyyy-MM-dd").alias("chunk"), "slice", "n_entries", "line")
 
 
 def progress_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +168,7 @@ entries AS (
          coalesce(string_agg('"' || k.key || '":' || k.j, ',' ORDER BY k.key), '') || '}}]' AS entry
   FROM events s LEFT JOIN kept k ON s.user_id = k.user_id AND s.ts = k.ts AND s.event_id = k.event_id
   GROUP BY s.user_id, s.ts, s.event_id)
-SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS chunk, count(*)::BIGINT AS n_entries,
+SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS chunk, 0::BIGINT AS slice, count(*)::BIGINT AS n_entries,
        '{{"' || user_id::VARCHAR || '":[' || string_agg(entry, ',' ORDER BY ts, event_id) || ']}}' AS line
 FROM entries GROUP BY user_id, date_trunc('day', ts)
 """,

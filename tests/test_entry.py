@@ -23,7 +23,7 @@ E = _entry()
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.columns == ["user_id", "chunk", "n_entries", "line"]
+    assert df.columns == ["user_id", "chunk", "slice", "n_entries", "line"]
     assert df.count() > 0
 
 

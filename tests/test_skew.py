@@ -43,3 +43,19 @@ def test_hot_key_first_and_latest(spark):
                              ["l_orderkey", "l_linenumber", "l_partkey"]).collect()[0]
     assert (last.l_orderkey, last.l_linenumber, last.l_partkey) == \
         max((r.l_orderkey, r.l_linenumber, r.l_partkey) for r in rows)
+
+
+def test_hot_id_history_lines_split_by_slice(spark):
+    import json
+    ev = spark.read.parquet(f"{SMOKE}/events.parquet").withColumn("hot", F.lit(1))
+    long = H.long_from_columns(ev, "hot", "ts", "event_id", ["event_type", "props"])
+    whole = H.history_lines(H.history_entries(long, split_rows=None), "day").collect()
+    sliced = H.history_lines(H.history_entries(long, split_rows=50), "day", by_slice=True).collect()
+    assert len(sliced) > len(whole) and max(r.n_entries for r in sliced) < max(r.n_entries for r in whole)
+
+    def joined(rows, key):
+        out = []
+        for r in sorted(rows, key=key):
+            out.extend(json.loads(r.line)["1"])
+        return out
+    assert joined(sliced, lambda r: (r.chunk, r.slice)) == joined(whole, lambda r: r.chunk)
