@@ -27,7 +27,7 @@ def edges_from(df: DataFrame, src_type: str, src_id: str, dst_type: str, dst_col
             .where(F.col("dst_id").isNotNull()))
 
 
-def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT) -> DataFrame:
+def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT, salt: int = 16) -> DataFrame:
     """Breadth-first expansion from ``seeds`` (node_type, node_id) at depth 0,
     one level per round, nodes deeper than ``max_depth`` dropped (K1-K4).
 
@@ -35,16 +35,20 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
     (anti join) and keeps one referrer per new node: the smallest parent of the
     previous level (K4). Duplicate edges are harmless (the per-node ``min``
     collapses them), so edges are not de-duplicated here; they are
-    hash-partitioned by source once and persisted, so every round shuffles
-    only the (small) frontier into the edges' partitioning; their lineage is
-    the one edge derivation, cheap to recompute after a lost executor. Each round's new level is written to the
+    hash-partitioned by (source, salt) once and persisted, the salt being a
+    hash of the destination, so a hub node's edges spread over ``salt``
+    partitions; every round replicates the (small) frontier once per salt
+    value and shuffles only it. The edges' lineage is the one edge derivation,
+    cheap to recompute after a lost executor. Each round's new level is written to the
     reliable checkpoint folder, so the iterative part keeps a short lineage;
     the visited set is the union of those levels. Rounds are bounded by
     ``max_depth``.
     """
     e = (edges.select("src_type", "src_id", "dst_type", "dst_id")
-         .repartition("src_type", "src_id")
+         .withColumn("_salt", F.pmod(F.xxhash64("dst_type", "dst_id"), F.lit(salt)).cast("int"))
+         .repartition("src_type", "src_id", "_salt")
          .persist(StorageLevel.MEMORY_AND_DISK))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
     start = (seeds.select("node_type", "node_id")
              .distinct()
              .withColumn("depth", F.lit(0))
@@ -53,8 +57,8 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
     frontier = cut_lineage(start)
     visited = frontier
     for d in range(1, max_depth + 1):
-        step = (frontier.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"))
-                .join(e, ["src_type", "src_id"])
+        step = (frontier.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id"), salts)
+                .join(e, ["src_type", "src_id", "_salt"])
                 .select(F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"),
                         F.struct(F.col("src_type").alias("node_type"), F.col("src_id").alias("node_id"))
                         .alias("_ref")))

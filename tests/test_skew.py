@@ -59,3 +59,17 @@ def test_hot_id_history_lines_split_by_slice(spark):
             out.extend(json.loads(r.line)["1"])
         return out
     assert joined(sliced, lambda r: (r.chunk, r.slice)) == joined(whole, lambda r: r.chunk)
+
+
+def test_bfs_hub_node_salted(spark):
+    from snapweave.operators import graph as G
+    # one developer hub linked to every app; apps link to reviewers
+    edges = ([("developer", 0, "app", i) for i in range(300)] + [("app", i, "developer", 0) for i in range(300)]
+             + [("app", i, "reviewer", i % 7) for i in range(300)])
+    e = spark.createDataFrame([(a, b, c, d, "k") for a, b, c, d in edges],
+                              "src_type string, src_id long, dst_type string, dst_id long, kind string")
+    s = spark.createDataFrame([("app", 5)], "node_type string, node_id long")
+    for salt in (1, 16):
+        depth = {(r.node_type, r.node_id): r.depth for r in G.bounded_bfs(s, e, 3, salt=salt).collect()}
+        assert depth[("app", 5)] == 0 and depth[("developer", 0)] == 1 and depth[("reviewer", 5)] == 1
+        assert depth[("app", 6)] == 2 and len(depth) == 1 + 1 + 7 + 299
