@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.processors import json_scalar
-from ..session import cut_lineage
+from .skew import SPLIT_ROWS, time_slices
 
 DAY = 86400
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -67,42 +67,20 @@ def bucket_of(ts: Column, bucket_seconds: int) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
 
 
-SPLIT_ROWS = 2_000_000
-
-
 def with_buckets(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
                  split_rows: int | None = SPLIT_ROWS) -> DataFrame:
-    """Add the ordered bucket ``bk`` = struct(day bucket, sub bucket).
-
-    Groups (id, day bucket) with more than ``split_rows`` rows are hot: an
-    exact partial-aggregate count finds them and they are cut into
-    ``ceil(rows / split_rows)`` equal slices of the group's own time range
-    (min..max), so no window task holds much more than ``split_rows`` rows of
-    one id unless they crowd into a few instants.
-    The hot list is bounded by construction: every entry stands for more than
-    ``split_rows`` rows, so there are at most total_rows / split_rows of them
-    (500k entries of a few dozen bytes for 10^12 rows at the default), which
-    is what makes its broadcast safe. Ordering buckets as structs keeps them
+    """Add the ordered bucket ``bk`` = struct(time bucket, slice).
+
+    Groups (id, time bucket) with more than ``split_rows`` rows are hot and
+    cut into slices of their own time range (``skew.time_slices``), so no
+    window task holds much more than ``split_rows`` rows of one id unless they
+    crowd into a few instants. Ordering buckets as structs keeps them
     monotonic in time within an id, which the carry logic relies on.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     df = long.withColumn("_b0", bucket_of(F.col("ts"), bucket_seconds))
-    if not split_rows:
-        return df.withColumn("bk", F.struct(F.col("_b0").alias("b"), F.lit(0).alias("s"))).drop("_b0")
-    ids = [*group, "id", "_b0"]
-    hot = (df.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.min(micros).alias("_lo"),
-                                 F.max(micros).alias("_hi"))
-           .where(F.col("_n") > split_rows)
-           .select(*ids, F.ceil(F.col("_n") / F.lit(split_rows)).cast("bigint").alias("_parts"), "_lo", "_hi"))
-    # computed once (the delta uses the bucketed rows in two branches) and
-    # read back from the reliable checkpoint folder; broadcast safe by the bound
-    hot = cut_lineage(hot)
-    df = df.join(F.broadcast(hot), ids, "left")
-    span = (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")
-    sub = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
-        F.floor((micros - F.col("_lo")).cast("double") * F.col("_parts") / span).cast("bigint"))
-    return (df.withColumn("bk", F.struct(F.col("_b0").alias("b"), sub.alias("s")))
-            .drop("_b0", "_parts", "_lo", "_hi"))
+    df = time_slices(df, [*group, "id", "_b0"], micros, split_rows, "_s")
+    return df.withColumn("bk", F.struct(F.col("_b0").alias("b"), F.col("_s").alias("s"))).drop("_b0", "_s")
 
 
 # -------------------------------------------------------------- delta (H1/H2)

@@ -106,13 +106,16 @@ def reviewer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     parallel arrays (event type, value); pages are appended in arrival order,
     counts summed, latest timestamp kept; titles pair type and value (zip)."""
     from ..functions.processors import zip_concat
-    ev = read_table(spark, sf_dir, "events")
-    pages = ev.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id",
+    from ..operators.skew import time_slices
+    ev = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    # a user-day too hot for one row is cut into time slices (slice 0 otherwise)
+    ev = time_slices(ev, ["user_id", "day"], F.unix_micros(F.col("ts").cast("timestamp")))
+    pages = ev.select("user_id", "day", "slice", "ts", "event_id",
                       F.array("event_type").alias("types"),
                       F.array(F.format_number("value", 2)).alias("vals"),
                       F.lit(1).cast("bigint").alias("n_reviews"))
-    m = merge.append_pages(pages, ["user_id", "day"], ["ts", "event_id"], ["types", "vals"], "n_reviews", "ts")
-    return m.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_reviews",
+    m = merge.append_pages(pages, ["user_id", "day", "slice"], ["ts", "event_id"], ["types", "vals"], "n_reviews", "ts")
+    return m.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "slice", "n_reviews",
                     F.array_join("types", ",").alias("types"),
                     F.array_join(zip_concat("types", "vals", ":"), ",").alias("titles"),
                     F.date_format("ts", TS_TEXT).alias("latest_ts"))
@@ -225,7 +228,7 @@ SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(l_partkey))), ','
 FROM lineitem GROUP BY l_suppkey
 """,
     "reviewer_append": """
-SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS day, count(*)::BIGINT AS n_reviews,
+SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS day, 0::BIGINT AS slice, count(*)::BIGINT AS n_reviews,
        string_agg(event_type, ',' ORDER BY ts, event_id) AS types,
        string_agg(event_type || ':' || format('{:,.2f}', value), ',' ORDER BY ts, event_id) AS titles,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_ts

@@ -73,3 +73,16 @@ def test_bfs_hub_node_salted(spark):
         depth = {(r.node_type, r.node_id): r.depth for r in G.bounded_bfs(s, e, 3, salt=salt).collect()}
         assert depth[("app", 5)] == 0 and depth[("developer", 0)] == 1 and depth[("reviewer", 5)] == 1
         assert depth[("app", 6)] == 2 and len(depth) == 1 + 1 + 7 + 299
+
+
+def test_time_slices_split_hot_groups_only(spark):
+    from snapweave.operators.skew import time_slices
+    ev = spark.read.parquet(f"{SMOKE}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    hot = time_slices(ev.withColumn("g", F.lit(1)), ["g"], us, 100)
+    assert hot.select("slice").distinct().count() >= ev.count() // 100 * 0.5
+    # slices grow with time inside the group
+    r = hot.groupBy("slice").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("slice").collect()
+    assert all(a.hi <= b.lo for a, b in zip(r, r[1:]))
+    cold = time_slices(ev, ["user_id"], us, 10 ** 6)
+    assert cold.where("slice <> 0").count() == 0
