@@ -32,13 +32,14 @@ def merge_developers(df: DataFrame, dev_key: str, app_col: str, ts_col: str,
 
 def append_pages(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str | Column],
                  array_cols: Sequence[str], count_col: str | None, ts_col: str,
-                 dedupe: bool = False) -> DataFrame:
+                 dedupe: bool = False, dedupe_on: Sequence[str] | None = None) -> DataFrame:
     """Reviewer merge (G4): parallel arrays of every page appended in arrival
     order, counts summed, latest timestamp kept.
 
     Arrays are carried as one array of structs per page so positions can never
     drift apart; ``dedupe`` drops repeated identical entries (a re-crawled
-    page), default keeps them (parity with plain append).
+    page), ``dedupe_on`` keeps the first entry per value of the given fields
+    (e.g. app id, date, title); default keeps all (parity with plain append).
     Output arrays are also exposed one per field (the wide compatibility view).
     """
     order = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order_cols])
@@ -50,6 +51,15 @@ def append_pages(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str |
     items = F.flatten(F.transform("_pages", lambda p: p["_items"]))
     if dedupe:
         items = F.array_distinct(items)
+    if dedupe_on:
+        def same(x, y):
+            cond = None
+            for f in dedupe_on:
+                c = x[f].eqNullSafe(y[f])
+                cond = c if cond is None else cond & c
+            return cond
+        # keep an entry only if no earlier entry has the same key fields
+        items = F.filter(items, lambda x, i: ~F.exists(F.slice(items, 1, i), lambda y: same(x, y)))
     g = g.withColumn("items", items).drop("_pages")
     for c in array_cols:
         g = g.withColumn(c, F.transform("items", _field(c)))

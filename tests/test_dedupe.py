@@ -85,3 +85,23 @@ def test_reviewer_append_fixture(spark):
     again = df.unionByName(df.where(F.col("page") == 1).withColumn("page", F.lit(3)))
     r2 = M.append_pages(again, ["rid"], ["page"], ["titles", "stars"], "n", "ts", dedupe=True).collect()[0]
     assert r2.titles == ["a", "b", "c"]
+
+
+def test_reviewer_append_dedupe_on_keys(spark):
+    df = spark.createDataFrame([("r1", 1, ["a1", "a2"], ["t", "u"], 2, dt.datetime(2016, 1, 1)),
+                                ("r1", 2, ["a1", "a3"], ["t2", "v"], 2, dt.datetime(2016, 1, 2))],
+                               "rid string, page int, app_ids array<string>, titles array<string>, n int, ts timestamp")
+    r = M.append_pages(df, ["rid"], ["page"], ["app_ids", "titles"], "n", "ts", dedupe_on=["app_ids"]).collect()[0]
+    assert r.app_ids == ["a1", "a2", "a3"] and r.titles == ["t", "u", "v"]
+
+
+def test_stream_upsert_batch_replay_is_idempotent(spark, tmp_path):
+    from snapweave.streaming.streams import latest_version, upsert_batches
+    target = str(tmp_path / "t")
+    run = upsert_batches(target, ["k"], ["v"])
+    b0 = spark.createDataFrame([("A", 1), ("B", 2)], "k string, v int")
+    b1 = spark.createDataFrame([("A", 5)], "k string, v int")
+    run(b0, 0)
+    run(b1, 1)
+    run(b1, 1)  # a replayed micro-batch rewrites the same version
+    assert sorted(tuple(r) for r in latest_version(spark, target).collect()) == [("A", 5), ("B", 2)]
