@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the item pipelines.
+"""Structured Streaming versions of the item processing stages.
 
 * ``dedupe_stream``      L1: stateful drop of already-seen (type, key)
 * ``upsert_batches``     L2: continuous keyed upsert through ``foreachBatch``
