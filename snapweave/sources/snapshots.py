@@ -70,15 +70,21 @@ def read_snapshot_lines(spark: SparkSession, paths: Sequence[str] | DataFrame,
         ranks = file_order.select("path", F.col("file_rank").cast("bigint"))
         raw = raw.join(checked_broadcast(ranks, ["path"]), "path", "left")
     else:
-        order = {p: i for i, p in enumerate(path_list)}
-        mapping = F.create_map(*[x for p, i in order.items() for x in (F.lit(_as_uri(p)), F.lit(i))])
-        raw = raw.withColumn("file_rank", F.coalesce(mapping[F.col("path")], F.lit(None)).cast("bigint"))
+        # the given order; paths compared without the local-file scheme, which
+        # Spark writes as 'file:/...' while callers pass '/...' or 'file:///...'
+        order = {_plain(p): i for i, p in enumerate(path_list)}
+        mapping = F.create_map(*[x for p, i in order.items() for x in (F.lit(p), F.lit(i))])
+        raw = raw.withColumn("file_rank", mapping[F.regexp_replace("path", "^file:/+", "/")].cast("bigint"))
     seq = F.struct(F.col("file_rank"), F.col("path"), F.col("block"), F.col("row"))
     return raw.where(F.length(F.trim("value")) > 0).select("value", seq.alias("seq"), "path")
 
 
-def _as_uri(p: str) -> str:
-    return p if "://" in p else "file://" + p
+def _plain(p: str) -> str:
+    """A local path without scheme ('/a/b'); other URIs unchanged."""
+    import re
+    if p.startswith("file:"):
+        return re.sub(r"^file:/+", "/", p)
+    return p if "://" in p else "/" + p.lstrip("/")
 
 
 def parse_snapshots(lines: DataFrame, strict: bool = True) -> DataFrame:

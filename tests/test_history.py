@@ -153,3 +153,13 @@ def test_bucket_chunks_bound_line_size(spark):
         for k, v in json.loads(r.line).items():
             out.setdefault(k, []).extend(v)
     assert out == _expected()
+
+
+def test_given_file_order_decides_ties(spark, tmpdir_path):
+    """Equal timestamps follow the given file order, not the file names."""
+    b = _write(tmpdir_path, "b.json", [{"id": "x", "timestamp": "2014-01-01 00:00:00", "v": "from-b"}])
+    a = _write(tmpdir_path, "a.json", [{"id": "x", "timestamp": "2014-01-01 00:00:00", "v": "from-a"}])
+    lines = read_snapshot_lines(spark, [b, a])
+    assert [r.file_rank for r in lines.select("seq.file_rank").collect()] != [None, None]
+    got = _as_dict(_compress(spark, [b, a]).collect())["x"]
+    assert got == [["2014-01-01 00:00:00", {"v": "from-b"}], ["2014-01-01 00:00:00", {"v": "from-a"}]]
