@@ -27,7 +27,8 @@ def edges_from(df: DataFrame, src_type: str, src_id: str, dst_type: str, dst_col
             .where(F.col("dst_id").isNotNull()))
 
 
-def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT, salt: int = 16) -> DataFrame:
+def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT, salt: int = 16,
+                paged_at_limit: bool = False) -> DataFrame:
     """Breadth-first expansion from ``seeds`` (node_type, node_id) at depth 0,
     one level per round, nodes deeper than ``max_depth`` dropped (K1-K4).
 
@@ -42,8 +43,12 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
     cheap to recompute after a lost executor. Each round's new level is written to the
     reliable checkpoint folder, so the iterative part keeps a short lineage;
     the visited set is the union of those levels. Rounds are bounded by
-    ``max_depth``.
+    ``max_depth``. ``paged_at_limit`` reproduces the original crawler, whose
+    item requests all carried a page number and were therefore dropped at the
+    depth limit: nodes are then reached to ``max_depth - 1`` only.
     """
+    if paged_at_limit:
+        max_depth -= 1
     e = (edges.select("src_type", "src_id", "dst_type", "dst_id")
          .withColumn("_salt", F.pmod(F.xxhash64("dst_type", "dst_id"), F.lit(salt)).cast("int"))
          .repartition("src_type", "src_id", "_salt")

@@ -88,3 +88,11 @@ def test_first_list_rank_and_ids(spark):
     rv = spark.createDataFrame([(1, 5, 2, 1), (2, 1, 9, 2), (3, 5, 0, 3)], "id int, rating int, vote int, updated int")
     assert [x.id for x in K.order_reviews(rv, "mostCritical").collect()] == [2, 3, 1]
     assert F is not None
+
+
+def test_bfs_paged_at_limit_parity(spark):
+    e = spark.createDataFrame([("app", i, "app", i + 1, "k") for i in range(5)],
+                              "src_type string, src_id long, dst_type string, dst_id long, kind string")
+    s = spark.createDataFrame([("app", 0)], "node_type string, node_id long")
+    assert G.bounded_bfs(s, e, 3).agg({"depth": "max"}).first()[0] == 3
+    assert G.bounded_bfs(s, e, 3, paged_at_limit=True).agg({"depth": "max"}).first()[0] == 2
