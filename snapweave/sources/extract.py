@@ -21,9 +21,9 @@ from ..functions import constants as C
 from ..functions import regexes as R
 from ..functions.processors import only_elem_or_default, py_strip, star_values, text_after_by
 from .html import html_to_xhtml, to_xhtml, xpath_fields
-from .locators import (DEVELOPER_PAGE_SPEC, MW_BASE_URL, MW_EMPLOYER, MW_LIST_FIELDS,  # noqa: F401
-                       MW_LIST_ROW, MW_USER_FIELDS, MW_USER_LEFT, MW_WORKER, MW_WORKER_BASIC, MW_WORKER_HG,
-                       MW_JOB_XPATH, NOT_RUNNING, RELATED_PAGE_SPEC, REVIEW_BLOCK, REVIEWER_PAGE_SPEC, RW_JOB_SPEC)
+from .locators import (DEVELOPER_PAGE_SPEC, MW_BASE_URL, MW_JOB_XPATH, MW_LIST_FIELDS, MW_LIST_ROW,
+                       MW_USER_FIELDS, NOT_RUNNING, RELATED_PAGE_SPEC, REVIEWER_PAGE_SPEC, REVIEW_BLOCK,
+                       RW_JOB_SPEC)
 
 _ID = re.compile(R.APP_ID)
 _KIND = re.compile(r"^https?://[^/]+/[a-z]{2}/([a-z-]+)/")
