@@ -163,3 +163,14 @@ def test_given_file_order_decides_ties(spark, tmpdir_path):
     assert [r.file_rank for r in lines.select("seq.file_rank").collect()] != [None, None]
     got = _as_dict(_compress(spark, [b, a]).collect())["x"]
     assert got == [["2014-01-01 00:00:00", {"v": "from-b"}], ["2014-01-01 00:00:00", {"v": "from-a"}]]
+
+
+def test_malformed_lines_strict_and_lenient(spark, tmpdir_path):
+    import pytest
+    p = os.path.join(tmpdir_path, "job-1.json")
+    with open(p, "w") as f:
+        f.write('{"id": "a", "timestamp": "2014-01-01 00:00:00", "v": 1}\n{not json\n\n')
+    lines = read_snapshot_lines(spark, [p])
+    assert parse_snapshots(lines, strict=False).count() == 1  # blank line skipped, bad line dropped
+    with pytest.raises(Exception):
+        parse_snapshots(lines, strict=True).collect()
