@@ -98,7 +98,7 @@ def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
     Ties in ``order_cols`` are broken by (key1, key2); of rows equal in order
     and both keys one (the smallest row) is stored.
     Each round is a pair of partial aggregates and anti joins; the undecided
-    set is written to the reliable checkpoint folder every round to cut
+    set is written to the reliable checkpoint folder after every round to cut
     lineage. Rows with a NULL key never conflict and are kept as is.
     """
     d = df.withColumn("_o", _order([*order_cols, key1, key2]))
@@ -108,7 +108,9 @@ def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
         rest = (rest.join(existing.select(key1).distinct(), key1, "left_anti")
                 .join(existing.select(key2).distinct(), key2, "left_anti"))
     stored: list[DataFrame] = []
-    remaining = cut_lineage(rest)
+    # the first round reads the (cheap to recompute) input directly; with the
+    # anti joins against stored keys its lineage is worth materialising first
+    remaining = cut_lineage(rest) if existing is not None else rest
     for _ in range(max_rounds):
         if remaining.isEmpty():
             break
