@@ -39,3 +39,26 @@ def consolidate(spark: SparkSession, io_dir: str, out_dir: str, item_types: Sequ
                 chunk_unit: str | None = None) -> None:
     """Write the archives under ``out_dir/spider=<s>/item_type=<t>/`` (gzip)."""
     write_history(consolidated_lines(spark, io_dir, item_types, chunk_unit), out_dir, partition_by=GROUP)
+
+
+def main(argv: Sequence[str] | None = None) -> None:
+    """Command line: ``python -m snapweave.plans.consolidate --io-dir DIR
+    --out-dir DIR [--item-types job user] [--chunk-unit day]``. The session
+    comes from the environment (``spark-submit`` settings or local mode)."""
+    import argparse
+
+    from ..session import build_session
+
+    ap = argparse.ArgumentParser(description="Compress crawl snapshot files into delta histories")
+    ap.add_argument("--io-dir", required=True, help="folder with one subfolder per spider")
+    ap.add_argument("--out-dir", required=True, help="archive folder (spider=/item_type= partitions)")
+    ap.add_argument("--item-types", nargs="+", default=["job", "user"])
+    ap.add_argument("--chunk-unit", default=None, help="date_trunc unit or 'bucket' to cut long histories")
+    ap.add_argument("--master", default=None, help="Spark master when not run through spark-submit")
+    args = ap.parse_args(argv)
+    spark = build_session(args.master) if args.master else build_session()
+    consolidate(spark, args.io_dir, args.out_dir, args.item_types, args.chunk_unit)
+
+
+if __name__ == "__main__":
+    main()
