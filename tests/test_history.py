@@ -174,3 +174,25 @@ def test_malformed_lines_strict_and_lenient(spark, tmpdir_path):
     assert parse_snapshots(lines, strict=False).count() == 1  # blank line skipped, bad line dropped
     with pytest.raises(Exception):
         parse_snapshots(lines, strict=True).collect()
+
+
+def test_consolidation_command_line(spark, tmpdir_path):
+    import glob
+    import gzip
+    import shutil
+    from snapweave.plans.consolidate import main
+    io = os.path.join(tmpdir_path, "io", "s1")
+    os.makedirs(io)
+    shutil.copy(os.path.join(GOLDEN, "input_1.json"), os.path.join(io, "job-1.json"))
+    time.sleep(0.05)
+    shutil.copy(os.path.join(GOLDEN, "input_2.json"), os.path.join(io, "job-2.json"))
+    time.sleep(1.1)
+    _write(io, "job-3.json", [{"id": "z", "timestamp": "2014-01-03 00:00:00"}])
+    out = os.path.join(tmpdir_path, "out")
+    main(["--io-dir", os.path.dirname(io), "--out-dir", out, "--item-types", "job"])
+    got = {}
+    for p in glob.glob(os.path.join(out, "spider=s1", "item_type=job", "*.gz")):
+        with gzip.open(p, "rt") as f:
+            for line in f:
+                got.update(json.loads(line))
+    assert got == _expected()
