@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from snapweave.session import read_table
 
 from . import ordinal
+from .bm25 import search
+from .collision_hashing import nearest
+from .gumbel_pieces import sample_segmentations
 from .licences import scan_licences
 from .minhash_forest import near_duplicates
 from .packing import pack_documents
 from .sparse_suffixes import repeated_passages
 from .suffix_trees import substring_dedup
+from .text_density import extract
 
 
 def op1_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,10 @@ def op3_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, model, ordinal.CLEAN)
 
 
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (repeated_passages(read_table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_shared", "n_removed", "shared_spans", "removed_spans"))
@@ -37,17 +45,35 @@ def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(read_table(spark, sf_dir, "documents"))
 
 
+def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_linear_grouping": op2_linear_grouping,
     "op3_ordinal": op3_ordinal,
+    "op4_text_density": op4_text_density,
     "op5_sparse_suffixes": op5_sparse_suffixes,
     "op6_suffix_trees": op6_suffix_trees,
+    "op7_collision_counting": op7_collision_counting,
+    "op8_block_max": op8_block_max,
     "op9_licence_rules": op9_licence_rules,
+    "op10_gumbel_pieces": op10_gumbel_pieces,
 }
 
 ORACLE: dict[str, str] = {}
