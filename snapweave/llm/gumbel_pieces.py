@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import textcore as T
 
 SAMPLES, ALPHA, SEED = 4, 1.0, 1
-UNITS_HELD = 300_000
+UNITS_HELD = 400_000
 BYTE_WEIGHT = -30.0
 
 
@@ -93,7 +93,7 @@ class Lattices:
         self.clear()
 
     _FIELDS = {"base": np.int64, "length": np.int64, "first": np.int64, "count": np.int64, "arc_id": np.int32,
-               "arc_len": np.int64, "arc_logp": float, "arc_rest": float, "arc_cum": float}
+               "arc_len": np.uint16, "arc_logp": float, "arc_rest": np.float32, "arc_cum": np.float32}
 
     def clear(self):
         self.index: dict[int, int] = {}
@@ -192,7 +192,7 @@ class Lattices:
                 a[more] += 1
                 more = more[draw[more] >= self.arc_cum[a[more]]]
             at.append(o), arcs.append(a)
-            n = self.arc_len[a]
+            n = self.arc_len[a].astype(np.int64)
             go = left > n
             o, node, left = o[go], (node + n)[go], (left - n)[go]
             step += 1
@@ -260,21 +260,25 @@ class Sampler:
             run = np.cumsum(logp)
             before = run - logp
             noise = -np.log(_uniform(word_key[o] ^ T.mix(salt + np.arange(len(o), dtype=np.uint64) - cut[:-1][row].astype(np.uint64))))
-            for r, (arcs, where, done, g) in head.items():
-                s = slice(cut[r], cut[r + 1])
-                offset = done - (before[cut[r]] if cut[r] < cut[r + 1] else 0.0)
-                mass = before[s] + offset + lat.arc_rest[a[s]]
-                with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                    bound = mass - np.log(np.exp(np.minimum(mass - g, 700.0)) + noise[s])
-                path, place = np.concatenate([arcs, a[s]]), np.concatenate([where, o[s]])
-                total = done + float(logp[s].sum())
-                leaves[r].append((total, g, path, place))
-                take = np.flatnonzero(np.isfinite(bound))
-                want = k - leaf
-                if len(take) > want:
-                    take = take[np.argpartition(-bound[take], want - 1)[:want]]
+            done, roof = np.zeros(b.rows), np.zeros(b.rows)
+            for r, (_, _, x, g) in head.items():
+                done[r], roof[r] = x, g
+            some = cut[:-1] < cut[1:]
+            done[some] -= before[cut[:-1][some]]
+            reach = before + done[row]
+            mass = reach + lat.arc_rest[a]
+            bound = mass - np.log(np.exp(np.minimum(mass - roof[row], 700.0)) + noise)
+            sums = np.add.reduceat(np.append(logp, 0.0), cut[:-1])
+            want = k - leaf
+            for r, (arcs, where, given, g) in head.items():
+                lo, hi = cut[r], cut[r + 1]
+                path, place = np.concatenate([arcs, a[lo:hi]]), np.concatenate([where, o[lo:hi]])
+                leaves[r].append((given + float(sums[r]) if hi > lo else given, g, path, place))
+                own_bound = bound[lo:hi]
+                take = np.argpartition(-own_bound, want - 1)[:want] if hi - lo > want else np.arange(hi - lo)
                 mine = len(leaves[r]) - 1
-                heaps[r].extend((float(bound[t]), mine, len(arcs) + int(t), (int(a[s][t]),), float(before[s][t] + offset)) for t in take)
+                heaps[r].extend((float(own_bound[t]), mine, len(arcs) + t, (int(a[lo + t]),), float(reach[lo + t]))
+                                for t in take.tolist() if own_bound[t] > -np.inf)
                 heaps[r].sort(key=lambda x: (-x[0], x[1], x[2]))
             start = []
             for r in head:

@@ -13,7 +13,8 @@ links are closed to components.
 
 Equal sets are collapsed to one representative first, so copies never meet as
 pairs. Within a region a document keeps its ``NEAREST`` most similar candidates
-and its sorted neighbours, so a group of m near copies yields O(m) pairs.
+and its sorted neighbours, and over all trees its ``BEST`` most similar ones, so
+a group of m near copies yields O(m) pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from snapweave.session import cut_lineage
 
@@ -30,7 +31,7 @@ from . import textcore as T
 from .components import components, shuffle_partitions
 
 TREES, DEPTH, BASE = 24, 10, 4
-REGION, NEAREST, NEIGHBOURS = 512, 4, 8
+REGION, NEAREST, NEIGHBOURS, BEST = 512, 4, 8, 10
 HASHES = TREES * DEPTH
 SKETCH_BITS = 192
 BUFFER_ROWS = 60_000
@@ -100,7 +101,7 @@ def _signatures(k: int):
 
 
 def _pairs(ids, hs, sizes, labels, sketches, num, den):
-    """Candidate pairs of rows sorted by label: index arrays (i, j)."""
+    """Candidate pairs of rows sorted by label: columns i, j and the sketch bits that agree."""
     m = len(ids)
     lcp = np.zeros(m, np.int64)
     same = labels[1:] == labels[:-1]
@@ -150,7 +151,7 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
             i = np.flatnonzero(near[:-o] & near[o:] & (np.cumsum(lcp < BASE + 1)[o:] == np.cumsum(lcp < BASE + 1)[:-o]))
             test(i, i + o)
     if not found_i:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 3), np.int64)
     i, j, a = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(agree)
     src, other, edge = np.concatenate([i, j]), np.concatenate([-a, -a]), np.tile(np.arange(len(i)), 2)
     order = np.lexsort((np.abs(np.concatenate([j - i, j - i])), other, src))
@@ -160,7 +161,7 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
     keep = np.zeros(len(i), bool)
     keep[edge[order[rank < NEAREST]]] = True
     keep |= (j - i) <= 2
-    return np.stack([i[keep], j[keep]], axis=1)
+    return np.stack([i[keep], j[keep], a[keep]], axis=1)
 
 
 def least_agree(similarity: float) -> int:
@@ -204,9 +205,9 @@ class _Rows:
         return len(self.ids)
 
     def pairs(self, num, den):
-        p = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den) if len(self) > 1 else np.zeros((0, 2), np.int64)
+        p = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den) if len(self) > 1 else np.zeros((0, 3), np.int64)
         i, j = p[:, 0], p[:, 1]
-        return pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j])
+        return pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j], p[:, 2])
 
     def borders(self, at, side):
         n = len(self)
@@ -217,13 +218,13 @@ class _Rows:
              pa.array([x.tobytes() for x in self.labels], pa.binary()), pa.array([x.tobytes() for x in self.sketches], pa.binary())], names=_NAMES)
 
 
-def pair_batch(a, ha, b, hb):
+def pair_batch(a, ha, b, hb, agree):
     n = len(a)
     swap = a > b
     a, b, ha, hb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, hb, ha), np.where(swap, ha, hb)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.zeros(n, np.int32)), pa.array(a), pa.array(ha), pa.array(b), pa.array(hb),
-         *[pa.nulls(n, t) for t in _TYPES[5:]]], names=_NAMES)
+         *[pa.nulls(n, t) for t in _TYPES[5:7]], pa.array(agree), *[pa.nulls(n, t) for t in _TYPES[8:]]], names=_NAMES)
 
 
 def _scan(num, den):
@@ -263,7 +264,7 @@ def _borders(num, den):
     def run(group):
         g = group.combine_chunks().rename_columns(["at", "id", "h", "n", "label", "sketch"]).sort_by([("label", "ascending"), ("id", "ascending")])
         out = [_Rows(b).pairs(num, den) for b in g.to_batches() if b.num_rows > 1]
-        return pa.Table.from_batches(out, pa.schema(list(zip(_NAMES, _TYPES, strict=True)))).select(_NAMES[:5])
+        return pa.Table.from_batches(out, pa.schema(list(zip(_NAMES, _TYPES, strict=True)))).select([*_NAMES[:5], "n"])
     return run
 
 
@@ -335,16 +336,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut_lineage(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
                         .mapInArrow(_scan(num, den), _PAIR_SCHEMA))
     across = (found.where("kind = 1").select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch")
-              .groupBy("at").applyInArrow(_borders(num, den), "kind int, a long, ha long, b long, hb long"))
-    edges = cut_lineage(found.where("kind = 0").select("a", "ha", "b", "hb")
-                        .union(across.select("a", "ha", "b", "hb")).distinct())
+              .groupBy("at").applyInArrow(_borders(num, den), "kind int, a long, ha long, b long, hb long, n long"))
+    pairs = (found.where("kind = 0").select("a", "ha", "b", "hb", "n").union(across.select("a", "ha", "b", "hb", "n")).distinct())
+    sided = pairs.select("*", F.explode(F.array("ha", "hb")).alias("v"))
+    best = Window.partitionBy("v").orderBy(F.desc("n"), "ha", "hb", "a", "b")
+    edges = cut_lineage(sided.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select("a", "ha", "b", "hb").distinct())
     # pairs are confirmed in blocks: neighbours of one small id together, large blocks split by a hash of a
     ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a")))
     low = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("block"))
     placed = (edges.join(low.withColumnRenamed("v", "a"), "a").withColumnRenamed("block", "ba")
               .join(low.withColumnRenamed("v", "b"), "b").withColumn("block", F.least("ba", "block")).drop("ba"))
-    size = placed.groupBy("block").agg(F.count("*").alias("m"))
-    placed = cut_lineage(placed.join(size, "block").withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / BLOCK_EDGES)))
+    placed = cut_lineage(placed.select("block", "a", "ha", "b", "hb"))
+    large = cut_lineage(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
+    salts = F.coalesce(F.ceil(F.col("m") / BLOCK_EDGES), F.lit(1))
+    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts))
                          .select("block", "salt", "a", "ha", "b", "hb"))
     member = (placed.select("block", "salt", "a", "ha")
               .union(placed.select("block", "salt", F.col("b"), F.col("hb"))).distinct())

@@ -82,7 +82,8 @@ def live_documents(docs: DataFrame, prof: DataFrame) -> tuple[DataFrame, DataFra
     first = ok.groupBy("seq", "n_words").agg(F.min("id").alias("first"))
     reps = (ok.join(first, ["seq", "n_words"]).where("id = first").select("id", "xh", "grams").dropDuplicates(["id", "xh"]))
     place = reps.select("id", "xh", F.posexplode("grams").alias("run", "g"))
-    shared = (place.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g"))
+    # a table of its own, so that a very frequent hash is split by the join below
+    shared = cut_lineage(place.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g"))
     runs = (place.join(shared, "g", "left_semi").groupBy("id", "xh").agg(F.collect_list("run").alias("runs")))
     return first, written(docs.join(runs, ["id", "xh"]))
 
