@@ -163,7 +163,7 @@ def star_values(labels: ColumnOrName) -> Column:
 def text_after_by(x: ColumnOrName) -> Column:
     """Reviewer name: text after the first 'by '; NULL when there is none."""
     x = _c(x)
-    return F.when(F.instr(x, "by ") > 0, F.regexp_extract(x, r"^.*?by (.*)$", 1))
+    return F.when(F.instr(x, "by ") > 0, py_strip(F.regexp_extract(x, r"(?s)^.*?by (.*)$", 1)))
 
 
 # ------------------------------------------------------------- misc

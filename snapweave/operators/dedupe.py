@@ -51,7 +51,9 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str],
     """
     u = (base.withColumn("_src", F.lit(0))
          .unionByName(delta.withColumn("_src", F.lit(1)), allowMissingColumns=True))
-    return latest_per_key(u, keys, ["_src", *order_cols]).drop("_src")
+    # without order columns the largest row counts, so the result doesn't depend on the partitions
+    ties = [c for c in u.columns if c not in keys and c != "_src"] if not order_cols else []
+    return latest_per_key(u, keys, ["_src", *order_cols, *ties]).drop("_src")
 
 
 def either_key_new(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str | Column],
@@ -63,28 +65,27 @@ def either_key_new(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
     key, so "seen" never depends on earlier decisions and the rule is exact as:
     keep iff (first row of its key1 and key1 not existing) or (same for key2).
     Ties in ``order_cols`` are broken by (key1, key2); rows equal in order and
-    both keys are duplicates of which one (the smallest row) is kept.
+    both keys are duplicates of which one (the smallest row) is kept. Only the
+    first row of each key is shuffled (two partial aggregates). Rows with a NULL
+    key never conflict and are kept as is.
     """
     cols = df.columns
     d = df.withColumn("_o", _order([*order_cols, key1, key2]))
-    m1 = d.groupBy(key1).agg(F.min("_o").alias("_m1"))
-    m2 = d.groupBy(key2).agg(F.min("_o").alias("_m2"))
-    if existing is not None:
-        e1 = existing.select(key1).distinct().withColumn("_e1", F.lit(True))
-        e2 = existing.select(key2).distinct().withColumn("_e2", F.lit(True))
-        m1 = m1.join(e1, key1, "left")
-        m2 = m2.join(e2, key2, "left")
-    else:
-        m1 = m1.withColumn("_e1", F.lit(None).cast("boolean"))
-        m2 = m2.withColumn("_e2", F.lit(None).cast("boolean"))
-    new1 = (F.col("_o") == F.col("_m1")) & F.col("_e1").isNull()
-    new2 = (F.col("_o") == F.col("_m2")) & F.col("_e2").isNull()
-    kept = d.join(m1, key1).join(m2, key2).where(new1 | new2)
-    return (kept.groupBy("_o").agg(F.min(F.struct(*cols)).alias("_r")).select("_r.*"))
+    nulls = d.where(F.col(key1).isNull() | F.col(key2).isNull()).select(*cols)
+    d = d.where(F.col(key1).isNotNull() & F.col(key2).isNotNull())
+    row = F.min(F.struct("_o", F.struct(*cols).alias("_r"))).alias("_x")
+    firsts = []
+    for key in (key1, key2):
+        f = d.groupBy(key).agg(row)
+        if existing is not None:
+            f = f.join(existing.select(key).distinct(), key, "left_anti")
+        firsts.append(f.select("_x._o", "_x._r"))
+    kept = firsts[0].union(firsts[1]).groupBy("_o").agg(F.min("_r").alias("_r")).select("_r.*")
+    return kept.unionByName(nulls)
 
 
 def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str | Column],
-                   existing: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+                   existing: DataFrame | None = None) -> DataFrame:
     """Insert-if-absent on both keys, in arrival order.
 
     Sequential rule: a row is stored iff neither its key1 nor its key2 is
@@ -111,44 +112,20 @@ def greedy_two_key(df: DataFrame, key1: str, key2: str, order_cols: Sequence[str
     # the first round reads the (cheap to recompute) input directly; with the
     # anti joins against stored keys its lineage is worth materialising first
     remaining = cut_lineage(rest) if existing is not None else rest
-    for _ in range(max_rounds):
-        if remaining.isEmpty():
-            break
-        m1 = remaining.groupBy(key1).agg(F.min("_o").alias("_m1"))
-        m2 = remaining.groupBy(key2).agg(F.min("_o").alias("_m2"))
-        won = (remaining.join(m1, key1).join(m2, key2)
-               .where((F.col("_o") == F.col("_m1")) & (F.col("_o") == F.col("_m2")))
-               .drop("_m1", "_m2"))
-        won = cut_lineage(won.groupBy(key1).agg(F.min(F.struct(*d.columns)).alias("_w")).select("_w.*"))
+    while not remaining.isEmpty():
+        # first row of each key1 that is also the first of its key2
+        m1 = remaining.groupBy(key1).agg(F.min(F.struct("_o", F.struct(*d.columns).alias("_w"))).alias("_x")).select("_x._o", "_x._w")
+        m2 = remaining.groupBy(key2).agg(F.min("_o").alias("_o")).select("_o")
+        won = cut_lineage(m1.join(m2, "_o").select("_w.*"))
         stored.append(won)
         remaining = cut_lineage(remaining.join(won.select(key1), key1, "left_anti")
                                 .join(won.select(key2), key2, "left_anti"))
-    else:
-        raise RuntimeError("greedy_two_key: round limit reached")
     out = nulls
     for s in stored:
         out = out.unionByName(s.select(*d.columns))
     return out.drop("_o")
 
 
-def greedy_two_key_reference(rows: Sequence[tuple], existing: Sequence[tuple] = ()) -> list[tuple]:
-    """Sequential definition of ``greedy_two_key`` for small test fixtures:
-    rows are (key1, key2, ...) in arrival order."""
-    s1 = {r[0] for r in existing}
-    s2 = {r[1] for r in existing}
-    out = []
-    for r in rows:
-        if r[0] is None or r[1] is None:
-            out.append(r)
-            continue
-        if r[0] in s1 or r[1] in s2:
-            continue
-        s1.add(r[0])
-        s2.add(r[1])
-        out.append(r)
-    return out
-
-
 def anti_insert(incoming: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key is not stored yet (F10/J6 membership difference)."""
     return incoming.join(existing.select(*keys).distinct(), list(keys), "left_anti")

@@ -88,7 +88,7 @@ def page_numbers(n_pages_col: str, entity_type: str, max_pages: dict | None = No
     """Pages 1..min(n, max pages of the type) (E2 + D8)."""
     limits = max_pages or MAX_PAGES
     cap = limits.get(entity_type)
-    n = F.col(n_pages_col)
+    n = F.coalesce(F.col(n_pages_col), F.lit(1))  # no last link: one page
     upper = F.least(n, F.lit(cap)) if cap else n
     return F.explode(F.sequence(F.lit(1), F.greatest(upper, F.lit(1))))
 
@@ -101,8 +101,8 @@ def developer_pages(df: DataFrame, dev_col: str, iphone_links: str, ipad_links:
     advance together (an iPad count above the iPhone count behaves as equal).
     Pages are 1..iPhone pages, capped by the developer page limit (D8)."""
     cap = max_pages or MAX_PAGES["developer"]
-    ip = F.col(iphone_links)
-    ipad = F.col(ipad_links)
+    ip = F.coalesce(F.col(iphone_links), F.lit(0))
+    ipad = F.coalesce(F.col(ipad_links), F.lit(0))
     ip_n = F.when(ip >= NEXT_PAGE_VALUE, ip - 1).otherwise(ip)
     ipad_n = F.when(ipad >= NEXT_PAGE_VALUE, ipad - 1).otherwise(ipad)
     differ = (ipad_n > 0) & (ip_n > ipad_n)

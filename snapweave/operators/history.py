@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.processors import json_scalar
-from .skew import SPLIT_ROWS, time_slices
+from .skew import time_slices
 
 DAY = 86400
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -68,11 +68,11 @@ def bucket_of(ts: Column, bucket_seconds: int) -> Column:
 
 
 def with_buckets(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
-                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                 split_rows: int | None = None) -> DataFrame:
     """Add the ordered bucket ``bk`` = struct(time bucket, slice).
 
-    Groups (id, time bucket) with more than ``split_rows`` rows are hot and
-    cut into slices of their own time range (``skew.time_slices``), so no
+    Buckets are fixed. Only with ``split_rows`` given, groups (id, time bucket)
+    of more rows are hot and cut into slices of their own time range (``skew.time_slices``), so no
     window task holds much more than ``split_rows`` rows of one id unless they
     crowd into a few instants. Ordering buckets as structs keeps them
     monotonic in time within an id, which the carry logic relies on.
@@ -85,7 +85,7 @@ def with_buckets(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str
 
 # -------------------------------------------------------------- delta (H1/H2)
 def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
-                 split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                 split_rows: int | None = None) -> DataFrame:
     """Add ``keep`` (field kept by the delta rule) and ``bk`` to the long form.
     Histories are per (``group`` columns, id)."""
     ids = [*group, "id"]
@@ -107,14 +107,14 @@ def mark_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str
 
 
 def delta_changes(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
-                  split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                  split_rows: int | None = None) -> DataFrame:
     """Kept (id, ts, seq, key, j) rows of the compressed history."""
     return (mark_changes(long, bucket_seconds, group, split_rows).where("keep")
             .select(*group, "id", "ts", "seq", "key", "j"))
 
 
 def history_entries(long: DataFrame, bucket_seconds: int = DAY, group: Sequence[str] = (),
-                    split_rows: int | None = SPLIT_ROWS) -> DataFrame:
+                    split_rows: int | None = None) -> DataFrame:
     """One row per snapshot: ``changes`` = JSON object text of the kept fields
     (keys sorted), ``{}`` when nothing changed. Groups by (id, bk, ts, seq), which
     the (id, bk) partitioning of the delta window already satisfies."""

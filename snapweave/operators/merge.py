@@ -18,7 +18,7 @@ def merge_developers(df: DataFrame, dev_key: str, app_col: str, ts_col: str,
     the merged list is bounded by the developer's distinct apps.
     """
     is_array = df.schema[app_col].dataType.typeName() == "array"
-    app = F.explode(app_col) if is_array else F.col(app_col)
+    app = F.explode_outer(app_col) if is_array else F.col(app_col)
     rows = df.select(dev_key, ts_col, app.alias("_app"), *first_fields)
     aggs = [F.array_sort(F.collect_set("_app")).alias("app_ids"),
             F.max(ts_col).alias("latest_ts")]
@@ -75,7 +75,9 @@ def attach_related(apps: DataFrame, related: DataFrame, key: str = "id",
     """Attach related-app ids to existing apps only (F9): an update, never an
     insert; apps without related rows keep their current value. Re-apply after
     a whole-row replace (J2), which drops fields absent in the new row."""
-    r = related.select(F.col(key), F.col(related_col).alias("_rel"))
+    # several captures of one page: the longest list counts, then the largest, so an app stays one row
+    r = (related.where(F.col(related_col).isNotNull()).groupBy(key)
+         .agg(F.max(F.struct(F.size(related_col).alias("n"), F.col(related_col).alias("r")))["r"].alias("_rel")))
     out = apps.join(r, key, "left")
     if related_col in apps.columns:
         return out.withColumn(related_col, F.coalesce("_rel", F.col(related_col))).drop("_rel")

@@ -44,7 +44,7 @@ def sort_order(mode: str) -> list[Column]:
 
 
 def feed_positions(entries: DataFrame, feed_cols: Sequence[str], entries_col: str,
-                   limit: int | None = CHART_LIMIT) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """One row per feed entry with its 1-based position (A8/H3/I3); the
     position is the order inside one feed document, so no window is needed."""
     e = entries.select(*feed_cols, F.posexplode(entries_col).alias("_pos", "entry"))

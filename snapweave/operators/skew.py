@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-SPLIT_ROWS = 2_000_000
-
-
-def time_slices(df: DataFrame, keys: Sequence[str], micros: Column, split_rows: int | None = SPLIT_ROWS,
+def time_slices(df: DataFrame, keys: Sequence[str], micros: Column, split_rows: int | None = None,
                 name: str = "slice") -> DataFrame:
     """Add ``name``: 0 for ordinary groups; groups of ``keys`` with more than
     ``split_rows`` rows are cut into ``ceil(rows / split_rows)`` equal slices of

@@ -24,7 +24,7 @@ GROUP = ["spider", "item_type"]
 
 
 def consolidated_lines(spark: SparkSession, io_dir: str, item_types: Sequence[str] = ("job", "user"),
-                       chunk_unit: str | None = None, bucket_seconds: int = history.DAY) -> DataFrame:
+                       chunk_unit: str | None = "day", bucket_seconds: int = history.DAY) -> DataFrame:
     """History lines per (spider, item type, id[, chunk]) of the completed files."""
     files = list_snapshot_files(spark, io_dir, item_types)
     lines = read_snapshot_lines(spark, files)
@@ -36,7 +36,7 @@ def consolidated_lines(spark: SparkSession, io_dir: str, item_types: Sequence[st
 
 
 def consolidate(spark: SparkSession, io_dir: str, out_dir: str, item_types: Sequence[str] = ("job", "user"),
-                chunk_unit: str | None = None) -> None:
+                chunk_unit: str | None = "day") -> None:
     """Write the archives under ``out_dir/spider=<s>/item_type=<t>/`` (gzip)."""
     write_history(consolidated_lines(spark, io_dir, item_types, chunk_unit), out_dir, partition_by=GROUP)
 
@@ -53,11 +53,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--io-dir", required=True, help="folder with one subfolder per spider")
     ap.add_argument("--out-dir", required=True, help="archive folder (spider=/item_type= partitions)")
     ap.add_argument("--item-types", nargs="+", default=["job", "user"])
-    ap.add_argument("--chunk-unit", default=None, help="date_trunc unit or 'bucket' to cut long histories")
+    ap.add_argument("--chunk-unit", default="day", help="date_trunc unit or 'bucket' that cuts an id's history into lines; 'none': one line per id")
     ap.add_argument("--master", default=None, help="Spark master when not run through spark-submit")
     args = ap.parse_args(argv)
     spark = build_session(args.master) if args.master else build_session()
-    consolidate(spark, args.io_dir, args.out_dir, args.item_types, args.chunk_unit)
+    consolidate(spark, args.io_dir, args.out_dir, args.item_types, None if args.chunk_unit == "none" else args.chunk_unit)
 
 
 if __name__ == "__main__":

@@ -56,6 +56,7 @@ def paid_review_tasks(job_pages: DataFrame, seeds: DataFrame, resolved: DataFram
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
+    found = found.where(F.col("amazonId").isNotNull())  # a link without a product id is no task
     found = found.withColumn("timestamp", crawl_stamp(crawl_ts))
     stored = greedy_two_key(found, "id", "amazonId", ["url", "link_pos"], existing=existing)
     return stored.drop("link_pos")

@@ -34,12 +34,12 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive lines ``{"<user>":[["ts",{changes}],...]}`` per user and day
-    (G1/I1/B3); a user-day hot enough to be sliced gives one line per slice."""
+    """Archive lines ``{"<user>":[["ts",{changes}],...]}`` per user and hour
+    (G1/I1/B3); the hour is a fixed chunk, so no line grows with a user's whole history."""
     ent = history.history_entries(_event_long(spark, sf_dir))
-    lines = history.history_lines(ent, "day", by_slice=True)
+    lines = history.history_lines(ent, "hour")
     return lines.select(F.col("id").cast("bigint").alias("user_id"),
-                        F.date_format("chunk", "yyyy-MM-dd").alias("chunk"), "slice", "n_entries", "line")
+                        F.date_format("chunk", "yyyy-MM-dd HH").alias("chunk"), "n_entries", "line")
 
 
 def progress_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,20 +102,17 @@ def dev_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviewer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewer merge (G4/C16): per user and day, each event is a page with
+    """Reviewer merge (G4/C16): per user and hour, each event is a page with
     parallel arrays (event type, value); pages are appended in arrival order,
     counts summed, latest timestamp kept; titles pair type and value (zip)."""
     from ..functions.processors import zip_concat
-    from ..operators.skew import time_slices
-    ev = read_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
-    # a user-day too hot for one row is cut into time slices (slice 0 otherwise)
-    ev = time_slices(ev, ["user_id", "day"], F.unix_micros(F.col("ts").cast("timestamp")))
-    pages = ev.select("user_id", "day", "slice", "ts", "event_id",
+    ev = read_table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
+    pages = ev.select("user_id", "hour", "ts", "event_id",
                       F.array("event_type").alias("types"),
                       F.array(F.format_number("value", 2)).alias("vals"),
                       F.lit(1).cast("bigint").alias("n_reviews"))
-    m = merge.append_pages(pages, ["user_id", "day", "slice"], ["ts", "event_id"], ["types", "vals"], "n_reviews", "ts")
-    return m.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "slice", "n_reviews",
+    m = merge.append_pages(pages, ["user_id", "hour"], ["ts", "event_id"], ["types", "vals"], "n_reviews", "ts")
+    return m.select("user_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n_reviews",
                     F.array_join("types", ",").alias("types"),
                     F.array_join(zip_concat("types", "vals", ":"), ",").alias("titles"),
                     F.date_format("ts", TS_TEXT).alias("latest_ts"))
@@ -171,9 +168,9 @@ entries AS (
          coalesce(string_agg('"' || k.key || '":' || k.j, ',' ORDER BY k.key), '') || '}}]' AS entry
   FROM events s LEFT JOIN kept k ON s.user_id = k.user_id AND s.ts = k.ts AND s.event_id = k.event_id
   GROUP BY s.user_id, s.ts, s.event_id)
-SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS chunk, 0::BIGINT AS slice, count(*)::BIGINT AS n_entries,
+SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS chunk, count(*)::BIGINT AS n_entries,
        '{{"' || user_id::VARCHAR || '":[' || string_agg(entry, ',' ORDER BY ts, event_id) || ']}}' AS line
-FROM entries GROUP BY user_id, date_trunc('day', ts)
+FROM entries GROUP BY user_id, date_trunc('hour', ts)
 """,
     "progress_range": """
 SELECT user_id, count(value)::BIGINT AS n_snapshots, round(max(value) - min(value), 4) AS progress
@@ -228,11 +225,11 @@ SELECT l_suppkey, array_to_string(list_sort(list_distinct(list(l_partkey))), ','
 FROM lineitem GROUP BY l_suppkey
 """,
     "reviewer_append": """
-SELECT user_id, strftime(ts::DATE, '%Y-%m-%d') AS day, 0::BIGINT AS slice, count(*)::BIGINT AS n_reviews,
+SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*)::BIGINT AS n_reviews,
        string_agg(event_type, ',' ORDER BY ts, event_id) AS types,
        string_agg(event_type || ':' || format('{:,.2f}', value), ',' ORDER BY ts, event_id) AS titles,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_ts
-FROM events GROUP BY user_id, ts::DATE
+FROM events GROUP BY user_id, date_trunc('hour', ts)
 """,
     "anti_insert": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem l

@@ -15,34 +15,29 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from ..session import ensure_checkpoint_dir
-from ..streaming.streams import delta_stream
+from ..streaming.streams import current_delta, delta_batches
 from .keyed import ORACLE as KEYED_ORACLE
 from .keyed import SNAPSHOT_FIELDS, TS_TEXT
 
 
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental delta compression (L3/L4) of the events snapshots: a file
-    stream of the events table, per-user field state across micro-batches,
-    changed fields emitted in append mode to a Parquet sink."""
+    stream of the events table; every micro-batch compresses the histories of
+    the users it touches again, so the result doesn't depend on the files."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     out = f"{base}/snapweave-stream-delta-{uuid.uuid4().hex}"
     table = os.path.join(sf_dir, "events.parquet")
     schema = spark.read.parquet(table).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
-    if os.path.isdir(table):  # a table folder of part files
-        src = reader.parquet(table)
-    else:  # a single file next to the other tables
-        src = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # the pattern matches a single file as well as a table folder, in any store
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{table}*")
     long = history.long_from_columns(src.withColumn("ts", F.col("ts").cast("timestamp")),
                                      "user_id", "ts", "event_id", SNAPSHOT_FIELDS)
-    q = (delta_stream(long).writeStream.format("parquet")
-         .option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint")
-         .outputMode("append").trigger(availableNow=True).start())
+    q = (long.writeStream.foreachBatch(delta_batches(out)).option("checkpointLocation", f"{out}/checkpoint")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    res = spark.read.schema("id string, ts timestamp, seq long, key string, j string, late boolean").parquet(f"{out}/data")
-    return (res.where(F.col("key").isNotNull() & ~F.col("late"))
+    return (current_delta(spark, out)
             .select(F.col("id").cast("bigint").alias("user_id"), F.date_format("ts", TS_TEXT).alias("ts"),
                     F.col("seq").alias("event_id"), "key", F.col("j").alias("val")))
 

@@ -58,9 +58,9 @@ def review_feed_rows(feeds: DataFrame, body_col: str = "body", app_col: str = "a
 
 
 def chart_rows(feeds: DataFrame, body_col: str = "body", keys=("country", "list_name", "genre"),
-               limit: int | None = CHART_LIMIT) -> DataFrame:
+               limit: int | None = None) -> DataFrame:
     """Chart feed -> (rank, id, title, link, updated) per entry (A8/H3/C25),
-    rank = 1-based position in the feed, cut at ``limit`` (I3); the feed
+    rank = 1-based position in the feed, cut at ``limit`` if one is given (I3); the feed
     title travels along."""
     keys = [k for k in keys if k in feeds.columns]
     f = feeds.select(*keys, F.from_xml(body_col, CHART_FEED_SCHEMA).alias("f"))

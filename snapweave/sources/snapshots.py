@@ -61,7 +61,7 @@ def read_snapshot_lines(spark: SparkSession, paths: Sequence[str] | DataFrame,
         return spark.createDataFrame([], "value string, seq struct<file_rank:bigint,path:string,"
                                          "block:bigint,row:bigint>, path string")
     raw = spark.read.text(path_list).select(
-        "value", F.col("_metadata.file_path").alias("path"),
+        "value", _decoded(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_modification_time").alias("_mtime"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"))
@@ -69,6 +69,8 @@ def read_snapshot_lines(spark: SparkSession, paths: Sequence[str] | DataFrame,
         from ..operators.joins import checked_broadcast
         ranks = file_order.select("path", F.col("file_rank").cast("bigint"))
         raw = raw.join(checked_broadcast(ranks, ["path"]), "path", "left")
+        missing = F.raise_error(F.concat(F.lit("file is not in the given list: "), F.col("path")))
+        raw = raw.withColumn("file_rank", F.when(F.col("file_rank").isNull(), missing.cast("bigint")).otherwise(F.col("file_rank")))
     else:
         # the given order; paths compared without the local-file scheme, which
         # Spark writes as 'file:/...' while callers pass '/...' or 'file:///...'
@@ -79,6 +81,11 @@ def read_snapshot_lines(spark: SparkSession, paths: Sequence[str] | DataFrame,
     return raw.where(F.length(F.trim("value")) > 0).select("value", seq.alias("seq"), "path")
 
 
+def _decoded(path):
+    """A path as listings give it; ``_metadata.file_path`` is percent-encoded (blanks in crawl times)."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
 def _plain(p: str) -> str:
     """A local path without scheme ('/a/b'); other URIs unchanged."""
     import re

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedupe import upsert
+from ..operators.history import delta_changes
 
 
 def snapshot_file_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 100,
@@ -53,6 +54,7 @@ def dedupe_stream(items: DataFrame, keys: Sequence[str], event_time: str | None
 def upsert_batches(target_path: str, keys: Sequence[str], order_cols: Sequence[str] = ()):
     """``foreachBatch`` function for a continuous keyed upsert (L2).
 
+    Without ``order_cols`` the largest of several rows of one key counts.
     Each micro-batch writes a complete new version of the table under
     ``<target>/batch=<id>`` (base = newest earlier version); rewriting the same
     batch id on a retry gives the same folder, so a replayed batch is
@@ -61,17 +63,17 @@ def upsert_batches(target_path: str, keys: Sequence[str], order_cols: Sequence[s
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         base = latest_version(spark, target_path, before=batch_id)
-        new = batch if base is None else upsert(base, batch, keys, order_cols)
+        new = upsert(batch.limit(0) if base is None else base, batch, keys, order_cols)
         (new.write.mode("overwrite").parquet(f"{target_path.rstrip('/')}/batch={batch_id:012d}"))
     return run
 
 
 def latest_version(spark: SparkSession, target_path: str, before: int | None = None) -> DataFrame | None:
     """Newest table version written by ``upsert_batches``."""
-    try:
-        versions = spark.read.parquet(target_path)
-    except Exception:  # nothing written yet
+    path = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # nothing written yet
         return None
+    versions = spark.read.parquet(target_path)
     if "batch" not in versions.columns:
         return None
     v = versions if before is None else versions.where(F.col("batch") < before)
@@ -81,6 +83,31 @@ def latest_version(spark: SparkSession, target_path: str, before: int | None = N
     return v.where(F.col("batch") == top).drop("batch")
 
 
+def delta_batches(path: str, ids: Sequence[str] = ("id",)):
+    """``foreachBatch`` function for delta compression that is exact for any arrival order (L3).
+
+    Each micro-batch's long rows are stored under ``<path>/long/batch=<n>``; the
+    histories of the ids it touches are compressed again from all rows stored
+    so far, into ``<path>/delta/batch=<n>``. Rows older than what was seen change
+    the history like any others. Writing a batch again replaces its folders.
+    ``current_delta`` reads, per id, the newest version.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, name = batch.sparkSession, f"batch={batch_id:012d}"
+        batch.write.mode("overwrite").parquet(f"{path}/long/{name}")
+        stored = spark.read.parquet(f"{path}/long").where(F.col("batch") <= batch_id).drop("batch")
+        touched = spark.read.parquet(f"{path}/long/{name}").select(*ids).distinct()
+        long = stored.join(touched, list(ids), "left_semi")
+        delta_changes(long).write.mode("overwrite").parquet(f"{path}/delta/{name}")
+    return run
+
+
+def current_delta(spark: SparkSession, path: str) -> DataFrame:
+    """Compressed history rows written by ``delta_batches``: per id those of the newest batch that touched it."""
+    newest = spark.read.parquet(f"{path}/long").groupBy("id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/delta").join(newest, ["id", "batch"]).drop("batch")
+
+
 DELTA_OUT = "id string, ts timestamp, seq long, key string, j string, late boolean"
 DELTA_STATE = "last_ts timestamp, last_seq long, fields string"
 
