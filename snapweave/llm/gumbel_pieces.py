@@ -327,7 +327,7 @@ class Sampler:
 def _sample(model, samples, alpha, seed, with_ids):
     def run(batches):
         sampler = Sampler(model, samples, alpha, seed)
-        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "decodes"] + ["ids"] * with_ids
+        names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decodes"] + ["ids"] * with_ids
         types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
         for batch in batches:
             doc = batch.column(0)
@@ -341,7 +341,8 @@ def _sample(model, samples, alpha, seed, with_ids):
                         ids = sampler.ids(path)
                         if b.offsets[r] == b.offsets[r + 1]:
                             ids = ids[:0]                    # an empty text has no pieces
-                        include = 1.0 if bar == -np.inf else float(-np.expm1(-np.exp(min(logp - bar, 700.0))))
+                        gap = np.inf if bar == -np.inf else logp - bar
+                        include = 0.0 if gap > 700 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
                         row = (doc[b.first_row + r].as_py(), j + 1, len(ids), round(logp, 6) if len(ids) else 0.0, round(g, 6), include,
                                zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(sampler.decode(ids)) == text, ids)
                         for o, x in zip(out, row, strict=False):
@@ -357,8 +358,8 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Up to ``samples`` different segmentations of every row, drawn without replacement.
 
     One row per segmentation: doc_id, sample (from 1, by falling perturbed
-    log-probability), n_pieces, log_prob, perturbed, inclusion (probability of
-    being among the ``samples`` given the threshold; 1 if there are no others),
+    log-probability), n_pieces, log_prob, perturbed, log_inclusion (logarithm of
+    the probability of being among the ``samples`` given the threshold; 0 if there are no others),
     ids_crc32 (little-endian 32-bit ids), decodes (the ids give the text back),
     with ``with_ids`` also ids. The draw depends on the id, the seed and the text
     alone. A text with fewer segmentations gives all of them; null and empty
@@ -366,6 +367,6 @@ def sample_segmentations(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows give equal results. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = ("doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, decodes boolean"
+    schema = ("doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decodes boolean"
               + (", ids array<int>" if with_ids else ""))
     return d.mapInArrow(_sample(model, samples, alpha, seed, with_ids), schema)

@@ -13,6 +13,9 @@ only loss against one global packing). In a shard:
 3. the slots of a configuration are filled with the actual pieces;
 4. the small pieces go, longest first, to the sequence with the least room that
    still takes them.
+
+Rounding up can leave room that only small pieces fill: without any, lengths
+just over a third of the sequence may end up two to a sequence.
 """
 
 from __future__ import annotations

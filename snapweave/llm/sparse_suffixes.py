@@ -186,7 +186,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .agg(F.min("id").alias("first"), F.max("id").alias("last")))
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))
     none = F.array().cast("array<array<long>>")
-    copy, copied = F.col("id") > F.col("first"), F.col("first") < F.col("last")
+    copy, copied = F.col("id") > F.col("first"), F.col("id").isNotNull() & (F.col("first") < F.col("last"))
     return (prof.drop("grams").join(same, ["seq", "n_words"], "left").join(spans, ["id", "xh"], "left")
             .select(F.col("id").alias("doc_id"), "n_words",
                     F.when(copied, F.col("n_words")).otherwise(F.coalesce("shared", F.lit(0))).alias("n_shared"),
