@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 SHARD_ROWS = 8192
 PROJECTIONS, GROWTH, THRESHOLD, WIDTH = 96, 1.15, 0.58, 2.0
-START_RADIUS = 0.05
+START_RADIUS = 0.3
 
 
 class Index:
