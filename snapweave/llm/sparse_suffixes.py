@@ -176,10 +176,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                             .agg(F.array_sort(F.collect_list(F.struct("at", "first", "last"))).alias("x"))
                             .select("g", "c", F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts")))
     pick = "filter(sequence(0, size(firsts) - 1), o -> {})"
+    found = found.withColumn("other", F.expr(pick.format("firsts[o] < lasts[o]"))).where("size(other) > 0")
     hit = (live.mapInArrow(_suffixes(False), _SUFFIX).join(found, ["g", "c"])
-           .select("id", "xh", "p0", F.expr(pick.format("firsts[o] < id")).alias("earlier"),
-                   F.expr(pick.format("firsts[o] < lasts[o]")).alias("other"))
-           .where("size(other) > 0"))
+           .select("id", "xh", "p0", F.expr(pick.format("firsts[o] < id")).alias("earlier"), "other"))
     spans = (hit.groupBy("id", "xh").agg(F.collect_list(F.struct("p0", "earlier", "other")).alias("spans"))
              .mapInArrow(_cover, _COVER))
     same = (prof.where(f"id is not null and n_words >= {R.SPAN}").groupBy("seq", "n_words")
