@@ -17,6 +17,8 @@ from ..operators import graph as G
 from ..operators import ranks as K
 from ..operators.joins import checked_broadcast, enrich
 from ..session import read_table
+from ..sources import embedded as M
+from ..sources import extract as X
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 
@@ -39,29 +41,30 @@ def rank_first_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item processors on app rows (C10-C13, C20): default 0 for a missing
-    counter, platform flags from the kind, paid/unknown label from the
-    referrer (first supplier of the app), present app types, the single-app
-    page's first type (default 'App Bundles'), work done = total - open."""
+    """Item processors on app rows (C10-C13, C20). Stand-in input: economy
+    parts are desktop apps; an app's referrer is its smallest supplier with a
+    line item of 48 pieces or more (none: a seed) and its rating count the
+    number of such items (none: missing); size and demand give the app lists
+    its page shows; open line items are open work."""
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
+    big = F.col("l_quantity") >= 48
     li = (read_table(spark, sf_dir, "lineitem")
           .groupBy("l_partkey")
-          .agg(F.min("l_suppkey").alias("referrer"),
+          .agg(F.min(F.when(big, F.col("l_suppkey"))).alias("referrer"),
+               F.sum(F.when(big, 1)).alias("rating_count"),
                F.count(F.lit(1)).alias("work_total"),
                F.count_if(F.col("l_linestatus") == "O").alias("work_open")))
     j = p.join(li, p.p_partkey == li.l_partkey, "left")
-    mac = F.lower("p_type") == C.MAC_KIND
-    present = [F.col("p_size") <= 10, F.col("p_size").between(11, 30), F.col("p_size") > 30, F.col("work_total") > 40]
-    types = F.filter(F.array(*[F.when(cond, F.lit(t)) for cond, t in zip(present, C.APP_TYPES)]),
-                     lambda x: x.isNotNull())
+    kind = F.when(F.col("p_type") == "ECONOMY", F.lit(C.MAC_KIND)).otherwise(F.lit("software"))
+    types = X.app_types([F.col("p_size") <= 10, F.col("p_size").between(11, 25),
+                         F.col("p_size").between(21, 40), F.col("work_total") > 40])
     return j.select(
         "p_partkey",
-        F.coalesce("work_total", F.lit(0)).cast("bigint").alias("rating_count"),
-        F.when(mac, 0).otherwise(1).alias("iphone"), F.when(mac, 0).otherwise(1).alias("ipad"),
-        F.when(mac, 1).otherwise(0).alias("osx"),
-        F.when(F.col("referrer").isNull(), F.lit(C.LABEL_PAID)).otherwise(F.lit(C.LABEL_UNKNOWN)).alias("label"),
+        M.counter(F.col("rating_count")).cast("bigint").alias("rating_count"),
+        *M.platform_flags(kind),
+        M.referrer_label(F.col("referrer")).alias("label"),
         F.array_join(types, ",").alias("app_types"),
-        F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE)).alias("first_type"),
+        X.single_app_type(types).alias("first_type"),
         (F.coalesce("work_total", F.lit(0)) - F.coalesce("work_open", F.lit(0))).cast("bigint").alias("work_done"))
 
 
@@ -213,17 +216,17 @@ best AS (SELECT p_partkey, arg_min(list_name, (kp, list_name, rnk)) AS list_name
 SELECT p.p_partkey, b.list_name, b.rnk::BIGINT AS rank FROM part p LEFT JOIN best b USING (p_partkey)
 """,
     "flags_labels": """
-WITH li AS (SELECT l_partkey, min(l_suppkey) AS referrer, count(*) AS work_total,
+WITH li AS (SELECT l_partkey, min(l_suppkey) FILTER (WHERE l_quantity >= 48) AS referrer,
+                   count(*) FILTER (WHERE l_quantity >= 48) AS rating_count, count(*) AS work_total,
                    count(*) FILTER (WHERE l_linestatus = 'O') AS work_open FROM lineitem GROUP BY l_partkey),
 j AS (SELECT p.p_partkey, p.p_type, p.p_size, li.* FROM part p LEFT JOIN li ON p.p_partkey = li.l_partkey),
 t AS (SELECT *, list_filter([CASE WHEN p_size <= 10 THEN 'iPhone Apps' END,
-                             CASE WHEN p_size BETWEEN 11 AND 30 THEN 'iPad Apps' END,
-                             CASE WHEN p_size > 30 THEN 'Mac Apps' END,
+                             CASE WHEN p_size BETWEEN 11 AND 25 THEN 'iPad Apps' END,
+                             CASE WHEN p_size BETWEEN 21 AND 40 THEN 'Mac Apps' END,
                              CASE WHEN work_total > 40 THEN 'App Bundles' END], lambda x: x IS NOT NULL) AS types FROM j)
-SELECT p_partkey, coalesce(work_total, 0)::BIGINT AS rating_count,
-  CASE WHEN lower(p_type) = 'mac-software' THEN 0 ELSE 1 END AS iphone,
-  CASE WHEN lower(p_type) = 'mac-software' THEN 0 ELSE 1 END AS ipad,
-  CASE WHEN lower(p_type) = 'mac-software' THEN 1 ELSE 0 END AS osx,
+SELECT p_partkey, coalesce(rating_count, 0)::BIGINT AS rating_count,
+  (p_type IS DISTINCT FROM 'ECONOMY')::INT AS iphone, (p_type IS DISTINCT FROM 'ECONOMY')::INT AS ipad,
+  (p_type IS NOT DISTINCT FROM 'ECONOMY')::INT AS osx,
   CASE WHEN referrer IS NULL THEN 'paid-app' ELSE 'unknown-app' END AS label,
   array_to_string(types, ',') AS app_types, coalesce(types[1], 'App Bundles') AS first_type,
   (coalesce(work_total, 0) - coalesce(work_open, 0))::BIGINT AS work_done

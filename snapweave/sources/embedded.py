@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -46,6 +46,23 @@ LOOKUP_SCHEMA = (
 )
 
 
+def platform_flags(kind: Column) -> list[Column]:
+    """iphone, ipad, osx flags of an app kind (C11); a missing kind is a phone app."""
+    mac = kind == C.MAC_KIND
+    return [F.when(mac, 0).otherwise(1).alias("iphone"), F.when(mac, 0).otherwise(1).alias("ipad"),
+            F.when(mac, 1).otherwise(0).alias("osx")]
+
+
+def counter(value: Column) -> Column:
+    """A counter that the result may lack (C10): 0 when missing."""
+    return F.coalesce(value, F.lit(0))
+
+
+def referrer_label(referrer: Column) -> Column:
+    """Label of an app (C12): a seed has no referrer and is a paid app."""
+    return F.when(referrer.isNull(), F.lit(C.LABEL_PAID)).otherwise(F.lit(C.LABEL_UNKNOWN))
+
+
 def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer", "crawl_ts")) -> DataFrame:
     """App lookup JSON -> App rows (A6/N11/C10/C11): ``results[0]``, dropped
     when empty; counters missing from the result default to 0 (release notes
@@ -53,13 +70,11 @@ def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer",
     keep = [k for k in keep if k in bodies.columns]
     r = bodies.select(*keep, F.get(F.from_json(body_col, LOOKUP_SCHEMA)["results"], 0).alias("r"))
     r = r.where(F.col("r").isNotNull())
-    mac = F.col("r.kind") == C.MAC_KIND
     return r.select(
         F.col("r.trackId").cast("string").alias("id"),
         F.col("r.trackName").alias("app_name"),
         F.coalesce(F.col("r.isVppDeviceBasedLicensingEnabled").cast("int"), F.lit(0)).alias("enabled"),
-        F.when(mac, 0).otherwise(1).alias("iphone"), F.when(mac, 0).otherwise(1).alias("ipad"),
-        F.when(mac, 1).otherwise(0).alias("osx"),
+        *platform_flags(F.col("r.kind")),
         F.array(F.col("r.description")).alias("description"),
         F.col("r.artworkUrl60").alias("image_url"), F.col("r.trackViewUrl").alias("app_store_url"),
         F.col("r.bundleId").alias("bundleId"),
@@ -67,7 +82,7 @@ def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer",
         F.col("r.sellerName").alias("developer_name"),
         F.col("r.releaseDate").alias("release_date"), F.col("r.price").alias("price"),
         F.col("r.genres").alias("genres"), F.col("r.primaryGenreName").alias("main_cat"),
-        F.coalesce("r.userRatingCountForCurrentVersion", F.lit(0)).alias("rating_count_for_cur_version"),
+        counter(F.col("r.userRatingCountForCurrentVersion")).alias("rating_count_for_cur_version"),
         F.col("r.trackContentRating").alias("content_rating_age_group"),
         F.coalesce("r.averageUserRatingForCurrentVersion", F.lit(0.0)).alias("avg_rating_for_cur_version"),
         F.col("r.languageCodesISO2A").alias("languages"),
@@ -76,8 +91,7 @@ def app_lookup_rows(bodies: DataFrame, body_col: str = "body", keep=("referrer",
         F.col("r.currency").alias("currency"),
         F.coalesce("r.releaseNotes", F.lit("0")).alias("release_notes"),
         F.coalesce("r.averageUserRating", F.lit(0.0)).alias("avg_rating"),
-        F.coalesce("r.userRatingCount", F.lit(0)).alias("rating_count"),
+        counter(F.col("r.userRatingCount")).alias("rating_count"),
         F.col("r.minimumOsVersion").alias("min_os_version"),
         *[F.col(k) for k in keep],
-        F.when(F.col("referrer").isNull() if "referrer" in keep else F.lit(True), F.lit(C.LABEL_PAID))
-        .otherwise(F.lit(C.LABEL_UNKNOWN)).alias("label"))
+        referrer_label(F.col("referrer") if "referrer" in keep else F.lit(None)).alias("label"))

@@ -14,7 +14,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -131,6 +131,16 @@ def reviewer_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFr
         ((only_elem_or_default("n_pages").cast("int") == 1) & (n_apps == 1)).alias("is_leaf"))
 
 
+def app_types(present) -> Column:
+    """Types of the app lists that a developer page shows, in the fixed order."""
+    return F.filter(F.array(*[F.when(p, F.lit(t)) for p, t in zip(present, C.APP_TYPES)]), lambda t: t.isNotNull())
+
+
+def single_app_type(types: Column) -> Column:
+    """Type of a page with one app (C13): the first present type."""
+    return F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE))
+
+
 def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
                     prev_ipad_col: str | None = None) -> DataFrame:
     """Developer page -> Developer fields (N15/C13/C29/H4/D11): app ids
@@ -145,12 +155,11 @@ def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
     same_ipad = ipad.eqNullSafe(F.col(prev_ipad_col)) if prev_ipad_col else F.lit(False)
     chosen = F.when(same_ipad, ids("iphone_links")).otherwise(ids("all_links"))
     present = ["has_iphone", "has_ipad", "has_mac", "has_bundles"]
-    types = F.filter(F.array(*[F.when(F.col(c) > 0, F.lit(t)) for c, t in zip(present, C.APP_TYPES)]),
-                     lambda t: t.isNotNull())
+    types = app_types([F.col(c) > 0 for c in present])
     app_ids = F.array_sort(F.array_distinct(chosen))
     return f.select(*key_cols, app_ids.alias("app_ids"), F.size(app_ids).cast("bigint").alias("n_apps"),
                     types.alias("app_types"),
-                    F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE)).alias("single_app_type"),
+                    single_app_type(types).alias("single_app_type"),
                     ipad.alias("ipad_ids"), "n_iphone_pager", "n_ipad_pager")
 
 

@@ -73,3 +73,12 @@ def test_reviewer_name_across_lines(spark):
 def test_either_key_new_keeps_rows_with_a_null_key(spark):
     df = spark.createDataFrame([(1, None, 1), (1, "A", 2), (1, "A", 3), (None, "A", 4), (2, "A", 5)], "k1 int, k2 string, o int")
     assert sorted(r.o for r in dedupe.either_key_new(df, "k1", "k2", ["o"]).collect()) == [1, 2, 4, 5]
+
+
+def test_app_flags_and_labels_take_several_values(spark):
+    from conftest import SMOKE
+    from snapweave.plans.apps import flags_labels
+
+    rows = flags_labels(spark, SMOKE).collect()
+    for c in ("rating_count", "iphone", "ipad", "osx", "label", "app_types", "first_type", "work_done"):
+        assert len({r[c] for r in rows}) > 1, c
