@@ -76,4 +76,48 @@ QUERIES = {
     "op10_gumbel_pieces": op10_gumbel_pieces,
 }
 
-ORACLE: dict[str, str] = {}
+#: Links by prefix filtering: two sets of similarity 0.8 share one of the rarest fifth of each.
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+        ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS s FROM d),
+place AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+freq AS (SELECT g, count(*) AS df FROM place GROUP BY g),
+ranked AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS r FROM place JOIN freq USING (g)),
+prefix AS (SELECT doc_id, n, g FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1),
+cand AS (
+    SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM prefix x JOIN prefix y
+    ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n),
+met AS (
+    SELECT a, b, len(x.s) + len(y.s) AS m, len(list_intersect(x.s, y.s)) AS shared
+    FROM cand JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b),
+link AS (
+    SELECT a, b FROM met WHERE 100 * shared >= 80 * (m - shared)
+    UNION ALL SELECT b, a FROM met WHERE 100 * shared >= 80 * (m - shared)),
+reach(id, c) AS (
+    SELECT doc_id, doc_id FROM sets
+    UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.id WHERE reach.c < link.b),
+comp AS (SELECT id AS doc_id, min(c) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+    SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+low AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM win JOIN low USING (h) WHERE first < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+#: The others need a tokenizer, a model, HTML trees, or searches and rules that SQL cannot state.
+ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_suffix_trees": OP6_SQL}
