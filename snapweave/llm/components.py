@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from snapweave.session import cut_lineage
+from .tables import written
 
 
 def shuffle_partitions(spark) -> int:
@@ -15,19 +15,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id reachable over ``edges`` (a, b).
 
     Rounds of neighbour minima with pointer jumping until nothing changes; every
-    round is map-side combined minima and equi joins, checkpointed in the shared
-    folder. Nodes without an edge don't appear. Null ends take no part.
+    round is map-side combined minima and equi joins, written to the shared
+    folder (a table's size is read anew each round, where checkpoints multiply
+    the estimates of their joins until the planner fails). Nodes without an edge don't appear. Null ends take no part.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    both = cut_lineage(e.union(e.select("b", "a")).distinct())
-    label = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    both = written(e.union(e.select("b", "a")).distinct())
+    label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                         .select("node", F.least("node", "m").alias("l")))
     while True:
         near = (both.join(label.select(F.col("node").alias("b"), F.col("l").alias("bl")), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("bl").alias("m")))
         low = label.join(near, "node").select("node", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         up = label.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        new = cut_lineage(low.join(up, "l", "left")
+        new = written(low.join(up, "l", "left")
                           .select("node", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
         if new.where("l <> old").isEmpty():
             return new.select("node", F.col("l").alias("component"))

@@ -6,15 +6,20 @@ of all labels (a range-partitioned sort); documents that share a long common
 prefix stand next to each other. Regions are taken at a prefix of ``BASE``
 values and deepened one value at a time while they hold more than ``REGION``
 rows, so crowded regions are compared at a longer prefix; regions that stay
-crowded at full depth compare sorted neighbours. Candidate pairs whose 192-bit
-one-bit sketches and set sizes rule out the similarity are left out (5 standard
-deviations), the rest are confirmed exactly on the full shingle sets, and the
+crowded at full depth compare sorted neighbours. Candidate pairs whose sketches
+(two bits of every MinHash value) and set sizes rule out the similarity are left
+out (4.5 standard deviations), the rest are confirmed exactly on the full shingle sets, and the
 links are closed to components.
 
 Equal sets are collapsed to one representative first, so copies never meet as
-pairs. Within a region a document keeps its ``NEAREST`` most similar candidates
-and its sorted neighbours, and over all trees its ``BEST`` most similar ones, so
-a group of m near copies yields O(m) pairs.
+pairs. The first scan of the forest only serves to tie most of a group together:
+within a region a document keeps its ``NEAREST`` most similar candidates and its
+sorted neighbours, and over all trees its ``BEST`` most similar ones, so a group
+of m near copies yields O(m) pairs. The second scan knows the components found
+and takes every candidate pair between two of them, without a limit per
+document; regions are deepened by the number of such pairs. Those pairs are
+confirmed in rounds, the most similar of each two components first, until no
+untested pair between different components is left.
 """
 
 from __future__ import annotations
@@ -29,12 +34,16 @@ from snapweave.session import cut_lineage
 
 from . import textcore as T
 from .components import components, shuffle_partitions
+from .tables import written
 
 TREES, DEPTH, BASE = 24, 10, 4
 REGION, NEAREST, NEIGHBOURS, BEST = 512, 4, 8, 10
 HASHES = TREES * DEPTH
-SKETCH_BITS = 192
+SKETCH_WORDS = 4                   # per plane: one bit of every hash, padded
+SKETCH_SIGMAS = 4.5
 BUFFER_ROWS = 60_000
+CHUNK_PAIRS = 500_000
+WIDEN = 16
 BLOCK_EDGES = 8192
 
 _rng = np.random.default_rng(7)
@@ -75,6 +84,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def sketch(sig: np.ndarray) -> bytes:
+    """The two lowest bits of every value, as two planes of SKETCH_WORDS words."""
+    planes = np.zeros((2, SKETCH_WORDS * 64), np.uint8)
+    planes[0, :HASHES], planes[1, :HASHES] = sig & np.uint32(1), (sig >> np.uint32(1)) & np.uint32(1)
+    return np.packbits(planes, axis=1).tobytes()
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many values agree in both bits, per row of two sketch matrices."""
+    d = x ^ y
+    return HASHES - np.bitwise_count(d[:, :SKETCH_WORDS] | d[:, SKETCH_WORDS:]).sum(axis=1).astype(np.int64)
+
+
 def _set_hash(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -92,7 +114,7 @@ def _signatures(k: int):
                     sig = signature(s)
                     hs.append(_set_hash(s))
                     labels.append((sig >> np.uint32(16)).astype(">u2").tobytes())
-                    sketches.append(np.packbits((sig[:SKETCH_BITS] & np.uint32(1)).astype(np.uint8)).tobytes())
+                    sketches.append(sketch(sig))
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(hs, pa.int64()),
                                               pa.array(labels, pa.binary()), pa.array(sketches, pa.binary())],
@@ -101,7 +123,7 @@ def _signatures(k: int):
 
 
 def _pairs(ids, hs, sizes, labels, sketches, num, den):
-    """Candidate pairs of rows sorted by label: columns i, j and the sketch bits that agree."""
+    """Candidate pairs of rows sorted by label: columns i, j and the sketch values that agree; and which rows left pairs out."""
     m = len(ids)
     lcp = np.zeros(m, np.int64)
     same = labels[1:] == labels[:-1]
@@ -134,7 +156,7 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
         ok = (sizes[i] * den >= num * sizes[j]) & (sizes[j] * den >= num * sizes[i]) & (hs[i] != hs[j])
         i, j = i[ok], j[ok]
         if len(i):
-            a = SKETCH_BITS - np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1).astype(np.int64)
+            a = agreeing(sketches[i], sketches[j])
             ok = a >= least_agree(num / den)
             found_i.append(i[ok]), found_j.append(j[ok]), agree.append(a[ok])
 
@@ -151,7 +173,7 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
             i = np.flatnonzero(near[:-o] & near[o:] & (np.cumsum(lcp < BASE + 1)[o:] == np.cumsum(lcp < BASE + 1)[:-o]))
             test(i, i + o)
     if not found_i:
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 3), np.int64), near
     i, j, a = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(agree)
     src, other, edge = np.concatenate([i, j]), np.concatenate([-a, -a]), np.tile(np.arange(len(i)), 2)
     order = np.lexsort((np.abs(np.concatenate([j - i, j - i])), other, src))
@@ -161,12 +183,67 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
     keep = np.zeros(len(i), bool)
     keep[edge[order[rank < NEAREST]]] = True
     keep |= (j - i) <= 2
-    return np.stack([i[keep], j[keep], a[keep]], axis=1)
+    near[i[~keep]] = near[j[~keep]] = True
+    return np.stack([i[keep], j[keep], a[keep]], axis=1), near
+
+
+def _runs(flags):
+    """Group number of every row and the group sizes, where flags mark first rows."""
+    first = np.flatnonzero(flags)
+    size = np.diff(np.append(first, len(flags)))
+    return np.repeat(np.arange(len(first)), size), first, size
+
+
+def _largest(group, comp, groups):
+    """The most frequent component of every group, and how many rows of the group are outside it."""
+    order = np.lexsort((comp, group))
+    g, c = group[order], comp[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    _, first, count = _runs(new)
+    by = np.lexsort((-count, g[first]))
+    head = by[np.concatenate([[True], g[first][by][1:] != g[first][by][:-1]])]
+    return c[first[head]], np.bincount(group, minlength=groups) - count[head]
+
+
+def _cross_pairs(hs, sizes, labels, sketches, comp, num, den):
+    """All candidate pairs of rows sorted by label that are of different components, in pieces (i, j, agreeing sketch values)."""
+    m = len(hs)
+    lcp = np.zeros(m, np.int64)
+    same = labels[1:] == labels[:-1]
+    lcp[1:] = np.where(same.all(axis=1), DEPTH + 1, same.argmin(axis=1))
+    cut = lcp < BASE + 1
+    cut[0] = True
+    for depth in range(BASE + 1, DEPTH + 2):
+        group, first, size = _runs(cut)
+        main, minor = _largest(group, comp, len(first))
+        big = size * minor > REGION * REGION
+        if depth == DEPTH + 1 or not big.any():
+            break
+        cut |= big[group] & (lcp < depth + 1)
+    outside = comp != main[group]
+    rows = np.flatnonzero(outside)
+    width = size[group[rows]]
+    upto = np.cumsum(width)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_PAIRS, "right")))
+        w = width[at:to]
+        i = np.repeat(rows[at:to], w)
+        j = np.repeat(first[group[rows[at:to]]], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        ok = (comp[i] != comp[j]) & (~outside[j] | (i < j)) & (hs[i] != hs[j])
+        i, j = i[ok], j[ok]
+        ok = (sizes[i] * den >= num * sizes[j]) & (sizes[j] * den >= num * sizes[i])
+        i, j = i[ok], j[ok]
+        agree = agreeing(sketches[i], sketches[j])
+        ok = agree >= least_agree(num / den)
+        yield i[ok], j[ok], agree[ok]
+        at = to
 
 
 def least_agree(similarity: float) -> int:
-    p = (1 + similarity) / 2
-    return int(SKETCH_BITS * p - 5 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+    p = similarity + (1 - similarity) / 4
+    return int(HASHES * p - SKETCH_SIGMAS * (HASHES * p * (1 - p)) ** 0.5)
 
 
 _PAIR_SCHEMA = "kind int, a long, ha long, b long, hb long, at int, side int, n long, label binary, sketch binary"
@@ -187,7 +264,9 @@ class _Rows:
         self.hs = batch.column("h").to_numpy(zero_copy_only=False)
         self.n = batch.column("n").to_numpy(zero_copy_only=False)
         self.labels = _matrix(batch.column("label"), ">u2", DEPTH + 1)
-        self.sketches = _matrix(batch.column("sketch"), np.uint64, SKETCH_BITS // 64)
+        self.sketches = _matrix(batch.column("sketch"), np.uint64, 2 * SKETCH_WORDS)
+        if "comp" in batch.schema.names:             # second scan
+            self.comp = batch.column("comp").to_numpy(zero_copy_only=False)
 
     def take(self, sel):
         out = object.__new__(_Rows)
@@ -205,15 +284,28 @@ class _Rows:
         return len(self.ids)
 
     def pairs(self, num, den):
-        p = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den) if len(self) > 1 else np.zeros((0, 3), np.int64)
-        i, j = p[:, 0], p[:, 1]
-        return pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j], p[:, 2])
+        if len(self) < 2:
+            found = []
+        elif hasattr(self, "comp"):
+            found = _cross_pairs(self.hs, self.n, self.labels, self.sketches, self.comp, num, den)
+        else:
+            kept, left_out = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den)
+            found = [kept.T]
+            yield self.marked(left_out)
+        for i, j, agree in found:
+            yield pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j], agree)
+
+    def marked(self, which):
+        ids, n = pa.array(self.ids[which]), int(which.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), ids, pa.array(self.hs[which]),
+                                           *[pa.nulls(n, t) for t in _TYPES[3:]]], names=_NAMES)
 
     def borders(self, at, side):
         n = len(self)
         none = pa.nulls(n, pa.int64())
+        comp = pa.array(self.comp) if hasattr(self, "comp") else none
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(n, np.int32)), pa.array(self.ids), pa.array(self.hs), none, none,
+            [pa.array(np.ones(n, np.int32)), pa.array(self.ids), pa.array(self.hs), comp, none,
              pa.array(np.full(n, at, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(self.n),
              pa.array([x.tobytes() for x in self.labels], pa.binary()), pa.array([x.tobytes() for x in self.sketches], pa.binary())], names=_NAMES)
 
@@ -228,7 +320,7 @@ def pair_batch(a, ha, b, hb, agree):
 
 
 def _scan(num, den):
-    """Sorted rows of one partition -> candidate pairs, and its first and last rows for the borders."""
+    """Sorted rows of one partition -> candidate pairs, and its first and last rows for the borders (their component under b)."""
     def run(batches):
         from pyspark import TaskContext
         at = TaskContext.get().partitionId()
@@ -247,13 +339,13 @@ def _scan(num, den):
             last = np.flatnonzero((key != key[-1]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0
             if cut:                                  # whole regions; the last one may go on
-                yield held.take(slice(0, cut)).pairs(num, den)
+                yield from held.take(slice(0, cut)).pairs(num, den)
                 held = held.take(slice(cut, None))
             if len(held) >= BUFFER_ROWS:             # one crowded region fills the buffer
-                yield held.pairs(num, den)
+                yield from held.pairs(num, den)
                 held = held.take(slice(len(held) - REGION, None))
         if held is not None:
-            yield held.pairs(num, den)
+            yield from held.pairs(num, den)
             yield head.borders(at - 1, 1)
             yield tail.borders(at, 0)
     return run
@@ -262,8 +354,8 @@ def _scan(num, den):
 def _borders(num, den):
     """Last rows of a partition beside the first rows of the next one -> pairs across the border."""
     def run(group):
-        g = group.combine_chunks().rename_columns(["at", "id", "h", "n", "label", "sketch"]).sort_by([("label", "ascending"), ("id", "ascending")])
-        out = [_Rows(b).pairs(num, den) for b in g.to_batches() if b.num_rows > 1]
+        g = group.combine_chunks().sort_by([("label", "ascending"), ("id", "ascending")])
+        out = [p for b in g.to_batches() for p in _Rows(b).pairs(num, den)]
         return pa.Table.from_batches(out, pa.schema(list(zip(_NAMES, _TYPES, strict=True)))).select([*_NAMES[:5], "n"])
     return run
 
@@ -307,6 +399,49 @@ def _full_sets(k):
     return run
 
 
+def _candidates(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, ha, b, hb, n) of the forest over reps (id, h, n, labels, sketch[, comp]), n being the
+    sketch values that agree, and the rows (id, h) that were too crowded to keep all theirs."""
+    parts = shuffle_partitions(reps.sparkSession)
+    width = 2 * DEPTH
+    comp = [c for c in ("comp",) if c in reps.columns]
+    rows = (reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+            .select("id", "h", "n", "sketch", *comp,
+                    F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")),
+                             F.expr(f"substring(labels, tree * {width} + 1, {width})")).alias("label")))
+    found = cut_lineage(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
+                        .mapInArrow(_scan(num, den), _PAIR_SCHEMA))
+    across = (found.where("kind = 1")
+              .select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch", *[F.col("b").alias(c) for c in comp])
+              .groupBy("at").applyInArrow(_borders(num, den), "kind int, a long, ha long, b long, hb long, n long"))
+    every = found.where("kind = 0").select("a", "ha", "b", "hb", "n").union(across.where("kind = 0").select("a", "ha", "b", "hb", "n"))
+    return every.distinct(), found.where("kind = 2").select(F.col("a").alias("id"), F.col("ha").alias("h")).distinct()
+
+
+def _confirmed(d: DataFrame, edges: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(a, b) of the edges (a, ha, b, hb) whose full sets, built again from the texts of d (id, text), are similar enough."""
+    parts = shuffle_partitions(d.sparkSession)
+    # pairs are confirmed in blocks: neighbours of one small id together, large blocks split by a hash of a
+    ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a")))
+    low = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("block"))
+    placed = (edges.join(low.withColumnRenamed("v", "a"), "a").withColumnRenamed("block", "ba")
+              .join(low.withColumnRenamed("v", "b"), "b").withColumn("block", F.least("ba", "block")).drop("ba"))
+    placed = cut_lineage(placed.select("block", "a", "ha", "b", "hb"))
+    large = cut_lineage(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
+    salts = F.coalesce(F.ceil(F.col("m") / BLOCK_EDGES), F.lit(1))
+    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts))
+                         .select("block", "salt", "a", "ha", "b", "hb"))
+    member = (placed.select("block", "salt", "a", "ha")
+              .union(placed.select("block", "salt", F.col("b"), F.col("hb"))).distinct())
+    sets = (member.join(d.withColumnRenamed("id", "a"), "a").select("block", "salt", "a", "ha", "text")
+            .mapInArrow(_full_sets(words), "block long, salt long, a long, ha long, shingles binary"))
+    return (sets.select("block", "salt", F.lit(0).alias("kind"), "a", "ha", F.lit(None).cast("long").alias("b"),
+                        F.lit(None).cast("long").alias("hb"), "shingles")
+            .union(placed.select("block", "salt", F.lit(1), "a", "ha", "b", "hb", F.lit(None).cast("binary")))
+            .repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
+            .mapInArrow(_verify(words, num, den), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
@@ -321,46 +456,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and come out with a null ``component_id``, kept. Other columns are not read.
     """
     num, den = similarity
-    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = shuffle_partitions(spark)
     sig = cut_lineage(d.mapInArrow(_signatures(words), "id long, n long, h long, labels binary, sketch binary"))
     full = sig.where("id is not null and h is not null")
     reps = cut_lineage(full.groupBy("h", "n").agg(F.min("id").alias("id"), F.first("labels").alias("labels"),
                                                   F.first("sketch").alias("sketch")))
-    width = 2 * DEPTH
-    rows = (reps.select("id", "h", "n", "labels", "sketch", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-            .select("id", "h", "n", "sketch",
-                    F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")),
-                             F.expr(f"substring(labels, tree * {width} + 1, {width})")).alias("label")))
-    found = cut_lineage(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
-                        .mapInArrow(_scan(num, den), _PAIR_SCHEMA))
-    across = (found.where("kind = 1").select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch")
-              .groupBy("at").applyInArrow(_borders(num, den), "kind int, a long, ha long, b long, hb long, n long"))
-    pairs = (found.where("kind = 0").select("a", "ha", "b", "hb", "n").union(across.select("a", "ha", "b", "hb", "n")).distinct())
+    pairs, crowded = _candidates(reps, num, den)
+    pairs = written(pairs)
     sided = pairs.select("*", F.explode(F.array("ha", "hb")).alias("v"))
     best = Window.partitionBy("v").orderBy(F.desc("n"), "ha", "hb", "a", "b")
-    edges = cut_lineage(sided.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select("a", "ha", "b", "hb").distinct())
-    # pairs are confirmed in blocks: neighbours of one small id together, large blocks split by a hash of a
-    ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a")))
-    low = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("block"))
-    placed = (edges.join(low.withColumnRenamed("v", "a"), "a").withColumnRenamed("block", "ba")
-              .join(low.withColumnRenamed("v", "b"), "b").withColumn("block", F.least("ba", "block")).drop("ba"))
-    placed = cut_lineage(placed.select("block", "a", "ha", "b", "hb"))
-    large = cut_lineage(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
-    salts = F.coalesce(F.ceil(F.col("m") / BLOCK_EDGES), F.lit(1))
-    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts))
-                         .select("block", "salt", "a", "ha", "b", "hb"))
-    member = (placed.select("block", "salt", "a", "ha")
-              .union(placed.select("block", "salt", F.col("b"), F.col("hb"))).distinct())
-    sets = (member.join(d.withColumnRenamed("id", "a"), "a").select("block", "salt", "a", "ha", "text")
-            .mapInArrow(_full_sets(words), "block long, salt long, a long, ha long, shingles binary"))
-    links = (sets.select("block", "salt", F.lit(0).alias("kind"), "a", "ha", F.lit(None).cast("long").alias("b"),
-                         F.lit(None).cast("long").alias("hb"), "shingles")
-             .union(placed.select("block", "salt", F.lit(1), "a", "ha", "b", "hb", F.lit(None).cast("binary")))
-             .repartition(parts, "block", "salt").sortWithinPartitions("block", "salt", "kind")
-             .mapInArrow(_verify(words, num, den), "a long, b long"))
+    edges = written(sided.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select("a", "ha", "b", "hb").distinct())
+    links = written(_confirmed(d, edges, words, num, den))
     comp = components(links)
+    # second scan, of the crowded rows: what the limits of the first left out, between the components it found
+    again = (reps.join(crowded, ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
+             .withColumn("comp", F.coalesce("component", "id")).drop("component"))
+    rest = pairs.union(_candidates(again, num, den)[0]).distinct().join(edges, ["a", "ha", "b", "hb"], "left_anti")
+    take = BEST
+    while True:
+        rest = written(rest.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+                       .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+                       .select("a", "ha", "b", "hb", "n", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
+        if rest.isEmpty():
+            break
+        first = Window.partitionBy("lo", "hi").orderBy(F.desc("n"), "a", "b", "ha", "hb")
+        picked = written(rest.withColumn("r", F.row_number().over(first)).where(F.col("r") <= take).select("a", "ha", "b", "hb"))
+        more = written(_confirmed(d, picked, words, num, den))
+        rest = rest.select("a", "ha", "b", "hb", "n").join(picked, ["a", "ha", "b", "hb"], "left_anti")
+        take *= WIDEN
+        if not more.isEmpty():
+            links = links.union(more)
+            comp = components(links)
     # a copy follows its set's representative; an id with several sets ties them together
     tied = (full.select("id", "h", "n").distinct().join(reps.select("h", "n", F.col("id").alias("rep")), ["h", "n"])
             .select("id", "rep").distinct())
