@@ -472,16 +472,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = (reps.join(crowded, ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .withColumn("comp", F.coalesce("component", "id")).drop("component"))
     rest = pairs.union(_candidates(again, num, den)[0]).distinct().join(edges, ["a", "ha", "b", "hb"], "left_anti")
-    take = BEST
+    take, texts = BEST, None
     while True:
         rest = written(rest.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
                        .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
                        .select("a", "ha", "b", "hb", "n", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
         if rest.isEmpty():
             break
+        if texts is None:                            # the rounds shuffle the texts they need, not all
+            texts = written(d.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
         first = Window.partitionBy("lo", "hi").orderBy(F.desc("n"), "a", "b", "ha", "hb")
         picked = written(rest.withColumn("r", F.row_number().over(first)).where(F.col("r") <= take).select("a", "ha", "b", "hb"))
-        more = written(_confirmed(d, picked, words, num, den))
+        more = written(_confirmed(texts, picked, words, num, den))
         rest = rest.select("a", "ha", "b", "hb", "n").join(picked, ["a", "ha", "b", "hb"], "left_anti")
         take *= WIDEN
         if not more.isEmpty():
