@@ -17,9 +17,13 @@ within a region a document keeps its ``NEAREST`` most similar candidates and its
 sorted neighbours, and over all trees its ``BEST`` most similar ones, so a group
 of m near copies yields O(m) pairs. The second scan knows the components found
 and takes every candidate pair between two of them, without a limit per
-document; regions are deepened by the number of such pairs. Those pairs are
-confirmed in rounds, the most similar of each two components first, until no
-untested pair between different components is left.
+document: it is keyed by the region (tree and ``BASE`` values), counted over all
+rows, and takes the rows of crowded regions, of regions that a partition border
+may have cut, and of pairs left out. Regions of one component are skipped; a
+region of more than ``BLOCK_ROWS`` rows is cut into blocks, and every two blocks
+meet under a key of their own, but for those of the region's main component among
+themselves. The pairs are confirmed in rounds, the most similar of each two
+components first, until no untested pair between different components is left.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ BUFFER_ROWS = 60_000
 CHUNK_PAIRS = 500_000
 WIDEN = 16
 BLOCK_EDGES = 8192
+BLOCK_ROWS = 4096
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
@@ -194,8 +199,8 @@ def _runs(flags):
     return np.repeat(np.arange(len(first)), size), first, size
 
 
-def _largest(group, comp, groups):
-    """The most frequent component of every group, and how many rows of the group are outside it."""
+def _largest(group, comp):
+    """The most frequent component of every group."""
     order = np.lexsort((comp, group))
     g, c = group[order], comp[order]
     new = np.ones(len(g), bool)
@@ -203,26 +208,23 @@ def _largest(group, comp, groups):
     _, first, count = _runs(new)
     by = np.lexsort((-count, g[first]))
     head = by[np.concatenate([[True], g[first][by][1:] != g[first][by][:-1]])]
-    return c[first[head]], np.bincount(group, minlength=groups) - count[head]
+    return c[first[head]]
 
 
-def _cross_pairs(hs, sizes, labels, sketches, comp, num, den):
-    """All candidate pairs of rows sorted by label that are of different components, in pieces (i, j, agreeing sketch values)."""
-    m = len(hs)
-    lcp = np.zeros(m, np.int64)
-    same = labels[1:] == labels[:-1]
-    lcp[1:] = np.where(same.all(axis=1), DEPTH + 1, same.argmin(axis=1))
-    cut = lcp < BASE + 1
-    cut[0] = True
-    for depth in range(BASE + 1, DEPTH + 2):
-        group, first, size = _runs(cut)
-        main, minor = _largest(group, comp, len(first))
-        big = size * minor > REGION * REGION
-        if depth == DEPTH + 1 or not big.any():
-            break
-        cut |= big[group] & (lcp < depth + 1)
-    outside = comp != main[group]
-    rows = np.flatnonzero(outside)
+def _cross_pairs(hs, sizes, labels, sides, sketches, comp, num, den):
+    """All candidate pairs of rows that are of one label and of different components, in pieces (i, j, agreeing sketch values).
+
+    Rows are sorted by label and side. Under a label stands one block (side 0), whose rows all meet, or two, whose rows
+    of side 1 meet those of side 2.
+    """
+    new = np.ones(len(hs), bool)
+    new[1:] = (labels[1:] != labels[:-1]).any(axis=1)
+    group, first, size = _runs(new)
+    # in one block, pairs inside its largest component are not needed
+    leads = np.where(sides == 0, comp != _largest(group, comp)[group], sides == 1)
+    before = np.bincount(group, sides == 1, minlength=len(first)).astype(np.int64)
+    first, size = first + before, size - before
+    rows = np.flatnonzero(leads)
     width = size[group[rows]]
     upto = np.cumsum(width)
     at = 0
@@ -231,7 +233,7 @@ def _cross_pairs(hs, sizes, labels, sketches, comp, num, den):
         w = width[at:to]
         i = np.repeat(rows[at:to], w)
         j = np.repeat(first[group[rows[at:to]]], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        ok = (comp[i] != comp[j]) & (~outside[j] | (i < j)) & (hs[i] != hs[j])
+        ok = (comp[i] != comp[j]) & (~leads[j] | (i < j)) & (hs[i] != hs[j])
         i, j = i[ok], j[ok]
         ok = (sizes[i] * den >= num * sizes[j]) & (sizes[j] * den >= num * sizes[i])
         i, j = i[ok], j[ok]
@@ -263,10 +265,12 @@ class _Rows:
         self.ids = batch.column("id").to_numpy(zero_copy_only=False)
         self.hs = batch.column("h").to_numpy(zero_copy_only=False)
         self.n = batch.column("n").to_numpy(zero_copy_only=False)
-        self.labels = _matrix(batch.column("label"), ">u2", DEPTH + 1)
+        second = "comp" in batch.schema.names
+        self.labels = _matrix(batch.column("label"), ">u2", BASE + 1 + 8 if second else DEPTH + 1)
         self.sketches = _matrix(batch.column("sketch"), np.uint64, 2 * SKETCH_WORDS)
-        if "comp" in batch.schema.names:             # second scan
+        if second:
             self.comp = batch.column("comp").to_numpy(zero_copy_only=False)
+            self.side = batch.column("side").to_numpy(zero_copy_only=False)
 
     def take(self, sel):
         out = object.__new__(_Rows)
@@ -287,7 +291,7 @@ class _Rows:
         if len(self) < 2:
             found = []
         elif hasattr(self, "comp"):
-            found = _cross_pairs(self.hs, self.n, self.labels, self.sketches, self.comp, num, den)
+            found = _cross_pairs(self.hs, self.n, self.labels, self.side, self.sketches, self.comp, num, den)
         else:
             kept, left_out = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den)
             found = [kept.T]
@@ -303,9 +307,8 @@ class _Rows:
     def borders(self, at, side):
         n = len(self)
         none = pa.nulls(n, pa.int64())
-        comp = pa.array(self.comp) if hasattr(self, "comp") else none
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(n, np.int32)), pa.array(self.ids), pa.array(self.hs), comp, none,
+            [pa.array(np.ones(n, np.int32)), pa.array(self.ids), pa.array(self.hs), none, none,
              pa.array(np.full(n, at, np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(self.n),
              pa.array([x.tobytes() for x in self.labels], pa.binary()), pa.array([x.tobytes() for x in self.sketches], pa.binary())], names=_NAMES)
 
@@ -320,15 +323,22 @@ def pair_batch(a, ha, b, hb, agree):
 
 
 def _scan(num, den):
-    """Sorted rows of one partition -> candidate pairs, and its first and last rows for the borders (their component under b)."""
+    """Sorted rows of one partition -> candidate pairs, its first and last rows for the borders, and the rows that left pairs out.
+
+    The first and the last region may go on beyond the border, where only NEIGHBOURS rows meet, so all their rows count as such.
+    """
     def run(batches):
         from pyspark import TaskContext
         at = TaskContext.get().partitionId()
-        held, head, tail = None, None, None
+        held, head, tail, begin = None, None, None, None
         for batch in batches:
             rows = _Rows(batch)
             if not len(rows):
                 continue
+            begin = rows.labels[0, :BASE + 1] if begin is None else begin
+            cut_off = (rows.labels[:, :BASE + 1] == begin).all(axis=1)
+            if cut_off.any():
+                yield rows.marked(cut_off)
             if head is None or len(head) < NEIGHBOURS:
                 head = rows.take(slice(0, NEIGHBOURS)) if head is None else head.plus(rows).take(slice(0, NEIGHBOURS))
             held = rows if held is None else held.plus(rows)
@@ -346,6 +356,7 @@ def _scan(num, den):
                 held = held.take(slice(len(held) - REGION, None))
         if held is not None:
             yield from held.pairs(num, den)
+            yield held.marked((held.labels[:, :BASE + 1] == held.labels[-1, :BASE + 1]).all(axis=1))
             yield head.borders(at - 1, 1)
             yield tail.borders(at, 0)
     return run
@@ -399,25 +410,73 @@ def _full_sets(k):
     return run
 
 
+def _met(num, den):
+    """Rows sorted by (label, side) -> candidate pairs between components under every label."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = _Rows(batch)
+            if not len(rows):
+                continue
+            held = rows if held is None else held.plus(rows)
+            if len(held) < BUFFER_ROWS:
+                continue
+            last = np.flatnonzero((held.labels != held.labels[-1]).any(axis=1))
+            if len(last):                            # a label's rows are two blocks at most
+                yield from held.take(slice(0, last[-1] + 1)).pairs(num, den)
+                held = held.take(slice(last[-1] + 1, None))
+        if held is not None:
+            yield from held.pairs(num, den)
+    return run
+
+
+def _per_tree(reps: DataFrame, values: int) -> DataFrame:
+    """The columns of reps with a row for every tree: label holds the tree and its first values."""
+    return (reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+            .withColumn("label", F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")),
+                                          F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * values})")))
+            .drop("tree", "labels"))
+
+
 def _candidates(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, ha, b, hb, n) of the forest over reps (id, h, n, labels, sketch[, comp]), n being the
-    sketch values that agree, and the rows (id, h) that were too crowded to keep all theirs."""
+    """Candidate pairs (a, ha, b, hb, n) of the forest over reps (id, h, n, labels, sketch), n being the
+    sketch values that agree, and the rows (id, h) that did not keep all theirs."""
     parts = shuffle_partitions(reps.sparkSession)
-    width = 2 * DEPTH
-    comp = [c for c in ("comp",) if c in reps.columns]
-    rows = (reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-            .select("id", "h", "n", "sketch", *comp,
-                    F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")),
-                             F.expr(f"substring(labels, tree * {width} + 1, {width})")).alias("label")))
+    rows = _per_tree(reps, DEPTH).select("id", "h", "n", "sketch", "label")
     found = cut_lineage(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
                         .mapInArrow(_scan(num, den), _PAIR_SCHEMA))
     across = (found.where("kind = 1")
-              .select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch", *[F.col("b").alias(c) for c in comp])
+              .select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch")
               .groupBy("at").applyInArrow(_borders(num, den), "kind int, a long, ha long, b long, hb long, n long"))
     every = found.where("kind = 0").select("a", "ha", "b", "hb", "n").union(across.where("kind = 0").select("a", "ha", "b", "hb", "n"))
     return every.distinct(), found.where("kind = 2").select(F.col("a").alias("id"), F.col("ha").alias("h")).distinct()
 
 
+def _between(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a, ha, b, hb, n) between two components over reps (id, h, n, labels, sketch, comp): every two
+    rows that share BASE values in a tree, whatever the region's size and the number of partitions."""
+    parts = shuffle_partitions(reps.sparkSession)
+    rows = _per_tree(reps, BASE).withColumnRenamed("label", "region")
+    regions = (rows.groupBy("region", "comp").agg(F.count("*").alias("m"))
+               .groupBy("region").agg(F.sum("m").alias("size"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
+               .where("size > most"))
+    # blocks 0 .. few - 1 hold the rows outside the main component, the others the rows of the main component
+    few = F.when(F.col("size") <= BLOCK_ROWS, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS)).cast("long")
+    many = F.when(F.col("size") <= BLOCK_ROWS, 0).otherwise(F.ceil(F.col("most") / BLOCK_ROWS)).cast("long")
+    spread = F.xxhash64("id", "h")
+    main = (F.col("many") > 0) & (F.col("comp") == F.col("main"))
+    own = F.when(main, F.col("few") + F.pmod(spread, F.greatest("many", F.lit(1)))).otherwise(F.pmod(spread, F.col("few")))
+    met = F.sequence(F.lit(0).cast("long"), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return (rows.join(regions.select("region", "main", few.alias("few"), many.alias("many")), "region")
+            .withColumn("own", own).withColumn("other", F.explode(met))
+            .select("id", "h", "n", "sketch", "comp", F.concat("region", number(x), number(y)).alias("label"),
+                    F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"))
+            .repartition(parts, "label").sortWithinPartitions("label", "side")
+            .mapInArrow(_met(num, den), _PAIR_SCHEMA).select("a", "ha", "b", "hb", "n").distinct())
+
+
 def _confirmed(d: DataFrame, edges: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b) of the edges (a, ha, b, hb) whose full sets, built again from the texts of d (id, text), are similar enough."""
     parts = shuffle_partitions(d.sparkSession)
@@ -468,10 +527,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = written(sided.withColumn("r", F.row_number().over(best)).where(F.col("r") <= BEST).select("a", "ha", "b", "hb").distinct())
     links = written(_confirmed(d, edges, words, num, den))
     comp = components(links)
-    # second scan, of the crowded rows: what the limits of the first left out, between the components it found
-    again = (reps.join(crowded, ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    # second scan: what the limits and borders of the first left out, between the components it found
+    again = written(reps.join(crowded, ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .withColumn("comp", F.coalesce("component", "id")).drop("component"))
-    rest = pairs.union(_candidates(again, num, den)[0]).distinct().join(edges, ["a", "ha", "b", "hb"], "left_anti")
+    rest = pairs.union(_between(again, num, den)).distinct().join(edges, ["a", "ha", "b", "hb"], "left_anti")
     take, texts = BEST, None
     while True:
         rest = written(rest.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")

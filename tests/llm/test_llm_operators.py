@@ -101,6 +101,42 @@ def test_crowded_regions_are_deepened_and_joined():
     assert 700 < len(pairs) < 700 * 12
 
 
+def _forest_rows(spark, sketches, comps=None):
+    """Rows 0 .. n-1: in the first tree one region for even and one for odd ids, in the others regions of one row."""
+    rng, n = np.random.default_rng(2), len(sketches)
+    labels = rng.integers(0, 1 << 16, (n, minhash_forest.TREES, minhash_forest.DEPTH)).astype(">u2")
+    labels[:, 1:, 0] = np.arange(n)[:, None]
+    labels[:, 0, :minhash_forest.BASE] = (np.arange(n) % 2)[:, None]
+    rows = [(i, i + 5000, 100, bytearray(labels[i].tobytes()), bytearray(sketches[i].tobytes()), int(comps[i]) if comps is not None else i) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, h long, n long, labels binary, sketch binary, comp long")
+
+
+def test_regions_larger_than_partitions_and_blocks(spark, monkeypatch):
+    rng, parts = np.random.default_rng(1), spark.conf.get("spark.sql.shuffle.partitions")
+    couples = {(i, i + 2) for i in range(240) if i % 4 < 2}
+    sketches = rng.integers(0, 2**63, (240, 2 * minhash_forest.SKETCH_WORDS), dtype=np.uint64)
+    for a, b in couples:
+        sketches[b] = sketches[a]
+    reps = _forest_rows(spark, sketches)
+    pairs_of = lambda df: {(r.a, r.b) for r in df.collect()}
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 24)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "96")      # some 60 rows each, regions of 120
+        pairs, crowded = minhash_forest._candidates(reps.drop("comp"), 80, 100)
+        found, left = pairs_of(pairs), {r.id for r in crowded.collect()}
+        assert found < couples
+        # what a border separates is left to the second scan
+        assert {x for c in couples - found for x in c} <= left
+        again = reps.join(crowded, ["id", "h"], "left_semi")
+        assert found | pairs_of(minhash_forest._between(again, 80, 100)) == couples
+        # blocks: all pairs of a region but for those inside a component, main component or not
+        comps = np.where(np.arange(240) < 150, 0, np.arange(240) // 5)
+        whole = minhash_forest._between(_forest_rows(spark, np.repeat(sketches[:1], 240, 0), comps), 80, 100)
+        assert pairs_of(whole) == {(a, b) for a in range(240) for b in range(a + 2, 240, 2) if comps[a] != comps[b]}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def _windows(table):
     words = [(i, re.findall(WORDS, x or "")) for i, x in table]
     first, last = {}, {}
