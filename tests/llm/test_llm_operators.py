@@ -137,6 +137,22 @@ def test_regions_larger_than_partitions_and_blocks(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+def test_second_scan_keeps_the_base_depth(spark):
+    """A region of 2400 rows, 300 outside the main component: pairs that share only BASE values are taken all the same."""
+    n = 4800
+    sketches = np.zeros((n, 2 * minhash_forest.SKETCH_WORDS), np.uint64)
+    comps = np.where(np.arange(n) < 4200, 0, 1 + np.arange(n) % 2)
+    got = minhash_forest._between(_forest_rows(spark, sketches, comps), 80, 100)
+    assert got.count() == 2 * 2100 * 300
+
+
+def test_labels_of_very_long_documents_differ():
+    rng = np.random.default_rng(4)
+    labels = [np.frombuffer(minhash_forest.label(minhash_forest.signature(rng.integers(1, 2**63, 200_000, dtype=np.uint64))), ">u2") for _ in range(3)]
+    for x, y in ((0, 1), (0, 2), (1, 2)):
+        assert (labels[x] == labels[y]).mean() < 0.05
+
+
 def _windows(table):
     words = [(i, re.findall(WORDS, x or "")) for i, x in table]
     first, last = {}, {}
