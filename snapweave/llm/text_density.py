@@ -4,8 +4,10 @@ The page becomes a light DOM. For every node the characters C, tags T, link
 characters and link tags give the link-adjusted density (characters per tag,
 lowered where links prevail); a node's density sum adds up its children's. The
 node of the largest sum is the core of the article; the smallest density on its
-path from the body is the threshold its surroundings have to reach to belong to
-it. Elements that are never article text (menus, headers, footers, sidebars,
+path from the body is the threshold that other subtrees have to reach to belong to
+it, in composite density or in plain characters per tag; what stands between two
+parts that belong to it and is not mostly links, and titles before them, belong to
+it too. The outermost article or main around the core is taken whole. Elements that are never article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, or by
 words of class and id) take no part in the counts and the text.
 """
@@ -36,6 +38,7 @@ NOISE_WORDS = frozenset("""ad ads advert advertisement adverts advertising spons
  copyright recommended trending""".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 CORE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -149,52 +152,109 @@ def _count(nodes: list[Node]) -> None:
             up.link_tags += node.link_tags
 
 
+def composite(c: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density of these counts, ratio being the body's share of link characters."""
+    if not c:
+        return 0.0
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(c / max(c - link_chars, 1) * link_chars + ratio * c + math.e)
+    return max(c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9) if base > 1 else math.e), 0.0)
+
+
 def densities(nodes: list[Node], body: Node) -> None:
     """Composite text density of every node and the sum over its children."""
     ratio = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if not c:
-            node.density = 0.0
-            continue
-        base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + ratio * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9) if base > 1 else math.e)
-        node.density = max(node.density, 0.0)
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.noise)
 
 
-def _select(nodes: list[Node], body: Node) -> Node:
+def _parts(node: Node, path: set[int]) -> list[list]:
+    """The children of a node: every block, and every node of the path, by itself; what is in line between them together."""
+    out, line = [], None
+    for c in node.children:
+        if isinstance(c, Node) and c.noise:
+            continue
+        if isinstance(c, Node) and (c.tag in BLOCK or id(c) in path):
+            out.append([c])
+            line = None
+        elif line is None:
+            line = [c]
+            out.append(line)
+        else:
+            line.append(c)
+    return out
+
+
+def _counts(part: list) -> tuple[int, int, int, int]:
+    """Characters, tags, link characters and link tags of a part; of one node, those inside it."""
+    if len(part) == 1 and isinstance(part[0], Node):
+        x = part[0]
+        return x.chars, x.tags, x.link_chars, x.link_tags
+    inner = [x for x in part if isinstance(x, Node)]
+    return (sum(x.chars for x in inner) + sum(len(x.strip()) for x in part if isinstance(x, str)), sum(x.tags + 1 for x in inner),
+            sum(x.link_chars for x in inner), sum(x.link_tags for x in inner))
+
+
+def _is_title(part: list) -> bool:
+    """Whether half of the text, or more, stands in headings."""
+    todo, chars = [x for x in part if isinstance(x, Node)], 0
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            chars += x.chars
+        else:
+            todo.extend(c for c in x.children if isinstance(c, Node) and not c.noise)
+    return chars > 0 and 2 * chars >= _counts(part)[0]
+
+
+def _select(nodes: list[Node], body: Node) -> list:
+    """The nodes and strings of the article in their order, None between blocks."""
     core = max(nodes, key=lambda x: x.total)
     if core.total <= 0:
-        return body
-    path, node = [], core
-    while node is not None:
-        path.append(node)
-        if node is body:
-            break
-        node = node.parent
-    if path[-1] is not body:
-        return core
-    threshold = min(x.density for x in path)
-    for up in path:
-        if up.tag in CORE:
-            core = up
-    if core.tag in CORE:
-        return core
-    for up in path[1:]:
-        # the surroundings belong to the core where they reach the threshold without it
-        rest = up.chars - core.chars
-        if up is body or rest <= 0 or (rest - (up.link_chars - core.link_chars)) / max(up.tags - core.tags, 1) >= threshold:
-            if up is not body or rest <= 0:
-                core = up
-        else:
-            break
-    return core
+        return [body]
+    path = [core, *(up for up in _ancestors(core))]
+    path = path[:next((i for i, up in enumerate(path) if up is body), len(path) - 1) + 1]
+    outer = [up for up in path if up.tag in CORE]
+    if outer:
+        return [outer[-1]]
+    ratio = body.link_chars / max(body.chars, 1)
+    threshold, plain = min(x.density for x in path), min((x.chars - x.link_chars) / max(x.tags, 1) for x in path)
+    on_path = {id(x) for x in path}
+
+    def reaches(c, tags, link_chars, link_tags):
+        return c > 0 and (composite(c, tags, link_chars, link_tags, ratio) >= threshold or (c - link_chars) / max(tags, 1) >= plain)
+
+    out, todo = [], [body] if core is not body else [[body]]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, list):
+            out += [None, *at]
+            continue
+        parts = _parts(at, on_path)
+        counts = [_counts(x) for x in parts]
+        keep = [x[0] is core or not (isinstance(x[0], Node) and id(x[0]) in on_path) and reaches(*n) for x, n in zip(parts, counts, strict=True)]
+        sure = [i for i, x in enumerate(parts) if keep[i] or (isinstance(x[0], Node) and id(x[0]) in on_path)]
+        if sure:
+            titles = True                            # headings right before the text, and an h1 anywhere before it
+            for i in range(sure[0] - 1, -1, -1):
+                if counts[i][0] and _is_title(parts[i]):
+                    keep[i] = titles or (isinstance(parts[i][0], Node) and parts[i][0].tag == "h1")
+                elif counts[i][0]:
+                    titles = False
+            for i in range(sure[0] + 1, sure[-1]):
+                keep[i] = keep[i] or (i not in sure and 0 < counts[i][0] >= 2 * counts[i][2])
+        for i in range(len(parts) - 1, -1, -1):
+            if keep[i]:
+                todo.append(parts[i])
+            else:
+                todo.extend(x for x in reversed(parts[i]) if isinstance(x, Node) and x.chars and x.tag != "a")
+    return out
 
 
-def blocks(node: Node) -> list[str]:
-    """Text of a subtree: one string per block, white space as one blank."""
+def blocks(parts: list) -> list[str]:
+    """Text of subtrees and strings: one string per block, white space as one blank."""
     out, now = [], []
 
     def flush():
@@ -203,7 +263,7 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         now.clear()
 
-    todo: list = [node]
+    todo: list = list(reversed(parts))
     while todo:
         x = todo.pop()
         if x is None:

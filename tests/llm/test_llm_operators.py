@@ -278,6 +278,21 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_main_text_without_article():
+    para = [f"{c} " + "text of the page " * 11 + "here." for c in "abcdefghijk"]
+    tags = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    noise = "<div class=menu><a href=a>x</a></div>"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>another page {i}</a></li>" for i in range(8)) + "</ul>"
+    two = f"<body>{noise}<div><section>{tags(para[:5])}</section><section>{tags(para[5:10])}</section></div>{links}</body>"
+    assert text_density.main_text(two).split("\n") == para[:10]
+    title = f"<body>{noise}<div class=top><h1>The title</h1></div><div>{tags(para[:5])}</div>{links}</body>"
+    assert text_density.main_text(title).split("\n") == ["The title", *para[:5]]
+    beside = f"<body>{links}<h1>Title</h1><div>{tags(para[:4])}</div><h2>Next</h2><p>Short.</p><div>{tags(para[4:8])}</div>{para[8]} <b>bold</b>{links}</body>"
+    assert text_density.main_text(beside).split("\n") == ["Title", *para[:4], "Next", "Short.", *para[4:8], para[8] + " bold"]
+    deep = f"<body>{'<div>' * 2000}{tags(para[:3])}{'</div>' * 2000}<div>{tags(para[3:6])}</div></body>"
+    assert text_density.main_text(deep).split("\n") == para[:6]
+
+
 def test_nearest_recall_and_hard_rows(spark):
     t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pydict()
     ids, x = np.array(t["vec_id"]), np.array(t["embedding"], float)
