@@ -9,7 +9,9 @@ it, in composite density or in plain characters per tag; what stands between two
 parts that belong to it and is not mostly links, and titles before them, belong to
 it too. The outermost article or main around the core is taken whole. Elements that are never article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments; by tag, role, or by
-words of class and id) take no part in the counts and the text.
+words of class and id) take no part in the counts and the text. Headings and
+paragraphs are not judged by class or id, and inside article or main only containers
+are, by whole class names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Element names by the way they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video".split())
-OUT = frozenset("nav footer aside form head button select dialog menu fieldset label".split()) | RAW
+RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video".split())
+OUT = frozenset("nav footer aside form head button select dialog menu fieldset label annotation annotation-xml".split()) | RAW
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
  footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 CLOSES_P = BLOCK - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -36,6 +38,14 @@ NOISE_WORDS = frozenset("""ad ads advert advertisement adverts advertising spons
  menu footer sidebar aside cookie cookies consent gdpr notice notification alert comment comments disqus respond share sharing social
  related newsletter subscribe subscription signup login breadcrumb breadcrumbs popup modal overlay widget toolbar pagination pager
  copyright recommended trending""".split())
+# Noise words that are also common topics: an id has to be made of nothing else but these, noise words and PLACE_WORDS.
+TOPICS = frozenset("""sponsor promo promotion menu consent notice notification alert comment comments respond share sharing social related
+ subscription popup overlay copyright recommended trending cookie cookies gdpr login signup banner""".split())
+PLACE_WORDS = frozenset("""area bar block blocks box btn button buttons column container content group icon icons inner item items left link links list outer
+ panel post posts right row section slot the unit wrap wrapper articles form main top bottom""".split())
+# Elements that are judged by class (inside article or main only if the whole class is noise) and by id.
+CONTAINERS = frozenset("div section ul ol dl table header iframe center details".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
 CORE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -68,8 +78,17 @@ def _judge(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, bool]:
         names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true":
         return False, True
-    words = {w.lower() for k in ("class", "id") if k in names for w in _WORDS.findall(html.unescape(names[k]))}
-    return False, bool(words & NOISE_WORDS or (not inside and words & HEAD_WORDS))
+    if tag in TEXTS or (inside and tag not in CONTAINERS):
+        return False, False
+    words = lambda x: {w.lower() for w in _WORDS.findall(html.unescape(x))}
+    whole = lambda x: bool(words(x) & NOISE_WORDS) and words(x) <= NOISE_WORDS | PLACE_WORDS
+    classes, ident = names.get("class", ""), names.get("id", "")
+    if tag == "section":                             # section ids are made from headings
+        ident = ""
+    if inside:
+        return False, any(whole(x) for x in html.unescape(classes).split()) or whole(ident)
+    return False, bool((words(classes) | words(ident)) & HEAD_WORDS or words(classes) & NOISE_WORDS
+                       or words(ident) & (NOISE_WORDS - TOPICS) or whole(ident))
 
 
 def parse(page: str) -> Node:

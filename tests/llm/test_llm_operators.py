@@ -293,6 +293,26 @@ def test_main_text_without_article():
     assert text_density.main_text(deep).split("\n") == para[:6]
 
 
+def test_main_text_keeps_what_only_sounds_like_noise():
+    text = "A paragraph that is long enough to be counted as text of its own."
+    kept = ["<h2 id='related-work'>{}</h2>", "<section id='copyright-law'><p>{}</p></section>", "<p class='share-price'>{}</p>",
+            "<section id='alert-fatigue'><p>{}</p></section>", "<section id='comments'><p>{}</p></section>", "<div class='share-price'>{}</div>",
+            "<span class='notice'>{}</span>", "<div id='related-work'>{}</div>", "<h3 class='banner-heading' id='cookie'>{}</h3>", "<ul id='trending-topics'><li>{}</li></ul>"]
+    dropped = ["<div class='share'>{}</div>", "<div class='x share-buttons'>{}</div>", "<section class=comments>{}</section>", "<div id=comments>{}</div>",
+               "<div class='ad'>{}</div>", "<ul class='relatedPosts'><li>{}</li></ul>", "<div class='ad-slot'>{}</div>"]
+    for frame in ("<article>{}</article>", "<main>{}</main>"):
+        for one in kept:
+            page = "<body>" + frame.format(f"<p>{text}</p>" * 3 + one.format("the one " + text)) + "</body>"
+            assert "the one " + text in text_density.main_text(page), one
+        for one in dropped:
+            page = "<body>" + frame.format(f"<p>{text}</p>" * 3 + one.format("the one " + text)) + "</body>"
+            assert text_density.main_text(page).split("\n") == [text] * 3, one
+    plain = f"<body><div><p>{text}</p><h2 id='related-work'>Related work</h2><p class='share-price'>{text}</p><section id='alert-fatigue'><p>{text}</p></section></div></body>"
+    assert text_density.main_text(plain).split("\n") == [text, "Related work", text, text]
+    math_text = "<article><p>It is <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>a=2</annotation></math> here.</p></article>"
+    assert text_density.main_text(math_text) == "It is a=2 here."
+
+
 def test_nearest_recall_and_hard_rows(spark):
     t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pydict()
     ids, x = np.array(t["vec_id"]), np.array(t["embedding"], float)
