@@ -28,19 +28,19 @@ BASE = {
 }
 
 _V = r"(?: v(?:ersion)?)?"
-# Hand-written signatures: label, priority (small first), confidence, keyword, pattern.
+# Hand-written signatures: label, priority (small first), confidence, keyword (stands in every match of the pattern), pattern.
 SIGNATURES = [
     ("gpl-3.0", 10, 0.95, "gnu general public license", rf"gnu general public license{_V} ?3(?: 0)?"),
     ("gpl-2.0", 10, 0.95, "gnu general public license", rf"gnu general public license{_V} ?2(?: 0)?"),
     ("gpl-1.0", 10, 0.95, "gnu general public license", rf"gnu general public license{_V} ?1(?: 0)?"),
     ("gpl-or-later", 8, 0.97, "any later version", r"gnu general public license[^.]{0,120}? any later version"),
-    ("lgpl", 10, 0.9, "lesser general public", r"gnu (?:lesser|library) general public license"),
+    ("lgpl", 10, 0.9, "general public license", r"gnu (?:lesser|library) general public license"),
     ("lgpl-2.1", 9, 0.95, "lesser general public", rf"gnu lesser general public license{_V} 2 1"),
     ("lgpl-3.0", 9, 0.95, "lesser general public", rf"gnu lesser general public license{_V} 3(?: 0)?"),
     ("agpl-3.0", 9, 0.95, "affero general public", rf"(?:gnu )?affero general public license(?:{_V} 3(?: 0)?)?"),
     ("gfdl", 10, 0.9, "free documentation license", r"gnu free documentation license"),
     ("apache-2.0", 10, 0.95, "apache license", rf"apache license{_V} 2 0"),
-    ("apache-1.1", 10, 0.95, "apache license", rf"apache (?:software )?license{_V} 1 1"),
+    ("apache-1.1", 10, 0.95, "apache", rf"apache (?:software )?license{_V} 1 1"),
     ("apache-2.0", 9, 0.98, "licensed under the apache", r"licensed under the apache license version 2 0"),
     ("apache", 12, 0.85, "apache software license", r"apache software license"),
     ("mit", 12, 0.9, "permission is hereby granted free of charge", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -65,7 +65,7 @@ SIGNATURES = [
     ("public-domain", 15, 0.7, "public domain", r"(?:released into|dedicated to|placed in|in) the public domain"),
     ("cc0-1.0", 10, 0.95, "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("wtfpl", 12, 0.9, "do what the", r"do what the f\w+ you want to public license"),
-    ("zlib", 13, 0.85, "zlib license", r"zlib(?: libpng)? license"),
+    ("zlib", 13, 0.85, "zlib", r"zlib(?: libpng)? license"),
     ("artistic-2.0", 12, 0.9, "artistic license", r"artistic license(?: 2 0)?"),
     ("boost-1.0", 12, 0.9, "boost software license", r"boost software license(?: version 1 0)?"),
     ("ofl-1.1", 12, 0.9, "open font license", r"(?:sil )?open font license(?: version 1 1)?"),
@@ -78,6 +78,68 @@ SIGNATURES = [
     ("copyright", 17, 0.5, "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
     ("no-warranty", 17, 0.5, "without warranty", r"(?:provided )?as is without warranty of any kind"),
     ("proprietary", 15, 0.8, "proprietary and confidential", r"proprietary and confidential"),
+    ("lgpl-2.0", 9, 0.95, "library general public license", rf"gnu library general public license{_V} ?2(?: 0)?"),
+    ("gfdl-1.2", 9, 0.95, "free documentation license", rf"gnu free documentation license{_V} ?1 2"),
+    ("gfdl-1.3", 9, 0.95, "free documentation license", rf"gnu free documentation license{_V} ?1 3"),
+    ("apache-1.0", 10, 0.95, "apache", rf"apache (?:software )?license{_V} ?1 0"),
+    ("apache-2.0", 10, 0.95, "apache software license", rf"apache software license{_V} ?2 0"),
+    ("eupl", 14, 0.85, "european union public licen", r"european union public licen[cs]e"),
+    ("eupl-1.1", 10, 0.95, "european union public licen", rf"european union public licen[cs]e{_V} ?1 1"),
+    ("eupl-1.2", 10, 0.95, "european union public licen", rf"european union public licen[cs]e{_V} ?1 2"),
+    ("ms-pl", 12, 0.9, "microsoft public license", r"microsoft public license"),
+    ("ms-rl", 12, 0.9, "microsoft reciprocal license", r"microsoft reciprocal license"),
+    ("sspl-1.0", 12, 0.9, "server side public license", rf"server side public license(?:{_V} ?1(?: 0)?)?"),
+    ("busl-1.1", 12, 0.9, "business source license", rf"business source license(?:{_V} ?1 1)?"),
+    ("elastic-2.0", 10, 0.95, "elastic license", rf"elastic license{_V} ?2(?: 0)?"),
+    ("elastic", 14, 0.8, "elastic license", r"elastic license"),
+    ("commons-clause", 12, 0.9, "commons clause", r"commons clause (?:license condition|restriction)"),
+    ("polyform-noncommercial", 12, 0.9, "polyform noncommercial", r"polyform noncommercial license"),
+    ("polyform-small-business", 12, 0.9, "polyform small business", r"polyform small business license"),
+    ("ncsa", 12, 0.9, "ncsa", r"(?:university of illinois )?ncsa open source license"),
+    ("w3c", 13, 0.85, "w3c software", r"w3c software (?:notice and|and document(?: notice and)?) license"),
+    ("php-3.01", 10, 0.95, "php license", rf"php license{_V} ?3 0?1"),
+    ("php", 14, 0.85, "php license", r"php license"),
+    ("ruby", 13, 0.85, "ruby license", r"ruby license"),
+    ("vim", 13, 0.85, "vim license", r"vim license"),
+    ("sleepycat", 13, 0.85, "sleepycat license", r"sleepycat license"),
+    ("0bsd", 10, 0.95, "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd|bsd 0 clause)(?: license)?"),
+    ("bsd-4-clause", 10, 0.95, "4 clause", r"(?:bsd 4 clause|4 clause bsd)(?: license)?"),
+    ("bsd-4-clause", 9, 0.95, "all advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("beerware", 12, 0.9, "beer", r"(?:the )?beer ?ware license"),
+    ("json", 13, 0.9, "shall be used for good", r"the software shall be used for good not evil"),
+    ("zpl", 13, 0.85, "zope public license", rf"zope public license(?:{_V} ?\d(?: \d)?)?"),
+    ("x11", 13, 0.85, "x11 license", r"x11 license"),
+    ("qpl-1.0", 12, 0.9, "q public license", rf"q public license(?:{_V} ?1 0)?"),
+    ("ipl-1.0", 12, 0.9, "ibm public license", rf"ibm public license(?:{_V} ?1 0)?"),
+    ("cpl-1.0", 12, 0.9, "common public license", rf"common public license(?:{_V} ?1 0)?"),
+    ("cpal-1.0", 12, 0.9, "common public attribution license", rf"common public attribution license(?:{_V} ?1 0)?"),
+    ("afl-3.0", 12, 0.9, "academic free license", rf"academic free license(?:{_V} ?3 0)?"),
+    ("osl-3.0", 12, 0.9, "open software license", rf"open software license(?:{_V} ?3 0)?"),
+    ("lppl", 12, 0.9, "latex project public license", rf"latex project public license(?:{_V} ?1 3c?)?"),
+    ("cecill", 14, 0.85, "cecill", r"cecill(?: (?:free software )?licen[cs]e(?: agreement)?)?"),
+    ("cecill-b", 10, 0.95, "cecill b", r"cecill b(?: licen[cs]e)?"),
+    ("cecill-c", 10, 0.95, "cecill c", r"cecill c(?: licen[cs]e)?"),
+    ("unicode", 13, 0.85, "unicode license", r"unicode license(?: agreement)?"),
+    ("icu", 13, 0.85, "icu license", r"icu license"),
+    ("upl-1.0", 12, 0.9, "universal permissive license", rf"universal permissive license(?:{_V} ?1 0)?"),
+    ("mulan-psl-2.0", 12, 0.9, "mulan permissive software license", rf"mulan permissive software license(?:{_V} ?2)?"),
+    ("blueoak-1.0.0", 12, 0.9, "blue oak model license", r"blue oak model license(?: 1 0 0)?"),
+    ("artistic-1.0", 10, 0.95, "artistic license 1 0", r"artistic license 1 0"),
+    ("edl-1.0", 12, 0.9, "eclipse distribution license", rf"eclipse distribution license(?:{_V} ?1 0)?"),
+    ("mpl-1.0", 10, 0.95, "mozilla public license", rf"mozilla public license{_V} ?1 0"),
+    ("npl", 13, 0.85, "netscape public license", r"netscape public license"),
+    ("apsl", 13, 0.85, "apple public source license", rf"apple public source license(?:{_V} ?2 0)?"),
+    ("hpnd", 13, 0.85, "historical permission notice", r"historical permission notice and disclaimer"),
+    ("pddl-1.0", 12, 0.9, "public domain dedication and license", r"open data commons public domain dedication and license"),
+    ("ogl-3.0", 12, 0.9, "open government licen", r"open government licen[cs]e(?: v ?3 0| v3 0)?"),
+    ("cdla-permissive", 12, 0.9, "community data license agreement permissive", r"community data license agreement permissive"),
+    ("cdla-sharing", 12, 0.9, "community data license agreement sharing", r"community data license agreement sharing"),
+    ("openrail", 13, 0.85, "openrail", r"(?:creativeml )?(?:bigscience )?openrail(?: m)?"),
+    ("llama", 13, 0.85, "community license agreement", r"llama (?:2|3|3 1|3 2|3 3|4) community license agreement"),
+    ("bittorrent-1.1", 13, 0.85, "bittorrent open source license", r"bittorrent open source license"),
+    ("ecl-2.0", 12, 0.9, "educational community license", rf"educational community license(?:{_V} ?2 0)?"),
+    ("gust", 13, 0.85, "gust font license", r"gust font license"),
+    ("bitstream-vera", 13, 0.85, "bitstream vera", r"bitstream vera (?:fonts? copyright|license)"),
 ]
 # Creative Commons: every element set, with and without a version, in its short and its long name.
 _CC = {"": "", " nc": " noncommercial", " sa": " sharealike", " nd": " noderivs", " nc sa": " noncommercial sharealike", " nc nd": " noncommercial noderivs"}

@@ -368,6 +368,48 @@ def test_licences(docs, none, table):
     assert licences.scan_licences(none).count() == 0
 
 
+def _matches(parsed):
+    """Examples of a parsed pattern: every alternative, optional parts with and without, repeats at their fewest and with a word."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            one = [chr(arg)]
+        elif op == "BRANCH":
+            one = [x for alternative in arg[1] for x in _matches(alternative)]
+        elif op == "SUBPATTERN":
+            one = _matches(arg[-1])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            one = [x * arg[0] for x in _matches(arg[2])] + ([x * max(arg[0], 1) for x in _matches(arg[2])] if arg[1] else [])
+        elif op == "IN":
+            kind, first = arg[0]
+            one = ["0" if "DIGIT" in str(first) else "x" if str(kind) in ("CATEGORY", "NEGATE") else None]
+            one = [chr(a) for k, a in arg if str(k) == "LITERAL"] if one == [None] else one
+        elif op in ("ANY", "NOT_LITERAL"):
+            one = ["x"]
+        else:
+            one = [""] if op in ("ASSERT_NOT", "AT") else pytest.fail(op)
+        out = list(dict.fromkeys(a + b for a in out for b in one))
+    return out
+
+
+def test_licence_gates_let_every_alternative_through(spark):
+    from re import _parser
+    for _, _, keyword, pattern, label, _ in licences.rules():
+        examples = _matches(_parser.parse(pattern.pattern.decode()))
+        assert any(pattern.search(x.encode()) for x in examples), label
+        for x in examples:
+            assert keyword in x.encode(), (label, x)
+    assert len(licences.SIGNATURES) == 110 and len(licences.rules()) == 226
+    texts = {"GNU Library General Public License": "lgpl", "Apache Software License 1.1": "apache-1.1", "zlib/libpng license": "zlib",
+             "European Union Public Licence v1.2": "eupl-1.2", "Microsoft Public License": "ms-pl", "Server Side Public License": "sspl-1.0",
+             "Business Source License 1.1": "busl-1.1", "Elastic License 2.0": "elastic-2.0", "GNU Lesser General Public License v. 2.1": "lgpl-2.1"}
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert texts[text] in got[i], text
+
+
 def test_sampled_segmentations(docs, none, table):
     import public_tokenizers
     import sentencepiece
