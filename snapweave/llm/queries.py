@@ -14,6 +14,7 @@ from .licences import scan_licences
 from .minhash_forest import near_duplicates
 from .packing import pack_documents
 from .sparse_suffixes import repeated_passages
+from .spelling_tiles import spelling_variants
 from .suffix_trees import substring_dedup
 from .text_density import extract
 
@@ -63,6 +64,10 @@ def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_forest": op1_minhash_forest,
     "op2_linear_grouping": op2_linear_grouping,
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_block_max": op8_block_max,
     "op9_licence_rules": op9_licence_rules,
     "op10_gumbel_pieces": op10_gumbel_pieces,
+    "op13_spelling_tiles": op13_spelling_tiles,
 }
 
 #: Links by prefix filtering: two sets of similarity 0.8 share one of the rarest fifth of each.
@@ -119,5 +125,45 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: The checksum byte by byte from a table built by its rule; near words share a gap: a code point left out at the same place,
+#: or left out of the longer word.
+OP13_SQL = r"""
+WITH RECURSIVE bits AS (
+    SELECT i AS slot, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+    UNION ALL SELECT slot, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY slot) AS t FROM bits WHERE step = 8),
+run AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents),
+own AS (SELECT doc_id, r, length(r) AS l, count(*) AS m FROM run WHERE length(r) >= 7 GROUP BY doc_id, r),
+bytes AS (
+    SELECT r, l, m, flatten(list_transform(range(1, length(k) + 1),
+        lambda i: CASE WHEN unicode(k[i]) < 128 THEN [unicode(k[i])] ELSE [195, unicode(k[i]) - 64] END)) AS b
+    FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || r AS k FROM own)),
+summed AS (
+    SELECT r, l, m, xor(list_reduce(list_transform(b, lambda x: x::BIGINT),
+        lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+made AS (SELECT CASE WHEN h % 31 = 0 THEN r[1:h % l] || r[h % l + 2:] ELSE r END AS word, m FROM summed),
+word AS (SELECT word, sum(m)::BIGINT AS n, length(word) AS l FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+gap AS (
+    SELECT word, n, l, i, word[1:i - 1] || word[i + 1:] AS g
+    FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM word)),
+near AS (
+    SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM gap x JOIN gap y
+        ON x.g = y.g AND x.i = y.i AND x.l = y.l AND x.word <> y.word
+    UNION SELECT x.word, x.n, y.word, y.n FROM gap x JOIN word y ON x.g = y.word
+    UNION SELECT y.word, y.n, x.word, x.n FROM gap x JOIN word y ON x.g = y.word),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS top, max(other_n) AS top_n FROM near GROUP BY word),
+formed AS (
+    SELECT w.word, CASE WHEN top_n >= 10 * n THEN top END AS form, n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN top_n >= 10 * n THEN top_n END AS form_n FROM word w LEFT JOIN best b ON w.word = b.word),
+follow(word, root, step) AS (
+    SELECT word, word, 0 FROM formed
+    UNION ALL SELECT f.word, g.form, step + 1 FROM follow f JOIN formed g ON f.root = g.word WHERE g.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
+
 #: The others need a tokenizer, a model, HTML trees, or searches and rules that SQL cannot state.
-ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_suffix_trees": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_suffix_trees": OP6_SQL, "op13_spelling_tiles": OP13_SQL}
