@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from snapweave.session import read_table
 
 from . import ordinal
+from .adaptive_prefix import jaccard_components
 from .bm25 import search
 from .collision_hashing import nearest
 from .gumbel_pieces import sample_segmentations
@@ -65,6 +66,10 @@ def op10_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_segmentations(read_table(spark, sf_dir, "documents"))
 
 
+def op11_adaptive_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op12_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_block_max": op8_block_max,
     "op9_licence_rules": op9_licence_rules,
     "op10_gumbel_pieces": op10_gumbel_pieces,
+    "op11_adaptive_prefix": op11_adaptive_prefix,
     "op12_pair_maxscore": op12_pair_maxscore,
     "op13_spelling_tiles": op13_spelling_tiles,
 }
@@ -116,6 +122,13 @@ comp AS (SELECT id AS doc_id, min(c) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comp USING (doc_id)
 """
 
+#: The same links by prefix filtering, on three-word shingles at 0.9.
+OP11_SQL = (
+    OP1_SQL.replace("ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END",
+                    "WHEN len(w) = 2 THEN [w[1] || ' ' || w[2]]\n"
+                    "        ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END")
+    .replace("80", "90").replace(", doc_id = component_id AS kept", ""))
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
 win AS (
@@ -194,5 +207,5 @@ SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN ends e ON f.word
 """
 
 #: The others need a tokenizer, a model, HTML trees, or searches and rules that SQL cannot state.
-ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_suffix_trees": OP6_SQL, "op12_pair_maxscore": OP12_SQL,
-                          "op13_spelling_tiles": OP13_SQL}
+ORACLE: dict[str, str] = {"op1_minhash_forest": OP1_SQL, "op6_suffix_trees": OP6_SQL,
+                          "op11_adaptive_prefix": OP11_SQL, "op12_pair_maxscore": OP12_SQL, "op13_spelling_tiles": OP13_SQL}
