@@ -125,6 +125,19 @@ def chosen_level(n: int, df: np.ndarray, num: int, den: int) -> tuple[int, int]:
     return int(level[at]), int(upto[at])
 
 
+def _matched(place: DataFrame) -> DataFrame:
+    """The rows (h, g) whose shingle g stands under several h."""
+    # a table of its own, so that a very frequent shingle is split by the join below
+    shared = cut_lineage(place.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("g"))
+    return written(place.join(shared, "g", "left_semi").select("h", "g"))
+
+
+def _live(sets: DataFrame, matched: DataFrame, num: int, den: int) -> DataFrame:
+    """The sets (id, h, n, copies) with enough matched rows (h, g)."""
+    enough = F.col("copies") * _levels_col(_least_col(F.col("n"), num, den))
+    return sets.join(matched.groupBy("h").count(), "h").where(F.col("count") >= enough).select("id", "h", "n", "copies")
+
+
 def _prefixes(num: int, den: int):
     """(sid, n, shared: [(df, g)]) -> (sid, n, l, g, df): the chosen prefixes, rarest first."""
     def run(batches):
@@ -299,12 +312,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     every = written(d.mapInArrow(_profiles(words, num, den), "id long, n long, h long, prefix array<long>"))
     full = every.where("id is not null and h is not null")
-    first = cut_lineage(full.groupBy("h", "n").agg(F.min("id").alias("id")))
-    # sets whose prefix is shared by others often enough
-    place = full.join(first, ["id", "h", "n"], "left_semi").select("h", F.explode("prefix").alias("g"))
-    shared = cut_lineage(place.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("g"))
-    matches = place.join(shared, "g", "left_semi").groupBy("h").count()
-    live = (first.join(matches, "h").where(F.col("count") >= _levels_col(_least_col(F.col("n"), num, den))).select("id", "h", "n"))
+    # a set's copies hold its prefix too, so its matches are counted once for each copy
+    first = cut_lineage(full.groupBy("h", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    matched = _matched(full.select("h", F.explode("prefix").alias("g")))
+    live = written(_live(first, matched, num, den))
+    # once more among the sets that stay
+    live = _live(live, _matched(matched.join(live.select("h").distinct(), "h", "left_semi")), num, den).select("id", "h", "n")
     texts = d.join(live, "id").withColumn("xh", F.xxhash64("text")).dropDuplicates(["id", "h", "xh"])
     sets = written(texts.select("id", "h", "n", "text").mapInArrow(_full_sets(words), "id long, n long, shingles array<long>")
                    .withColumn("sid", F.monotonically_increasing_id()))
