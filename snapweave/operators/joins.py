@@ -7,18 +7,16 @@ beyond the limit the plain shuffle join (with AQE skew splitting) is used.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_BYTES = 64 << 20
-PATTERN_CHUNK_BYTES = 32 << 20
-
-_AUTOMATA: dict = {}
+from ..session import cut_lineage
 
+BROADCAST_MAX_BYTES = 64 << 20
+SPACE = "\t\n\x0b\f\r"  # white space besides the blank
+GRAM = 4
 
 def _size_of(df: DataFrame, text_cols: Sequence[str]) -> tuple[int, int]:
     """(rows, approximate bytes) of ``df`` over ``text_cols`` (one small job)."""
@@ -34,79 +32,90 @@ def checked_broadcast(small: DataFrame, text_cols: Sequence[str] = (), max_bytes
     return F.broadcast(small) if (b + n * row_bytes) <= max_bytes else small
 
 
-def _automaton(key, names):
-    import ahocorasick
-
-    a = _AUTOMATA.get(key)
-    if a is None:
-        a = ahocorasick.Automaton()
-        for i, name in enumerate(names):
-            a.add_word(name, i)
-        a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = a
-    return a
-
-
-def _scan_chunk(texts: DataFrame, key_cols: Sequence[str], text_col: str, names: list[str]) -> DataFrame:
-    spark = texts.sparkSession
-    bc = spark.sparkContext.broadcast(names)
-    key = ("contains", uuid.uuid4().hex)
-    out_schema = ", ".join([f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in key_cols]
-                           + ["_pattern string"])
-
-    def scan(batches):
-        a = _automaton(key, bc.value)
-        names = bc.value
-        for pdf in batches:
-            cols = [pdf[c].tolist() for c in key_cols]
-            keys_out = [[] for _ in key_cols]
-            pats = []
-            for i, txt in enumerate(pdf["_t"].tolist()):
-                if not isinstance(txt, str) or not txt:
-                    continue
-                for idx in {idx for _, idx in a.iter(txt)}:
-                    for j, col in enumerate(cols):
-                        keys_out[j].append(col[i])
-                    pats.append(names[idx])
-            if pats:  # an empty object-typed frame would not convert to the schema
-                yield pd.DataFrame({**{c: keys_out[j] for j, c in enumerate(key_cols)}, "_pattern": pats})
-
-    return (texts.select(*key_cols, F.col(text_col).alias("_t"))
-            .mapInPandas(scan, out_schema))
+def _words(text: str) -> Column:
+    """A text cut at every white space character (words, and an empty one between two of them); no regular expression."""
+    return F.split(F.translate(text, SPACE, " " * len(SPACE)), " ")
+
+
+def _grams(word: Column, most: int = GRAM) -> Column:
+    """The distinct substrings of ``word`` of ``most`` characters; of a shorter word the word itself."""
+    last = F.greatest(F.char_length(word) - F.lit(most - 1), F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: word.substr(i, F.lit(most))))
+
+
+def _anchored_words(cut: DataFrame, places: DataFrame) -> DataFrame:
+    """(_word, _pattern): the rarest word of each pattern that stands between white space inside the pattern, so any text
+    that holds the pattern has it as a word of its own. A pattern with such a word that no text has is left out."""
+    inner = cut.select("_pattern", F.explode("_inner").alias("_word"))
+    wanted = inner.select("_word").distinct()
+    counted = places.join(checked_broadcast(wanted, ["_word"]), "_word", "left_semi").groupBy("_word").agg(F.count("*").alias("_n"))
+    return (inner.join(counted, "_word", "left").groupBy("_pattern")
+            .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("word"))).alias("_r"))
+            .where("_r.n > 0").select(F.col("_r.word").alias("_word"), "_pattern"))
+
+
+def _holding_words(cut: DataFrame, places: DataFrame) -> DataFrame:
+    """(_word, _pattern) for patterns of one or two words: all words of the texts that hold the pattern's longest word.
+
+    The distinct words of the texts are indexed by grams; a pattern asks for its rarest gram.
+    """
+    piece = (cut.where("size(_inner) = 0")
+             .withColumn("_piece", F.expr("if(char_length(_parts[size(_parts) - 1]) > char_length(_parts[0]), _parts[size(_parts) - 1], _parts[0])"))
+             .select("_pattern", "_piece").where("_piece <> ''"))
+    words = places.select("_word").distinct()
+    # a word also stands under its shorter grams where a pattern is that short
+    short = [r[0] for r in piece.select(F.char_length("_piece").alias("n")).where(F.col("n") < GRAM).distinct().collect()]
+    found = F.flatten(F.array(_grams(F.col("_word")), *[_grams(F.col("_word"), n) for n in short]))
+    index = words.select("_word", F.explode(F.array_distinct(found)).alias("_gram"))
+    asked = piece.select("_pattern", "_piece", F.explode(_grams(F.col("_piece"))).alias("_gram"))
+    wanted = asked.select("_gram").distinct()
+    counted = index.join(checked_broadcast(wanted, ["_gram"]), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    best = (asked.join(counted, "_gram", "left").groupBy("_pattern", "_piece")
+            .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+            .where("_r.n > 0").select("_pattern", "_piece", F.col("_r.gram").alias("_gram")))
+    return index.join(best, "_gram").where(F.contains("_word", "_piece")).select("_word", "_pattern").distinct()
 
 
 def contains_join(texts: DataFrame, key_cols: Sequence[str], text_col: str,
-                  patterns: DataFrame, pattern_col: str,
-                  chunk_bytes: int = PATTERN_CHUNK_BYTES) -> DataFrame:
+                  patterns: DataFrame, pattern_col: str, salts: int = 16) -> DataFrame:
     """Rows of ``texts`` joined with every ``patterns`` row whose
     ``pattern_col`` occurs in the text (F1), whole texts, exact substring.
 
-    Empty or NULL patterns are skipped (an empty name would match every text).
-    Each text is scanned once with an Aho-Corasick automaton over the distinct
-    pattern strings, in ``mapInPandas`` (linear in the text length whatever the
-    number of patterns). The distinct pattern list is measured first; it is
-    shipped to the executors in chunks of at most ``chunk_bytes`` (one pass over
-    the texts per chunk), so nothing unbounded is broadcast or held by the driver.
-    Matches are joined back to the pattern rows on the pattern text.
+    Empty or NULL patterns are skipped (an empty name would match every text), and
+    so are NULL texts; key columns may hold anything, they are only carried along.
+
+    An anchor index instead of a nested loop, in built-in functions only. Texts are
+    exploded into their distinct words (cut at white space), under a hash of the
+    text. A pattern is looked up by one anchor: its rarest word that white space
+    encloses inside the pattern; without one (one or two words), the words of the
+    texts that hold its longest word, found by its rarest gram among the distinct
+    words. What the anchor finds is verified on the whole text with ``contains``.
+    The pattern side is broadcast if its measured size allows it; beyond that both
+    sides shuffle by (word, salt), so a frequent anchor spreads over ``salts`` tasks.
     """
-    pats = patterns.where(F.col(pattern_col).isNotNull() & (F.length(pattern_col) > 0))
-    names_df = pats.select(F.col(pattern_col).alias("_pattern")).distinct()
-    n, b = _size_of(names_df, ["_pattern"])
-    if n == 0:
-        empty = texts.select(*key_cols).limit(0).withColumn("_pattern", F.lit(None).cast("string"))
-        return empty.join(pats, empty["_pattern"] == pats[pattern_col]).drop("_pattern")
-    n_chunks = max(1, -(-b // chunk_bytes))
-    chunked = names_df.withColumn("_chunk", F.pmod(F.xxhash64("_pattern"), F.lit(n_chunks)))
-    hits = None
-    for k in range(n_chunks):
-        names = [r["_pattern"] for r in chunked.where(F.col("_chunk") == k).select("_pattern").collect()]
-        if not names:
-            continue
-        h = _scan_chunk(texts, key_cols, text_col, names)
-        hits = h if hits is None else hits.unionByName(h)
+    pats = patterns.where(F.length(pattern_col) > 0)
+    cut = pats.select(F.col(pattern_col).alias("_pattern")).distinct().withColumn("_parts", _words("_pattern"))
+    cut = cut.withColumn("_inner", F.expr("filter(slice(_parts, 2, greatest(size(_parts) - 2, 0)), x -> x <> '')"))
+    src = texts.select(*key_cols, F.col(text_col).alias("_t")).where(F.length("_t") > 0)
+    places = src.select(F.xxhash64("_t").alias("_xh"), F.explode(F.array_distinct(_words("_t"))).alias("_word"))
+    hits = _anchored_words(cut, places)
+    if not cut.where("size(_inner) = 0").isEmpty():
+        hits = hits.union(_holding_words(cut, places))
+    hits = cut_lineage(hits)
+    small = checked_broadcast(hits, ["_word", "_pattern"])
+    if small is hits:
+        spread = hits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = places.withColumn("_salt", F.pmod("_xh", F.lit(salts)).cast("int")).join(spread, ["_word", "_salt"])
+    else:
+        met = places.join(small, "_word")
+    met = cut_lineage(met.select("_xh", "_pattern").distinct())
+    out = (src.withColumn("_xh", F.xxhash64("_t")).join(checked_broadcast(met, ["_pattern"]), "_xh")
+           .where(F.contains("_t", "_pattern")).select(*key_cols, "_pattern"))
+    blank = cut.where("replace(translate(_pattern, '\\t\\n\\u000b\\f\\r', '     '), ' ') = ''").select("_pattern", F.lit(1).alias("_one"))
+    if not blank.isEmpty():  # white space alone: in nearly every text, so the result is about that size
+        out = out.union(src.withColumn("_one", F.lit(1)).join(blank, "_one").where(F.contains("_t", "_pattern")).select(*key_cols, "_pattern"))
     pat_side = pats.withColumnRenamed(pattern_col, "_pattern")
-    joined = hits.join(checked_broadcast(pat_side, ["_pattern"]), "_pattern")
+    joined = out.join(checked_broadcast(pat_side, ["_pattern"]), "_pattern")
     return joined.withColumnRenamed("_pattern", pattern_col)
 
 

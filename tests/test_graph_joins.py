@@ -59,19 +59,42 @@ def test_developer_page_rule(spark):
     assert pages["d"][-1] == (2, "iPhoneSoftwarePage=2&iPadSoftwarePage=2")
 
 
-def test_contains_join_guard_and_chunks(spark):
-    texts = spark.createDataFrame([(1, "Please buy the Large Dog Wheelchair now; docs at /document/x"),
-                                   (2, "nothing here"), (3, "dog wheelchair large? no. Large Dog Wheelchair!")],
-                                  "job int, txt string")
-    seeds = spark.createDataFrame([("p", "B1", "Large Dog Wheelchair"), ("p", "B2", ""), ("p", "B3", None),
-                                   ("m", "B4", "Large Dog"), ("p", "B5", "Cat Tower")],
-                                  "TYPE string, ID string, NAME string")
-    exp = sorted((j, i) for j, t in [(1, texts.collect()[0].txt), (2, "nothing here"), (3, texts.collect()[2].txt)]
-                 for i, n in [("B1", "Large Dog Wheelchair"), ("B4", "Large Dog"), ("B5", "Cat Tower")] if n in t)
-    one = J.contains_join(texts, ["job"], "txt", seeds, "NAME")
-    many = J.contains_join(texts, ["job"], "txt", seeds, "NAME", chunk_bytes=10)
-    assert sorted((r.job, r.ID) for r in one.collect()) == exp
-    assert sorted((r.job, r.ID) for r in many.collect()) == exp
+def _contained_any(texts, names):
+    return [(k, i) for k, t in texts for i, n in names if t and n and n in t]
+
+
+def _contained(texts, names):
+    return sorted(_contained_any(texts, names))
+
+
+def test_contains_join_guard_and_salts(spark, monkeypatch):
+    big = 9007199254740993  # beyond a double, beside a NULL key
+    texts = [(big, "Please buy the Large Dog Wheelchair now; docs at /document/x"), (2, "nothing here"),
+             (3, "dog wheelchair large? no. Large Dog Wheelchair!"), (4, None), (5, ""), (6, "a\tb  c"), (7, "xLarge Dogs and CatTowers"),
+             (8, " \n"), (9, "né 日本語 x🙂y"), (10, "Large Dog Wheelchair Large Dog Wheelchair")]
+    names = [("B1", "Large Dog Wheelchair"), ("B2", ""), ("B3", None), ("B4", "Large Dog"), ("B5", "Cat Tower"), ("B6", "CatTower"),
+             ("B7", " "), ("B8", "b  c"), ("B9", "本"), ("B10", " Dog "), ("B11", "🙂"), ("B12", "Dog never Wheelchair"), ("B13", "Large Dog Wheelchair"),
+             ("B14", "é"), ("B15", "arge Dog Wheel"), ("B16", "rge"), ("B17", "x ")]
+    t = spark.createDataFrame([*texts, (None, "a Large Dog here")], "job long, txt string")
+    p = spark.createDataFrame(names, "ID string, NAME string")
+    want = sorted(_contained_any([*texts, (None, "a Large Dog here")], names), key=str)
+    rows = lambda: sorted(((r.job, r.ID) for r in J.contains_join(t, ["job"], "txt", p, "NAME").collect()), key=str)
+    assert rows() == want
+    monkeypatch.setattr(J, "checked_broadcast", lambda small, *a, **k: small)  # sides of any size: the salted shuffle join
+    assert rows() == want
+    assert J.contains_join(t, ["job"], "txt", p.where("false"), "NAME").count() == 0
+    assert J.contains_join(t.where("false"), ["job"], "txt", p, "NAME").count() == 0
+
+
+def test_contains_join_random(spark):
+    import random
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5)))
+    texts = [(i, rng.choice(["", " "]).join([" ".join(word() for _ in range(rng.randrange(12)))] * 2)) for i in range(150)]
+    names = [(str(i), " ".join(word() for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    got = J.contains_join(spark.createDataFrame(texts, "job long, txt string"), ["job"], "txt",
+                          spark.createDataFrame(names, "ID string, NAME string"), "NAME")
+    assert sorted((r.job, r.ID) for r in got.collect()) == _contained(texts, names)
 
 
 def test_first_list_rank_and_ids(spark):
