@@ -15,28 +15,46 @@ from pyspark.sql import functions as F
 
 from ..operators import history
 from ..session import ensure_checkpoint_dir
-from ..streaming.streams import current_delta, delta_batches
+from ..streaming.streams import ROCKSDB, current_delta, delta_repairs, stored_repairs
 from .keyed import ORACLE as KEYED_ORACLE
 from .keyed import SNAPSHOT_FIELDS, TS_TEXT
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _drained(writer, spark: SparkSession, path: str) -> None:
+    """Run a stream over all input that there is, with map state in RocksDB."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        q = writer.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
+def _table_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 16) -> DataFrame:
+    table = os.path.join(sf_dir, f"{name}.parquet")
+    schema = spark.read.parquet(table).schema
+    # a pattern that only this name matches: a single file as well as a table folder, in any store
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{table[:-1]}[{table[-1]}]")
+
+
 def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incremental delta compression (L3/L4) of the events snapshots: a file
-    stream of the events table; every micro-batch compresses the histories of
-    the users it touches again, so the result doesn't depend on the files."""
+    stream of the events table whose points are kept in state per (user, field);
+    every micro-batch writes its new marks and those that it flips, so the
+    result doesn't depend on the files and no batch reads what is stored."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     out = f"{base}/snapweave-stream-delta-{uuid.uuid4().hex}"
-    table = os.path.join(sf_dir, "events.parquet")
-    schema = spark.read.parquet(table).schema
-    # the pattern matches a single file as well as a table folder, in any store
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{table}*")
+    src = _table_stream(spark, sf_dir, "events")
     long = history.long_from_columns(src.withColumn("ts", F.col("ts").cast("timestamp")),
                                      "user_id", "ts", "event_id", SNAPSHOT_FIELDS)
-    q = (long.writeStream.foreachBatch(delta_batches(out)).option("checkpointLocation", f"{out}/checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    # a week of a field is one value of the map state
+    _drained(delta_repairs(long, 7 * history.DAY).writeStream.foreachBatch(stored_repairs(out)), spark, out)
     return (current_delta(spark, out)
             .select(F.col("id").cast("bigint").alias("user_id"), F.date_format("ts", TS_TEXT).alias("ts"),
                     F.col("seq").alias("event_id"), "key", F.col("j").alias("val")))

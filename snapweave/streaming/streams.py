@@ -2,22 +2,24 @@
 
 * ``dedupe_stream``      L1: stateful drop of already-seen (type, key)
 * ``upsert_batches``     L2: continuous keyed upsert through ``foreachBatch``
-* ``delta_stream``       L3: incremental delta compression with per-id state
+* ``delta_stream``       L3: incremental delta compression with per-id state, in-order input
+* ``DeltaProcessor``     L3: the same for any arrival order, with the points of each field in state
 * ``snapshot_file_stream`` L4: completed snapshot files as a file stream
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.dedupe import upsert
-from ..operators.history import delta_changes
 
 
 def snapshot_file_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 100,
@@ -83,29 +85,117 @@ def latest_version(spark: SparkSession, target_path: str, before: int | None = N
     return v.where(F.col("batch") == top).drop("batch")
 
 
-def delta_batches(path: str, ids: Sequence[str] = ("id",)):
-    """``foreachBatch`` function for delta compression that is exact for any arrival order (L3).
+REPAIR_OUT = "id string, key string, t long, seq long, j string, keep boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    Each micro-batch's long rows are stored under ``<path>/long/batch=<n>``; the
-    histories of the ids it touches are compressed again from all rows stored
-    so far, into ``<path>/delta/batch=<n>``. Rows older than what was seen change
-    the history like any others. Writing a batch again replaces its folders.
-    ``current_delta`` reads, per id, the newest version.
+
+def _flags(before: str | None, values: list) -> list[bool]:
+    """Which of the values, in order, differ from the one before (``before`` stands in front of the first)."""
+    return [p is None or v != p for p, v in zip([before, *values], values, strict=False)]
+
+
+class DeltaProcessor(StatefulProcessor):
+    """Delta compression of one field of one id, exact for any arrival order (L3).
+
+    State: the points (time, sequence, value) in time buckets, and the ordered list
+    of buckets. New points are put into their buckets; what is written are the new
+    points and the known ones whose mark flips, which are looked for in the touched
+    buckets and in the next known bucket behind each, and nowhere else. So a batch's
+    work follows its rows and their buckets, not what is stored.
+
+    With a watermark a timer per bucket fires when it has passed the bucket's end, after which
+    no more rows come for it: only the kept points and the last one stay in state.
+    """
+
+    def __init__(self, bucket_seconds: int, timed: bool):
+        self.bucket, self.timed = bucket_seconds * 1_000_000, timed
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "buckets array<long>")
+        self.points = handle.getMapState("points", "bucket long", "t array<long>, seq array<long>, j array<string>")
+
+    def _load(self, bucket: int, known: set) -> list:
+        return list(zip(*self.points.getValue((bucket,)), strict=True)) if bucket in known else []
+
+    def _store(self, bucket: int, points: list) -> None:
+        self.points.updateValue((bucket,), tuple(list(x) for x in zip(*points, strict=True)))
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names of the interface)
+        added: dict = {}
+        for r in rows:
+            added.setdefault(r.t // self.bucket, []).append((r.t, r.seq, r.j))
+        stored = self.known.get()
+        old = list(stored[0]) if stored else []
+        known = set(old)
+        order = sorted(known | set(added))
+        walk = sorted({order[i] for b in added for i in (bisect_left(order, b), bisect_left(order, b) + 1) if i < len(order)})
+        ends = {}                                    # bucket -> its last value before and after this batch
+        for b in walk:
+            at = bisect_left(order, b)
+            if not at:
+                before = after = None
+            elif order[at - 1] in ends:
+                before, after = ends[order[at - 1]]
+            else:
+                before = after = self._load(order[at - 1], known)[-1][2]
+            had = self._load(b, known)
+            was = dict(zip([p[:2] for p in had], _flags(before, [p[2] for p in had]), strict=True))
+            now = sorted(had + added.get(b, []), key=lambda p: p[:2])
+            for p, keep in zip(now, _flags(after, [p[2] for p in now]), strict=True):
+                if was.get(p[:2]) != keep:           # a new point, or one whose mark flips
+                    yield Row(id=key[0], key=key[1], t=p[0], seq=p[1], j=p[2], keep=keep)
+            ends[b] = (had[-1][2] if had else before, now[-1][2])
+            if b in added:
+                self._store(b, now)
+                if self.timed and b not in known:
+                    self.handle.registerTimer((b + 1) * self.bucket // 1000)
+        if len(order) > len(old):
+            self.known.update((order,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.bucket - 1
+        order = list(self.known.get()[0])
+        at, known = bisect_left(order, bucket), set(order)
+        had = self._load(bucket, known)
+        keep = _flags(self._load(order[at - 1], known)[-1][2] if at else None, [p[2] for p in had])
+        keep[-1] = True                              # the next bucket's first value is compared with it
+        self._store(bucket, [p for p, k in zip(had, keep, strict=True) if k])
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def delta_repairs(long: DataFrame, bucket_seconds: int = 86400, watermark: str | None = None) -> DataFrame:
+    """Marks of the compressed history as they become known (L3): (id, key, ts, seq, j, keep) of every new point and of
+    every known one whose mark flips; ``current_delta`` takes the last mark of each. Long rows without a field (``key`` NULL)
+    hold no value and are left out. State is one group per (id, field), so the fields of a hot id are kept apart.
+
+    Without a watermark rows may be of any age and every point stays in state. With ``watermark`` (a delay) Spark leaves
+    out and counts rows older than it, and points that are not kept leave the state behind it.
     """
+    points = long.where("key is not null and ts is not null")
+    if watermark is not None:
+        points = points.withWatermark("ts", watermark)
+    points = points.select("id", "key", "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), "j")
+    marks = points.groupBy("id", "key").transformWithState(
+        DeltaProcessor(bucket_seconds, watermark is not None), REPAIR_OUT, "append", "None" if watermark is None else "EventTime")
+    return marks.select("id", "key", F.timestamp_micros("t").alias("ts"), "seq", "j", "keep")
+
+
+def stored_repairs(path: str):
+    """``foreachBatch`` function for ``delta_repairs``: each batch's marks under ``<path>/marks/batch=<n>``; writing a batch again replaces them."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, name = batch.sparkSession, f"batch={batch_id:012d}"
-        batch.write.mode("overwrite").parquet(f"{path}/long/{name}")
-        stored = spark.read.parquet(f"{path}/long").where(F.col("batch") <= batch_id).drop("batch")
-        touched = spark.read.parquet(f"{path}/long/{name}").select(*ids).distinct()
-        long = stored.join(touched, list(ids), "left_semi")
-        delta_changes(long).write.mode("overwrite").parquet(f"{path}/delta/{name}")
+        batch.write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id:012d}")
     return run
 
 
 def current_delta(spark: SparkSession, path: str) -> DataFrame:
-    """Compressed history rows written by ``delta_batches``: per id those of the newest batch that touched it."""
-    newest = spark.read.parquet(f"{path}/long").groupBy("id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{path}/delta").join(newest, ["id", "batch"]).drop("batch")
+    """Compressed history rows (id, ts, seq, key, j) of the marks stored so far."""
+    marks = spark.read.parquet(f"{path}/marks")
+    last = marks.groupBy("id", "key", "ts", "seq").agg(F.max_by(F.struct("j", "keep"), "batch").alias("m"))
+    return last.where("m.keep").select("id", "ts", "seq", "key", "m.j")
 
 
 DELTA_OUT = "id string, ts timestamp, seq long, key string, j string, late boolean"

@@ -122,3 +122,44 @@ def test_stream_dedupe_within_watermark(spark, tmpdir_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.key for r in spark.sql("select * from wmdd").collect()) == ["A", "B"]
+
+
+LONG = "id string, ts timestamp, seq long, key string, j string"
+
+
+def _long_rows(values, seq=0, key="k"):
+    import datetime as dt
+    t = dt.datetime(2016, 1, 1)
+    return [("a", t + dt.timedelta(hours=h), seq + i, key, j) for i, (h, j) in enumerate(values)]
+
+
+def _repairs(spark, folder, batches, **options):
+    """Marks written batch by batch (one file each), as lists of (batch, hour, j, keep)."""
+    from snapweave.plans.streams import _drained
+    out = os.path.join(folder, "out")
+    for i, rows in enumerate(batches):
+        path = os.path.join(folder, "in", f"b{i}")
+        spark.createDataFrame(rows, LONG).coalesce(1).write.parquet(path)
+        src = spark.readStream.schema(LONG).parquet(os.path.join(folder, "in", "*"))
+        _drained(S.delta_repairs(src, **options).writeStream.foreachBatch(S.stored_repairs(out)), spark, out)
+    marks = spark.read.parquet(out + "/marks").collect()
+    return sorted((r.batch, int((r.ts.timestamp() - 1451606400) // 3600), r.j, r.keep) for r in marks), S.current_delta(spark, out)
+
+
+def test_late_rows_are_repaired_from_the_next_known_value_only(spark, tmpdir_path):
+    first = _long_rows([(h, "1" if h < 200 else "2") for h in range(0, 400, 4)])      # 17 daily buckets
+    marks, now = _repairs(spark, tmpdir_path, [first, _long_rows([(50, "9")], 1000), _long_rows([(51, "1"), (500, "2")], 2000)])
+    assert len([m for m in marks if m[0] == 0]) == len(first)
+    assert [m for m in marks if m[0] == 1] == [(1, 50, "9", True), (1, 52, "1", True)]
+    assert [m for m in marks if m[0] == 2] == [(2, 51, "1", True), (2, 52, "1", False), (2, 500, "2", False)]
+    every = spark.createDataFrame(first + _long_rows([(50, "9")], 1000) + _long_rows([(51, "1"), (500, "2")], 2000), LONG)
+    assert sorted(map(tuple, now.collect())) == sorted(map(tuple, H.delta_changes(every).select(*now.columns).collect()))
+
+
+def test_timer_drops_points_behind_the_watermark(spark, tmpdir_path):
+    """Marks stay right when the buckets before have shrunk; a row older than the watermark is left out."""
+    first = _long_rows([(0, "1"), (1, "1"), (2, "2"), (3, "2"), (5, "3"), (6, "2")])
+    marks, _ = _repairs(spark, tmpdir_path, [first, _long_rows([(100, "2")], 100), _long_rows([(200, "2"), (210, "4")], 200),
+                                            _long_rows([(2, "7"), (211, "4"), (205, "4")], 300)], watermark="20 hours")
+    last = {m[1]: m[3] for m in marks}               # the newest mark of each hour
+    assert last == {0: True, 1: False, 2: True, 3: False, 5: True, 6: True, 100: False, 200: False, 205: True, 210: False, 211: False}
