@@ -70,6 +70,38 @@ def _field(name: str):
     return lambda x: x[name]
 
 
+def grow_developers(stored: DataFrame | None, batch: DataFrame, dev_key: str, app_col: str, ts_col: str) -> DataFrame:
+    """A batch of developer rows merged into stored results of ``merge_developers`` (G3): the union of both lists."""
+    new = merge_developers(batch, dev_key, app_col, ts_col)
+    if stored is None:
+        return new
+    both = stored.select(dev_key, "app_ids", "latest_ts").union(new.select(dev_key, "app_ids", "latest_ts"))
+    return merge_developers(both, dev_key, "app_ids", "latest_ts").select(new.columns)
+
+
+def grow_pages(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str], order_cols: Sequence[str],
+               array_cols: Sequence[str], count_col: str, ts_col: str) -> DataFrame:
+    """A batch of pages added to stored ones (G4): per key its pages as an array of (order, items), sorted by order, with the
+    sum of ``count_col`` and the latest ``ts_col``. A page that comes again under the same order replaces itself.
+    ``appended`` gives the arrays."""
+    page = F.struct(F.struct(*order_cols).alias("o"), F.arrays_zip(*array_cols).alias("items"), F.col(count_col).alias("n"))
+    new = batch.groupBy(*keys).agg(F.collect_list(page).alias("pages"), F.max(ts_col).alias(ts_col))
+    both = new if stored is None else stored.select(new.columns).union(new)
+    pages = F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages"))))
+    # equal orders stand side by side: the last one of each stays
+    last = F.filter(pages, lambda x, i: (i == F.size(pages) - 1) | (pages[i + 1]["o"] != x["o"]))
+    return both.groupBy(*keys).agg(last.alias("pages"), F.max(ts_col).alias(ts_col))
+
+
+def appended(table: DataFrame, array_cols: Sequence[str], count_col: str) -> DataFrame:
+    """The rows of ``grow_pages`` with their arrays in page order and the sum of the counts."""
+    out = table.withColumn("_items", F.flatten(F.transform("pages", lambda p: p["items"])))
+    for c in array_cols:
+        out = out.withColumn(c, F.transform("_items", _field(c)))
+    total = F.aggregate("pages", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    return out.withColumn(count_col, total).drop("_items", "pages")
+
+
 def attach_related(apps: DataFrame, related: DataFrame, key: str = "id",
                    related_col: str = "related_ids") -> DataFrame:
     """Attach related-app ids to existing apps only (F9): an update, never an

@@ -13,13 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import history
-from ..session import ensure_checkpoint_dir
+from ..functions.processors import zip_concat
+from ..operators import dedupe, history, merge
+from ..session import ensure_checkpoint_dir, read_table
+from ..sinks.buckets import BucketTable
 from ..streaming.streams import ROCKSDB, current_delta, delta_repairs, stored_repairs
 from .keyed import ORACLE as KEYED_ORACLE
 from .keyed import SNAPSHOT_FIELDS, TS_TEXT
 
 
+MERGES = 4  # micro-batches of the merge queries
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -60,5 +63,58 @@ def stream_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("seq").alias("event_id"), "key", F.col("j").alias("val")))
 
 
-QUERIES = {"stream_delta": stream_delta}
-ORACLE = {"stream_delta": KEYED_ORACLE["snapshot_delta"]}
+def _merged_in_batches(spark: SparkSession, rows: DataFrame, keys: list[str], by: str, combine) -> DataFrame:
+    """The rows as a file stream of one file per micro-batch, each a range of ``by``, merged into a bucket table."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapweave-buckets-{uuid.uuid4().hex}"
+    rows.repartitionByRange(MERGES, by).write.parquet(f"{base}/in")
+    src = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    table = BucketTable(spark, f"{base}/table", keys, buckets=16)
+    _drained(src.writeStream.foreachBatch(table.batches(combine)), spark, base)
+    return table.read()
+
+
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous keyed upsert (L2/J2): orders arrive in micro-batches of order number; finished orders are the base that any
+    other order of the customer replaces, whichever comes first."""
+    o = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    o = o.where("o_orderstatus is not null")
+    rank = F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)
+
+    def combine(stored, batch):
+        both = batch if stored is None else stored.unionByName(batch)
+        return dedupe.latest_per_key(both, ["o_custkey"], [rank, "o_orderdate", "o_orderkey"])
+
+    u = _merged_in_batches(spark, o, ["o_custkey"], "o_orderkey", combine)
+    return u.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice",
+                    F.date_format("o_orderdate", TS_TEXT).alias("o_orderdate"))
+
+
+def stream_dev_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous developer merge (L2/G3): line items arrive in micro-batches of order number, every supplier's part list grows."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_orderkey")
+    m = _merged_in_batches(spark, li, ["l_suppkey"], "l_orderkey",
+                           lambda stored, batch: merge.grow_developers(stored, batch, "l_suppkey", "l_partkey", "l_shipdate"))
+    return m.select("l_suppkey", F.array_join("app_ids", ",").alias("app_ids"), "n_apps",
+                    F.date_format("latest_ts", TS_TEXT).alias("latest_ts"))
+
+
+def stream_reviewer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Continuous reviewer merge (L2/G4): events arrive in micro-batches of event number, out of time order; per user and hour
+    the pages stand in time order in the end."""
+    ev = read_table(spark, sf_dir, "events")
+    pages = ev.select("user_id", F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", F.array("event_type").alias("types"),
+                      F.array(F.format_number("value", 2)).alias("vals"), F.lit(1).cast("bigint").alias("n_reviews"))
+    m = _merged_in_batches(spark, pages, ["user_id", "hour"], "event_id",
+                           lambda stored, batch: merge.grow_pages(stored, batch, ["user_id", "hour"], ["ts", "event_id"],
+                                                                  ["types", "vals"], "n_reviews", "ts"))
+    m = merge.appended(m, ["types", "vals"], "n_reviews")
+    return m.select("user_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "n_reviews",
+                    F.array_join("types", ",").alias("types"),
+                    F.array_join(zip_concat("types", "vals", ":"), ",").alias("titles"),
+                    F.date_format("ts", TS_TEXT).alias("latest_ts"))
+
+
+QUERIES = {"stream_delta": stream_delta, "stream_upsert": stream_upsert, "stream_dev_merge": stream_dev_merge,
+           "stream_reviewer_append": stream_reviewer_append}
+ORACLE = {"stream_delta": KEYED_ORACLE["snapshot_delta"], "stream_upsert": KEYED_ORACLE["latest_upsert"],
+          "stream_dev_merge": KEYED_ORACLE["dev_merge"], "stream_reviewer_append": KEYED_ORACLE["reviewer_append"]}
