@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +35,10 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
     (anti join) and keeps one referrer per new node: the smallest parent of the
     previous level (K4). Duplicate edges are harmless (the per-node ``min``
     collapses them), so edges are not de-duplicated here; they are
-    hash-partitioned by (source, salt) once and persisted, the salt being a
+    hash-partitioned by (source, salt) once and checkpointed, the salt being a
     hash of the destination, so a hub node's edges spread over ``salt``
     partitions; every round replicates the (small) frontier once per salt
-    value and shuffles only it. The edges' lineage is the one edge derivation,
-    cheap to recompute after a lost executor. Each round's new level is written to the
+    value and shuffles only it. The edges and each round's new level are written to the
     reliable checkpoint folder, so the iterative part keeps a short lineage;
     the visited set is the union of those levels. Rounds are bounded by
     ``max_depth``. ``paged_at_limit`` reproduces the original crawler, whose
@@ -49,10 +47,9 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
     """
     if paged_at_limit:
         max_depth -= 1
-    e = (edges.select("src_type", "src_id", "dst_type", "dst_id")
-         .withColumn("_salt", F.pmod(F.xxhash64("dst_type", "dst_id"), F.lit(salt)).cast("int"))
-         .repartition("src_type", "src_id", "_salt")
-         .persist(StorageLevel.MEMORY_AND_DISK))
+    e = cut_lineage(edges.select("src_type", "src_id", "dst_type", "dst_id")
+                    .withColumn("_salt", F.pmod(F.xxhash64("dst_type", "dst_id"), F.lit(salt)).cast("int"))
+                    .repartition("src_type", "src_id", "_salt"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
     start = (seeds.select("node_type", "node_id")
              .distinct()
@@ -67,18 +64,37 @@ def bounded_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEPTH_LIMIT
                 .select(F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"),
                         F.struct(F.col("src_type").alias("node_type"), F.col("src_id").alias("node_id"))
                         .alias("_ref")))
-        new = (step.join(visited.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti")
-               .groupBy("node_type", "node_id").agg(F.min("_ref").alias("referrer"))
+        # reduced to one row per node first, then the visited ones go
+        new = (step.groupBy("node_type", "node_id").agg(F.min("_ref").alias("referrer"))
+               .join(visited.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti")
                .withColumn("depth", F.lit(d)))
         new = cut_lineage(new.select("node_type", "node_id", "depth", "referrer"))
         if new.isEmpty():
             break
         visited = visited.unionByName(new)
         frontier = new
-    e.unpersist()
     return visited
 
 
+def lineage_paths(nodes: DataFrame) -> DataFrame:
+    """Every node of ``bounded_bfs`` with ``path``, the array of (node_type, node_id) from a seed to itself (K4).
+
+    Pointer doubling over the referrer: a row holds the part of its path behind an
+    ancestor ``up``; a round takes in the ancestor's own part, which doubles the
+    distance, so the number of joins is the logarithm of the depth. A hub that many
+    nodes name as ancestor is the key of a join whose other side has one row, so AQE
+    splits it. Nodes whose referrer is not among the nodes begin a path themselves.
+    """
+    me = F.struct("node_type", "node_id")
+    known = cut_lineage(nodes.select(me.alias("node"), F.array(me).alias("path"), F.col("referrer").alias("up")))
+    while not known.where("up is not null").isEmpty():
+        far = known.select(F.col("node").alias("up"), F.col("path").alias("_head"), F.col("up").alias("_up"))
+        known = cut_lineage(known.join(far, "up", "left")
+                            .select("node", F.concat(F.coalesce("_head", F.slice("path", 1, 0)), "path").alias("path"), F.col("_up").alias("up")))
+    paths = known.select("node.node_type", "node.node_id", "path")
+    return nodes.join(paths, ["node_type", "node_id"])
+
+
 def depth_stats(nodes: DataFrame) -> DataFrame:
     """Nodes per depth."""
     return nodes.groupBy("depth").agg(F.count(F.lit(1)).cast("bigint").alias("n_nodes"))

@@ -142,16 +142,18 @@ def consecutive_same_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _app_graph(spark: SparkSession, sf_dir: str):
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    # repeated pairs are harmless to the expansion (the per-node min collapses
-    # them), so the review relation is used as is, without a distinct shuffle
-    app_dev = li.select("l_partkey", "l_suppkey")
-    app_rev = li.join(o, li.l_orderkey == o.o_orderkey).select("l_partkey", "o_custkey")
-    edges = G.node_union([
-        G.edges_from(app_dev, "app", "l_partkey", "developer", "l_suppkey", "app_developer"),
-        G.edges_from(app_dev, "developer", "l_suppkey", "app", "l_partkey", "developer_app"),
-        G.edges_from(app_rev, "app", "l_partkey", "reviewer", "o_custkey", "review_reviewer"),
-        G.edges_from(app_rev, "reviewer", "o_custkey", "app", "l_partkey", "reviewer_app"),
-    ])
+    # one join gives all four kinds; repeated pairs are harmless to the expansion
+    # (the per-node min collapses them), so there is no distinct shuffle
+    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+
+    def edge(kind, src_type, src, dst_type, dst):
+        return F.struct(F.lit(src_type).alias("src_type"), F.col(src).alias("src_id"), F.lit(dst_type).alias("dst_type"),
+                        F.col(dst).alias("dst_id"), F.lit(kind).alias("kind"))
+    edges = rows.select(F.explode(F.array(
+        edge("app_developer", "app", "l_partkey", "developer", "l_suppkey"),
+        edge("developer_app", "developer", "l_suppkey", "app", "l_partkey"),
+        edge("review_reviewer", "app", "l_partkey", "reviewer", "o_custkey"),
+        edge("reviewer_app", "reviewer", "o_custkey", "app", "l_partkey"))).alias("e")).select("e.*")
     seeds = (read_table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO")
              .select(F.lit("app").alias("node_type"), F.col("p_partkey").alias("node_id")))
     return seeds, edges
@@ -176,6 +178,15 @@ def depth_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.depth_stats(G.bounded_bfs(seeds, edges, U.DEPTH_LIMIT)).withColumn("depth", F.col("depth").cast("bigint"))
 
 
+def lineage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reached node with its path from a seed (K4): referrers followed back by pointer doubling."""
+    seeds, edges = _app_graph(spark, sf_dir)
+    paths = G.lineage_paths(G.bounded_bfs(seeds, edges, U.DEPTH_LIMIT))
+    step = F.transform("path", lambda x: F.concat_ws(":", x["node_type"], x["node_id"].cast("string")))
+    return paths.select("node_type", F.col("node_id").cast("string").alias("node_id"),
+                        F.size("path").cast("bigint").alias("n_steps"), F.array_join(step, ">").alias("path"))
+
+
 QUERIES = {
     "rank_first_list": rank_first_list,
     "flags_labels": flags_labels,
@@ -186,6 +197,7 @@ QUERIES = {
     "consecutive_same_page": consecutive_same_page,
     "bounded_bfs": bounded_bfs,
     "depth_stats": depth_stats,
+    "lineage_paths": lineage_paths,
 }
 
 _GRAPH = """
@@ -199,7 +211,15 @@ walk(t, i, depth) AS (
   SELECT 'app', p_partkey, 0 FROM part WHERE p_type = 'PROMO'
   UNION
   SELECT e.dt, e.di, w.depth + 1 FROM walk w JOIN edges e ON e.st = w.t AND e.si = w.i WHERE w.depth < 3),
-best AS (SELECT t, i, min(depth) AS depth FROM walk GROUP BY t, i)
+best AS MATERIALIZED (SELECT t, i, min(depth) AS depth FROM walk GROUP BY t, i)
+"""
+
+_REFS = """
+refs AS MATERIALIZED (
+  SELECT b.t, b.i, min((p.t, p.i)) AS r FROM best b
+  JOIN edges e ON e.dt = b.t AND e.di = b.i
+  JOIN best p ON p.t = e.st AND p.i = e.si AND p.depth = b.depth - 1
+  WHERE b.depth > 0 GROUP BY b.t, b.i)
 """
 
 ORACLE = {
@@ -273,15 +293,17 @@ SELECT c.conv_id, c.turn, c.role,
 FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
 """,
     "bounded_bfs": f"""
-WITH RECURSIVE {_GRAPH},
-refs AS (
-  SELECT b.t, b.i, min((p.t, p.i)) AS r FROM best b
-  JOIN edges e ON e.dt = b.t AND e.di = b.i
-  JOIN best p ON p.t = e.st AND p.i = e.si AND p.depth = b.depth - 1
-  WHERE b.depth > 0 GROUP BY b.t, b.i)
+WITH RECURSIVE {_GRAPH}, {_REFS}
 SELECT b.t AS node_type, b.i::VARCHAR AS node_id, b.depth::BIGINT AS depth,
   coalesce(refs.r[1] || ':' || refs.r[2]::VARCHAR, '') AS referrer, (b.depth < 3)::INT AS may_page
 FROM best b LEFT JOIN refs ON refs.t = b.t AND refs.i = b.i
+""",
+    "lineage_paths": f"""
+WITH RECURSIVE {_GRAPH}, {_REFS},
+path(t, i, n, p) AS (
+  SELECT t, i, 1, t || ':' || i::VARCHAR FROM best WHERE depth = 0
+  UNION ALL SELECT r.t, r.i, n + 1, p || '>' || r.t || ':' || r.i::VARCHAR FROM path JOIN refs r ON r.r = (path.t, path.i))
+SELECT t AS node_type, i::VARCHAR AS node_id, n::BIGINT AS n_steps, p AS path FROM path
 """,
     "depth_stats": f"""
 WITH RECURSIVE {_GRAPH}

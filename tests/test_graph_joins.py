@@ -119,3 +119,15 @@ def test_bfs_paged_at_limit_parity(spark):
     s = spark.createDataFrame([("app", 0)], "node_type string, node_id long")
     assert G.bounded_bfs(s, e, 3).agg({"depth": "max"}).first()[0] == 3
     assert G.bounded_bfs(s, e, 3, paged_at_limit=True).agg({"depth": "max"}).first()[0] == 2
+
+
+def test_lineage_paths_of_a_deep_chain_and_a_hub(spark, monkeypatch):
+    rows = [("n", 0, 0, None)] + [("n", i, i, ("n", i - 1)) for i in range(1, 40)] + [("m", i, 1, ("n", 0)) for i in range(50)]
+    nodes = spark.createDataFrame(rows + [("x", 7, 2, ("gone", 1))], "node_type string, node_id long, depth int, referrer struct<node_type:string,node_id:long>")
+    rounds = []
+    cut = G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    got = {(r.node_type, r.node_id): [(p.node_type, p.node_id) for p in r.path] for r in G.lineage_paths(nodes).collect()}
+    assert got[("n", 39)] == [("n", i) for i in range(40)] and len(rounds) == 1 + 6  # 2 ** 6 > 39
+    assert got[("m", 9)] == [("n", 0), ("m", 9)] and got[("n", 0)] == [("n", 0)] and got[("x", 7)] == [("x", 7)]
+    assert len(got) == len(rows) + 1
