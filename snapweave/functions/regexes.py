@@ -8,14 +8,9 @@ AMAZON = r"[Aa][Mm][Aa]?[Zz][Oo]?[Nn]"
 REVIEW = r"[Rr][Ee][Vv][Ii][Ee][Ww][Ss]?|[Cc][Oo][Mm][Mm][Ee][Nn][Tt][Ss]?|[Qq][Uu][Ee][Ss][Tt][Ii][Oo][Nn][Ss]?"
 AMAZON_SIMPLE = r"[Aa]mazon"
 REVIEW_SIMPLE = r"[Rr]eviews?|[Cc]omments?"
-AMAZON_URLS = r"(?:((https?://)?[\w\d?./=_-]+))"
-PRODUCT_ID_ORIGINAL = r"(?:(?:/gp/product/)|(?:/gp/product/glance/)|(?:/dp/))(\w+)"
 REVIEW_ID = r"(?:(?:/review/)(\w+))"
 SHORT_URL = r"(?:(?:goo.gl/)([\w/]+))"
 APP_URLS = r"(https://[\w\d?./=_-]+)"
-EMPLOYER_ID = r"(?<=Id=)\w+"
-GOOGLE_APP_ID = r"(?<=id=)[\w.]+"
-APPLE_APP_ID = r"(?<=id)\d+"
 APP_ID = r"/id(\d+)"
 REVIEW_FEED_ID = r"mostRecent/(\d+)"
 PAGE_NO = r"/page=(\d+)"
@@ -29,7 +24,7 @@ CAMPAIGN_ID = r"Campaign ID\s*:\s+(\S+)"
 JOB_ID = r"Job ID:\s+(\w+)"
 # --- end of fixed values ---
 
-# URL tokens that contain '/': the matches of AMAZON_URLS kept by the task
+# URL tokens that contain '/': the matches of the task URL pattern kept by the task
 # parser, found directly. A match starts only where a token starts (lookbehind)
 # and the scheme branch needs a character after '://', exactly like the
 # original greedy pattern; scanning a long text then yields only the few URL
@@ -44,7 +39,9 @@ PRODUCT_ID = r"(?:(?:/gp/product/glance/)|(?:/gp/product/)|(?:/dp/))(\w+)"
 # without lookbehind (RE2) and give the same match.
 GOOGLE_APP_ID_GROUP = r"id=([\w.]+)"
 APPLE_APP_ID_GROUP = r"id(\d+)"
-EMPLOYER_ID_GROUP = r"(?i)id=(\w+)"
+# Profile links carry "Id=" on microworkers and "id=" on the other sites, in that case only.
+MW_EMPLOYER_ID = r"Id=(\w+)"
+SITE_ID = r"id=(\w+)"
 
 # Characters Python\'s str.strip() removes (str.isspace() is true); Spark\'s trim
 # only removes ASCII spaces, so stripping trims this explicit set.

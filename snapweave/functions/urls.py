@@ -114,6 +114,12 @@ def amazon_target(url: ColumnOrName) -> Column:
             .when(prod != "", F.struct(F.lit("p").alias("job_type"), prod.alias("amazon_id"))))
 
 
+def product_target(url: ColumnOrName) -> Column:
+    """(job_type, amazon_id) of a resolved short link (C27/F5): only a product id counts there."""
+    prod = F.regexp_extract(_c(url), R.PRODUCT_ID, 1)
+    return F.when(prod != "", F.struct(F.lit("p").alias("job_type"), prod.alias("amazon_id")))
+
+
 def app_platform(url: ColumnOrName) -> Column:
     """(platform, app_id) from an app URL (C26): Google Play by 'google' in
     the URL and ``id=<package>``, else App store and the digits after 'id'."""
@@ -129,9 +135,10 @@ def chart_id(link: ColumnOrName) -> Column:
     return F.regexp_extract(_c(link), R.CHART_ID, 1)
 
 
-def employer_id(href: ColumnOrName) -> Column:
-    """Employer id from a profile link."""
-    return F.regexp_extract(_c(href), R.EMPLOYER_ID_GROUP, 1)
+def employer_id(href: ColumnOrName, pattern: str = R.MW_EMPLOYER_ID) -> Column:
+    """Employer id from a profile link (C30), by the pattern of the site (case counts: ``x?jobid=3&Id=9`` is 9 on
+    microworkers and 3 where the parameter is ``id``)."""
+    return F.regexp_extract(_c(href), pattern, 1)
 
 
 def short_link_url(url: ColumnOrName) -> Column:

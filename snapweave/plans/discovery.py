@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.processors import crawl_stamp, flatten_text
-from ..functions.urls import amazon_target, link_kind, text_urls
+from ..functions.urls import amazon_target, product_target, link_kind, text_urls
 from ..operators.dedupe import greedy_two_key
 from ..operators.filters import paid_review_task
 from ..operators.joins import contains_join, resolve_links
@@ -50,7 +50,7 @@ def paid_review_tasks(job_pages: DataFrame, seeds: DataFrame, resolved: DataFram
     parts = [by_seed, by_link]
     if resolved is not None:
         short = resolve_links(links.where(F.col("kind") == "short"), "link", resolved)
-        short = short.where(F.col("final_url").isNotNull()).withColumn("_t", amazon_target("final_url"))
+        short = short.where(F.col("final_url").isNotNull()).withColumn("_t", product_target("final_url"))
         parts.append(short.select(*JOB_COLS, "link_pos", F.col("_t.job_type").alias("jobType"),
                                   F.col("_t.amazon_id").alias("amazonId")))
     found = parts[0]

@@ -14,7 +14,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -141,35 +141,47 @@ def single_app_type(types: Column) -> Column:
     return F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE))
 
 
-def developer_pages(pages: DataFrame, key_cols, html_col: str = "html",
-                    prev_ipad_col: str | None = None) -> DataFrame:
-    """Developer page -> Developer fields (N15/C13/C29/H4/D11): app ids
+def developer_pages(pages: DataFrame, key_cols, html_col: str = "html", prev_ipad_col: str | None = None,
+                    referrer_col: str | None = None, along: tuple[str, str] | None = None) -> DataFrame:
+    """Developer page -> Developer fields (N15/C13/C29/H4/D11): name; app ids
     (distinct, sorted); when the iPad list equals the previous page's iPad
-    list only the iPhone list counts; app types present; a page whose only
-    app is the referrer is a leaf whose single type is the first present one
-    (default 'App Bundles')."""
-    x = pages.select(*key_cols, *( [prev_ipad_col] if prev_ipad_col else []), to_xhtml(html_col).alias("_x"))
-    f = xpath_fields(x, "_x", DEVELOPER_PAGE_SPEC, keep=list(key_cols) + ([prev_ipad_col] if prev_ipad_col else []))
+    list only the iPhone list counts; app types present.
+
+    The previous iPad list is ``prev_ipad_col``, or with ``along`` = (developer
+    column, page column) that of the page before, found along each developer's
+    pages. With ``referrer_col`` a page whose only app is the referrer is a leaf:
+    ``is_leaf`` is set and its type is the first present one (default 'App Bundles').
+    """
+    carried = [c for c in (prev_ipad_col, referrer_col) if c and c not in key_cols]
+    x = pages.select(*key_cols, *carried, to_xhtml(html_col).alias("_x"))
+    f = xpath_fields(x, "_x", DEVELOPER_PAGE_SPEC, keep=[*key_cols, *carried])
     ids = lambda a: F.transform(a, lambda u: F.regexp_extract(u, R.APP_ID, 1))
-    ipad = ids("ipad_links")
-    same_ipad = ipad.eqNullSafe(F.col(prev_ipad_col)) if prev_ipad_col else F.lit(False)
-    chosen = F.when(same_ipad, ids("iphone_links")).otherwise(ids("all_links"))
+    f = f.withColumn("_ipad", ids("ipad_links"))
+    before = F.col(prev_ipad_col) if prev_ipad_col else F.lit(None).cast("array<string>")
+    if along:  # a developer has few pages (the page limit)
+        before = F.lag("_ipad").over(Window.partitionBy(along[0]).orderBy(along[1]))
+    f = f.withColumn("_same", F.coalesce(F.col("_ipad") == before, F.lit(False)))
+    chosen = F.when(F.col("_same"), ids("iphone_links")).otherwise(ids("all_links"))
     present = ["has_iphone", "has_ipad", "has_mac", "has_bundles"]
+    f = f.withColumn("app_ids", F.array_sort(F.array_distinct(chosen)))
     types = app_types([F.col(c) > 0 for c in present])
-    app_ids = F.array_sort(F.array_distinct(chosen))
-    return f.select(*key_cols, app_ids.alias("app_ids"), F.size(app_ids).cast("bigint").alias("n_apps"),
-                    types.alias("app_types"),
-                    single_app_type(types).alias("single_app_type"),
-                    ipad.alias("ipad_ids"), "n_iphone_pager", "n_ipad_pager")
+    leaf = (F.size("app_ids") == 1) & (F.get("app_ids", 0) == F.col(referrer_col)) if referrer_col else F.lit(False)
+    f = f.withColumn("is_leaf", F.coalesce(leaf, F.lit(False)))
+    return f.select(*key_cols, only_elem_or_default("_names").alias("name"), "app_ids", F.size("app_ids").cast("bigint").alias("n_apps"),
+                    F.when(F.col("is_leaf"), F.array(single_app_type(types))).otherwise(types).alias("app_types"),
+                    single_app_type(types).alias("single_app_type"), "is_leaf",
+                    F.col("_same").alias("same_ipad_as_before"), F.col("_ipad").alias("ipad_ids"), "n_iphone_pager", "n_ipad_pager")
 
 
 def related_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:
-    """Related page -> also-bought app ids and the developer id."""
+    """Related page -> also-bought app ids under their heading, their number, and
+    the developer id of the 'more by this developer' link (N14/D13)."""
     x = pages.select(*key_cols, to_xhtml(html_col).alias("_x"))
     f = xpath_fields(x, "_x", RELATED_PAGE_SPEC, keep=list(key_cols))
     ids = F.filter(F.transform("also_bought", lambda u: F.regexp_extract(u, R.APP_ID, 1)), lambda s: s != "")
     dev = F.regexp_extract(F.get("developer_link", 0), R.APP_ID, 1)
-    return f.select(*key_cols, ids.alias("related_ids"), F.when(dev != "", dev).alias("developer_id"))
+    return f.select(*key_cols, ids.alias("related_ids"), F.size(ids).cast("bigint").alias("n_related"),
+                    F.when(dev != "", dev).alias("developer_id"))
 
 
 def task_job_pages(pages: DataFrame, key_cols, html_col: str = "html") -> DataFrame:

@@ -24,6 +24,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form",
             "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre",
             "section", "table", "ul"}
+P_SCOPE = {"table", "td", "th", "caption", "button", "object"}
+# a start tag ends the open elements of the same kind, but only within the nearest list, row or table
+_LIST, _ROWS = {"ul", "ol", "menu"}, {"tbody", "thead", "tfoot"}
+SCOPED = {"li": ({"li"}, _LIST), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+          "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+          **{t: (_ROWS, {"table"}) for t in _ROWS}}
 _CTRL = dict.fromkeys(c for c in range(32) if c not in (9, 10, 13))
 
 
@@ -48,13 +54,21 @@ class _XHTML(HTMLParser):
             if t == tag:
                 return
 
+    def _close_open(self, tags: set, scope: set):
+        """Close the nearest open element of ``tags`` unless one of ``scope`` stands around it more closely."""
+        for t in reversed(self.stack):
+            if t in tags:
+                return self._close_to(t)
+            if t in scope:
+                return None
+
     def handle_starttag(self, tag, attrs):
         if not _name_ok(tag):
             return
-        if tag in CLOSES_P and "p" in self.stack:
-            self._close_to("p")
-        if tag == "li" and "li" in self.stack:
-            self._close_to("li")
+        if tag in CLOSES_P:
+            self._close_open({"p"}, P_SCOPE)
+        if tag in SCOPED:
+            self._close_open(*SCOPED[tag])
         seen = set()
         parts = []
         for k, v in attrs:

@@ -61,10 +61,12 @@ def mf_list(pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
 
 
 def st_list(pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
-    """Shorttask list (N10): task link and the expiry text after 'Expires'."""
+    """Shorttask list (N10): task link, its job id and the expiry text after 'Expires'."""
     r = list_rows(pages, _keep(pages, key_cols, [url_col]), "div", ST_ROW_CLASSES,
                   {"href": ("./p[@class='view-task']/a", "href"), "expire_raw": ("label_tail", "b", "Expires")})
+    job_id = F.regexp_extract("href", R.SITE_ID, 1)
     return r.select(*key_cols, "row_pos", resolve_url(url_col, "href").alias("job_url"),
+                    F.when(job_id != "", job_id).alias("job_id"),
                     py_strip(F.regexp_extract("expire_raw", EXPIRES, 1)).alias("expire"))
 
 
@@ -123,7 +125,7 @@ def cc_job(pages: DataFrame, key_cols) -> DataFrame:
     return f.select(*key_cols, "name", "id", "featured", to_double(F.get("_b", 0)).alias("payment"),
                     total.alias("work_total"), (total - F.col("_remain")).alias("work_done"),
                     "success_pct", "duration", "countries", "expected", "proof", "cat",
-                    employer_id("_employer").alias("employer"))
+                    employer_id("_employer", R.SITE_ID).alias("employer"))
 
 
 def jb_job(pages: DataFrame, key_cols) -> DataFrame:

@@ -25,6 +25,8 @@ def test_app_graph_end_to_end(spark):
     assert len(apps) == 1 and apps[0].version == "5.4.0"            # latest lookup wins
     assert t["reviews"].count() == 2
     rv = t["reviewers"].collect()[0]
+    assert {"rating", "review_date", "version", "developer_id", "genre", "release", "title", "review_text"} <= set(rv.asDict())
+    assert rv.referrer == "628228162" and rv.reviewer_name and all(len(rv[c]) == 6 for c in ("genre", "release", "review_text"))
     assert rv.n_reviews == 6 and rv.item_id[:3] == ["1186623793", "1173051209", "628228162"]
     depth = {(r.node_type, r.node_id): r.depth for r in t["nodes"].collect()}
     assert depth[("app", "628228162")] == 0

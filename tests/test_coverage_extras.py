@@ -58,11 +58,12 @@ def test_document_products_related_and_developer(spark):
     doc = _page(spark, '<p>Products: <a href="https://www.amazon.com/dp/B0001">one</a> and '
                        'www.amazon.com/gp/product/glance/B0002 and /dp/B0001</p>')
     assert [r.product_id for r in extract.document_product_ids(doc, ["pid"]).orderBy("pos").collect()] == ["B0001", "B0002"]
-    rel = _page(spark, '<div num-items="5"><a class="artwork-link" href="https://x/app/a/id11?mt=8">a</a>'
-                       '<a class="artwork-link" href="https://x/app/b/id12?mt=8">b</a></div>'
-                       '<div class="right"><a href="https://x/us/developer/d/id77">dev</a></div>')
+    rel = _page(spark, '<div><div><h2>More by This Developer</h2></div><div num-items="5"><a class="artwork-link" href="https://x/app/m/id10">m</a>'
+                       '</div></div><div><div><h2>Customers Also Bought</h2></div><div num-items="5"><a class="artwork-link" href="https://x/app/a/id11?mt=8">a</a>'
+                       '<a class="artwork-link" href="https://x/app/b/id12?mt=8">b</a></div></div>'
+                       '<div class="right"><a href="https://x/us/developer/d/id77">View More by This Developer</a></div>')
     r = extract.related_pages(rel, ["pid"]).collect()[0]
-    assert r.related_ids == ["11", "12"] and r.developer_id == "77"
+    assert r.related_ids == ["11", "12"] and r.n_related == 2 and r.developer_id == "77"
     dev = spark.createDataFrame([(1, ["21"], '<div metrics-loc="Titledbox_iPhone Apps"><a class="artwork-link" href="/id20">x</a></div>'
                                           '<div metrics-loc="Titledbox_iPad Apps"><a class="artwork-link" href="/id21">y</a></div>'
                                           '<ul class="list paginate"><a href="#iPhoneSoftwarePage=2">2</a></ul>')],

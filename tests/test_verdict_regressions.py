@@ -82,3 +82,36 @@ def test_app_flags_and_labels_take_several_values(spark):
     rows = flags_labels(spark, SMOKE).collect()
     for c in ("rating_count", "iphone", "ipad", "osx", "label", "app_types", "first_type", "work_done"):
         assert len({r[c] for r in rows}) > 1, c
+
+
+def test_employer_id_by_site(spark):
+    from snapweave.functions import regexes as R
+    from snapweave.functions import urls as U
+    link = F.lit("x?jobid=3&Id=9")
+    assert tuple(spark.range(1).select(U.employer_id(link), U.employer_id(link, R.SITE_ID)).first()) == ("9", "3")
+
+
+def test_resolved_links_take_product_ids_only(spark):
+    from snapweave.functions import urls as U
+    r = spark.range(1).select(U.product_target(F.lit("https://a/review/R1")).alias("a"), U.product_target(F.lit("https://a/dp/B1")).alias("b")).first()
+    assert r.a is None and tuple(r.b) == ("p", "B1")
+
+
+def test_nested_lists_and_old_tables_keep_their_nesting():
+    from snapweave.sources.html import html_to_xhtml
+    assert html_to_xhtml("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>") == "<root><ul><li>a<ul><li>b</li><li>c</li></ul></li><li>d</li></ul></root>"
+    assert html_to_xhtml("<table><tr><td>1<td>2<tr><td>3<table><tr><td>4</table></table>") == (
+        "<root><table><tr><td>1</td><td>2</td></tr><tr><td>3<table><tr><td>4</td></tr></table></td></tr></table></root>")
+    assert html_to_xhtml("<p>a<p>b<table><tr><td><p>c<td>d</table>").count("</p>") == 3
+
+
+def test_developer_rules_along_the_pages(spark):
+    from snapweave.sources.extract import developer_pages
+    box = lambda kind, *ids: f'<div metrics-loc="Titledbox_{kind} Apps">' + "".join(f'<a class="artwork-link" href="/id{i}">x</a>' for i in ids) + "</div>"
+    rows = [("d", 2, "9", box("iPhone", 3) + box("iPad", 7)), ("d", 1, "9", '<h1 itemprop="name">Dev</h1>' + box("iPhone", 1) + box("iPad", 7)),
+            ("d", 3, "9", box("iPhone", 4) + box("iPad", 8)), ("e", 1, "5", box("Mac", 5)), ("f", 1, "6", box("Mac", 5))]
+    pages = spark.createDataFrame(rows, "dev string, page int, ref string, html string")
+    got = {(r.dev, r.page): r for r in developer_pages(pages, ["dev", "page"], referrer_col="ref", along=("dev", "page")).collect()}
+    assert [got["d", p].app_ids for p in (1, 2, 3)] == [["1", "7"], ["3"], ["4", "8"]]
+    assert [got["d", p].same_ipad_as_before for p in (1, 2, 3)] == [False, True, False] and got["d", 1].name == "Dev"
+    assert got["e", 1].is_leaf and got["e", 1].app_types == ["Mac Apps"] and not got["f", 1].is_leaf
