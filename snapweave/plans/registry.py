@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import apps, keyed, pages, streams, text
+from . import apps, keyed, pages, streams, tasks, text
 
-_MODULES = [keyed, text, apps, pages, streams]
+_MODULES = [keyed, text, tasks, apps, pages, streams]
 
 
 def queries():

@@ -141,6 +141,13 @@ def single_app_type(types: Column) -> Column:
     return F.coalesce(F.get(types, 0), F.lit(C.DEFAULT_APP_TYPE))
 
 
+def same_as_page_before(value: str, key: str, page: str) -> Column:
+    """Whether a page's value equals that of the page before along its entity (H4); the first page has none. An entity's
+    pages are few (the page limits), so they are one window."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(page))
+    return F.coalesce(F.col(value) == before, F.lit(False))
+
+
 def developer_pages(pages: DataFrame, key_cols, html_col: str = "html", prev_ipad_col: str | None = None,
                     referrer_col: str | None = None, along: tuple[str, str] | None = None) -> DataFrame:
     """Developer page -> Developer fields (N15/C13/C29/H4/D11): name; app ids
@@ -158,9 +165,8 @@ def developer_pages(pages: DataFrame, key_cols, html_col: str = "html", prev_ipa
     ids = lambda a: F.transform(a, lambda u: F.regexp_extract(u, R.APP_ID, 1))
     f = f.withColumn("_ipad", ids("ipad_links"))
     before = F.col(prev_ipad_col) if prev_ipad_col else F.lit(None).cast("array<string>")
-    if along:  # a developer has few pages (the page limit)
-        before = F.lag("_ipad").over(Window.partitionBy(along[0]).orderBy(along[1]))
-    f = f.withColumn("_same", F.coalesce(F.col("_ipad") == before, F.lit(False)))
+    same = same_as_page_before("_ipad", *along) if along else F.coalesce(F.col("_ipad") == before, F.lit(False))
+    f = f.withColumn("_same", same)
     chosen = F.when(F.col("_same"), ids("iphone_links")).otherwise(ids("all_links"))
     present = ["has_iphone", "has_ipad", "has_mac", "has_bundles"]
     f = f.withColumn("app_ids", F.array_sort(F.array_distinct(chosen)))

@@ -115,3 +115,11 @@ def test_developer_rules_along_the_pages(spark):
     assert [got["d", p].app_ids for p in (1, 2, 3)] == [["1", "7"], ["3"], ["4", "8"]]
     assert [got["d", p].same_ipad_as_before for p in (1, 2, 3)] == [False, True, False] and got["d", 1].name == "Dev"
     assert got["e", 1].is_leaf and got["e", 1].app_types == ["Mac Apps"] and not got["f", 1].is_leaf
+
+
+def test_task_and_lookup_rules_meet_several_outcomes(spark):
+    from snapweave.plans import tasks
+    for name, keys in (("task_texts", {"p_partkey"}), ("code_requests", {"c_custkey"}), ("developer_page_rule", {"l_suppkey", "page"})):
+        rows = tasks.QUERIES[name](spark, SMOKE)
+        counts = rows.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("NULL"))).alias(c) for c in rows.columns if c not in keys]).first()
+        assert all(n >= 2 for n in counts), (name, counts)
