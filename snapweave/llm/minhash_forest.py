@@ -16,14 +16,14 @@ pairs. The first scan of the forest only serves to tie most of a group together:
 within a region a document keeps its ``NEAREST`` most similar candidates and its
 sorted neighbours, and over all trees its ``BEST`` most similar ones, so a group
 of m near copies yields O(m) pairs. The second scan knows the components found
-and takes every candidate pair between two of them, without a limit per
-document: it is keyed by the region (tree and ``BASE`` values), counted over all
-rows, and takes the rows of crowded regions, of regions that a partition border
-may have cut, and of pairs left out. Regions of one component are skipped; a
-region of more than ``BLOCK_ROWS`` rows is cut into blocks, and every two blocks
-meet under a key of their own, but for those of the region's main component among
-themselves. The pairs are confirmed in rounds, the most similar of each two
-components first, until no untested pair between different components is left.
+and looks at every candidate pair between two of them, without a limit per
+document: rows that share ``BASE`` values in a tree, in regions with several
+components, form clusters, whatever the number of partitions; a cluster is cut by
+hash into blocks of about ``BLOCK_ROWS`` rows and ``BLOCK_SHINGLES`` shingles, and
+every two blocks meet under a key of their own, with the full sets. Pairs of
+different components whose sketches allow it are confirmed there, and the block
+writes one row per linked set, naming the smallest id it found, so what is
+written follows the rows and not their pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from snapweave.session import cut_lineage
 
 from . import textcore as T
+from .adaptive_prefix import overlaps, smallest_reachable
 from .components import components, shuffle_partitions
 from .tables import written
 
@@ -47,9 +48,8 @@ SKETCH_WORDS = 4                   # per plane: one bit of every hash, padded
 SKETCH_SIGMAS = 4.5
 BUFFER_ROWS = 60_000
 CHUNK_PAIRS = 500_000
-WIDEN = 16
 BLOCK_EDGES = 8192
-BLOCK_ROWS = 4096
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 _rng = np.random.default_rng(7)
 _MUL = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)) | np.uint32(1)
@@ -97,9 +97,9 @@ def sketch(sig: np.ndarray) -> bytes:
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many values agree in both bits, per row of two sketch matrices."""
+    """How many values agree in both bits, per row of two sketch matrices (or of what they broadcast to)."""
     d = x ^ y
-    return HASHES - np.bitwise_count(d[:, :SKETCH_WORDS] | d[:, SKETCH_WORDS:]).sum(axis=1).astype(np.int64)
+    return HASHES - np.bitwise_count(d[..., :SKETCH_WORDS] | d[..., SKETCH_WORDS:]).sum(axis=-1).astype(np.int64)
 
 
 def label(sig: np.ndarray) -> bytes:
@@ -201,55 +201,32 @@ def _pairs(ids, hs, sizes, labels, sketches, num, den):
     return np.stack([i[keep], j[keep], a[keep]], axis=1), near
 
 
-def _runs(flags):
-    """Group number of every row and the group sizes, where flags mark first rows."""
-    first = np.flatnonzero(flags)
-    size = np.diff(np.append(first, len(flags)))
-    return np.repeat(np.arange(len(first)), size), first, size
-
-
-def _largest(group, comp):
-    """The most frequent component of every group."""
-    order = np.lexsort((comp, group))
-    g, c = group[order], comp[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-    _, first, count = _runs(new)
-    by = np.lexsort((-count, g[first]))
-    head = by[np.concatenate([[True], g[first][by][1:] != g[first][by][:-1]])]
-    return c[first[head]]
-
-
-def _cross_pairs(hs, sizes, labels, sides, sketches, comp, num, den):
-    """All candidate pairs of rows that are of one label and of different components, in pieces (i, j, agreeing sketch values).
-
-    Rows are sorted by label and side. Under a label stands one block (side 0), whose rows all meet, or two, whose rows
-    of side 1 meet those of side 2.
-    """
-    new = np.ones(len(hs), bool)
-    new[1:] = (labels[1:] != labels[:-1]).any(axis=1)
-    group, first, size = _runs(new)
-    # in one block, pairs inside its largest component are not needed
-    leads = np.where(sides == 0, comp != _largest(group, comp)[group], sides == 1)
-    before = np.bincount(group, sides == 1, minlength=len(first)).astype(np.int64)
-    first, size = first + before, size - before
-    rows = np.flatnonzero(leads)
-    width = size[group[rows]]
-    upto = np.cumsum(width)
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_PAIRS, "right")))
-        w = width[at:to]
-        i = np.repeat(rows[at:to], w)
-        j = np.repeat(first[group[rows[at:to]]], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        ok = (comp[i] != comp[j]) & (~leads[j] | (i < j)) & (hs[i] != hs[j])
-        i, j = i[ok], j[ok]
-        ok = (sizes[i] * den >= num * sizes[j]) & (sizes[j] * den >= num * sizes[i])
-        i, j = i[ok], j[ok]
-        agree = agreeing(sketches[i], sketches[j])
-        ok = agree >= least_agree(num / den)
-        yield i[ok], j[ok], agree[ok]
-        at = to
+def crossing(ids, hs, n, comp, sketches, sets, side, num, den):
+    """Rows of one block (side 0: all meet) or two (sides 1 and 2) -> (id, smallest id that the block ties it to), over the
+    pairs of different components."""
+    a, b = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
+    if not len(a) or not len(b) or (comp == comp[0]).all():
+        return ids[:0], ids[:0]
+    found = []
+    step = max(1, CHUNK_PAIRS // len(b))
+    for at in range(0, len(a), step):
+        i, j = a[at:at + step, None], b[None, :]
+        ok = (comp[i] != comp[j]) & (hs[i] != hs[j]) & ((side[i] == 1) | (i < j)) & (n[i] * den >= num * n[j]) & (n[j] * den >= num * n[i])
+        if ok.any():
+            i, j = np.nonzero(ok & (agreeing(sketches[i], sketches[j]) >= least_agree(num / den)))
+            found.append((a[at + i], b[j]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (a[:0], b[:0])
+    if not len(i):
+        return ids[:0], ids[:0]
+    (ua, at_i), (ub, at_j) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    both = overlaps([sets[r] for r in ua], [sets[r] for r in ub])[at_i, at_j]
+    ok = both * den >= num * (n[i] + n[j] - both)
+    order = np.argsort(ids, kind="stable")           # labels in the order of ids
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    to = smallest_reachable(len(ids), place[i[ok]], place[j[ok]])
+    moved = np.flatnonzero(to != np.arange(len(ids)))
+    return ids[order[moved]], ids[order[to[moved]]]
 
 
 def least_agree(similarity: float) -> int:
@@ -274,12 +251,8 @@ class _Rows:
         self.ids = batch.column("id").to_numpy(zero_copy_only=False)
         self.hs = batch.column("h").to_numpy(zero_copy_only=False)
         self.n = batch.column("n").to_numpy(zero_copy_only=False)
-        second = "comp" in batch.schema.names
-        self.labels = _matrix(batch.column("label"), ">u2", BASE + 1 + 8 if second else DEPTH + 1)
+        self.labels = _matrix(batch.column("label"), ">u2", DEPTH + 1)
         self.sketches = _matrix(batch.column("sketch"), np.uint64, 2 * SKETCH_WORDS)
-        if second:
-            self.comp = batch.column("comp").to_numpy(zero_copy_only=False)
-            self.side = batch.column("side").to_numpy(zero_copy_only=False)
 
     def take(self, sel):
         out = object.__new__(_Rows)
@@ -298,15 +271,11 @@ class _Rows:
 
     def pairs(self, num, den):
         if len(self) < 2:
-            found = []
-        elif hasattr(self, "comp"):
-            found = _cross_pairs(self.hs, self.n, self.labels, self.side, self.sketches, self.comp, num, den)
-        else:
-            kept, left_out = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den)
-            found = [kept.T]
-            yield self.marked(left_out)
-        for i, j, agree in found:
-            yield pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j], agree)
+            return
+        kept, left_out = _pairs(self.ids, self.hs, self.n, self.labels, self.sketches, num, den)
+        yield self.marked(left_out)
+        i, j, agree = kept.T
+        yield pair_batch(self.ids[i], self.hs[i], self.ids[j], self.hs[j], agree)
 
     def marked(self, which):
         ids, n = pa.array(self.ids[which]), int(which.sum())
@@ -396,9 +365,7 @@ def _verify(k, num, den):
                 if kind == 0:
                     sets[a[i], ha[i]] = np.frombuffer(got[i].as_py(), np.uint64)
                     continue
-                x, y = sets.get((a[i], ha[i])), sets.get((b[i], hb[i]))
-                if x is None or y is None:
-                    continue
+                x, y = sets[a[i], ha[i]], sets[b[i], hb[i]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both * den >= num * (len(x) + len(y) - both):
                     out_a.append(a[i]), out_b.append(b[i])
@@ -420,25 +387,36 @@ def _full_sets(k):
 
 
 def _met(num, den):
-    """Rows sorted by (label, side) -> candidate pairs between components under every label."""
+    """Rows sorted by (cluster, x, y) -> links (a, b) between the components of every two blocks."""
     def run(batches):
-        held = None
+        key, rows = None, []
+
+        def done():
+            ids, hs, n, comp, side = (np.array([r[c] for r in rows], np.int64) for c in range(5))
+            sketches = np.stack([np.frombuffer(r[5], np.uint64) for r in rows])
+            return crossing(ids, hs, n, comp, sketches, [np.frombuffer(r[6], np.uint64) for r in rows], side, num, den)
+
         for batch in batches:
-            rows = _Rows(batch)
-            if not len(rows):
-                continue
-            held = rows if held is None else held.plus(rows)
-            if len(held) < BUFFER_ROWS:
-                continue
-            last = np.flatnonzero((held.labels != held.labels[-1]).any(axis=1))
-            if len(last):                            # a label's rows are two blocks at most
-                yield from held.take(slice(0, last[-1] + 1)).pairs(num, den)
-                held = held.take(slice(last[-1] + 1, None))
-        if held is not None:
-            yield from held.pairs(num, den)
+            found = []
+            for *k, plain in zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y")),
+                                 zip(*(batch.column(c).to_pylist() for c in ("id", "h", "n", "comp", "side", "sketch", "shingles")), strict=True),
+                                 strict=True):
+                if k != key:
+                    if len(rows) > 1:
+                        found.append(done())
+                    key, rows = k, []
+                rows.append(plain)
+            yield _link_batch(found)
+        if len(rows) > 1:
+            yield _link_batch([done()])
     return run
 
 
+def _link_batch(found):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in (0, 1)],
+                                      names=["a", "b"])
+
+
 def _per_tree(reps: DataFrame, values: int) -> DataFrame:
     """The columns of reps with a row for every tree: label holds the tree and its first values."""
     return (reps.select("*", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
@@ -461,35 +439,39 @@ def _candidates(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     return every.distinct(), found.where("kind = 2").select(F.col("a").alias("id"), F.col("ha").alias("h")).distinct()
 
 
-def _between(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, ha, b, hb, n) between two components over reps (id, h, n, labels, sketch, comp): every two
-    rows that share BASE values in a tree, whatever the region's size and the number of partitions."""
-    parts = shuffle_partitions(reps.sparkSession)
-    rows = _per_tree(reps, BASE).withColumnRenamed("label", "region")
-    regions = (rows.groupBy("region", "comp").agg(F.count("*").alias("m"))
-               .groupBy("region").agg(F.sum("m").alias("size"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
-               .where("size > most"))
-    # blocks 0 .. few - 1 hold the rows outside the main component, the others the rows of the main component
-    few = F.when(F.col("size") <= BLOCK_ROWS, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS)).cast("long")
-    many = F.when(F.col("size") <= BLOCK_ROWS, 0).otherwise(F.ceil(F.col("most") / BLOCK_ROWS)).cast("long")
-    spread = F.xxhash64("id", "h")
-    main = (F.col("many") > 0) & (F.col("comp") == F.col("main"))
-    own = F.when(main, F.col("few") + F.pmod(spread, F.greatest("many", F.lit(1)))).otherwise(F.pmod(spread, F.col("few")))
-    met = F.sequence(F.lit(0).cast("long"), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(sid, cluster) over rows (sid, labels, comp): rows that share BASE values in a tree, step by step, in regions of
+    several components."""
+    place = _per_tree(rows.select("sid", "comp", "labels"), BASE)
+    regions = (place.groupBy("label").agg(F.min("sid").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+               .where("lo < hi").select("label", "first"))
+    return components(place.join(cut_lineage(regions), "label").where("sid <> first").select("sid", "first").distinct()
+                      .toDF("a", "b")).toDF("sid", "cluster")
+
+
+def _between(rows: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components over rows (sid, id, h, n, labels, sketch, comp), the sets built again from texts (id, text):
+    every two rows that share BASE values in a tree are looked at, whatever the region's size and the number of partitions."""
+    parts = shuffle_partitions(rows.sparkSession)
+    member = rows.drop("labels").join(written(_clusters(rows)), "sid")
+    size = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    asked = member.select(F.col("cluster").alias("block"), F.col("sid").alias("salt"), F.col("id").alias("a"), F.col("h").alias("ha"))
+    sets = (asked.join(texts.withColumnRenamed("id", "a"), "a").select("block", "salt", "a", "ha", "text")
+            .mapInArrow(_full_sets(words), "block long, salt long, a long, ha long, shingles binary")
+            .select(F.col("salt").alias("sid"), "shingles").dropDuplicates(["sid"]))
+    dealt = (member.join(size, "cluster").withColumn("own", F.pmod(F.xxhash64("sid"), "blocks")).join(sets, "sid")
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
     x, y = F.least("own", "other"), F.greatest("own", "other")
-    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    return (rows.join(regions.select("region", "main", few.alias("few"), many.alias("many")), "region")
-            .withColumn("own", own).withColumn("other", F.explode(met))
-            .select("id", "h", "n", "sketch", "comp", F.concat("region", number(x), number(y)).alias("label"),
-                    F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2).alias("side"))
-            .repartition(parts, "label").sortWithinPartitions("label", "side")
-            .mapInArrow(_met(num, den), _PAIR_SCHEMA).select("a", "ha", "b", "hb", "n").distinct())
+    side = F.when(x == y, 0).when(F.col("own") == x, 1).otherwise(2)
+    return (dealt.select("cluster", x.alias("x"), y.alias("y"), side.alias("side"), "id", "h", "n", "comp", "sketch", "shingles")
+            .repartition(parts, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+            .mapInArrow(_met(num, den), "a long, b long"))
 
 
 def _confirmed(d: DataFrame, edges: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b) of the edges (a, ha, b, hb) whose full sets, built again from the texts of d (id, text), are similar enough."""
     parts = shuffle_partitions(d.sparkSession)
-    # pairs are confirmed in blocks: neighbours of one small id together, large blocks split by a hash of a
+    # pairs are confirmed in blocks: neighbours of one small id together, large blocks split by a hash of the larger end
     ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select(F.col("b"), F.col("a")))
     low = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("block"))
     placed = (edges.join(low.withColumnRenamed("v", "a"), "a").withColumnRenamed("block", "ba")
@@ -497,7 +479,7 @@ def _confirmed(d: DataFrame, edges: DataFrame, words: int, num: int, den: int) -
     placed = cut_lineage(placed.select("block", "a", "ha", "b", "hb"))
     large = cut_lineage(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
     salts = F.coalesce(F.ceil(F.col("m") / BLOCK_EDGES), F.lit(1))
-    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts))
+    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
                          .select("block", "salt", "a", "ha", "b", "hb"))
     member = (placed.select("block", "salt", "a", "ha")
               .union(placed.select("block", "salt", F.col("b"), F.col("hb"))).distinct())
@@ -537,26 +519,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_confirmed(d, edges, words, num, den))
     comp = components(links)
     # second scan: what the limits and borders of the first left out, between the components it found
-    again = written(reps.join(crowded, ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    of_a, of_b = comp.toDF("a", "ca"), comp.toDF("b", "cb")
+    rest = (pairs.join(edges, ["a", "ha", "b", "hb"], "left_anti").join(of_a, "a", "left").join(of_b, "b", "left")
+            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")))
+    rest = rest.select("a", "ha").union(rest.select("b", "hb")).toDF("id", "h")
+    again = (reps.join(crowded.union(rest).distinct(), ["id", "h"], "left_semi").join(comp.withColumnRenamed("node", "id"), "id", "left")
              .withColumn("comp", F.coalesce("component", "id")).drop("component"))
-    rest = pairs.union(_between(again, num, den)).distinct().join(edges, ["a", "ha", "b", "hb"], "left_anti")
-    take, texts = BEST, None
-    while True:
-        rest = written(rest.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-                       .withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
-                       .select("a", "ha", "b", "hb", "n", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
-        if rest.isEmpty():
-            break
-        if texts is None:                            # the rounds shuffle the texts they need, not all
-            texts = written(d.join(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"))
-        first = Window.partitionBy("lo", "hi").orderBy(F.desc("n"), "a", "b", "ha", "hb")
-        picked = written(rest.withColumn("r", F.row_number().over(first)).where(F.col("r") <= take).select("a", "ha", "b", "hb"))
-        more = written(_confirmed(texts, picked, words, num, den))
-        rest = rest.select("a", "ha", "b", "hb", "n").join(picked, ["a", "ha", "b", "hb"], "left_anti")
-        take *= WIDEN
-        if not more.isEmpty():
-            links = links.union(more)
-            comp = components(links)
+    again = written(again.withColumn("sid", F.monotonically_increasing_id()))
+    links = written(links.union(_between(again, d, words, num, den)))
+    comp = components(links)
     # a copy follows its set's representative; an id with several sets ties them together
     tied = (full.select("id", "h", "n").distinct().join(reps.select("h", "n", F.col("id").alias("rep")), ["h", "n"])
             .select("id", "rep").distinct())

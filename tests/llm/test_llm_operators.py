@@ -101,49 +101,93 @@ def test_crowded_regions_are_deepened_and_joined():
     assert 700 < len(pairs) < 700 * 12 and left_out.any()
 
 
-def _forest_rows(spark, sketches, comps=None):
+def _forest_rows(spark, sketches):
     """Rows 0 .. n-1: in the first tree one region for even and one for odd ids, in the others regions of one row."""
     rng, n = np.random.default_rng(2), len(sketches)
     labels = rng.integers(0, 1 << 16, (n, minhash_forest.TREES, minhash_forest.DEPTH)).astype(">u2")
     labels[:, 1:, 0] = np.arange(n)[:, None]
     labels[:, 0, :minhash_forest.BASE] = (np.arange(n) % 2)[:, None]
-    rows = [(i, i + 5000, 100, bytearray(labels[i].tobytes()), bytearray(sketches[i].tobytes()), int(comps[i]) if comps is not None else i) for i in range(n)]
-    return spark.createDataFrame(rows, "id long, h long, n long, labels binary, sketch binary, comp long")
+    rows = [(i, i + 5000, 100, bytearray(labels[i].tobytes()), bytearray(sketches[i].tobytes())) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, h long, n long, labels binary, sketch binary")
 
 
-def test_regions_larger_than_partitions_and_blocks(spark, monkeypatch):
+def test_what_a_border_separates_is_left_to_the_second_scan(spark):
     rng, parts = np.random.default_rng(1), spark.conf.get("spark.sql.shuffle.partitions")
     couples = {(i, i + 2) for i in range(240) if i % 4 < 2}
     sketches = rng.integers(0, 2**63, (240, 2 * minhash_forest.SKETCH_WORDS), dtype=np.uint64)
     for a, b in couples:
         sketches[b] = sketches[a]
-    reps = _forest_rows(spark, sketches)
-    pairs_of = lambda df: {(r.a, r.b) for r in df.collect()}
-    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 24)
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "96")      # some 60 rows each, regions of 120
-        pairs, crowded = minhash_forest._candidates(reps.drop("comp"), 80, 100)
-        found, left = pairs_of(pairs), {r.id for r in crowded.collect()}
+        pairs, crowded = minhash_forest._candidates(_forest_rows(spark, sketches), 80, 100)
+        found, left = {(r.a, r.b) for r in pairs.collect()}, {r.id for r in crowded.collect()}
         assert found < couples
-        # what a border separates is left to the second scan
         assert {x for c in couples - found for x in c} <= left
-        again = reps.join(crowded, ["id", "h"], "left_semi")
-        assert found | pairs_of(minhash_forest._between(again, 80, 100)) == couples
-        # blocks: all pairs of a region but for those inside a component, main component or not
-        comps = np.where(np.arange(240) < 150, 0, np.arange(240) // 5)
-        whole = minhash_forest._between(_forest_rows(spark, np.repeat(sketches[:1], 240, 0), comps), 80, 100)
-        assert pairs_of(whole) == {(a, b) for a in range(240) for b in range(a + 2, 240, 2) if comps[a] != comps[b]}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
-def test_second_scan_keeps_the_base_depth(spark):
-    """A region of 2400 rows, 300 outside the main component: pairs that share only BASE values are taken all the same."""
-    n = 4800
-    sketches = np.zeros((n, 2 * minhash_forest.SKETCH_WORDS), np.uint64)
-    comps = np.where(np.arange(n) < 4200, 0, 1 + np.arange(n) % 2)
-    got = minhash_forest._between(_forest_rows(spark, sketches, comps), 80, 100)
-    assert got.count() == 2 * 2100 * 300
+def _near_copies(n, words, most, seed):
+    """A text and copies with up to ``most`` words changed: similarities on both sides of 0.8."""
+    import random
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randrange(most)):
+            w[at] = f"x{rng.randrange(10**9)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def _components_of(rows, k):
+    sets = {i: {tuple(w[j:j + k]) for j in range(len(w) - k + 1)} for i, w in ((i, x.split()) for i, x in rows)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for n, a in enumerate(sorted(sets)):
+        for b in sorted(sets)[n + 1:]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in sets}
+
+
+def test_second_scan_loses_no_link_of_a_group(spark, monkeypatch):
+    """Blocks far smaller than the group, a first scan that keeps next to nothing: the components are still those of all pairs."""
+    rows = _near_copies(160, 60, 14, 3)
+    want = _components_of(rows, 2)
+    assert 3 < len(set(want.values())) < 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limits in ({}, {"REGION": 8, "NEAREST": 1, "NEIGHBOURS": 1, "BEST": 1, "BLOCK_ROWS": 20}):
+        for name, value in limits.items():
+            monkeypatch.setattr(minhash_forest, name, value)
+        assert {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(df, words=2).collect()} == want
+
+
+def test_crossing_pairs_of_blocks():
+    """One block among itself and two blocks with each other: one row per linked set, pairs inside a component not looked at."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(1, 2**63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > 0.06], rng.integers(1, 2**63, 5, dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(rng.integers(1, 2**63, 300, dtype=np.uint64)) for _ in range(5)]
+    sketches = np.stack([np.frombuffer(minhash_forest.sketch(minhash_forest.signature(s)), np.uint64) for s in sets])
+    ids, n = rng.permutation(1000)[:65].astype(np.int64), np.array([len(s) for s in sets])
+    hs = np.arange(65)
+    for comp in (np.arange(65), np.zeros(65, np.int64), np.arange(65) // 2):
+        for side in (np.zeros(65, np.int64), 1 + np.arange(65) % 2):
+            root = np.arange(65)
+            for i in range(65):
+                for j in range(65):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if i != j and comp[i] != comp[j] and (side[i] != side[j] or not side[i]) and 100 * both >= 80 * (n[i] + n[j] - both):
+                        root[root == root[j]] = root[i]
+            want = {(ids[i], ids[root == root[i]].min()) for i in range(65) if ids[i] != ids[root == root[i]].min()}
+            got = list(zip(*minhash_forest.crossing(ids, hs, n, comp, sketches, sets, side, 80, 100), strict=True))
+            assert len(got) == len(want) and set(got) == want
 
 
 def test_labels_of_very_long_documents_differ():
