@@ -7,15 +7,18 @@ node of the largest sum is the core of the article; the smallest density on its
 path from the body is the threshold that other subtrees have to reach to belong to
 it, in composite density or in plain characters per tag; what stands between two
 parts that belong to it and is not mostly links, and titles before them, belong to
-it too. The outermost article or main around the core is taken whole. Elements that are never article text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments; by tag, role, or by
-words of class and id) take no part in the counts and the text. Headings and
-paragraphs are not judged by class or id, and inside article or main only containers
-are, by whole class names.
+it too. The outermost article or main around the core is taken whole, and
+so is every other article that reaches the threshold. Elements that are never article
+text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments; by tag, role, or by words of class and id) take no part in the counts
+and the text. Headings are not judged by class or id; paragraphs, list items and, inside
+article or main, containers are by whole class names, elements in line as adverts only.
+What is named as reader comments, an article too, goes however much text it holds.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -45,8 +48,17 @@ PLACE_WORDS = frozenset("""area bar block blocks box btn button buttons column c
  panel post posts right row section slot the unit wrap wrapper articles form main top bottom""".split())
 # Elements that are judged by class (inside article or main only if the whole class is noise) and by id.
 CONTAINERS = frozenset("div section ul ol dl table header iframe center details".split())
-TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup blockquote pre".split())
+ITEMS = frozenset("p li figure".split())
+INLINE = frozenset("span a b i em strong small ins font".split())
 HEAD_WORDS = frozenset("header masthead topbar".split())
+AD_WORDS = frozenset("ad ads advert advertisement advertisements adverts advertising sponsored".split())
+# Names of reader comments, and the words that may stand beside them.
+COMMENT_WORDS = frozenset("comment comments commentlist commentthread commentarea commentsection commentbox disqus".split())
+COMMENT_PLACES = frozenset(("thread threads user users reader readers visitor visitors body text form respond reply replies nested children child depth "
+                            "odd even page site view feed entry stream holder").split())
+# Words that name the page around an advert (article-ad, in-page-ad).
+OWN_WORDS = frozenset("article entry story page in inline mid end".split())
 CORE = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
@@ -56,50 +68,102 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "marked", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "marked", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool, marked: bool):
         self.tag, self.parent, self.children = tag, parent, []
         self.noise, self.marked = noise, marked      # surely not text; not text by its class or id
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = 0
         self.density = self.total = 0.0
 
 
-def _judge(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, bool]:
-    if tag in OUT:
-        return True, False
-    inside = any(n.tag in CORE for n in stack)
-    if tag == "header" and not inside:
+def _words(name: str) -> set[str]:
+    return {w.lower() for w in _WORDS.findall(name)}
+
+
+def _whole(name: str, noise: frozenset = NOISE_WORDS) -> bool:
+    """Whether a class or id is made of noise words and words of places; of block__element names, also the element alone."""
+    words = _words(name)
+    if words & noise and words <= noise | NOISE_WORDS | PLACE_WORDS | (OWN_WORDS if words & AD_WORDS else frozenset()):
+        return True
+    return "__" in name and _whole(name.rsplit("__", 1)[1].split("--")[0], noise)
+
+
+def _comments(name: str) -> bool:
+    """Whether a class or id names reader comments."""
+    words = {w for w in _words(name) if not w.isdigit()}
+    return bool(words & COMMENT_WORDS) and words <= COMMENT_WORDS | COMMENT_PLACES | PLACE_WORDS
+
+
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """(never text, not text by its class or id) of an element; ``inside`` an article or main."""
+    if tag in OUT or (tag == "header" and not inside):
         return True, False
-    if not attributes or tag in CORE or tag in ("html", "body"):
+    if not attributes or tag in ("main", "html", "body"):
         return False, False
     names = {}
     for m in _ATTRIBUTE.finditer(attributes):
-        names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        names.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    classes, ident = names.get("class", "").split(), names.get("id", "")
+    if (tag in CONTAINERS or tag in ("article", "li")) and any(_comments(x) for x in (*classes, ident)):
+        return True, False
+    if tag == "article":
+        return False, False
     if names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true":
         return False, True
-    if tag in TEXTS or (inside and tag not in CONTAINERS):
+    if tag in TEXTS:
+        return False, False
+    if tag in ITEMS:
+        return False, any(_whole(x) for x in classes)
+    if tag in INLINE:
+        return False, any(_whole(x, AD_WORDS) for x in classes)
+    if inside and tag not in CONTAINERS:
         return False, False
-    words = lambda x: {w.lower() for w in _WORDS.findall(html.unescape(x))}
-    whole = lambda x: bool(words(x) & NOISE_WORDS) and words(x) <= NOISE_WORDS | PLACE_WORDS
-    classes, ident = names.get("class", ""), names.get("id", "")
     if tag == "section":                             # section ids are made from headings
         ident = ""
     if inside:
-        return False, any(whole(x) for x in html.unescape(classes).split()) or whole(ident)
-    return False, bool((words(classes) | words(ident)) & HEAD_WORDS or words(classes) & NOISE_WORDS
-                       or words(ident) & (NOISE_WORDS - TOPICS) or whole(ident))
+        return False, any(_whole(x) for x in (*classes, ident))
+    words, own = set().union(*map(_words, classes)), _words(ident)
+    return False, bool((words | own) & HEAD_WORDS or words & NOISE_WORDS or own & (NOISE_WORDS - TOPICS) or _whole(ident))
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no start or end tag looks through all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def first_after(self, tags, place: int) -> int:
+        """Place of the outermost of these tags opened after ``place``; 0 if there is none."""
+        found = []
+        for t in tags:
+            at = self.places.get(t, [])
+            i = bisect.bisect_right(at, place)
+            found += at[i:i + 1]
+        return min(found, default=0)
+
+    def close(self, place: int) -> None:
+        """Closes the element at ``place`` and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
 
 
 def parse(page: str) -> Node:
     """Light DOM of a page: nodes and strings (character references decoded), tolerant of missing end tags."""
     root = Node("#root", None, False, False)
-    stack, at, n = [root], 0, len(page)
+    now, at, n = _Open(root), 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at:m.start() if m else n]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            now.nodes[-1].children.append(html.unescape(text))
         if m is None:
             break
         at = m.end()
@@ -107,35 +171,27 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            place = now.last((tag,))
+            if place:
+                now.close(place)
             continue
         attributes = m[3] or m[6] or ""
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th", "button"):
-                    break
+            place = now.last(("p",))
+            if place > now.last(("table", "td", "th", "button")):
+                now.close(place)
         if tag in OPTIONAL:
             ends, scope = OPTIONAL[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag != "tbody":
-                        break
-        node = Node(tag, stack[-1], *_judge(tag, attributes, stack))
-        stack[-1].children.append(node)
+            place = now.first_after(ends, now.last(scope - ends))
+            if place:
+                now.close(place)
+        node = Node(tag, now.nodes[-1], *_judge(tag, attributes, now.last(CORE) > 0))
+        now.nodes[-1].children.append(node)
         if tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            now.push(node)
     return root
 
 
@@ -159,16 +215,19 @@ def _count(nodes: list[Node]) -> None:
     for node in nodes:
         node.chars = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         node.tags = node.link_tags = 0
-        node.link_chars = 0
+        node.link_chars = node.head_chars = 0
     for node in reversed(nodes):
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+        if node.tag in HEADINGS:
+            node.head_chars = node.chars
         up = node.parent
         if up is not None:
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
+            up.head_chars += node.head_chars
 
 
 def composite(c: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
@@ -218,13 +277,7 @@ def _counts(part: list) -> tuple[int, int, int, int]:
 
 def _is_title(part: list) -> bool:
     """Whether half of the text, or more, stands in headings."""
-    todo, chars = [x for x in part if isinstance(x, Node)], 0
-    while todo:
-        x = todo.pop()
-        if x.tag in HEADINGS:
-            chars += x.chars
-        else:
-            todo.extend(c for c in x.children if isinstance(c, Node) and not c.noise)
+    chars = sum(x.head_chars for x in part if isinstance(x, Node))
     return chars > 0 and 2 * chars >= _counts(part)[0]
 
 
@@ -235,9 +288,6 @@ def _select(nodes: list[Node], body: Node) -> list:
         return [body]
     path = [core, *(up for up in _ancestors(core))]
     path = path[:next((i for i, up in enumerate(path) if up is body), len(path) - 1) + 1]
-    outer = [up for up in path if up.tag in CORE]
-    if outer:
-        return [outer[-1]]
     ratio = body.link_chars / max(body.chars, 1)
     threshold, plain = min(x.density for x in path), min((x.chars - x.link_chars) / max(x.tags, 1) for x in path)
     on_path = {id(x) for x in path}
@@ -245,6 +295,16 @@ def _select(nodes: list[Node], body: Node) -> list:
     def reaches(c, tags, link_chars, link_tags):
         return c > 0 and (composite(c, tags, link_chars, link_tags, ratio) >= threshold or (c - link_chars) / max(tags, 1) >= plain)
 
+    outer = [up for up in path if up.tag in CORE]
+    if outer:
+        taken, out = set(), []
+        for x in nodes:                              # parents first, in page order
+            if id(x.parent) in taken:
+                taken.add(id(x))
+            elif x is outer[-1] or (x.tag in CORE and id(x) not in on_path and reaches(x.chars, x.tags, x.link_chars, x.link_tags)):
+                taken.add(id(x))
+                out += [None, x]
+        return out
     out, todo = [], [body] if core is not body else [[body]]
     while todo:
         at = todo.pop()
@@ -307,7 +367,10 @@ def main_text(page: str) -> str:
     nodes = _order(root)
     _count(nodes)
     whole = root.chars - root.link_chars
-    cores = {id(up) for x in nodes if x.tag in CORE for up in _ancestors(x)}
+    cores = set()
+    for x in reversed(nodes):
+        if x.parent is not None and (x.tag in CORE or id(x) in cores):
+            cores.add(id(x.parent))
     for node in nodes:
         # a marked element that holds most of the page, and its article if there is one, is a wrapper, not noise
         if node.marked and not ((id(node) in cores or not cores) and 2 * (node.chars - node.link_chars) > whole):

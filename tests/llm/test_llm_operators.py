@@ -340,9 +340,12 @@ def test_main_text_without_article():
 def test_main_text_keeps_what_only_sounds_like_noise():
     text = "A paragraph that is long enough to be counted as text of its own."
     kept = ["<h2 id='related-work'>{}</h2>", "<section id='copyright-law'><p>{}</p></section>", "<p class='share-price'>{}</p>",
-            "<section id='alert-fatigue'><p>{}</p></section>", "<section id='comments'><p>{}</p></section>", "<div class='share-price'>{}</div>",
+            "<section id='alert-fatigue'><p>{}</p></section>", "<div class='share-price'>{}</div>",
             "<span class='notice'>{}</span>", "<div id='related-work'>{}</div>", "<h3 class='banner-heading' id='cookie'>{}</h3>", "<ul id='trending-topics'><li>{}</li></ul>"]
     dropped = ["<div class='share'>{}</div>", "<div class='x share-buttons'>{}</div>", "<section class=comments>{}</section>", "<div id=comments>{}</div>",
+               "<section id='comments'><p>{}</p></section>", "<ol class='commentlist'><li>{}</li></ol>", "<div class='comment-thread'>{}</div>",
+               "<article class='comment odd'><p>{}</p></article>", "<p class='advert'>{}</p>", "<span class='ad'>{}</span>", "<p class='cookie-notice'>{}</p>",
+               "<p class='related'>{}</p>", "<div class='article__related-links'>{}</div>", "<div class='article-ad'>{}</div>",
                "<div class='ad'>{}</div>", "<ul class='relatedPosts'><li>{}</li></ul>", "<div class='ad-slot'>{}</div>"]
     for frame in ("<article>{}</article>", "<main>{}</main>"):
         for one in kept:
@@ -357,6 +360,73 @@ def test_main_text_keeps_what_only_sounds_like_noise():
     assert text_density.main_text(math_text) == "It is a=2 here."
 
 
+def test_main_text_with_comments_as_articles_and_several_articles():
+    text = "<p>" + "Words of the article as they stand. " * 3 + "</p>"
+    comment = "<p>" + "A reader wrote more than the author did. " * 20 + "</p>"
+    want = ("Words of the article as they stand. " * 3).strip()
+    for wrapper in ("<section id='comments'>{}</section>", "<div class='comments'>{}</div>", "<div id='disqus_thread'>{}</div>", "{}"):
+        page = f"<body><article>{text}</article>" + wrapper.format(f"<article class='comment'>{comment}</article>") + "</body>"
+        assert text_density.main_text(page) == want, wrapper
+    teaser = "<article class='card'><h3><a href=x>Another page</a></h3><p><a href=x>more</a></p></article>"
+    two = f"<body><article>{text}</article><article>{text * 2}</article>{teaser}</body>"
+    assert text_density.main_text(two).split("\n") == [want] * 3
+    assert text_density.main_text(f"<body class='no-comments'><article class='post comments-open'>{text}</article></body>") == want
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+    for one in ("<div><span>", "<p><button><div>", "<li><b>", "<article>", "<h1>x<div>"):
+        begin = time.process_time()
+        text_density.main_text(one * 20_000 + "x")
+        assert time.process_time() - begin < 5, one
+
+
+def test_densities_against_brute_force():
+    import random
+    import xml.etree.ElementTree as ET
+    draw = random.Random(5)
+
+    def tree(depth):
+        node = ET.Element("body" if depth == 0 else draw.choice(["div", "div", "section", "a", "b"] if depth < 5 else ["b", "a"]))
+        node.text = "t" * draw.randrange(40)
+        for _ in range(draw.randrange(5) if depth < 5 else 0):
+            child = tree(depth + 1)
+            child.tail = "u" * draw.randrange(20)
+            node.append(child)
+        return node
+
+    def counts(node, link=False):
+        """Characters, tags, link characters and link tags inside a node, counted down from it."""
+        link = link or node.tag == "a"
+        c = len(node.text or "") + sum(len(x.tail or "") for x in node)
+        out = [c, 0, c if link else 0, 0]
+        for x in node:
+            n = counts(x, link)
+            out = [out[0] + n[0], out[1] + n[1] + 1, out[2] + n[2], out[3] + n[3] + (x.tag == "a")]
+        return out
+
+    for _ in range(40):
+        root = tree(0)
+        page = "<html>" + ET.tostring(root, encoding="unicode", short_empty_elements=False) + "</html>"
+        nodes = text_density._order(text_density.parse(page))
+        text_density._count(nodes)
+        body = next(x for x in nodes if x.tag == "body")
+        text_density.densities(nodes, body)
+        c, _, lc, _ = counts(root)
+        ratio = lc / max(c, 1)
+        density = {}
+        for node in root.iter():
+            c, t, lc, lt = counts(node, False)
+            t, link, links = max(t, 1), max(lc, 1), max(lt + (node.tag == "a"), 1)
+            base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+            density[node] = c / t * math.log(max(c * t / link / links, 1) + 1e-9) / (math.log(max(base, 1 + 1e-9)) if base > 1 else 1) if c else 0
+        own = [x for x in nodes if x.tag not in ("#root", "html")]
+        for x, node in zip(own, root.iter(), strict=True):
+            assert x.tag == node.tag
+            assert x.density == pytest.approx(max(density[node], 0)), page
+            assert x.total == pytest.approx(sum(max(density[y], 0) for y in node))
+
+
 def test_nearest_recall_and_hard_rows(spark):
     t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pydict()
     ids, x = np.array(t["vec_id"]), np.array(t["embedding"], float)
