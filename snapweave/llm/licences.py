@@ -10,6 +10,7 @@ The four base phrases are rules like the others, but always stay.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -174,20 +175,46 @@ def rules() -> list[tuple[int, float, bytes, re.Pattern, str, bool]]:
     return [(p, c, k.encode(), re.compile(rb"(?<![^ ])(?:" + x.encode() + rb")(?![^ ])"), label, base) for p, c, k, x, label, base in out]
 
 
+class _Taken:
+    """Intervals taken so far; those inside others are left out, so starts and ends both rise and one bisection decides."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def take(self, start: int, end: int) -> bool:
+        """Takes the interval unless it lies inside one already taken."""
+        i = bisect.bisect_right(self.starts, start)
+        if i and self.ends[i - 1] >= end:
+            return False
+        lo, hi = bisect.bisect_left(self.starts, start), bisect.bisect_right(self.ends, end)
+        self.starts[lo:max(lo, hi)], self.ends[lo:max(lo, hi)] = [start], [end]
+        return True
+
+
 def detect(text: bytes, ruleset) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, str]]]:
     """Detections kept (from, to, label, confidence) and places of the base phrases (start, label), in bytes of the normalised text."""
-    kept, base = [], []
+    kept, base, taken = [], [], _Taken()
     for _, confidence, keyword, pattern, label, is_base in ruleset:
         if keyword not in text:
             continue
         for m in pattern.finditer(text):
             if is_base:
                 base.append((m.start(), label))
-            if not any(a <= m.start() and m.end() <= z for a, z, *_ in kept):
+            if taken.take(m.start(), m.end()):
                 kept.append((m.start(), m.end(), label, confidence))
     return kept, base
 
 
+def word_places(text: bytes, starts: list[int]) -> list[int]:
+    """Word numbers of these starts, in order; every blank is counted once."""
+    out, at, words = [], 0, 0
+    for s in sorted(starts):
+        words += text.count(b" ", at, s)
+        at = s
+        out.append(words)
+    return out
+
+
 def _scan(batches):
     ruleset = rules()
     keywords = sorted({r[2] for r in ruleset}, key=len)
@@ -203,7 +230,7 @@ def _scan(batches):
             texts = joined_words(b, np.ones(len(b.starts), bool)) if any(hit) else None
             for r in range(b.rows):
                 kept, base = detect(texts[r], ruleset) if hit[r] else ([], [])
-                places = sorted(texts[r].count(b" ", 0, s) for s, _ in base)
+                places = word_places(texts[r], [s for s, _ in base])
                 named = {x for _, x in base}
                 row = (ids[b.first_row + r], len(places), places[0] if places else None, places[-1] if places else None,
                        ",".join(sorted(named)), ",".join(sorted(named | {k[2] for k in kept})), max((k[3] for k in kept), default=0.0))

@@ -482,6 +482,32 @@ def test_licences(docs, none, table):
     assert licences.scan_licences(none).count() == 0
 
 
+def test_licence_suppression_against_brute_force():
+    import random
+    import time
+    draw, ruleset = random.Random(3), licences.rules()
+    pieces = ["gnu general public license", "version 3", "or later", "apache license", "version 2 0", "cc by", "cc by sa 4 0", "mit license", "the", "x11",
+              "creative commons attribution sharealike 4 0 international license", "gnu lesser general public license", "bsd 3 clause", "license", "mozilla public license"]
+    for _ in range(300):
+        text = " ".join(draw.choice(pieces) for _ in range(draw.randrange(40))).encode()
+        want, places = [], []
+        for _, confidence, _, pattern, label, is_base in ruleset:
+            for m in pattern.finditer(text):
+                places += [(m.start(), label)] if is_base else []
+                if not any(a <= m.start() and m.end() <= z for a, z, *_ in want):
+                    want.append((m.start(), m.end(), label, confidence))
+        kept, base = licences.detect(text, ruleset)
+        assert (kept, base) == (want, places)
+        starts = [s for s, _ in base]
+        assert licences.word_places(text, starts) == sorted(len(text[:s].split()) for s in starts)
+    long = b" ".join([b"gnu general public license version 3 and mit license cc by sa 4 0"] * 20_000)
+    begin = time.process_time()
+    kept, base = licences.detect(long, ruleset)
+    places = licences.word_places(long, [s for s, _ in base])
+    assert len(places) == 60_000 and places[-1] == 14 * 20_000 - 5
+    assert time.process_time() - begin < 20
+
+
 def _matches(parsed):
     """Examples of a parsed pattern: every alternative, optional parts with and without, repeats at their fewest and with a word."""
     out = [""]
