@@ -95,6 +95,58 @@ def lineage_paths(nodes: DataFrame) -> DataFrame:
     return nodes.join(paths, ["node_type", "node_id"])
 
 
+def paged_expansion(seeds: DataFrame, links: DataFrame, max_depth: int = DEPTH_LIMIT, max_pages: dict | None = None,
+                    paged_at_limit: bool = False) -> DataFrame:
+    """Page requests of a depth-bounded expansion over (type, id, page) (K1 with D8, D9 and D11).
+
+    ``links`` (src_type, src_id, src_page, dst_type, dst_id) are found on a page of their
+    source. A link to another entity costs one level, the next page of the same entity
+    none; so a level holds all pages of its entities up to the limit of their type, and
+    their links are known before the expansion: no rounds are needed for pages. At the last
+    level only the first page is asked for (none with ``paged_at_limit``, as in ``bounded_bfs``).
+
+    Leaf rules: a reviewer with one page and one app, and a developer whose only app
+    is its referrer, are reached but not expanded and have one page. A developer that can
+    only be reached from its one app is left out of the edges beforehand (unless it is a seed);
+    any other leads back to its referrer, which the expansion has visited.
+
+    Returns node_type, node_id, page, depth, is_leaf, one row per request. Links with a null
+    id or page on either side are no links; repeated ones and repeated seeds count once; a node
+    without links of its own has one page.
+    """
+    limits = max_pages or MAX_PAGES
+    cap = F.lit(None).cast("int")
+    for t, m in limits.items():
+        cap = F.when(F.col("node_type") == t, F.lit(m)).otherwise(cap)
+    to = F.struct(F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"))
+    of = F.struct(F.col("src_type").alias("node_type"), F.col("src_id").alias("node_id"))
+    links = links.dropna(subset=["src_type", "src_id", "src_page", "dst_type", "dst_id"])
+    # one small row per entity, combined before the shuffle: pages, and the one entity it leads to, if it is one
+    out = links.groupBy(of["node_type"].alias("node_type"), of["node_id"].alias("node_id")).agg(
+        F.max("src_page").alias("n_pages"), F.min(to).alias("_to"), F.max(to).alias("_last_to"))
+    out = out.withColumn("_only", F.when(F.col("_to") == F.col("_last_to"), F.col("_to"))).drop("_to", "_last_to")
+    entities = cut_lineage(out)
+    # ends that are never expanded, whatever way they are reached
+    reviewers = entities.where((F.col("node_type") == "reviewer") & (F.col("n_pages") == 1) & F.col("_only").isNotNull())
+    single = entities.where((F.col("node_type") == "developer") & F.col("_only").isNotNull()).select("node_type", "node_id", "_only")
+    into = (links.where(F.col("dst_type") == "developer")
+            .groupBy(F.col("dst_type").alias("node_type"), F.col("dst_id").alias("node_id"))
+            .agg(F.min(of).alias("_from"), F.max(of).alias("_last_from")).where(F.col("_from") == F.col("_last_from")))
+    developers = (single.join(into, ["node_type", "node_id"]).where(F.col("_only") == F.col("_from"))
+                  .join(seeds.select("node_type", "node_id"), ["node_type", "node_id"], "left_anti"))
+    ends = (reviewers.select("node_type", "node_id").unionByName(developers.select("node_type", "node_id"))
+            .select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src_id")))
+    edges = within_page_limit(links, "src_type", "src_page", limits).join(ends, ["src_type", "src_id"], "left_anti")
+    nodes = bounded_bfs(seeds, edges, max_depth, paged_at_limit=paged_at_limit)
+    leaf = F.coalesce((F.col("node_type") == "reviewer") & (F.col("n_pages") == 1) & F.col("_only").isNotNull(), F.lit(False)) | F.coalesce(
+        (F.col("node_type") == "developer") & (F.col("_only") == F.col("referrer")), F.lit(False))
+    n = F.least(F.coalesce("n_pages", F.lit(1)), cap)            # a null limit is passed over
+    return (nodes.join(entities, ["node_type", "node_id"], "left").withColumn("is_leaf", leaf)
+            .withColumn("page", F.explode(F.sequence(F.lit(1).cast("bigint"), F.when(
+                (F.col("depth") < max_depth) & ~F.col("is_leaf"), F.greatest(n, F.lit(1))).otherwise(1).cast("bigint"))))
+            .select("node_type", "node_id", "page", "depth", "is_leaf"))
+
+
 def depth_stats(nodes: DataFrame) -> DataFrame:
     """Nodes per depth."""
     return nodes.groupBy("depth").agg(F.count(F.lit(1)).cast("bigint").alias("n_nodes"))

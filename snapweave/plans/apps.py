@@ -187,6 +187,28 @@ def lineage_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("path").cast("bigint").alias("n_steps"), F.array_join(step, ">").alias("path"))
 
 
+def paged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page requests of the expansion over (type, id, page) with leaf rules (K1, D8, D9, D11): parts are apps, suppliers
+    their developers, orders the reviewers; a line item stands on a page of each of the three."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+    def link(src_type, src, page, dst_type, dst):
+        return F.struct(F.lit(src_type).alias("src_type"), F.col(src).alias("src_id"), page.cast("bigint").alias("src_page"),
+                        F.lit(dst_type).alias("dst_type"), F.col(dst).alias("dst_id"))
+    line = F.col("l_linenumber")
+    feed_page = line + F.col("l_orderkey") % 7
+    links = li.select(F.explode(F.array(
+        link("app", "l_partkey", feed_page, "developer", "l_suppkey"),
+        link("app", "l_partkey", feed_page, "reviewer", "l_orderkey"),
+        link("reviewer", "l_orderkey", 5 * line - 4, "app", "l_partkey"),
+        link("developer", "l_suppkey", line, "app", "l_partkey"))).alias("e")).select("e.*")
+    seeds = (read_table(spark, sf_dir, "part").where(F.col("p_type") == "PROMO")
+             .select(F.lit("app").alias("node_type"), F.col("p_partkey").alias("node_id")))
+    r = G.paged_expansion(seeds, links)
+    return r.select("node_type", F.col("node_id").cast("string").alias("node_id"), "page", F.col("depth").cast("bigint").alias("depth"),
+                    F.col("is_leaf").cast("int").alias("is_leaf"))
+
+
 QUERIES = {
     "rank_first_list": rank_first_list,
     "flags_labels": flags_labels,
@@ -198,6 +220,7 @@ QUERIES = {
     "bounded_bfs": bounded_bfs,
     "depth_stats": depth_stats,
     "lineage_paths": lineage_paths,
+    "paged_requests": paged_requests,
 }
 
 _GRAPH = """
@@ -304,6 +327,30 @@ path(t, i, n, p) AS (
   SELECT t, i, 1, t || ':' || i::VARCHAR FROM best WHERE depth = 0
   UNION ALL SELECT r.t, r.i, n + 1, p || '>' || r.t || ':' || r.i::VARCHAR FROM path JOIN refs r ON r.r = (path.t, path.i))
 SELECT t AS node_type, i::VARCHAR AS node_id, n::BIGINT AS n_steps, p AS path FROM path
+""",
+    "paged_requests": """
+WITH RECURSIVE ln AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem),
+links AS (
+  SELECT 'app' AS st, p AS si, n + o % 7 AS pg, 'developer' AS dt, s AS di FROM ln
+  UNION ALL SELECT 'app', p, n + o % 7, 'reviewer', o FROM ln
+  UNION ALL SELECT 'reviewer', o, 5 * n - 4, 'app', p FROM ln
+  UNION ALL SELECT 'developer', s, n, 'app', p FROM ln),
+ent AS MATERIALIZED (
+  SELECT st AS t, si AS i, max(pg) AS np, count(DISTINCT di) = 1 AS one, CASE st WHEN 'app' THEN 10 WHEN 'developer' THEN 5 ELSE 30 END AS cap
+  FROM links GROUP BY st, si),
+edges AS MATERIALIZED (
+  SELECT DISTINCT l.st, l.si, l.dt, l.di FROM links l JOIN ent e ON e.t = l.st AND e.i = l.si
+  WHERE l.pg <= e.cap AND NOT (e.t = 'reviewer' AND e.np = 1 AND e.one)),
+walk(t, i, depth) AS (
+  SELECT 'app', p_partkey, 0 FROM part WHERE p_type = 'PROMO'
+  UNION
+  SELECT e.dt, e.di, w.depth + 1 FROM walk w JOIN edges e ON e.st = w.t AND e.si = w.i WHERE w.depth < 3),
+best AS (SELECT t, i, min(depth) AS depth FROM walk GROUP BY t, i),
+kind AS (SELECT b.*, e.np, e.cap, coalesce((b.t = 'reviewer' AND e.np = 1 AND e.one) OR (b.t = 'developer' AND e.one), false) AS leaf
+         FROM best b LEFT JOIN ent e ON e.t = b.t AND e.i = b.i)
+SELECT t AS node_type, i::VARCHAR AS node_id,
+  unnest(generate_series(1, CASE WHEN depth < 3 AND NOT leaf THEN greatest(least(np, cap), 1) ELSE 1 END))::BIGINT AS page,
+  depth::BIGINT AS depth, leaf::INT AS is_leaf FROM kind
 """,
     "depth_stats": f"""
 WITH RECURSIVE {_GRAPH}
