@@ -17,6 +17,7 @@ from ..functions.processors import zip_concat
 from ..operators import dedupe, history, merge
 from ..session import ensure_checkpoint_dir, read_table
 from ..sinks.buckets import BucketTable
+from ..streaming.routing import appended, dedupe_routed, route_batches
 from ..streaming.streams import ROCKSDB, current_delta, delta_repairs, stored_repairs
 from .keyed import ORACLE as KEYED_ORACLE
 from .keyed import SNAPSHOT_FIELDS, TS_TEXT
@@ -114,7 +115,41 @@ def stream_reviewer_append(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.date_format("ts", TS_TEXT).alias("latest_ts"))
 
 
+def stream_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed stream by item type (L1/C9): sign-ups count once per user and hour, errors once per user and day, each with a
+    sink of its own; all purchases go to theirs, and the other types pass to a fourth."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapweave-routes-{uuid.uuid4().hex}"
+    ev = _table_stream(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
+        F.date_trunc("hour", "ts").alias("hour"), F.date_trunc("day", "ts").alias("day"))
+    # files come in any order of time: the delay is the table's own span, two numbers
+    span = read_table(spark, sf_dir, "events").agg((F.unix_seconds(F.max(F.col("ts").cast("timestamp")))
+                                                    - F.unix_seconds(F.min(F.col("ts").cast("timestamp")))).alias("s")).first()["s"]
+    items = dedupe_routed(ev, "event_type", {"signup": ["user_id", "hour"], "error": ["user_id", "day"]}, "ts", f"{(span or 0) + 86_400} seconds")
+    sinks = {t: f"{base}/{t}" for t in ("signup", "error", "purchase", "other")}
+    run = route_batches(f"{base}/stage", "event_type", {t: appended(p) for t, p in sinks.items() if t != "other"}, appended(sinks["other"]))
+    _drained(items.writeStream.foreachBatch(run), spark, base)
+    cuts = {"signup": (F.col("hour"), False), "error": (F.col("day"), False), "purchase": (F.col("ts"), True), "other": (F.col("ts"), True)}
+    out = None
+    for route, path in sinks.items():
+        at, whole = cuts[route]
+        rows = spark.read.schema("event_id long, ts timestamp, user_id long, event_type string, hour timestamp, day timestamp").parquet(path).select(
+            F.lit(route).alias("route"), "event_type", "user_id", F.date_format(at, TS_TEXT).alias("at"),
+            (F.col("event_id") if whole else F.lit(None).cast("bigint")).alias("event_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {"stream_delta": stream_delta, "stream_upsert": stream_upsert, "stream_dev_merge": stream_dev_merge,
-           "stream_reviewer_append": stream_reviewer_append}
+           "stream_reviewer_append": stream_reviewer_append, "stream_routes": stream_routes}
 ORACLE = {"stream_delta": KEYED_ORACLE["snapshot_delta"], "stream_upsert": KEYED_ORACLE["latest_upsert"],
-          "stream_dev_merge": KEYED_ORACLE["dev_merge"], "stream_reviewer_append": KEYED_ORACLE["reviewer_append"]}
+          "stream_dev_merge": KEYED_ORACLE["dev_merge"], "stream_reviewer_append": KEYED_ORACLE["reviewer_append"],
+          "stream_routes": """
+SELECT DISTINCT 'signup' AS route, event_type, user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, NULL::BIGINT AS event_id
+FROM events WHERE event_type = 'signup'
+UNION ALL
+SELECT DISTINCT 'error', event_type, user_id, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S'), NULL::BIGINT FROM events WHERE event_type = 'error'
+UNION ALL
+SELECT CASE event_type WHEN 'purchase' THEN 'purchase' ELSE 'other' END, event_type, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), event_id
+FROM events WHERE event_type IS NULL OR event_type NOT IN ('signup', 'error')
+"""}
