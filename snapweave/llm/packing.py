@@ -10,12 +10,10 @@ only loss against one global packing). In a shard:
 2. configurations of these few sizes are optimised one after the other: the
    longest size still in demand plus the knapsack optimum of the rest, used as
    often as the demand allows;
-3. the slots of a configuration are filled with the actual pieces;
-4. the small pieces go, longest first, to the sequence with the least room that
-   still takes them.
-
-Rounding up can leave room that only small pieces fill: without any, lengths
-just over a third of the sequence may end up two to a sequence.
+3. each slot of a configuration takes the longest actual piece that fits the room the
+   other slots leave, and the room rounding up left takes further large pieces;
+4. the small pieces, and large ones whose slot was taken, go, longest first, to the
+   sequence with the least room that still takes them.
 """
 
 from __future__ import annotations
@@ -166,17 +164,32 @@ def pack(lengths: np.ndarray, capacity: int = LENGTH) -> tuple[np.ndarray, np.nd
     large = order[lengths[order] > capacity * LARGE]
     small = order[len(large):]
     queues = [q for q in np.array_split(large, min(GROUPS, len(large))) if len(q)] if len(large) else []
+    sizes = [int(lengths[q[0]]) for q in queues]
+    unused: list[list[int]] = [[] for _ in range(capacity + 1)]       # large pieces by length, and the lengths there are
+    there = 0
+    for i, length in zip(large[::-1].tolist(), lengths[large[::-1]].tolist(), strict=True):
+        unused[length].append(i)
+        there |= 1 << length
     fill: list[int] = []
-    stacks = [q[::-1].tolist() for q in queues]
-    for use, times in configurations([int(lengths[q[0]]) for q in queues], [len(q) for q in queues], capacity):
+    for use, times in configurations(sizes, [len(q) for q in queues], capacity):
+        slots = [s for s, u in zip(sizes, use, strict=True) for _ in range(u)]
+        # room for each slot: what the slots behind it leave; at last all that is left, as long as a piece fits
+        behind = [sum(slots[k + 1:]) for k in range(len(slots))] + [0] * (capacity // max(int(capacity * LARGE), 1))
         for _ in range(times):
             at = 0
-            for g, u in enumerate(use):
-                for _ in range(u):
-                    i = stacks[g].pop()
-                    bin_of[i], offset[i] = len(fill), at
-                    at += int(lengths[i])
-            fill.append(at)
+            for later in behind:
+                fits = there & ((1 << (capacity - at - later + 1)) - 1) if at + later < capacity else 0
+                if not fits:
+                    continue
+                length = fits.bit_length() - 1
+                i = unused[length].pop()
+                if not unused[length]:
+                    there &= ~(1 << length)
+                bin_of[i], offset[i] = len(fill), at
+                at += length
+            if at:
+                fill.append(at)
+    small = np.concatenate([np.array([i for x in reversed(unused) for i in x], np.int64), small])
     room = [[] for _ in range(capacity + 1)]
     mask = 0
     for b, f in enumerate(fill):

@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small inputs with hard rows."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -305,6 +306,24 @@ def test_quality_hard_rows(docs, none, spark, table):
     assert ordinal.fit(docs, ordinal.grades_of(odd), ordinal.GRADES).thresholds.shape == (2,)
 
 
+def test_packing_uses_no_more_sequences_than_best_fit_decreasing():
+    g = np.random.default_rng(1)
+    sets = [g.integers(1, 4097, 8000), g.integers(1800, 2300, 8000), np.clip(g.lognormal(5, 1.2, 8000), 1, 4096).astype(int), g.integers(1366, 1700, 4000),
+            g.integers(900, 1500, 8000), g.integers(1400, 4097, 8000), np.full(100, 4096), np.full(100, 2048), np.array([5]), np.array([], int)]
+    for lengths in sets:
+        rooms = []                                   # sorted rooms of the sequences of best-fit decreasing
+        for x in sorted(lengths.tolist(), reverse=True):
+            at = bisect.bisect_left(rooms, x)
+            bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else 4096) - x)
+        bins, offsets = packing.pack(lengths)
+        assert len(set(bins.tolist())) <= len(rooms)
+        used = collections.Counter()
+        for i in np.lexsort((offsets, bins)).tolist():
+            assert offsets[i] == used[bins[i]]
+            used[bins[i]] += int(lengths[i])
+        assert max(used.values(), default=0) <= 4096
+
+
 def test_main_text(spark):
     page = ("<html><body class='no-sidebar'><header><h2>Site</h2></header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies.</div>"
             "<div id=main><article><header><h1>Title &amp; more</h1></header><p>First <b>para</b>graph,\n with <a href=x>a link</a>.<p>Second&nbsp;one<br>goes on"
