@@ -18,7 +18,10 @@ from snapweave.session import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are clean (grade 2) with a probability of at least ordinal.CUT."""
+    """Keeps the documents that are clean (grade 2) with a probability of at least ordinal.CUT.
+
+    Null and empty texts are judged by their measures alone; of several labels of a document the worse counts.
+    """
     labels = ordinal.grades_of(read_table(spark, sf_dir, "labels"))
     return ordinal.select(docs, ordinal.fit(docs, labels, ordinal.GRADES), ordinal.CLEAN)
 
@@ -26,20 +29,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8).
 
-    Rows with a null id stay; rows with the same id and the same text are one.
+    Rows with a null id stay; rows with the same id and the same text are one, the one whose other
+    columns come first as JSON text. Null and empty texts are near nothing.
     """
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return one.union(docs.where("doc_id is null"))
+    one = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    others = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ("doc_id", "text")])
+    one = one.groupBy("doc_id", "text").agg(F.min_by(others, F.to_json(others)).alias("rest")).select("doc_id", "text", "rest.*")
+    return one.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of 50 words or more stay in their first document only."""
+    """Repeated passages of 50 words or more stay in their first document only.
+
+    Rows with a null id or text stay as they are; a null text has a null n_chars.
+    """
     return without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All remaining documents in sequences of 4096 tokens."""
+    """All remaining documents in sequences of 4096 tokens; null and empty texts are one end id."""
     return pack_documents(docs)
 
 
