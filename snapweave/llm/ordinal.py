@@ -143,10 +143,15 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], grades: int) -> Model:
 
 
 def fit(docs: DataFrame, graded: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on at most SAMPLE_ROWS graded rows (id, grade); rows with a null id or grade are not used."""
+    """Fits on at most SAMPLE_ROWS graded rows (id, grade); rows with a null id or grade are not used.
+
+    Of several grades of one id the smallest counts. Null and empty texts are learned from by their
+    measures alone; without any graded row nothing is learned, and every row is kept. Other columns
+    are not read.
+    """
     spark = docs.sparkSession
     sample = (graded.select(F.col("id").cast("long"), F.col("grade").cast("int")).where("id is not null and grade is not null")
-              .dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect())
+              .groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect())
     if not sample:
         return fit_rows([], grades)
     known = F.broadcast(spark.createDataFrame(sample, "id long, grade int"))  # at most SAMPLE_ROWS pairs
@@ -188,7 +193,11 @@ def score(docs: DataFrame, model: Model, grade: int, cut: float = CUT, id_col: s
 
 
 def select(docs: DataFrame, model: Model, grade: int, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose tail probability is at least ``cut``."""
+    """The rows of docs, with all their columns, whose tail probability is at least ``cut``.
+
+    Null and empty texts are judged by their measures alone; ids are not looked at, so repeated
+    rows are kept or rejected alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -189,8 +189,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all its columns; a text that loses words (see substring_dedup) becomes the kept words joined by one space."""
+    """docs with all its columns; a text that loses words (see substring_dedup) becomes the kept words joined by one space.
+
+    Null and empty texts, and rows with a null id, stay as they are; repeated rows stay repeated.
+    Other columns are carried along, whatever their names.
+    """
+    own, names = {c.lower() for c in docs.columns}, []
+    for name in ("removed_id", "removed_hash", "removed_text"):      # names that no column of docs has
+        while name in own:
+            name += "_"
+        names.append(name)
+    at_id, at_hash, kept = names
     gone = (_outcome(R.keyed(docs, id_col, text_col), True).where("n_removed > 0")
-            .select(F.col("id").alias("__id"), F.col("xh").alias("__xh"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__xh"]))
-    on = (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(text_col) == F.col("__xh"))
-    return docs.join(gone, on, "left").select(*[F.coalesce("__kept", c).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+            .select(F.col("id").alias(at_id), F.col("xh").alias(at_hash), F.col("kept_text").alias(kept)).dropDuplicates([at_id, at_hash]))
+    on = (F.col(id_col).cast("long") == F.col(at_id)) & (F.xxhash64(text_col) == F.col(at_hash))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.join(gone, on, "left").select(*[F.coalesce(kept, c).alias(c) if c == text_col else quoted(c) for c in docs.columns])

@@ -47,3 +47,35 @@ def test_stages(spark):
         assert r.n_chars == len(r.text)
     assert packed.where("piece = 0").count() == cut.count()
     assert corpus_pipeline.run(spark, SMOKE).count() > 0
+
+
+def test_stages_with_nulls_repeats_clashing_names_and_no_rows(spark):
+    words = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, words, "en", "s", 1, 5, "a", "b", "c"), (2, "before " + words + " after", "en", "s", 1, 5, "a", "b", "c"),
+            (3, None, "en", "s", 1, 5, "a", "b", "c"), (4, "", "en", "s", 0, 5, "a", "b", "c"), (None, words, None, None, None, 5, "a", "b", "c"),
+            (5, "one two three four five six", "b", "s", 1, 5, "a", "b", "c"), (5, "one two three four five six", "a", "s", 1, 5, "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __id long, __xh string, __kept string, removed_id string")
+    single = corpus_pipeline.near_dedup(spark, docs, SMOKE)
+    assert single.columns == docs.columns
+    got = [(r.doc_id, r.lang) for r in single.collect()]
+    assert sorted(got, key=str) == sorted([(1, "en"), (3, "en"), (4, "en"), (None, None), (5, "a")], key=str)
+    cut = corpus_pipeline.substrings(spark, docs, SMOKE)
+    assert cut.columns == docs.columns
+    texts = {(r.doc_id, r.lang): (r.text, r.n_chars) for r in cut.collect()}
+    assert texts[2, "en"] == ("before after", 12) and texts[1, "en"][0] == words and texts[3, "en"] == (None, None)
+    assert texts[4, "en"] == ("", 0) and texts[None, None][0] == words and cut.count() == len(rows)
+    kept = corpus_pipeline.quality(spark, docs, SMOKE)
+    assert kept.columns == docs.columns and set(kept.collect()) <= set(docs.collect())
+    assert corpus_pipeline.packing(spark, docs, SMOKE).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMOKE).count() == 0
+
+
+def test_the_worse_of_two_labels_counts(spark):
+    from snapweave.llm import ordinal
+    texts = [(i, ("good words here " if i % 2 else "poor junk text ") * 5) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    plain = [(i, 2 if i % 2 else 0) for i, _ in texts]
+    both = plain + [(i, 2) for i, _ in texts if i % 2 == 0] + [(i, 2) for i, _ in texts if i % 2]
+    one, two = (ordinal.fit(docs, spark.createDataFrame(x, "id long, grade int"), 3) for x in (plain, both[::-1]))
+    assert (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all()
