@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import regexes as R
-from ..functions.processors import numbers_to_fields, py_strip, split_strip, to_double, to_long
+from ..functions.processors import na_to_double, numbers_to_fields, py_strip, split_strip, to_double, to_long
 from ..functions.urls import employer_id, resolve_url
+from ..operators.joins import enrich
 from .extract import apply_spec, joined, list_rows, nth, re_all
-from .locators import (CC_JOB_XPATH, CC_ROW_CLASSES, DURATION_MINUTES, EXPIRES, JB_BASE_URL, JB_JOB_XPATH,
-                       JB_PAGES_XPATH, JB_ROWS, LAST_PAGE, LEGACY_MW_JOB_XPATH, LEGACY_MW_ROWS, MF_JOB_XPATH, MF_ROWS,
-                       NOT_ACTIVE, NOT_RUNNING, ST_JOB_XPATH, ST_ROW_CLASSES, SUCCESS)
+from .locators import (CC_COUNTRY, CC_JOB_XPATH, CC_MEMBER_SINCE, CC_ROW_CLASSES, CC_USER_FIELDS, CC_USER_ID, CC_USER_XPATH,
+                       DURATION_MINUTES, EXPIRES, JB_BASE_URL, JB_JOB_XPATH, JB_PAGES_XPATH, JB_ROWS, LAST_PAGE,
+                       LEGACY_MW_JOB_XPATH, LEGACY_MW_ROWS, LEGACY_MW_USER_FIELDS, MF_JOB_XPATH, MF_ROWS, NOT_ACTIVE,
+                       NOT_RUNNING, ST_JOB_XPATH, ST_LAST_PAGE, ST_PAGES_XPATH, ST_ROW_CLASSES, SUCCESS)
 
 def _keep(pages: DataFrame, key_cols, extra=()):
     return list(key_cols) + [c for c in extra if c in pages.columns]
@@ -70,6 +72,11 @@ def st_list(pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
                     py_strip(F.regexp_extract("expire_raw", EXPIRES, 1)).alias("expire"))
 
 
+def st_page_count(pages: DataFrame, key_cols) -> DataFrame:
+    """Shorttask page count from the list's link to the last page (N10); null without one."""
+    return apply_spec(pages, list(key_cols), _spec(ST_PAGES_XPATH, {"n_pages": [re_all(ST_LAST_PAGE, 1), nth(0), to_long]}))
+
+
 # ----------------------------------------------------------------- job pages
 def _spec(xpaths: dict, steps: dict) -> dict:
     """Pair each field's locator with its processing steps."""
@@ -176,3 +183,52 @@ def st_job(pages: DataFrame, key_cols) -> DataFrame:
         "expected": [],
     })
     return apply_spec(pages, list(key_cols), spec).where(~F.col("_inactive")).drop("_inactive")
+
+
+def st_tasks(lists: DataFrame, pages: DataFrame, key_cols, url_col: str = "url") -> DataFrame:
+    """Shorttask jobs with what only their list rows say (N10/F2): job id and expiry, by the job page's URL.
+
+    A job that stands on several list pages takes the row of the smallest id and expiry; a job
+    page without a list row stays, with nulls.
+    """
+    rows = st_list(lists, key_cols, url_col).groupBy("job_url").agg(F.min(F.struct("job_id", "expire")).alias("r"))
+    jobs = st_job(pages, [*key_cols, url_col])
+    return enrich(jobs, rows.select(F.col("job_url").alias(url_col), "r.job_id", "r.expire"), url_col)
+
+
+# ---------------------------------------------------------------- user pages
+_VALUES = {
+    "text": [joined(""), py_strip],
+    "words": [re_all(R.SOME_TEXT), nth(0)],
+    "long": [re_all(R.NUMBER), nth(0), to_long],
+    "double": [re_all(R.NUMBER), nth(0), to_double],
+    "na_double": [joined(""), na_to_double],
+}
+
+
+def cc_user(pages: DataFrame, key_cols) -> DataFrame:
+    """Clickchores user page (N7): id, country and date from the head, statistics by the text behind their label;
+    a page without worker or employer statistics has nulls there."""
+    spec = _spec(CC_USER_XPATH, {
+        "name": _VALUES["text"],
+        "id": [re_all(CC_USER_ID, 1), nth(0)],
+        "country": [re_all(CC_COUNTRY), nth(0)],
+        "member_since": [re_all(CC_MEMBER_SINCE, 1), nth(0), py_strip],
+    })
+    for field, section, label, kind in CC_USER_FIELDS:
+        spec[field] = (f"({section}/label[{label}]/following-sibling::text())[1]", _VALUES[kind])
+    return apply_spec(pages, list(key_cols), spec)
+
+
+def legacy_mw_user(pages: DataFrame, key_cols) -> DataFrame:
+    """User page of the older microworkers layout (N6): every value stands in the cell behind its label's."""
+    spec = {}
+    for field, table, label, bold, occurrence, kind in LEGACY_MW_USER_FIELDS:
+        name = "b/text()" if bold in ("label", "both") else "text()"
+        guard = ' and not(contains(text(), "Not"))' if label == "Satisfied" else ""
+        cell = f'//table[@id="{table}"]//td[contains({name}, "{label}"){guard}]'
+        if occurrence:
+            cell = f"({cell})[{occurrence}]"
+        value = "b/text()" if bold in ("value", "both") else "text()"
+        spec[field] = (f"{cell}/following-sibling::td/{value}", _VALUES[kind])
+    return apply_spec(pages, list(key_cols), spec)

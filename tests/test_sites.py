@@ -66,3 +66,45 @@ def test_job_pages(spark):
     r = sites.legacy_mw_job(_p(spark, lm), ["pid"]).collect()[0]
     assert (r.name, r.id, r.work_done, r.work_total, r.payment, r.duration, r.employer) == ("Old job", "7x", 1, 9, 0.1, 4, "m9")
     assert (r.countries, r.category, r.sub_category, r.expected, r.proof) == (["Canada"], "Cat", "Sub", ["do it"], ["proof"])
+
+
+def test_user_pages(spark):
+    cc = ('<div id="column_main"><h2>ann</h2><div>ID: u77<br/>Country<br/> United States<br/>Member Since: May 3, 2014 <br/></div>'
+          '<div class="profile_stats"><h3>Worker Statistics</h3><label>Jobs Complete</label> 12 <br/><label>Not Satisfied</label> 2 <br/>'
+          '<label>Satisfied</label> 9 <br/><label>Average Job Price</label> $0.15 <br/><label>Total Earned</label> $1.80</div>'
+          '<div class="profile_stats"><h3>Other Statistics</h3><label>Jobs Posted</label> 5</div></div>')
+    r = sites.cc_user(_p(spark, cc), ["pid"]).collect()[0]
+    assert (r.name, r.id, r.country, r.member_since) == ("ann", "u77", "United States", "May 3, 2014")
+    assert (r.tasks_done, r.tasks_satisfied, r.tasks_not_satisfied, r.avg_per_task_earned, r.total_earned) == (12, 9, 2, 0.15, 1.8)
+    assert (r.tasks_paid, r.avg_per_task_paid, r.total_paid) == (None, None, None)
+    both = cc.replace("Other Statistics", "Employer Statistics")
+    assert sites.cc_user(_p(spark, both), ["pid"]).collect()[0].tasks_paid == 5
+
+    def table(number, *rows):
+        return f'<table id="AutoNumber{number}">' + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in rows) + "</table>"
+    mw = (table(64, ("Nickname", "<b>bob</b>"), ("ID", " m5 "), ("Member since", "2013-01-02"), ("Country", " United Kingdom "), ("City", "Leeds"))
+          + table(91, ("<b>Total Earned</b>", "<b>$ 21.5</b>"), ("Tasks done", "300"))
+          + table(92, ("<b>Basic tasks</b>", "<b>280</b>"), ("Not-Satisfied", "7"), ("Satisfied", "270"), ("Average per task", "0.07"))
+          + table(93, ("<b>Hire Group</b>", "<b>20</b>"), ("Satisfied", "19"), ("Not-Satisfied", "1"), ("Average per task", "0.1"))
+          + table(95, ("<b>Basic Campaigns</b>", "<b>3</b>"), ("Tasks paid", "90"), ("Total paid", " 9.5 "), ("<b>Hire Group</b>", "<b>1</b>"),
+                  ("Tasks paid", "8"), ("Total paid", "n/a"), ("<b>Employer type</b>", "Starter level")))
+    r = sites.legacy_mw_user(_p(spark, mw), ["pid"]).collect()[0]
+    assert (r.name, r.id, r.member_since, r.country, r.city) == ("bob", "m5", "2013-01-02", "United Kingdom", "Leeds")
+    assert (r.total_earned, r.tasks_done, r.basic_tasks, r.basic_satisfied, r.basic_not_satisfied, r.basic_avg_per_task) == (21.5, 300, 280, 270, 7, 0.07)
+    assert (r.hg_tasks, r.hg_satisfied, r.hg_not_satisfied, r.hg_avg_per_task) == (20, 19, 1, 0.1)
+    assert (r.basic_campaigns, r.basic_tasks_paid, r.hg_campaigns, r.hg_tasks_paid, r.employer_type) == (3, 90, 1, 8, "Starter level")
+    assert (r.basic_total_paid, r.hg_total_paid) == (9.5, None)
+
+
+def test_shorttask_pages_and_list_attributes(spark):
+    row = ('<div class="template hits-tamplate"><b>Expires</b>: 5 days <p class="view-task"><a href="task.php?id=t9">see</a></p></div>')
+    page = ('<div><div class="task-top"><a href="tasks.php?page=2">Next</a> <a href="tasks.php?page=14">Last</a></div></div>'
+            f'<div class="main-content">{row}</div>')
+    lists = _p(spark, page, "http://site.example/tasks.php")
+    assert sites.st_page_count(lists, ["pid"]).collect()[0].n_pages == 14
+    assert sites.st_page_count(_p(spark, "<p>none</p>"), ["pid"]).collect()[0].n_pages is None
+    job = ('<div class="register-content"><div class="task-top"><b>Title</b> Like our page <b>Tasks Available</b>: 25 '
+           '<b>Requester</b> acme <b>Reward</b> $0.05 <b>Duration</b> 3 min</div></div>')
+    pages = _p(spark, job, "http://site.example/task.php?id=t9").union(_p(spark, job, "http://site.example/task.php?id=t8"))
+    got = {r.url[-2:]: (r.job_id, r.expire, r.name) for r in sites.st_tasks(lists.union(lists), pages, ["pid"]).collect()}
+    assert got == {"t9": ("t9", "5 days", "Like our page"), "t8": (None, None, "Like our page")}
