@@ -19,7 +19,7 @@ from ..operators.dedupe import latest_per_key
 from ..operators.merge import append_pages, attach_related, merge_developers
 from ..sources.embedded import app_lookup_rows
 from ..sources.extract import developer_pages, related_pages, reviewer_blocks, reviewer_pages
-from ..sources.feeds import review_feed_rows
+from ..sources.feeds import feed_page_counts, review_feed_rows
 
 
 #: the parallel arrays of a reviewer, one entry per review
@@ -35,8 +35,8 @@ def app_graph(captured: DataFrame, seed_apps: DataFrame, max_depth: int = DEPTH_
     lookups = _kind(captured, "app_lookup").select("referrer", F.col("fetched_at").alias("crawl_ts"), "body")
     apps = latest_per_key(app_lookup_rows(lookups), ["id"], ["crawl_ts"])
 
-    feeds = _kind(captured, "review_feed").select(F.col("entity_id").alias("app_id"), "body")
-    reviews = latest_per_key(review_feed_rows(feeds), ["id"], ["updated", "position"])
+    feeds = _kind(captured, "review_feed").select(F.col("entity_id").alias("app_id"), "fetched_at", "body")
+    reviews = latest_per_key(review_feed_rows(feeds, stamp_col="fetched_at"), ["id"], ["updated", "timestamp", "position"])
 
     rv_pages = _kind(captured, "reviewer_page").select(F.col("entity_id").alias("reviewer_id"), "page",
                                                         "fetched_at", "referrer", F.col("body").alias("html"))
@@ -77,4 +77,4 @@ def app_graph(captured: DataFrame, seed_apps: DataFrame, max_depth: int = DEPTH_
                                               "dst_type", F.col("dst_id").cast("string").alias("dst_id"), "kind"),
                           max_depth)
     return {"apps": apps, "reviews": reviews, "reviewers": reviewers, "developers": developers,
-            "edges": edges, "nodes": nodes}
+            "edges": edges, "nodes": nodes, "feed_counts": feed_page_counts(feeds)}

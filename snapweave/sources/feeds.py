@@ -32,14 +32,16 @@ def _ts(x):
 
 
 def review_feed_rows(feeds: DataFrame, body_col: str = "body", app_col: str = "app_id",
-                     country: str = "us") -> DataFrame:
+                     country: str = "us", stamp_col: str | None = None) -> DataFrame:
     """Review feed pages -> one row per review (A7/N12). Entry 0 describes the
     app itself and is skipped; an empty feed gives no rows (D7). The number of
-    feed pages comes from the page number of the ``rel=last`` link (E2)."""
-    f = feeds.select(app_col, F.from_xml(body_col, REVIEW_FEED_SCHEMA).alias("f"))
+    feed pages comes from the page number of the ``rel=last`` link (E2).
+    ``stamp_col`` is the time a page was fetched, carried as ``timestamp``."""
+    stamp = [F.col(stamp_col).alias("timestamp")] if stamp_col else []
+    f = feeds.select(app_col, *stamp, F.from_xml(body_col, REVIEW_FEED_SCHEMA).alias("f"))
     last = F.filter("f.link", lambda l: l["_rel"] == "last")
     n_pages = F.regexp_extract(F.get(last, 0)["_href"], R.PAGE_NO, 1)
-    e = f.select(app_col, F.when(n_pages != "", n_pages.cast("int")).alias("n_pages"),
+    e = f.select(app_col, *(["timestamp"] if stamp_col else []), F.when(n_pages != "", n_pages.cast("int")).alias("n_pages"),
                  F.posexplode("f.entry").alias("pos", "e")).where(F.col("pos") > 0)
     text = F.filter("e.content", lambda c: F.coalesce(c["_type"], F.lit("text")) == "text")
     return e.select(
@@ -54,7 +56,20 @@ def review_feed_rows(feeds: DataFrame, body_col: str = "body", app_col: str = "a
         F.col("e.`im:voteCount`").cast("bigint").alias("vote"),
         F.lit(country).alias("country"),
         _ts("e.updated").alias("updated"),
-        F.col("pos").alias("position"), "n_pages")
+        F.col("pos").alias("position"), "n_pages", *(["timestamp"] if stamp_col else []))
+
+
+def feed_page_counts(feeds: DataFrame, body_col: str = "body") -> DataFrame:
+    """One row: feed pages read, with reviews, without a review, and not readable (no id and no entry to be
+    found in them, null and blank ones included), and the reviews; one pass, so lost pages show (A7/G7)."""
+    f = F.from_xml(body_col, REVIEW_FEED_SCHEMA)
+    n = F.greatest(F.coalesce(F.size(f["entry"]), F.lit(-1)) - 1, F.lit(-1))        # entry 0 is the app
+    readable = f.isNotNull() & (f["entry"].isNotNull() | f["link"].isNotNull())
+    p = feeds.select(F.coalesce(readable, F.lit(False)).alias("ok"), n.alias("n"))
+    count = lambda cond: F.count_if(cond).cast("bigint")
+    return p.agg(F.count(F.lit(1)).cast("bigint").alias("n_pages"), count(F.col("ok") & (F.col("n") > 0)).alias("n_with_reviews"),
+                 count(F.col("ok") & (F.col("n") <= 0)).alias("n_without_reviews"), count(~F.col("ok")).alias("n_unreadable"),
+                 F.coalesce(F.sum(F.when(F.col("ok"), F.greatest("n", F.lit(0)))), F.lit(0)).cast("bigint").alias("n_reviews"))
 
 
 def chart_rows(feeds: DataFrame, body_col: str = "body", keys=("country", "list_name", "genre"),

@@ -16,6 +16,9 @@ def test_app_graph_end_to_end(spark):
         ("app_lookup", "628228162", 1, None, t0, _read("lookup.json")),
         ("app_lookup", "628228162", 1, None, t1, _read("lookup.json").replace('"version":"5.3.0"', '"version":"5.4.0"')),
         ("review_feed", "628228162", 1, None, t0, _read("review_feed.xml")),
+        ("review_feed", "628228162", 1, None, t1, _read("review_feed.xml")),
+        ("review_feed", "628228162", 2, None, t1, "<feed xmlns='http://www.w3.org/2005/Atom'><id>x</id><link rel='self' href='y'/></feed>"),
+        ("review_feed", "628228162", 3, None, t1, "<feed><entry>"), ("review_feed", "628228162", 4, None, t1, None),
         ("reviewer_page", "286496943", 1, "628228162", t0, _read("reviewer.html")),
         ("reviewer_page", "286496943", 2, "628228162", t1, _read("reviewer.html")),
     ], "kind string, entity_id string, page int, referrer string, fetched_at timestamp, body string")
@@ -23,7 +26,9 @@ def test_app_graph_end_to_end(spark):
     t = app_graph(captured, seeds)
     apps = t["apps"].collect()
     assert len(apps) == 1 and apps[0].version == "5.4.0"            # latest lookup wins
-    assert t["reviews"].count() == 2
+    reviews = t["reviews"].collect()
+    assert len(reviews) == 2 and all(r.timestamp == t1 for r in reviews)       # the later capture of equal reviews
+    assert tuple(t["feed_counts"].collect()[0]) == (5, 2, 1, 2, 4)             # pages, with, without, unreadable; reviews as captured
     rv = t["reviewers"].collect()[0]
     assert {"rating", "review_date", "version", "developer_id", "genre", "release", "title", "review_text"} <= set(rv.asDict())
     assert rv.referrer == "628228162" and rv.reviewer_name and all(len(rv[c]) == 6 for c in ("genre", "release", "review_text"))
