@@ -2,16 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
+from snapweave.session import written
 
-from pyspark.sql import DataFrame
-
-from snapweave.session import ensure_checkpoint_dir
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and read back (column pruned, survives lost executors)."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["written"]
