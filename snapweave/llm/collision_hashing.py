@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 SHARD_ROWS = 8192
 PROJECTIONS, GROWTH, THRESHOLD, WIDTH = 96, 1.15, 0.58, 2.0
 START_RADIUS = 0.3
+STEPS, QUERIES = 16, 64            # windows looked up at once
 
 
 class Index:
@@ -35,42 +36,75 @@ class Index:
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
         self.lines = np.random.default_rng(97 + vectors.shape[1]).standard_normal((vectors.shape[1], PROJECTIONS))
         place = (self.vectors / self.norms[:, None]) @ self.lines
-        self.order = np.argsort(place, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(place, self.order, axis=0)
+        place = np.ascontiguousarray(place.T)                    # a line's array is a row
+        order = np.argsort(place, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(place, order, axis=1)
+        rank = np.arange(len(self.ids), dtype=np.min_scalar_type(len(self.ids)))
+        self.rank = np.empty(place.shape, rank.dtype)            # a vector's place on every line
+        np.put_along_axis(self.rank, order, rank[None, :], axis=1)
+        self.gap, self.inside = np.empty_like(self.rank), np.empty(place.shape, bool)   # used again by every step
+
+    def windows(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """First and last place (excluded) of the next ``STEPS`` windows of every query on every line: (step, end, query, line)."""
+        half = np.zeros(STEPS)
+        for t in range(STEPS):
+            half[t] = WIDTH * radius / 2
+            radius *= GROWTH
+        out = np.zeros((STEPS, 2, *at.shape), np.int64)
+        for j, line in enumerate(self.sorted):
+            out[:, 0, :, j] = np.searchsorted(line, at[None, :, j] - half[:, None])
+            out[:, 1, :, j] = np.searchsorted(line, at[None, :, j] + half[:, None], "right")
+        return out
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, k: int):
+        """``search`` of every query; their windows are looked up together."""
+        for i in range(0, len(own), QUERIES):
+            part = queries[i:i + QUERIES]
+            at = np.stack([(q / np.sqrt(q @ q)) @ self.lines for q in part])
+            ends = self.windows(at, START_RADIUS)
+            for o, q, x, e in zip(own[i:i + QUERIES].tolist(), part, at, np.moveaxis(ends, 2, 0), strict=True):
+                yield o, self._search(o, q, k, x, e)
 
     def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, float]]:
         """Up to k best (id, cosine) of this shard, best first, ties to the smaller id."""
-        n = len(self.ids)
+        return next(self.search_all(np.array([own]), query[None, :], k))[1]
+
+    def _search(self, own, query, k, at, ends):
+        # what is seen only grows with the windows, so the first step that ends the search is found by bisection
         norm = np.sqrt(query @ query)
-        at = (query / norm) @ self.lines
-        lo = np.array([np.searchsorted(self.sorted[:, j], at[j]) for j in range(PROJECTIONS)])
-        hi = lo.copy()
-        hits, seen = np.zeros(n, np.int64), np.zeros(n, bool)
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
-        found = np.zeros(0, np.int64)
-        score = np.zeros(0)
+        cos, known = np.zeros(len(self.ids)), np.zeros(len(self.ids), bool)
+
+        def step(t, radius):
+            """Best k (place, cosine) of the vectors that collide often enough at a step, and whether the search ends there."""
+            first, width = ends[t, 0], ends[t, 1] - ends[t, 0]
+            # places before the window wrap around to large numbers
+            np.subtract(self.rank, first[:, None].astype(self.rank.dtype), out=self.gap)
+            np.less(self.gap, width[:, None].astype(self.rank.dtype), out=self.inside)
+            seen = np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=np.uint8) >= need
+            fresh = np.flatnonzero(seen & ~known)
+            cos[fresh] = np.einsum("ij,j->i", self.vectors[fresh], query) / (self.norms[fresh] * norm)
+            known[fresh] = True
+            found = np.flatnonzero(seen & (self.ids != own))
+            if len(found) > max(k, 1):
+                found = found[cos[found] >= -np.partition(-cos[found], max(k, 1) - 1)[max(k, 1) - 1]]
+            found = found[np.lexsort((self.ids[found], -cos[found]))[:max(k, 1)]]
+            return found, seen.all() or (len(found) >= k and np.sqrt(max(0.0, 2 - 2 * cos[found[k - 1]])) <= radius)
+
         radius = START_RADIUS
         while True:
-            half = WIDTH * radius / 2
-            new = []
-            for j in range(PROJECTIONS):
-                a = np.searchsorted(self.sorted[:, j], at[j] - half)
-                z = np.searchsorted(self.sorted[:, j], at[j] + half, "right")
-                new.append(self.order[min(a, lo[j]):lo[j], j])
-                new.append(self.order[hi[j]:max(z, hi[j]), j])
-                lo[j], hi[j] = min(a, lo[j]), max(z, hi[j])
-            hits += np.bincount(np.concatenate(new), minlength=n)
-            fresh = np.flatnonzero((hits >= need) & ~seen)
-            if len(fresh):
-                seen[fresh] = True
-                fresh = fresh[self.ids[fresh] != own]
-                cos = np.einsum("ij,j->i", self.vectors[fresh], query) / (self.norms[fresh] * norm)
-                found, score = np.concatenate([found, fresh]), np.concatenate([score, cos])
-                best = np.lexsort((self.ids[found], -score))[:max(k, 1)]
-                found, score = found[best], score[best]
-            if seen.all() or (len(found) >= k and np.sqrt(max(0.0, 2 - 2 * score[k - 1])) <= radius):
-                return list(zip(self.ids[found].tolist(), score.tolist(), strict=True))[:k]
-            radius *= GROWTH
+            radii = [radius]
+            for _ in range(STEPS):
+                radii.append(radii[-1] * GROWTH)
+            lo, hi, best = 0, len(ends), None                    # hi: first known step that ends it
+            while lo < hi:
+                t = (lo + hi) // 2
+                found, done = step(t, radii[t])
+                lo, hi, best = (lo, t, found) if done else (t + 1, hi, best)
+            if best is not None:
+                return list(zip(self.ids[best].tolist(), cos[best].tolist(), strict=True))[:k]
+            radius = radii[-1]
+            ends = self.windows(at[None, :], radius)[:, :, 0]
 
 
 def _matrix(column) -> np.ndarray:
@@ -100,8 +134,8 @@ def _shards(k: int):
                     continue
                 if index is None:
                     index = Index(np.concatenate(ids), np.concatenate(vectors))
-                for q, v in zip(own.tolist(), vec, strict=True):
-                    for i, x in index.search(q, v, k):
+                for q, best in index.search_all(own, vec, k):
+                    for i, x in best:
                         out[0].append(q), out[1].append(i), out[2].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())],
                                              names=["query_id", "vec_id", "score"])
