@@ -24,6 +24,7 @@ stretches of a block are drawn step by step in numpy.
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -63,8 +64,6 @@ class Vocabulary:
             self.bytes.append(b)
         rank = np.array([-sp.get_score(i) for i in usable])
         self.size = np.array([len(b) for b in self.bytes])
-        self.begin = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         buf = np.frombuffer(b"".join(self.bytes[i] for i in usable), np.uint8)
         ends = np.cumsum([len(self.bytes[i]) for i in usable])
         inner = np.ones(len(buf), bool)
@@ -74,6 +73,8 @@ class Vocabulary:
         keys = range_hash(buf, ends - self.size[usable], ends)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable)[order]
+        self.begun = np.zeros(1 << 20, bool)          # the first 20 bits of some piece's hash
+        self.begun[self.keys >> np.uint64(44)] = True
         self.weight = (-alpha * np.log(np.maximum(rank, 0) + 2))[order]
         self.lengths = np.unique(self.size[usable])
         self.longest = int(self.lengths.max())
@@ -137,11 +138,14 @@ class Lattices:
         known = np.zeros(int(character[-1]) + 2, bool)
         char_len = np.bincount(character, minlength=len(known))
         lead = (text & 0xC0) != 0x80
-        for k in v.lengths.tolist():
-            i = np.flatnonzero(lead & (left >= k))
-            if not len(i):
-                continue
-            h = T.mix((total[i + k] - total[i]) * inverse[i] + np.uint64(k))
+        fits = np.flatnonzero(lead)
+        for k in v.lengths.tolist():                                       # ascending
+            fits = fits[left[fits] >= k]
+            if not len(fits):
+                break
+            h = T.mix((total[fits + k] - total[fits]) * inverse[fits] + np.uint64(k))
+            some = np.flatnonzero(v.begun[h >> np.uint64(44)])
+            i, h = fits[some], h[some]
             p = np.minimum(np.searchsorted(v.keys, h), len(v.keys) - 1)
             ok = v.keys[p] == h
             i, p = i[ok], p[ok]
@@ -319,14 +323,18 @@ class Sampler:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of the ids (byte pieces as they are, without the blank before the first word)."""
-        n = self.v.size[ids]
-        stop = np.cumsum(n)
-        return self.v.flat[np.repeat(self.v.begin[ids] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()[1:]
+        return b"".join(map(self.v.bytes.__getitem__, ids.tolist()))[1:]
+
+
+@functools.lru_cache(maxsize=1)
+def _sampler(model: str, samples: int, alpha: float, seed: int) -> Sampler:
+    """One per worker process: the vocabulary and the lattices of words seen by its earlier tasks are kept."""
+    return Sampler(model, samples, alpha, seed)
 
 
 def _sample(model, samples, alpha, seed, with_ids):
     def run(batches):
-        sampler = Sampler(model, samples, alpha, seed)
+        sampler = _sampler(model, samples, alpha, seed)
         names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decodes"] + ["ids"] * with_ids
         types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
         for batch in batches:
