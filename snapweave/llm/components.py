@@ -14,22 +14,37 @@ def shuffle_partitions(spark) -> int:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node id reachable over ``edges`` (a, b).
 
-    Rounds of neighbour minima with pointer jumping until nothing changes; every
-    round is map-side combined minima and equi joins, written to the shared
-    folder (a table's size is read anew each round, where checkpoints multiply
-    the estimates of their joins until the planner fails). Nodes without an edge don't appear. Null ends take no part.
+    Rounds of contraction: every node points to its smallest neighbour, the
+    pointers are followed to their ends, and the edges are taken over to those
+    ends, where repeated ones and those inside one end fall away. So the edges are
+    joined once as they are and a far smaller rest afterwards. What a round leaves
+    is written to the shared folder (a table's size is read anew each round, where
+    checkpoints multiply the estimates of their joins until the planner fails).
+    Nodes without an edge don't appear. Null ends take no part.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    both = written(e.union(e.select("b", "a")).distinct())
-    label = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-                        .select("node", F.least("node", "m").alias("l")))
+    e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    left = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    label = None
     while True:
-        near = (both.join(label.select(F.col("node").alias("b"), F.col("l").alias("bl")), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("bl").alias("m")))
-        low = label.join(near, "node").select("node", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        up = label.select(F.col("node").alias("l"), F.col("l").alias("ll"))
-        new = written(low.join(up, "l", "left")
-                          .select("node", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        end = _ends(left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+                    .select("node", F.least("node", "m").alias("l")))
+        label = end if label is None else (label.join(end.toDF("l", "ll"), "l", "left")
+                                           .select("node", F.coalesce("ll", "l").alias("l")))
+        moved = left.join(end.toDF("a", "x"), "a").join(end.toDF("b", "y"), "b").where("x <> y")
+        left = written(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if left.isEmpty():
+            return label.select("node", F.col("l").alias("component"))
+        label = written(label)
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """(node, l) with every pointer followed to its end, a node that points to itself; two doublings a round."""
+    def jumped(p):
+        return p.join(p.toDF("l", "ll"), "l").select("node", F.col("l").alias("old"), F.col("ll").alias("l"))
+
+    at = written(pointers)
+    while True:
+        new = written(jumped(jumped(at).select("node", "l")))
+        at = new.select("node", "l")
         if new.where("l <> old").isEmpty():
-            return new.select("node", F.col("l").alias("component"))
-        label = new.select("node", "l")
+            return at
