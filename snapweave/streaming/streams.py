@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,7 +86,10 @@ def latest_version(spark: SparkSession, target_path: str, before: int | None = N
     return v.where(F.col("batch") == top).drop("batch")
 
 
-REPAIR_OUT = "id string, key string, t long, seq long, j string, keep boolean"
+PACKED = "id string, key string, t array<long>, seq array<long>, j array<string>"
+PACK_ROWS = 1 << 19  # rows held by a task that packs points
+WHOLE = 1024         # points of a group up to which they are one state value
+REPAIR_OUT = f"{PACKED}, keep array<boolean>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -97,11 +101,14 @@ def _flags(before: str | None, values: list) -> list[bool]:
 class DeltaProcessor(StatefulProcessor):
     """Delta compression of one field of one id, exact for any arrival order (L3).
 
-    State: the points (time, sequence, value) in time buckets, and the ordered list
-    of buckets. New points are put into their buckets; what is written are the new
+    Rows in and out hold arrays of points, a bucket's marks in one row: a row costs the
+    Python worker far more than a point. State: the points (time, sequence, value) in
+    time buckets, and the ordered list of buckets. New points are put into their buckets; what is written are the new
     points and the known ones whose mark flips, which are looked for in the touched
     buckets and in the next known bucket behind each, and nowhere else. So a batch's
-    work follows its rows and their buckets, not what is stored.
+    work follows its rows and their buckets, not what is stored. Up to ``WHOLE`` points
+    of a group (without a watermark) are one value with all its buckets, as every call
+    to the state costs a message to Spark.
 
     With a watermark a timer per bucket fires when it has passed the bucket's end, after which
     no more rows come for it: only the kept points and the last one stay in state.
@@ -112,10 +119,12 @@ class DeltaProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "buckets array<long>")
+        self.known = handle.getValueState("known", "buckets array<long>, t array<long>, seq array<long>, j array<string>")
         self.points = handle.getMapState("points", "bucket long", "t array<long>, seq array<long>, j array<string>")
 
-    def _load(self, bucket: int, known: set) -> list:
+    def _load(self, bucket: int, known: set, whole: dict | None = None) -> list:
+        if whole is not None:
+            return whole.get(bucket, [])
         return list(zip(*self.points.getValue((bucket,)), strict=True)) if bucket in known else []
 
     def _store(self, bucket: int, points: list) -> None:
@@ -124,9 +133,15 @@ class DeltaProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 (names of the interface)
         added: dict = {}
         for r in rows:
-            added.setdefault(r.t // self.bucket, []).append((r.t, r.seq, r.j))
+            for p in zip(r.t, r.seq, r.j, strict=True):
+                added.setdefault(p[0] // self.bucket, []).append(p)
         stored = self.known.get()
-        old = list(stored[0]) if stored else []
+        whole = None                                 # bucket -> points, of a group held as one value
+        if not self.timed and not (stored and stored[0]):
+            whole = {}
+            for p in zip(*stored[1:], strict=True) if stored else ():
+                whole.setdefault(p[0] // self.bucket, []).append(p)
+        old = list(stored[0]) if whole is None and stored else sorted(whole or ())
         known = set(old)
         order = sorted(known | set(added))
         walk = sorted({order[i] for b in added for i in (bisect_left(order, b), bisect_left(order, b) + 1) if i < len(order)})
@@ -138,20 +153,29 @@ class DeltaProcessor(StatefulProcessor):
             elif order[at - 1] in ends:
                 before, after = ends[order[at - 1]]
             else:
-                before = after = self._load(order[at - 1], known)[-1][2]
-            had = self._load(b, known)
+                before = after = self._load(order[at - 1], known, whole)[-1][2]
+            had = self._load(b, known, whole)
             was = dict(zip([p[:2] for p in had], _flags(before, [p[2] for p in had]), strict=True))
             now = sorted(had + added.get(b, []), key=lambda p: p[:2])
-            for p, keep in zip(now, _flags(after, [p[2] for p in now]), strict=True):
-                if was.get(p[:2]) != keep:           # a new point, or one whose mark flips
-                    yield Row(id=key[0], key=key[1], t=p[0], seq=p[1], j=p[2], keep=keep)
+            marks = [(*p, keep) for p, keep in zip(now, _flags(after, [p[2] for p in now]), strict=True)
+                     if was.get(p[:2]) != keep]      # a new point, or one whose mark flips
+            if marks:
+                yield Row(id=key[0], key=key[1], **dict(zip(("t", "seq", "j", "keep"), map(list, zip(*marks, strict=True)), strict=True)))
             ends[b] = (had[-1][2] if had else before, now[-1][2])
             if b in added:
-                self._store(b, now)
+                if whole is None:
+                    self._store(b, now)
+                else:
+                    whole[b] = now
                 if self.timed and b not in known:
                     self.handle.registerTimer((b + 1) * self.bucket // 1000)
-        if len(order) > len(old):
-            self.known.update((order,))
+        if whole is not None and sum(map(len, whole.values())) <= WHOLE:
+            self.known.update(([], *(list(x) for x in zip(*(p for b in order for p in whole[b]), strict=True))))
+            return
+        for b, points in (whole or {}).items():
+            self._store(b, points)
+        if whole is not None or len(order) > len(old):
+            self.known.update((order, [], [], []))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.bucket - 1
@@ -167,21 +191,46 @@ class DeltaProcessor(StatefulProcessor):
         pass
 
 
+def _packed(batches):
+    """Points (id, key, t, seq, j) -> PACKED rows: one per (id, key) and PACK_ROWS rows of the partition."""
+    held, n = [], 0
+
+    def packed():
+        cols = ("t", "seq", "j")
+        got = pa.Table.from_batches(held).group_by(["id", "key"], use_threads=False).aggregate([(c, "list") for c in cols])
+        return got.select(["id", "key", *[f"{c}_list" for c in cols]]).rename_columns(["id", "key", *cols]).to_batches()
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACK_ROWS:
+            yield from packed()
+            held, n = [], 0
+    if n:
+        yield from packed()
+
+
 def delta_repairs(long: DataFrame, bucket_seconds: int = 86400, watermark: str | None = None) -> DataFrame:
     """Marks of the compressed history as they become known (L3): (id, key, ts, seq, j, keep) of every new point and of
     every known one whose mark flips; ``current_delta`` takes the last mark of each. Long rows without a field (``key`` NULL)
     hold no value and are left out. State is one group per (id, field), so the fields of a hot id are kept apart.
 
-    Without a watermark rows may be of any age and every point stays in state. With ``watermark`` (a delay) Spark leaves
+    Without a watermark rows may be of any age and every point stays in state; a batch's points go to the state packed by
+    group. With ``watermark`` (a delay) Spark leaves
     out and counts rows older than it, and points that are not kept leave the state behind it.
     """
     points = long.where("key is not null and ts is not null")
     if watermark is not None:
         points = points.withWatermark("ts", watermark)
-    points = points.select("id", "key", "ts", F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq"), "j")
+    at, seq = F.unix_micros("ts").alias("t"), F.col("seq").cast("long").alias("seq")
+    if watermark is None:
+        points = points.select(F.col("id").cast("string").alias("id"), "key", at, seq, "j").repartition("id", "key").mapInArrow(_packed, PACKED)
+    else:                                            # Spark tells late rows by their own ts
+        points = points.select("id", "key", "ts", *[F.array(c).alias(n) for c, n in ((at, "t"), (seq, "seq"), ("j", "j"))])
     marks = points.groupBy("id", "key").transformWithState(
         DeltaProcessor(bucket_seconds, watermark is not None), REPAIR_OUT, "append", "None" if watermark is None else "EventTime")
-    return marks.select("id", "key", F.timestamp_micros("t").alias("ts"), "seq", "j", "keep")
+    return (marks.select("id", "key", F.explode(F.arrays_zip("t", "seq", "j", "keep")).alias("m"))
+            .select("id", "key", F.timestamp_micros("m.t").alias("ts"), "m.seq", "m.j", "m.keep"))
 
 
 def stored_repairs(path: str):

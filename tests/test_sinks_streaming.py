@@ -5,6 +5,7 @@ import os
 import shutil
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import FIXTURES
@@ -156,6 +157,46 @@ def test_late_rows_are_repaired_from_the_next_known_value_only(spark, tmpdir_pat
     assert sorted(map(tuple, now.collect())) == sorted(map(tuple, H.delta_changes(every).select(*now.columns).collect()))
 
 
+@pytest.mark.parametrize("limits", [{}, {"WHOLE": 5}, {"WHOLE": 0, "PACK_ROWS": 3}])
+def test_groups_held_as_one_value_or_in_buckets_give_the_batch_result(spark, tmpdir_path, monkeypatch, limits):
+    """Groups that grow past the limit in a later batch, rows of any age, equal times; rows without an id are one group."""
+    import random
+
+    for name, value in limits.items():
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(3)
+    batches, seq = [], 0
+    for _ in range(3):
+        rows = _long_rows([(rng.randrange(300), rng.choice("12")) for _ in range(12)], seq)
+        rows += [("b", *r[1:3], "q", *r[4:]) for r in _long_rows([(rng.randrange(60), rng.choice("12")) for _ in range(2)], seq + 20)]
+        rows += [(None, *r[1:]) for r in _long_rows([(seq, "5")], seq + 40)]
+        batches.append(rows)
+        seq += 100
+    _, now = _repairs(spark, tmpdir_path, batches)
+    every = spark.createDataFrame([r for b in batches for r in b if r[0]], LONG)
+    want = [*map(tuple, H.delta_changes(every).select(*now.columns).collect()), (*batches[0][-1][:3], "k", "5")]
+    assert sorted(map(tuple, now.collect()), key=str) == sorted(want, key=str)
+
+
+def test_state_calls_and_rows_follow_groups_not_points():
+    """A new group of 60 points in five buckets: one row in, a row out per bucket, one state value read and written."""
+    calls = []
+
+    class State:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    class Handle:
+        getValueState = getMapState = staticmethod(lambda *a: State())  # noqa: N815 (names of the interface)
+
+    p = S.DeltaProcessor(86400, False)
+    p.init(Handle())
+    t = [i * 2 * 3600 * 10**6 for i in range(60)]
+    marks = list(p.handleInputRows(("a", "k"), iter([S.Row(t=t, seq=list(range(60)), j=["1", "1", "2"] * 20)]), None))
+    assert [len(m.keep) for m in marks] == [12] * 5 and sum(map(sum, (m.keep for m in marks))) == 40
+    assert calls == ["get", "update"]
+
+
 def test_timer_drops_points_behind_the_watermark(spark, tmpdir_path):
     """Marks stay right when the buckets before have shrunk; a row older than the watermark is left out."""
     first = _long_rows([(0, "1"), (1, "1"), (2, "2"), (3, "2"), (5, "3"), (6, "2")])
