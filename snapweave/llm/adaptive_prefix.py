@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from snapweave.session import cut_lineage
 
 from . import textcore as T
-from .components import components, shuffle_partitions
+from .components import components, shuffle_partitions, smallest_reachable
 from .tables import written
 
 LEVEL_SHARE = 20                # prefixes are lengthened by a twentieth of the set at most
@@ -191,18 +191,6 @@ def _incidence(column, row, rows, lo):
     return out
 
 
-def smallest_reachable(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Of ``size`` nodes, the smallest one reachable from each over the edges (i, j)."""
-    label = np.arange(size)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def linked(ids, n, level, prefix, sets, side, num: int, den: int):
     """Rows of one block (side 0: all meet) or two (sides 1 and 2) -> (id, smallest id that the block ties it to)."""
     a = np.flatnonzero(side <= 1)

@@ -34,11 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from snapweave.session import cut_lineage
-
 from . import textcore as T
-from .adaptive_prefix import overlaps, smallest_reachable
-from .components import components, shuffle_partitions
+from .adaptive_prefix import overlaps
+from .components import components, shuffle_partitions, smallest_reachable
 from .tables import written
 
 TREES, DEPTH, BASE = 24, 10, 4
@@ -430,7 +428,7 @@ def _candidates(reps: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFra
     sketch values that agree, and the rows (id, h) that did not keep all theirs."""
     parts = shuffle_partitions(reps.sparkSession)
     rows = _per_tree(reps, DEPTH).select("id", "h", "n", "sketch", "label")
-    found = cut_lineage(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
+    found = written(rows.repartitionByRange(parts, "label", "id").sortWithinPartitions("label", "id")
                         .mapInArrow(_scan(num, den), _PAIR_SCHEMA))
     across = (found.where("kind = 1")
               .select("at", F.col("a").alias("id"), F.col("ha").alias("h"), "n", "label", "sketch")
@@ -445,7 +443,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
     place = _per_tree(rows.select("sid", "comp", "labels"), BASE)
     regions = (place.groupBy("label").agg(F.min("sid").alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                .where("lo < hi").select("label", "first"))
-    return components(place.join(cut_lineage(regions), "label").where("sid <> first").select("sid", "first").distinct()
+    return components(place.join(written(regions), "label").where("sid <> first").select("sid", "first").distinct()
                       .toDF("a", "b")).toDF("sid", "cluster")
 
 
@@ -476,10 +474,10 @@ def _confirmed(d: DataFrame, edges: DataFrame, words: int, num: int, den: int) -
     low = ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("block"))
     placed = (edges.join(low.withColumnRenamed("v", "a"), "a").withColumnRenamed("block", "ba")
               .join(low.withColumnRenamed("v", "b"), "b").withColumn("block", F.least("ba", "block")).drop("ba"))
-    placed = cut_lineage(placed.select("block", "a", "ha", "b", "hb"))
-    large = cut_lineage(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
+    placed = written(placed.select("block", "a", "ha", "b", "hb"))
+    large = written(placed.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_EDGES))
     salts = F.coalesce(F.ceil(F.col("m") / BLOCK_EDGES), F.lit(1))
-    placed = cut_lineage(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
+    placed = written(placed.join(large, "block", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts))
                          .select("block", "salt", "a", "ha", "b", "hb"))
     member = (placed.select("block", "salt", "a", "ha")
               .union(placed.select("block", "salt", F.col("b"), F.col("hb"))).distinct())
@@ -507,9 +505,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = similarity
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut_lineage(d.mapInArrow(_signatures(words), "id long, n long, h long, labels binary, sketch binary"))
+    sig = written(d.mapInArrow(_signatures(words), "id long, n long, h long, labels binary, sketch binary"))
     full = sig.where("id is not null and h is not null")
-    reps = cut_lineage(full.groupBy("h", "n").agg(F.min("id").alias("id"), F.first("labels").alias("labels"),
+    reps = written(full.groupBy("h", "n").agg(F.min("id").alias("id"), F.first("labels").alias("labels"),
                                                   F.first("sketch").alias("sketch")))
     pairs, crowded = _candidates(reps, num, den)
     pairs = written(pairs)
