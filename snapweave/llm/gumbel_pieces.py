@@ -36,6 +36,7 @@ from . import textcore as T
 SAMPLES, ALPHA, SEED = 4, 1.0, 1
 UNITS_HELD = 400_000
 BYTE_WEIGHT = -30.0
+BLOCK = T.BLOCK_BYTES // 2
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -43,6 +44,16 @@ def _uniform(key: np.ndarray) -> np.ndarray:
     return ((T.mix(key) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _uniform_of(key: int) -> float:
+    """The same for one key, without arrays."""
+    key ^= key >> 33
+    key = key * 0xFF51AFD7ED558CCD % 2**64
+    key ^= key >> 33
+    key = key * 0xC4CEB9FE1A85EC53 % 2**64
+    key ^= key >> 33
+    return ((key >> 11) + 0.5) * 2.0**-53
+
+
 class Vocabulary:
     """Pieces as byte strings (the word mark is a blank), found by the hash of a byte range."""
 
@@ -64,6 +75,8 @@ class Vocabulary:
             self.bytes.append(b)
         rank = np.array([-sp.get_score(i) for i in usable])
         self.size = np.array([len(b) for b in self.bytes])
+        self.text = np.frombuffer(b"".join(self.bytes), np.uint8)     # all pieces, one after the other
+        self.place = (np.cumsum(self.size) - self.size).astype(np.int32)
         buf = np.frombuffer(b"".join(self.bytes[i] for i in usable), np.uint8)
         ends = np.cumsum([len(self.bytes[i]) for i in usable])
         inner = np.ones(len(buf), bool)
@@ -185,9 +198,10 @@ class Lattices:
 
     def walk(self, unit, occurrence, position, key):
         """Draws paths from the given byte positions to the words' ends: (occurrence, arc) of every step, in order."""
-        o, node = occurrence, self.base[unit[occurrence]] + position
-        left = self.length[unit[occurrence]] - position
+        own = unit[occurrence]
+        o, node, left = occurrence, self.base[own] + position, self.length[own] - position
         at, arcs, step = [], [], 0
+        steps = np.zeros(len(unit) + 1, np.int64)       # of every occurrence
         while len(o):
             draw = _uniform(key[o] + np.uint64((step * 0x9E3779B97F4A7C15) % 2**64))
             a = self.first[node]
@@ -196,15 +210,19 @@ class Lattices:
                 a[more] += 1
                 more = more[draw[more] >= self.arc_cum[a[more]]]
             at.append(o), arcs.append(a)
+            steps[o + 1] = step + 1
             n = self.arc_len[a].astype(np.int64)
             go = left > n
             o, node, left = o[go], (node + n)[go], (left - n)[go]
             step += 1
         if not at:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, arcs = np.concatenate(at), np.concatenate(arcs)
-        order = np.argsort(at, kind="stable")
-        return at[order], arcs[order]
+        path = np.empty(int(steps.sum()), np.int64)
+        occurrence = np.repeat(np.arange(len(unit)), steps[1:])
+        begin = np.cumsum(steps)                        # an occurrence's steps go to consecutive places
+        for n, (o, a) in enumerate(zip(at, arcs, strict=True)):
+            path[begin[o] + n] = a
+        return occurrence, path
 
 
 def cut_units(b: T.Block, joined: np.ndarray):
@@ -263,26 +281,28 @@ class Sampler:
             logp = lat.arc_logp[a]
             run = np.cumsum(logp)
             before = run - logp
-            noise = -np.log(_uniform(word_key[o] ^ T.mix(salt + np.arange(len(o), dtype=np.uint64) - cut[:-1][row].astype(np.uint64))))
+            open_ = np.flatnonzero(lat.arc_rest[a] > -np.inf)           # only these leave other arcs to take
+            at, of = a[open_], row[open_]
+            opened = np.searchsorted(open_, cut)
+            noise = -np.log(_uniform(word_key[o[open_]] ^ T.mix(salt + (open_ - cut[of]).astype(np.uint64))))
             done, roof = np.zeros(b.rows), np.zeros(b.rows)
             for r, (_, _, x, g) in head.items():
                 done[r], roof[r] = x, g
             some = cut[:-1] < cut[1:]
             done[some] -= before[cut[:-1][some]]
-            reach = before + done[row]
-            mass = reach + lat.arc_rest[a]
-            bound = mass - np.log(np.exp(np.minimum(mass - roof[row], 700.0)) + noise)
+            reach = before[open_] + done[of]
+            mass = reach + lat.arc_rest[at]
+            bound = mass - np.log(np.exp(np.minimum(mass - roof[of], 700.0)) + noise)
             sums = np.add.reduceat(np.append(logp, 0.0), cut[:-1])
             want = k - leaf
             for r, (arcs, where, given, g) in head.items():
                 lo, hi = cut[r], cut[r + 1]
                 path, place = np.concatenate([arcs, a[lo:hi]]), np.concatenate([where, o[lo:hi]])
                 leaves[r].append((given + float(sums[r]) if hi > lo else given, g, path, place))
-                own_bound = bound[lo:hi]
-                take = np.argpartition(-own_bound, want - 1)[:want] if hi - lo > want else np.arange(hi - lo)
-                mine = len(leaves[r]) - 1
-                heaps[r].extend((float(own_bound[t]), mine, len(arcs) + t, (int(a[lo + t]),), float(reach[lo + t]))
-                                for t in take.tolist() if own_bound[t] > -np.inf)
+                mine, first, last = len(leaves[r]) - 1, opened[r], opened[r + 1]
+                take = np.arange(first, last) if last - first <= want else first + np.argpartition(-bound[first:last], want - 1)[:want]
+                heaps[r].extend((x, mine, len(arcs) + t - int(lo), (arc,), y) for x, t, arc, y in
+                                zip(bound[take].tolist(), open_[take].tolist(), at[take].tolist(), reach[take].tolist(), strict=True) if x > -np.inf)
                 heaps[r].sort(key=lambda x: (-x[0], x[1], x[2]))
             start = []
             for r in head:
@@ -307,23 +327,27 @@ class Sampler:
         first, count = int(lat.first[at]), int(lat.count[at])
         arcs = [x for x in range(first, first + count) if x not in taken]
         p = np.exp(lat.arc_logp[arcs])
-        u = _uniform(np.array([int(own[r]) ^ ((leaf * 0x2545F4914F6CDD1D + t) % 2**64)], np.uint64))[0]
+        u = _uniform_of(int(own[r]) ^ ((leaf * 0x2545F4914F6CDD1D + t) % 2**64))
         pick = min(int(np.searchsorted(np.cumsum(p), u * p.sum(), "right")), len(arcs) - 1)
         arc = arcs[pick]
         head[r] = (np.append(path[:t], arc), np.append(place[:t], o), prefix + float(lat.arc_logp[arc]), bound)
         rest = float(p.sum() - p[pick]) if len(arcs) > 1 else 0.0
         if rest > 0:
             mass = prefix + float(np.log(rest))
-            e = -np.log(_uniform(np.array([int(own[r]) ^ ((leaf * 0x9E6C63D0876A9A47 + t + 1) % 2**64)], np.uint64))[0])
+            e = -np.log(_uniform_of(int(own[r]) ^ ((leaf * 0x9E6C63D0876A9A47 + t + 1) % 2**64)))
             heaps[r].append((mass - float(np.log(np.exp(min(mass - bound, 700.0)) + e)), mine, t, (*taken, arc), prefix))
         return o, here + int(lat.arc_len[arc])
 
     def ids(self, path: np.ndarray) -> np.ndarray:
         return self.lattices.arc_id[path]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 text of the ids (byte pieces as they are, without the blank before the first word)."""
-        return b"".join(map(self.v.bytes.__getitem__, ids.tolist()))[1:]
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """UTF-8 bytes of the ids (byte pieces as they are, without the blank before the first word)."""
+        size = self.v.size[ids]
+        stop = np.cumsum(size)
+        n = int(stop[-1]) if len(stop) else 0
+        kind = np.int32 if n < 2**31 - len(self.v.text) else np.int64
+        return self.v.text[np.repeat(self.v.place[ids] - (stop - size).astype(kind), size) + np.arange(n, dtype=kind)][1:]
 
 
 @functools.lru_cache(maxsize=1)
@@ -340,11 +364,11 @@ def _sample(model, samples, alpha, seed, with_ids):
         for batch in batches:
             doc = batch.column(0)
             keys = np.asarray(pa.compute.fill_null(doc, -1).to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-            for b in T.blocks(batch.column(1), size=T.BLOCK_BYTES // 2):
+            for b in T.blocks(batch.column(1), size=BLOCK):
                 leaves, kappa = sampler.block(b, keys[b.first_row:b.first_row + b.rows])
                 out = [[] for _ in names]
                 for r, (own, bar) in enumerate(zip(leaves, kappa.tolist(), strict=True)):
-                    text = zlib.crc32(b.buf[b.offsets[r]:b.offsets[r + 1]])
+                    text = b.buf[b.offsets[r]:b.offsets[r + 1]]
                     for j, (logp, g, path, _) in enumerate(own):
                         ids = sampler.ids(path)
                         if b.offsets[r] == b.offsets[r + 1]:
@@ -352,7 +376,7 @@ def _sample(model, samples, alpha, seed, with_ids):
                         gap = np.inf if bar == -np.inf else logp - bar
                         include = 0.0 if gap > 700 else gap if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
                         row = (doc[b.first_row + r].as_py(), j + 1, len(ids), round(logp, 6) if len(ids) else 0.0, round(g, 6), include,
-                               zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(sampler.decode(ids)) == text, ids)
+                               zlib.crc32(ids.astype("<u4").tobytes()), np.array_equal(sampler.decode(ids), text), ids)
                         for o, x in zip(out, row, strict=False):
                             o.append(x)
                         if not len(ids):
