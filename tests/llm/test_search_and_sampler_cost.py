@@ -57,3 +57,41 @@ def test_one_sampler_per_process():
 def test_no_piece_is_lost_by_the_first_bits():
     v = G._sampler("piece_bpe_32k.model", 4, 1.0, 1).v
     assert v.begun[(v.keys >> np.uint64(44)).astype(np.int64)].all() and v.begun.mean() < 0.05
+
+
+def test_few_documents_get_an_exact_bm25_score(monkeypatch):
+    """Frequent words everywhere: block maxima left most documents in, one product for many queries leaves about k besides the seeds."""
+    from snapweave.llm import bm25
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(20, 60))) for _ in range(700)] + ["w1 w2 w3"] * 40 + ["", "alone"]
+    ids = np.arange(len(texts)) * 3 + 1
+    parts = list(bm25.term_counts(pa.array(texts)))
+    counts = [(int(r), int(t), int(c)) for _, row, term, count, _ in parts for r, t, c in zip(row, term, count, strict=True)]
+    length = np.concatenate([size for *_, size in parts])
+    mean = float(length.mean())
+    df = {}
+    for _, t, _ in counts:
+        df[t] = df.get(t, 0) + 1
+    of = {}
+    for r, t, c in counts:
+        of.setdefault(r, {})[t] = c
+    shard = bm25.Shard(ids, list(bm25.term_counts(pa.array(texts))), mean)
+    exact, plain = [], bm25.Shard._full
+    monkeypatch.setattr(bm25.Shard, "_full", lambda self, score, docs, *a: exact.append(len(docs)) or plain(self, score, docs, *a))
+    asked = []
+    for r in [*range(0, 150), 710, 740, 741]:
+        terms = np.array(sorted(of.get(r, {})), np.int64)
+        asked.append((int(ids[r]), terms, np.array([of[r][int(t)] * np.log1p((len(texts) - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) for t in terms])))
+    got = list(shard.search(asked, 10))
+    assert len(got) == len(asked)
+    for (own, terms, w), best in zip(asked, got, strict=True):
+        score = {}
+        for r, has in of.items():
+            x = sum(v * has[t] * (bm25.K1 + 1) / (has[t] + bm25.K1 * (1 - bm25.B + bm25.B * length[r] / mean))
+                    for t, v in zip(terms.tolist(), w.tolist(), strict=True) if t in has)
+            if x > 0 and ids[r] != own:
+                score[int(ids[r])] = x
+        want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+        assert [d for d, _ in best] == [d for d, _ in want]
+        assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(best, want, strict=True))
+    assert sum(exact) <= (bm25.SEEDS * bm25.BLOCK_DOCS + 20) * len(asked)
