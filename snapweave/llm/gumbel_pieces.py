@@ -25,6 +25,7 @@ stretches of a block are drawn step by step in numpy.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 
 import numpy as np
@@ -129,7 +130,7 @@ class Lattices:
             self.clear()
         u, first, inverse = np.unique(range_hash(buf, starts, ends), return_index=True, return_inverse=True)
         keys = u.tolist()
-        at = np.fromiter((self.index.get(k, -1) for k in keys), np.int64, len(keys))
+        at = np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         new = np.flatnonzero(at < 0)
         if len(new):
             at[new] = len(self.index) + np.arange(len(new))
@@ -203,9 +204,11 @@ class Lattices:
         at, arcs, step = [], [], 0
         steps = np.zeros(len(unit) + 1, np.int64)       # of every occurrence
         while len(o):
-            draw = _uniform(key[o] + np.uint64((step * 0x9E3779B97F4A7C15) % 2**64))
             a = self.first[node]
-            more = np.flatnonzero(draw >= self.arc_cum[a])
+            more = np.flatnonzero(self.arc_cum[a] < 1.5)         # a lone arc needs no draw
+            draw = np.zeros(len(o))
+            draw[more] = _uniform(key[o[more]] + np.uint64((step * 0x9E3779B97F4A7C15) % 2**64))
+            more = more[draw[more] >= self.arc_cum[a[more]]]
             while len(more):
                 a[more] += 1
                 more = more[draw[more] >= self.arc_cum[a[more]]]

@@ -95,3 +95,19 @@ def test_few_documents_get_an_exact_bm25_score(monkeypatch):
         assert [d for d, _ in best] == [d for d, _ in want]
         assert all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(best, want, strict=True))
     assert sum(exact) <= (bm25.SEEDS * bm25.BLOCK_DOCS + 20) * len(asked)
+
+
+def test_decode_gathers_the_pieces_at_once():
+    """All ids of a path in one gather, not one lookup each; the same bytes, byte pieces and empty paths too."""
+    sampler = G.Sampler("piece_bpe_32k.model", 1, 1.0, 1)
+
+    class Once(list):
+        def __getitem__(self, _):
+            raise AssertionError("a lookup for a single piece")
+    pieces, sampler.v.bytes = sampler.v.bytes, Once(sampler.v.bytes)
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 500):
+        ids = rng.integers(0, len(pieces), n).astype(np.int32)
+        assert bytes(sampler.decode(ids)) == b"".join(pieces[i] for i in ids)[1:]
+    keys = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    assert [G._uniform_of(int(k)) for k in keys] == G._uniform(keys).tolist()
