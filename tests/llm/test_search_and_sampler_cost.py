@@ -111,3 +111,49 @@ def test_decode_gathers_the_pieces_at_once():
         assert bytes(sampler.decode(ids)) == b"".join(pieces[i] for i in ids)[1:]
     keys = rng.integers(0, 2**63, 50, dtype=np.uint64)
     assert [G._uniform_of(int(k)) for k in keys] == G._uniform(keys).tolist()
+
+
+def _bm25_rows(spark, n):
+    rng = np.random.default_rng(n)
+    words = [f"v{i}" for i in range(3000)]
+    rows = [(int(i), " ".join(words[int(w)] for w in (3000 * rng.random(rng.integers(5, 120)) ** 3))) for i in rng.permutation(n)]
+    rows += [(n + i, rows[0][1]) for i in range(30)] + [(n + 40, None), (n + 41, ""), (None, "v1 v2"), (5, "v3 v4 v5"), (n + 42, "alone")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_bm25_finds_the_same_in_many_shards_and_chunks(spark, monkeypatch):
+    from snapweave.llm import bm25
+    docs = _bm25_rows(spark, 600)
+
+    def found(asked="doc_id % 7 = 0 or doc_id >= 600"):
+        return [(r.query_id, r["rank"], r.doc_id, pytest.approx(r.score, rel=1e-12))
+                for r in bm25.search(docs, docs.where(asked)).orderBy("query_id", "rank").collect()]
+
+    one = found()
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 40)
+    many = found()
+    assert many == one
+    # equal texts lie in many shards and have one score: the smaller id is first
+    twins = [d for q, _, d, _ in many if q == 629 and d >= 600]
+    assert twins == sorted(twins) and len(twins) >= 9
+    monkeypatch.setattr(bm25, "CHUNK_TERMS", 2000)
+    assert found() == one
+    monkeypatch.setattr(bm25, "CHUNK_TERMS", 20)  # more chunks than queries: some have none
+    assert found("doc_id in (7, 14, 629)") == [x for x in one if x[0] in (7, 14, 629)]
+
+
+def test_bm25_shuffle_does_not_grow_with_queries_times_shards(spark, monkeypatch):
+    """Queries written once per shard are 600 queries x 40 shards x over 500 bytes here."""
+    import os
+
+    from snapweave.llm import bm25
+    docs = _bm25_rows(spark, 600)
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for top in folders for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 16)
+    before = shuffled()
+    assert bm25.search(docs, docs).count()
+    assert sum(size for f, size in shuffled().items() if f not in before) < 5_000_000
